@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.llm import encode, packing
+from quillveil.llm import encode, packing, readability
 from quillveil.runtime import table
 
 
@@ -16,5 +16,9 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.p9_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 SQL: dict[str, str] = {}
