@@ -39,9 +39,10 @@ CONNECTIVES = {
     "en": "that which who whose when because although though however nevertheless notwithstanding whereas while given considering insofar unless since if as but thus therefore hence such so",
     "de": "dass das welche welcher welches wenn weil obwohl obgleich jedoch dennoch daher somit während wobei sofern soweit indem damit ob als aber da insofern angesichts sodass wonach",
 }
-FEATURES = ["ttr", "rarity", "rare_share", "connectives", "commas", "word_len", "long_words", "sentence_len", "sentence_mass", "short_mass", "long_mass", "brief_mass", "log_words"]
+FEATURES = ["ttr", "rarity", "rare_share", "connectives", "commas", "word_len", "long_words", "sentence_len", "sentence_mass", "short_mass", "long_mass", "brief_mass", "short_share", "long_share", "log_words"]
 _CONNECTIVES = {k: frozenset(v.split()) for k, v in CONNECTIVES.items()}
-_SENTENCE = re.compile(r"[.!?…]+[\"'»”)]*(?:\s+|$)|\n\s*\n")
+# A period after an initial or a short capitalised title ends no sentence, nor does one before a small letter.
+_SENTENCE = re.compile(r"(?:(?<!\b[^\W\d_])(?<!\b[A-ZÁÉ][a-z])(?<!\b[A-ZÁÉ][a-z]{2})\.|[!?…。])[.!?…]*[\"'»”)]*\s+(?![a-zà-ÿ])|\n+")
 _EDGE = "\"'«»“”„‘’()[].,;:!?…-–—*"
 
 
@@ -62,7 +63,8 @@ def text_features(text: str, lang: str, shares: dict[str, float]) -> list[float]
     linked = sum(w in link for w in words)
     return [
         ttr, -sum(logs) / n, sum(x <= floor for x in logs) / n, linked / len(lengths), text.count(",") / len(lengths), sum(map(len, words)) / n, sum(len(w) >= 9 for w in words) / n,
-        float(np.log(total / len(lengths))), float(np.log(sum(k * k for k in lengths) / total)), sum(k for k in lengths if k <= 7) / total, sum(k for k in lengths if k >= 22) / total, sum(k for k in lengths if k <= 4) / total, float(np.log(n)),
+        float(np.log(total / len(lengths))), float(np.log(sum(k * k for k in lengths) / total)), sum(k for k in lengths if k <= 7) / total, sum(k for k in lengths if k >= 22) / total, sum(k for k in lengths if k <= 4) / total,
+        sum(k <= 7 for k in lengths) / len(lengths), sum(k >= 22 for k in lengths) / len(lengths), float(np.log(n)),
     ]
 
 
