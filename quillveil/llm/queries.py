@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.llm import encode, packing, readability
+from quillveil.llm import encode, packing, readability, replies
 from quillveil.runtime import table
 
 
@@ -20,5 +20,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.p9_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.p6_found(table(spark, sf_dir, "sample_data"))
+
+
+def p6_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.p6_new_text(table(spark, sf_dir, "sample_data"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_new_text": p6_new_text,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+}
 SQL: dict[str, str] = {}
