@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.llm import encode, packing, readability, replies
+from quillveil.llm import encode, packing, readability, replies, sentences
 from quillveil.runtime import table
 
 
@@ -28,7 +28,12 @@ def p6_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.p6_new_text(table(spark, sf_dir, "sample_data"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.p3_found(table(spark, sf_dir, "sample_data"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_new_text": p6_new_text,
     "p7_ids": p7_ids,
