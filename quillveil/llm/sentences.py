@@ -190,8 +190,8 @@ class EventModel:
             if prior is None:
                 prior = self.left_class.get(uc, 0.5)
             begins, goes_on = self.start.get(vf, self.start[""]), self.follow.get(vf, self.follow[""])
-            mass, seen = self.pair.get((uf, vf), (self.pair.get((uf, "\0"), (0.0, 0.0))[0], 0.0))
-            goes_on = (seen + 2 * goes_on) / (mass + 2)
+            mass, types = self.pair.get((uf, "\0"), (0.0, 2.0))
+            goes_on = (self.pair.get((uf, vf), (0.0, 0.0))[1] + types * goes_on) / (mass + types)
             prior = min(max(prior, 1e-4), 1 - 1e-4)
             got = float(np.log(prior / (1 - prior)) + np.log(begins / goes_on) + self.case.get((vc, "low" if low else "up"), 0.0))
             if len(self.memo) > 300_000:
@@ -376,6 +376,8 @@ def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str,
     pairs, pair_of = np.unique(u * len(v_names) + v, return_inverse=True)
     ps, pf = (start_v + 0.3) / (n_start + 0.3 * len(v_names)), (follow_v + 0.3) / (n_follow + 0.3 * len(v_names))
     back = pf[v]
+    # Witten-Bell: a word that many different ones follow leaves more room for others yet.
+    types = np.maximum(np.bincount(pairs // len(v_names), minlength=len(u_names)), 2).astype(float)
     for _ in range(steps):
         prior = np.where(rare[u], class_p[c], p_u[u])
         yes = prior * ps[v] * case_yes[k]
@@ -386,15 +388,15 @@ def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str,
         class_p = (add(c, len(c_names), b) + 0.2) / (mid_c + 0.4)
         prior_of[u] = class_p[c]
         # The line ends stay part of the evidence, so that a word is not drawn away from them.
-        anchor = np.minimum(end_u * (1 - rho) / rho, mid_u)
-        p_u = np.clip((0.5 * add(u, len(u_names), b) + 0.5 * anchor + 1.0 * prior_of) / (mid_u + 1.0), 0.0005, 0.9995)
+        anchor = np.minimum(end_u * (1 - rho) / rho, mid_u) / np.maximum(mid_u, 1e-9)
+        p_u = np.clip((add(u, len(u_names), b) + 3 * anchor + prior_of) / (mid_u + 4), 0.0005, 0.9995)
         mass = add(u, len(u_names), nb)
-        back = (add(pair_of, len(pairs), nb)[pair_of] + 2 * pf[v]) / (mass[u] + 2)
+        back = (add(pair_of, len(pairs), nb)[pair_of] + types[u] * pf[v]) / (mass[u] + types[u])
         case_yes, case_no = (add(k, len(k_names), b) + 0.5) / (b.sum() + 0.5 * len(k_names)), (add(k, len(k_names), nb) + 0.5) / (nb.sum() + 0.5 * len(k_names))
     by_pair = add(pair_of, len(pairs), nb)
     mass = add(u, len(u_names), nb)
     pair = {(str(u_names[x // len(v_names)]), str(v_names[x % len(v_names)])): (float(mass[x // len(v_names)]), float(w)) for x, w in zip(pairs, by_pair, strict=True) if u_names[x // len(v_names)] and v_names[x % len(v_names)]}
-    pair |= {(str(x), "\0"): (float(m), 0.0) for x, m in zip(u_names, mass, strict=True) if x}
+    pair |= {(str(x), "\0"): (float(m), float(t)) for x, m, t in zip(u_names, mass, types, strict=True) if x}
     left = {str(x): float(p) for x, p in zip(u_names, p_u, strict=True) if x}
     odds = {}
     for name, y, z in zip(k_names, np.log(case_yes), np.log(case_no), strict=True):
