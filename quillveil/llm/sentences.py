@@ -48,6 +48,7 @@ _SOLID = re.compile(r"[^\W_]")
 _PREFIX = re.compile(r"[\s>|]*")
 _INNER_PREFIX = re.compile(r"\n[ \t]*[>|][>| \t]*")
 _GAP = re.compile(r"\s+")
+_TAIL_MARKS = re.compile(rf"(?:[\s\xa0]*(?:{_EMOJI}|{_SMILEY}))+$")
 _DIGIT = re.compile(r"\d")
 _CJK_END = "。！？"
 _WORDS: dict[str, tuple[str, str]] = {}
@@ -57,10 +58,10 @@ def left_form(raw: str) -> tuple[str, str]:
     """Form and class of the word before a place."""
     got = _WORDS.get(raw)
     if got is None:
-        core = raw.lstrip(_OPEN)
+        core = _TAIL_MARKS.sub("", raw.lstrip(_OPEN))
         stem = core.rstrip(".!?…。！？।؟\"'»”’)]」』》】›“* \xa0")
         tail = core[len(stem) :]
-        end = next((c for c in tail if c in ".!?…。！？।؟"), "")
+        end = next((c for c in tail if c in ".!?…。！？।؟"), "E" if len(core) < len(raw.lstrip(_OPEN)) else "")
         if end == "." and tail.count(".") > 1:
             end = "…"
         if _THAI.search(stem[-1:] or ""):
@@ -307,12 +308,13 @@ def count_events(labelled_messages: DataFrame) -> DataFrame:
                     style = "low" if text[:1].islower() else "up"
                     (vf, vc) = right_form(tokens[0])
                     counts["s", "", "", vf, vc + style] += 1
-                    if (last := tokens[-1])[-1:] not in ",:;":
-                        if last[-1] in "»" and len(tokens) > 1 and len(last) == 1:
-                            last = tokens[-2] + last
-                        if _CJK.search(last):
-                            last = last[-4:]
-                        counts["e", *left_form(last[-24:]), "", ""] += 1
+                    last = tokens[-1]
+                    for before in tokens[-2:-5:-1]:
+                        if _SOLID.search(last):
+                            break
+                        last = before + " " + last
+                    if last[-1] not in ",:;":
+                        counts["e", *left_form(last[-4:] if _CJK.search(last) else last[-24:]), "", ""] += 1
                     for _, _, u, v, _ in places(text):
                         (vf, vc) = right_form(v)
                         counts["g", *left_form(u), vf, vc + style] += 1
@@ -377,7 +379,10 @@ def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str,
     ps, pf = (start_v + 0.3) / (n_start + 0.3 * len(v_names)), (follow_v + 0.3) / (n_follow + 0.3 * len(v_names))
     back = pf[v]
     # Witten-Bell: a word that many different ones follow leaves more room for others yet.
+    # A word whose line ends show that it ends units has no followers of its own: they are those of any place.
     types = np.maximum(np.bincount(pairs // len(v_names), minlength=len(u_names)), 2).astype(float)
+    anchor = np.minimum(end_u * (1 - rho) / rho / np.maximum(mid_u, 1e-9), 0.999)
+    types += mid_u * np.where(anchor > 0.5, anchor / (1 - anchor), 0)
     for _ in range(steps):
         prior = np.where(rare[u], class_p[c], p_u[u])
         yes = prior * ps[v] * case_yes[k]
@@ -388,7 +393,6 @@ def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str,
         class_p = (add(c, len(c_names), b) + 0.2) / (mid_c + 0.4)
         prior_of[u] = class_p[c]
         # The line ends stay part of the evidence, so that a word is not drawn away from them.
-        anchor = np.minimum(end_u * (1 - rho) / rho, mid_u) / np.maximum(mid_u, 1e-9)
         p_u = np.clip((add(u, len(u_names), b) + 3 * anchor + prior_of) / (mid_u + 4), 0.0005, 0.9995)
         mass = add(u, len(u_names), nb)
         back = (add(pair_of, len(pairs), nb)[pair_of] + types[u] * pf[v]) / (mass[u] + types[u])
