@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.llm import encode, packing, readability, replies, sentences
+from quillveil.llm import encode, langid, packing, readability, replies, sentences
 from quillveil.runtime import table
 
 
@@ -32,8 +32,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.p3_found(table(spark, sf_dir, "sample_data"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.p5_found(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "lang_samples"))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.p5_languages(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "lang_samples"))
+
+
 QUERIES = {
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
     "p6_found": p6_found,
     "p6_new_text": p6_new_text,
     "p7_ids": p7_ids,

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, LIST, NAME, PHONE, SENT, LineModel, cues
 from quillveil.llm.replies import fitted, labelled
@@ -275,16 +276,18 @@ def message_units(messages: list[str], all_labels: list[str], model: EventModel)
             at += len(parts)
 
 
-def label_messages(samples: DataFrame, model: LineModel) -> DataFrame:
-    """``row_id, message`` and the labels of its logical lines as one string, written once for all later passes."""
+def label_messages(samples: DataFrame, model: LineModel, keep: list[str] | None = None) -> DataFrame:
+    """``row_id, message``, the columns ``keep`` and the labels of its logical lines as one string, written once for all later passes."""
+    keep = ["row_id", "message", *(keep or [])]
     shared = samples.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = ["".join(x or "-" for x in labels) for _, _, labels in labelled([m or "" for m in batch.column("message").to_pylist()], shared.value)]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("message"), pa.array(found, pa.string())], names=["row_id", "message", "labels"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], names=[*keep, "labels"])
 
-    return written(samples.select("row_id", "message").filter(F.length("message") > 0).mapInArrow(run, "row_id bigint, message string, labels string"), "labelled-messages")
+    rows = samples.select(*keep).filter(F.length("message") > 0)
+    return written(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("labels", T.StringType())])), "labelled-messages")
 
 
 def count_events(labelled_messages: DataFrame) -> DataFrame:
