@@ -60,18 +60,23 @@ def logical_lines(message: str) -> list[tuple[int, int, list[int]]]:
     out: list[tuple[int, int, list[int]]] = []
     at, open_kind = 0, ""
     for k, raw in enumerate(message.split("\n")):
-        end = at + len(raw)
-        body = raw.rstrip("\r")
-        blank = not body.strip()
-        quoted = _QUOTE.match(body) is not None
-        kind = "q" if quoted else "t"
-        if open_kind and not blank and open_kind == kind and not (quoted and body.strip(" >|") == ""):
-            s, _, nums = out[-1]
-            out[-1] = (s, at + len(body), [*nums, k])
+        size = len(raw)
+        end = at + size
+        if raw[-1:] == "\r":
+            raw = raw.rstrip("\r")
+            size = len(raw)
+        flows = raw[-1:] == " "
+        if open_kind or flows:
+            bare = raw.strip(" >|\t")
+            kind = "q" if _QUOTE.match(raw) else "t"
+            if open_kind == kind and (bare if kind == "q" else raw.strip()):
+                s, _, numbers = out[-1]
+                out[-1] = (s, at + size, [*numbers, k])
+            else:
+                out.append((at, at + size, [k]))
+            open_kind = kind if flows and bare and bare != "--" else ""
         else:
-            out.append((at, at + len(body), [k]))
-        flows = body.endswith(" ") and not blank and body.strip() not in ("--", ">", "|") and body.strip(" >|") != ""
-        open_kind = kind if flows else ""
+            out.append((at, at + size, [k]))
         at = end + 1
     return out
 
@@ -122,6 +127,8 @@ def _cues(t: str) -> tuple[list[str], int]:
             return ["rule", "rule:" + t[0] + str(min(n, 40) // 8)], RULE
         if _BANNER.match(t):
             return ["banner"], BANNER | RULE
+    if n > 70:
+        return _long_cues(t, n)
     low = t.lower()
     words = t.split()
     digits = sum(map(str.isdigit, t)) if not t.isalpha() else 0
@@ -154,15 +161,14 @@ def _cues(t: str) -> tuple[list[str], int]:
         flags |= DEV
     if found & DISC and n >= 25:
         flags |= DISC
-    if n <= 70:
-        flags |= SHORT
-    letters = _WORD.findall(t) if n <= 70 else _WORD.findall(t[:40]) + _WORD.findall(t[-30:])
+    flags |= SHORT
+    letters = _WORD.findall(t)
     if letters and n <= 45 and len(letters) <= 6 and not digits and not flags & SENT and not _NOT_NAME.search(t):
         if all(w[0].isupper() or not w[0].islower() or len(w) <= 3 for w in letters):
             flags |= NAME
     if t[-1] in ":：" and (found & WROTE or flags & MAIL or (n > 15 and _DATE.search(t))):
         flags |= ATTR
-    out += [_LENGTHS[min(n, 121)], "words:" + str(min(len(words), 9))]
+    out += [_LENGTHS[n], "words:" + str(min(len(words), 9))]
     c = t[-1]
     out.append("end:" + (c if not c.isalnum() else "9" if c.isdigit() else "a"))
     c = t[0]
@@ -171,22 +177,48 @@ def _cues(t: str) -> tuple[list[str], int]:
         out.append("digit")
         if digits >= 7 and _PHONE.search(t):
             out.append("phone")
-        if digits >= 3 and n <= 80 and "," in t:
+        if digits >= 3 and "," in t:
             out.append("address")
-    if n <= 70:
-        for bit, name in _NAMED:
-            if flags & bit:
-                out.append(name)
-        if letters:
-            out += ["first:" + low.split()[0].strip(".,:!¡*")[:12], "last:" + letters[-1].lower()[:12]]
-    else:
-        out.append(f"long:{flags & (SENT | DISC | ATTR | MAIL | KEYED)}")
+    for bit, name in _NAMED:
+        if flags & bit:
+            out.append(name)
+    if letters:
+        out += ["first:" + low.split()[0].strip(".,:!¡*")[:12], "last:" + letters[-1].lower()[:12]]
     return out, flags
 
 
+def _long_cues(t: str, n: int) -> tuple[list[str], int]:
+    """Features of a line too long for a name, a phone number or a greeting alone."""
+    flags = 0
+    if -1 < t.find(":", 0, 18) or -1 < t.find("：", 0, 18):
+        if _HEADER_FROM.match(t):
+            flags |= FROM | KEYED
+        elif _KEYED.match(t):
+            flags |= KEYED
+    tail = t[-14:]
+    if _SENTENCE_END.search(tail) and not _ABBREVIATED_END.search(tail):
+        flags |= SENT
+    if not t[0].isalpha() and _LIST.match(t):
+        flags |= LIST
+    if "@" in t or "at]" in t or "(at)" in t:
+        flags |= MAIL
+    found = 0
+    for _, bit in _CUE_WORDS.iter(t.lower()):
+        found |= bit
+    if found & DISC:
+        flags |= DISC
+    if t[-1] in ":：" and (found & WROTE or flags & MAIL or _DATE.search(t)):
+        flags |= ATTR
+    c, first = t[-1], t[0]
+    return [
+        _LENGTHS[min(n, 121)], "end:" + (c if not c.isalnum() else "9" if c.isdigit() else "a"), "start:" + ("A" if first.isupper() else "9" if first.isdigit() else "a" if first.isalpha() else first),
+        f"long:{flags & (SENT | DISC | ATTR | MAIL | KEYED)}",
+    ], flags
+
+
 def line_view(message: str) -> tuple[list[tuple[int, int, list[int]]], list[str]]:
     lines = logical_lines(message)
-    return lines, [message[a:b].replace("\r", "").replace("\n", "").strip() for a, b, _ in lines]
+    return lines, [message[a:b].strip() if len(k) == 1 else message[a:b].replace("\r", "").replace("\n", "").strip() for a, b, k in lines]
 
 
 def draft_labels(texts: list[str], flags: list[int]) -> list[str]:
@@ -297,49 +329,52 @@ def _own_lines(region: list[int], texts: list[str], flags: list[int], lab: list[
             lab[j] = "S"
 
 
-def sequence_features(texts: list[str], basic: list[tuple[list[str], int]]) -> tuple[list[int], list[list[str]]]:
-    """Numbers of the non-blank lines, and the features of each with position, history and neighbours."""
+def contexts(texts: list[str], flags: list[int]) -> tuple[list[int], list[tuple]]:
+    """Numbers of the non-blank lines, and what surrounds each: neighbours' kinds, gap, place and history."""
     full = [i for i, t in enumerate(texts) if t]
-    out, n = [], len(full)
-    last_quote = max((p for p in range(n) if basic[full[p]][1] & QUOTE), default=-1)
+    n = len(full)
+    kinds = [_kind(flags[i]) for i in full]
+    last_quote = n - 1 - kinds[::-1].index("q") if "q" in kinds else -1
     header = dash = closed = ruled = False
-    kinds = [_kind(basic[i][1]) for i in full]
+    out = []
     for p, i in enumerate(full):
-        own, f = basic[i]
-        gap = p > 0 and i - full[p - 1] > 1
-        before, after = kinds[p - 1] if p else "^", kinds[p + 1] if p + 1 < n else "$"
-        after2 = kinds[p + 2] if p + 2 < n else "$"
-        if f & FROM and p + 1 < n and basic[full[p + 1]][1] & KEYED and full[p + 1] == i + 1:
+        f, k = flags[i], kinds[p]
+        if f & FROM and p + 1 < n and flags[full[p + 1]] & KEYED and full[p + 1] == i + 1:
             header = True
-        x = [*own, "b:" + before, "a:" + after, "aa:" + after + after2, "ba:" + before + kinds[p] + after, "k:" + kinds[p]]
-        if gap:
-            x += ["gap", "gap:" + kinds[p]]
-        if p == 0:
-            x.append("top")
-        if p == n - 1:
-            x.append("bottom")
-        if header:
-            x.append("inheader" if f & KEYED else "afterheader")
-        if dash:
-            x.append("afterdash:" + kinds[p])
-        if closed:
-            x += ["afterclose:" + kinds[p], "afterclose:" + kinds[p] + ("g" if gap else "")]
-        if ruled:
-            x.append("afterrule:" + kinds[p])
-        if p < last_quote:
-            x.append("quotebelow")
-        if f & DASH2:
+        out.append((kinds[p - 1] if p else "^", k, kinds[p + 1] if p + 1 < n else "$", kinds[p + 2] if p + 2 < n else "$", p > 0 and i - full[p - 1] > 1, header and (2 if f & KEYED else 1), dash, closed, ruled, p < last_quote))
+        if k == "-":
             dash = True
-        elif f & QUOTE or f & ATTR:
+        elif k == "q" or f & ATTR:
             dash = closed = ruled = False
         elif f & CLOSE:
             closed = True
         elif f & RULE:
             ruled = True
-        out.append(x)
     return full, out
 
 
+def context_features(c: tuple) -> list[str]:
+    before, k, after, after2, gap, header, dash, closed, ruled, quote_below = c
+    x = ["b:" + before, "a:" + after, "aa:" + after + after2, "ba:" + before + k + after, "k:" + k]
+    if gap:
+        x += ["gap", "gap:" + k]
+    if before == "^":
+        x.append("top")
+    if after == "$":
+        x.append("bottom")
+    if header:
+        x.append("inheader" if header == 2 else "afterheader")
+    if dash:
+        x.append("afterdash:" + k)
+    if closed:
+        x += ["afterclose:" + k, "afterclose:" + k + ("g" if gap else "")]
+    if ruled:
+        x.append("afterrule:" + k)
+    if quote_below:
+        x.append("quotebelow")
+    return x
+
+
 def _kind(f: int) -> str:
     for bit, c in ((QUOTE, "q"), (DASH2, "-"), (BANNER, "b"), (RULE, "r"), (FROM, "f"), (ATTR, "w"), (PHONE, "p"), (SIGN, "m"), (GREET, "g"), (CLOSE, "c"), (LIST, "l"), (DISC, "d"), (DEV, "v"), (KEYED, "k"), (SENT, "s"), (NAME, "n"), (SHORT, "h")):
         if f & bit:
@@ -352,23 +387,43 @@ class LineModel:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray, seen: frozenset[str]):
         self.index, self.emit, self.move, self.start, self.seen = index, emit, move, start, seen
+        self.own: dict[str, tuple[list[int], int]] = {}
+        self.around: dict[tuple, list[int]] = {}
 
     def features(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[int]]:
-        basic = [cues(t) if t else ([], 0) for t in texts]
-        full, feats = sequence_features(texts, basic)
-        get = self.index.get
-        ids = [[k for k in map(get, x) if k is not None] for x in feats]
-        for row, i in zip(ids, full, strict=True):
-            if texts[i] in self.seen:
-                row.append(0)
-        return full, ids, [f for _, f in basic]
+        """Non-blank lines, numbers of the features of each, and the flags of all lines."""
+        own, around, get = self.own, self.around, self.index.get
+        flags, lines = [], []
+        for t in texts:
+            if not t:
+                flags.append(0), lines.append(None)
+                continue
+            got = own.get(t)
+            if got is None:
+                names, f = _cues(t)
+                got = [k for k in map(get, names) if k is not None], f
+                if t in self.seen:
+                    got[0].append(0)
+                if len(t) <= 80:
+                    if len(own) > 200_000:
+                        own.clear()
+                    own[t] = got
+            lines.append(got[0]), flags.append(got[1])
+        full, places = contexts(texts, flags)
+        ids = []
+        for i, c in zip(full, places, strict=True):
+            near = around.get(c)
+            if near is None:
+                near = around[c] = [k for k in map(get, context_features(c)) if k is not None] or [1]
+            ids.append(lines[i] + near)
+        return full, ids, flags
 
     def label_many(self, views: list[list[str]]) -> list[list[str]]:
         """Labels of each message's logical lines, '' for blank ones; all messages are decoded together."""
         parts = [self.features(v) for v in views]
         lengths = np.array([len(p[0]) for p in parts])
-        flat = [k for p in parts for row in p[1] for k in (row or (1,))]
-        sizes = np.array([max(1, len(row)) for p in parts for row in p[1]], np.int64)
+        flat = [k for p in parts for row in p[1] for k in row]
+        sizes = np.array([len(row) for p in parts for row in p[1]], np.int64)
         out = [[""] * len(v) for v in views]
         if not len(sizes):
             return out
@@ -432,7 +487,8 @@ def train_line_model(messages: list[str], epochs: int = 5) -> LineModel:
     for v in views:
         basic = [cues(t) if t else ([], 0) for t in v]
         lab = draft_labels(v, [f for _, f in basic])
-        full, feats = sequence_features(v, basic)
+        full, near = contexts(v, [f for _, f in basic])
+        feats = [basic[i][0] + context_features(c) for i, c in zip(full, near, strict=True)]
         if full:
             drafts.append([_ID[lab[i]] for i in full])
             data.append((feats, [v[i] for i in full]))

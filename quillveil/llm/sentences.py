@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, LIST, NAME, PHONE, SENT, LineModel, cues
+from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, LIST, NAME, PHONE, SENT, LineModel, cues, logical_lines
 from quillveil.llm.replies import fitted, labelled
 from quillveil.runtime import written
 
@@ -39,7 +39,7 @@ EM_STEPS = 6
 _EMOJI = "[\U0001F300-\U0001FAFF☀-➿]️?"
 _SMILEY = r"[:;]'?-?[)(DPp](?!\w)"
 _CLOSERS = "[\"'»”’)\\]」』》】›“*]"
-_PLACE = re.compile(rf"(?:[.!?…。！？।؟]+(?:[\s\xa0]?[»]|{_CLOSERS})*(?:[\s\xa0]*(?:{_EMOJI}|{_SMILEY}))*|(?:{_EMOJI}|{_SMILEY})+(?:\s*(?:{_EMOJI}|{_SMILEY}))*)")
+_PLACE = re.compile(rf"(?:[.!?…。！？।؟]++(?![a-z0-9@])(?:[\s\xa0]?[»]|{_CLOSERS})*(?:[\s\xa0]*(?:{_EMOJI}|{_SMILEY}))*|(?:{_EMOJI}|(?<=\s){_SMILEY})+(?:\s*(?:{_EMOJI}|{_SMILEY}))*)")
 _QUOTED = re.compile("«[^»]*»|„[^“”]*[“”]|“[^”]*”|「[^」]*」|『[^』]*』|‹[^›]*›|(?<!\\w)\"[^\"]*\"(?!\\w)|《[^》]*》")
 _QUOTES = frozenset("«„“「『‹\"《")
 _THAI = re.compile("[฀-๿຀-໿ក-៿က-႟]")
@@ -59,10 +59,10 @@ def left_form(raw: str) -> tuple[str, str]:
     """Form and class of the word before a place."""
     got = _WORDS.get(raw)
     if got is None:
-        core = _TAIL_MARKS.sub("", raw.lstrip(_OPEN))
+        core = _TAIL_MARKS.sub("", raw.strip().lstrip(_OPEN))
         stem = core.rstrip(".!?…。！？।؟\"'»”’)]」』》】›“* \xa0")
         tail = core[len(stem) :]
-        end = next((c for c in tail if c in ".!?…。！？।؟"), "E" if len(core) < len(raw.lstrip(_OPEN)) else "")
+        end = next((c for c in tail if c in ".!?…。！？।؟"), "E" if len(core) < len(raw.strip().lstrip(_OPEN)) else "")
         if end == "." and tail.count(".") > 1:
             end = "…"
         if _THAI.search(stem[-1:] or ""):
@@ -124,24 +124,29 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
             token = text[left : right if right > 0 else n]
             if "@" not in token and "/" not in token and "." not in token[b - left :].rstrip("."):
                 hits.append((a, b, b))
-    if _THAI.search(text):
+    if not text.isascii() and _THAI.search(text):
         taken = {h[1] for h in hits}
         hits += [(g.start(), g.start(), g.end()) for g in _GAP.finditer(text) if g.start() > 0 and g.end() < n and g.start() not in taken]
         hits.sort()
     if not hits:
         return out
     spans = [m.span() for m in _QUOTED.finditer(text)] if not _QUOTES.isdisjoint(text) else ()
+    broken, fixed = "\n" in text, "\xa0" in text
     last_start = 0
     for a, b, nxt in hits:
         if spans and any(s < b < e for s, e in spans):
             continue
-        left = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), text.rfind("\xa0", 0, max(0, a - 1)), last_start - 1) + 1
-        if left >= a > 0 and text[a - 1] in " \xa0":  # a mark set off by a space
-            left = max(text.rfind(" ", 0, a - 1), text.rfind("\n", 0, a - 1), last_start - 1) + 1
-        left = max(left, b - 24)
-        stop = nxt + 16
-        word = text[nxt:stop].split(None, 1)
-        out.append((b, nxt, text[left:b].strip(), word[0] if word else "", left <= last_start))
+        stop = a
+        while stop > last_start and text[stop - 1] in " \xa0":  # a mark set off by a space
+            stop -= 1
+        left = text.rfind(" ", last_start, stop) + 1
+        if broken:
+            left = max(left, text.rfind("\n", last_start, stop) + 1)
+        if fixed:
+            left = max(left, text.rfind("\xa0", last_start, stop) + 1)
+        left = max(left, last_start, b - 24)
+        word = text[nxt : nxt + 16].split(None, 1)
+        out.append((b, nxt, text[left:b], word[0] if word else "", left <= last_start))
         last_start = nxt
     return out
 
@@ -163,7 +168,9 @@ def running_parts(message: str, lines: list[tuple[int, int, list[int]]], labels:
             continue
         if label in "NDQF":
             single = False
-            if len(text) <= 120:
+            if len(text) > 48 and text[-1] in ".!?…。！？।" and text[0].isalpha():
+                pass  # of the lines that are one unit none looks so
+            elif len(text) <= 120:
                 flags = cues(text)[1]
                 single = bool(flags & (LIST | FROM | ATTR | PHONE)) or bool(flags & (GREET | CLOSE | NAME) and not flags & DISC) or (flags & KEYED and not flags & (SENT | DISC))
                 if label in "ND":
@@ -260,9 +267,7 @@ def units_of(parts: list[tuple[int, str, bool, str]], found: list[list[tuple[int
 
 
 def message_units(messages: list[str], all_labels: list[str], model: EventModel) -> Iterator[list[tuple[int, int, str, str]]]:
-    """Units of each message; its logical lines' labels come as one string, '-' for blank lines."""
-    from quillveil.llm.anatomy import logical_lines
-
+    """Units of each message, with their texts and labels; its logical lines' labels come as one string, '-' for blank lines."""
     for k in range(0, len(messages), 1000):
         rows = []
         for message, labels in zip(messages[k : k + 1000], all_labels[k : k + 1000], strict=True):
@@ -276,61 +281,129 @@ def message_units(messages: list[str], all_labels: list[str], model: EventModel)
             at += len(parts)
 
 
-def label_messages(samples: DataFrame, model: LineModel, keep: list[str] | None = None) -> DataFrame:
-    """``row_id, message``, the columns ``keep`` and the labels of its logical lines as one string, written once for all later passes."""
-    keep = ["row_id", "message", *(keep or [])]
-    shared = samples.sparkSession.sparkContext.broadcast(model)
+# One row a message: a letter for each of its parts (small: not to be split), offsets and lengths; for each part the
+# number of places, and for each place its two sides. `solid` tells which pieces between places hold a letter or digit.
+_STAGED = [("is_count", T.BooleanType()), ("kinds", T.StringType()), ("low", T.StringType()), ("at", T.ArrayType(T.IntegerType())), ("size", T.ArrayType(T.IntegerType())), ("n_places", T.ArrayType(T.IntegerType())),
+           ("ends", T.ArrayType(T.IntegerType())), ("nexts", T.ArrayType(T.IntegerType())), ("lefts", T.ArrayType(T.StringType())), ("rights", T.ArrayType(T.StringType())), ("tied", T.StringType()), ("solid", T.StringType()), ("counts", T.ArrayType(T.StringType())), ("ns", T.ArrayType(T.LongType()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = ["".join(x or "-" for x in labels) for _, _, labels in labelled([m or "" for m in batch.column("message").to_pylist()], shared.value)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], names=[*keep, "labels"])
 
-    rows = samples.select(*keep).filter(F.length("message") > 0)
-    return written(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("labels", T.StringType())])), "labelled-messages")
+def _list(values: list, ends: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(values, kind))
 
 
-def count_events(labelled_messages: DataFrame) -> DataFrame:
-    """``kind, u, uc, v, vc, n``: g places, s first words of lines, e last words of lines, c all words of running text.
+def stage_messages(samples: DataFrame, model: LineModel, keep: list[str] | None = None) -> DataFrame:
+    """Label lines, find the places of running text, and count them, in one pass whose result is written once.
 
-    Each worker adds up a batch before it sends anything on.
+    Besides a row for each message (with the columns ``keep``) there is one for each batch that holds the counts of the
+    batch, with ``is_count``; `counted` adds these up.
     """
+    keep = ["row_id", *(keep or [])]
+    shared = samples.sparkSession.sparkContext.broadcast(model)
+    rows = samples.select(*dict.fromkeys([*keep, "message"])).filter(F.length("message") > 0)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name in keep), *(T.StructField(n, k) for n, k in _STAGED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillveil.llm.anatomy import logical_lines
-
         for batch in batches:
+            messages = batch.column("message").to_pylist()
+            kinds, lows, ties, solids = [], [], [], []
+            at, size, per, ends, nexts, lefts, rights = ([] for _ in range(7))
+            part_ends, place_ends = [], []
             counts: Counter = Counter()
             words: Counter = Counter()
-            for message, labels in zip(batch.column("message").to_pylist(), batch.column("labels").to_pylist(), strict=True):
-                for _, text, split, _ in running_parts(message, logical_lines(message), ["" if c == "-" else c for c in labels]):
-                    if not split:
-                        continue
-                    tokens = text.split()
-                    words.update(tokens)
-                    style = "low" if text[:1].islower() else "up"
-                    (vf, vc) = right_form(tokens[0])
-                    counts["s", "", "", vf, vc + style] += 1
-                    last = tokens[-1]
-                    for before in tokens[-2:-5:-1]:
-                        if _SOLID.search(last):
-                            break
-                        last = before + " " + last
-                    if last[-1] not in ",:;":
-                        counts["e", *left_form(last[-4:] if _CJK.search(last) else last[-24:]), "", ""] += 1
-                    for _, _, u, v, _ in places(text):
-                        (vf, vc) = right_form(v)
-                        counts["g", *left_form(u), vf, vc + style] += 1
+            for message, (lines, _, labels) in zip(messages, labelled(messages, shared.value), strict=True):
+                kind, low, tie, solid = "", "", "", ""
+                for a, text, split, label in running_parts(message, lines, labels):
+                    spots = places(text) if split else []
+                    kind += label if split else label.lower()
+                    small = text[:1].islower()
+                    low += "1" if small else "0"
+                    at.append(a), size.append(len(text)), per.append(len(spots))
+                    begin = 0
+                    for end, nxt, u, v, tied in spots:
+                        ends.append(end), nexts.append(nxt), lefts.append(u), rights.append(v)
+                        tie += "1" if tied else "0"
+                        solid += "1" if _SOLID.search(text, begin, end) else "0"
+                        begin = nxt
+                    solid += "1" if not spots or _SOLID.search(text, begin) else "0"
+                    if split:
+                        _count_line(text, spots, "low" if small else "up", counts, words)
+                kinds.append(kind), lows.append(low), ties.append(tie), solids.append(solid)
+                part_ends.append(len(at)), place_ends.append(len(ends))
             for w, n in words.items():
                 counts["c", "", "", right_form(w)[0], ""] += n
-            keys = list(counts)
-            cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), pa.int64())], names=["kind", "u", "uc", "v", "vc", "n"])
-
-    rows = labelled_messages.select("message", "labels").mapInArrow(run, "kind string, u string, uc string, v string, vc string, n bigint")
+            # The batch's counts are one more row.
+            n, ints, texts = len(messages), pa.int32(), pa.string()
+            part_ends.append(len(at)), place_ends.append(len(ends))
+            flat = [x for key in counts for x in key]
+            extra = [pa.concat_arrays([batch.column(c), pa.nulls(1, batch.column(c).type)]) for c in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*extra, pa.array([False] * n + [True]), pa.array([*kinds, None], texts), pa.array([*lows, None], texts), _list(at, part_ends, ints), _list(size, part_ends, ints), _list(per, part_ends, ints), _list(ends, place_ends, ints), _list(nexts, place_ends, ints), _list(lefts, place_ends, texts), _list(rights, place_ends, texts),
+                 pa.array([*ties, None], texts), pa.array([*solids, None], texts), _list(flat, [0] * n + [len(flat)], texts), _list(list(counts.values()), [0] * n + [len(counts)], pa.int64())],
+                names=[*keep, *(n for n, _ in _STAGED)],
+            )
+
+    return written(rows.mapInArrow(run, schema), "staged-messages")
+
+
+def _count_line(text: str, spots: list[tuple[int, int, str, str, bool]], style: str, counts: Counter, words: Counter) -> None:
+    """Count a line of running text: g places, s its first word, e its last word; its words are gathered for c."""
+    tokens = text.split()
+    words.update(tokens)
+    (vf, vc) = right_form(tokens[0])
+    counts["s", "", "", vf, vc + style] += 1
+    last = tokens[-1]
+    for before in tokens[-2:-5:-1]:
+        if _SOLID.search(last):
+            break
+        last = before + " " + last
+    if last[-1] not in ",:;":
+        counts["e", *left_form(last[-4:] if _CJK.search(last) else last[-24:]), "", ""] += 1
+    for _, _, u, v, _ in spots:
+        (vf, vc) = right_form(v)
+        counts["g", *left_form(u), vf, vc + style] += 1
+
+
+def count_events(staged: DataFrame) -> DataFrame:
+    """``kind, u, uc, v, vc, n`` over all messages: the batches' own sums, added up."""
+    pieces = staged.filter("is_count").select(F.posexplode("ns").alias("k", "n"), "counts")
+    part = lambda i: F.element_at("counts", F.col("k") * 5 + i + 1)
+    rows = pieces.select(part(0).alias("kind"), part(1).alias("u"), part(2).alias("uc"), part(3).alias("v"), part(4).alias("vc"), "n")
     return written(rows.groupBy("kind", "u", "uc", "v", "vc").agg(F.sum("n").alias("n")), "sentence-events")
 
 
+def staged_units(batch: pa.RecordBatch, model: EventModel) -> Iterator[list[tuple[int, int, str]]]:
+    """Start, end and label of the units of each message of a staged batch."""
+    cols = [batch.column(n).to_pylist() for n in ("kinds", "low", "at", "size", "n_places", "ends", "nexts", "lefts", "rights", "tied", "solid")]
+    for k in range(0, batch.num_rows, 2000):
+        rows = list(zip(*(c[k : k + 2000] for c in cols), strict=True))
+        found, low = [], []
+        for _, lows, _, _, per, ends, nexts, lefts, rights, tied, _ in rows:
+            q = 0
+            for n in per:
+                found.append([(ends[j], nexts[j], lefts[j], rights[j], tied[j] == "1") for j in range(q, q + n)] if n else [])
+                q += n
+            low += [c == "1" for c in lows]
+        posts = model.posteriors(found, low)
+        f = 0
+        for kinds, _, at, size, per, ends, nexts, _, _, _, solid in rows:
+            units: list[tuple[int, int, str]] = []
+            q = s = 0
+            for kind, a, length, n in zip(kinds, at, size, per, strict=True):
+                label = kind.upper()
+                begin, held = 0, False
+                for j, p in enumerate(posts[f]):
+                    held = held or solid[s + j] == "1"
+                    if p > 0.5 and held:
+                        units.append((a + begin, a + ends[q + j], label))
+                        begin, held = nexts[q + j], False
+                if held or solid[s + n] == "1":
+                    units.append((a + begin, a + length, label))
+                elif begin:  # marks alone belong to what they follow
+                    units[-1] = (units[-1][0], a + length, label)
+                q, s, f = q + n, s + n + 1, f + 1
+            yield units
+
+
 def fit_events(events: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, steps: int = EM_STEPS) -> EventModel:
     """Expectation maximisation over the counted pairs; the driver gets frequent words and pairs only."""
     totals = {r.kind: r.n for r in events.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # four rows
@@ -416,22 +489,22 @@ def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str,
     return EventModel(left, {str(x): float(p) for x, p in zip(c_names, class_p, strict=True)}, start_all, follow_all, pair, odds)
 
 
-def sentence_units(labelled_messages: DataFrame, model: EventModel) -> DataFrame:
+def sentence_units(staged: DataFrame, model: EventModel) -> DataFrame:
     """``row_id, start_char, end_char`` of each unit; a map without shuffle."""
-    shared = labelled_messages.sparkSession.sparkContext.broadcast(model)
+    shared = staged.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, begins, ends = [], [], []
-            rows = batch.column("row_id").to_pylist()
-            for row, units in zip(rows, message_units(batch.column("message").to_pylist(), batch.column("labels").to_pylist(), shared.value), strict=True):
-                for s, e, _, _ in units:
+            for row, units in zip(batch.column("row_id").to_pylist(), staged_units(batch, shared.value), strict=True):
+                for s, e, _ in units:
                     ids.append(row), begins.append(s), ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, begins, ends)], names=["row_id", "start_char", "end_char"])
 
-    return labelled_messages.mapInArrow(run, "row_id bigint, start_char bigint, end_char bigint")
+    wanted = staged.filter("not is_count").select("row_id", "kinds", "low", "at", "size", "n_places", "ends", "nexts", "lefts", "rights", "tied", "solid")
+    return wanted.mapInArrow(run, "row_id bigint, start_char bigint, end_char bigint")
 
 
 def p3_found(samples: DataFrame) -> DataFrame:
-    messages = label_messages(samples, fitted(samples))
-    return sentence_units(messages, fit_events(count_events(messages)))
+    staged = stage_messages(samples, fitted(samples))
+    return sentence_units(staged, fit_events(count_events(staged)))
