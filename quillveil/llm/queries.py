@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.llm import encode, langid, packing, readability, replies, sentences
+from quillveil.llm import encode, langid, mojibake, packing, readability, replies, sentences
 from quillveil.runtime import table
 
 
@@ -40,8 +40,13 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.p5_languages(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "lang_samples"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.p4_found(table(spark, sf_dir, "sample_data"))
+
+
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_languages": p5_languages,
     "p6_found": p6_found,
