@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillveil.llm import encode, langid, mojibake, packing, readability, replies, sentences
+from quillveil.llm import encode, langid, mojibake, packing, pii, readability, replies, sentences
 from quillveil.runtime import table
 
 
@@ -44,7 +44,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.p4_found(table(spark, sf_dir, "sample_data"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.p2_found(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "gazetteer"))
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.p2_masked(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "gazetteer"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
