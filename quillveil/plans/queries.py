@@ -1,16 +1,312 @@
-"""The queries of the core library, by name. Each takes a session and a data directory and returns a DataFrame."""
+"""The queries of the core library, by name. Each takes a session and a data directory and returns a DataFrame.
+
+All run over whole tables and whole texts. Their SQL counterparts are in `oracles`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillveil.config import Settings
+from quillveil.functions import lang as L
+from quillveil.functions import text as X
+from quillveil.operators import dates as D
+from quillveil.operators import entities as E
+from quillveil.operators import metrics as M
+from quillveil.operators import review as R
 from quillveil.operators import timestamps
+from quillveil.plans import pipeline
+from quillveil.plans.oracles import SQL  # noqa: F401 - part of the contract
 from quillveil.runtime import table
+from quillveil.sources.tabular import map_columns
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _texts(spark: SparkSession, d: str, **columns: Callable[[Column], Column]) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", *[f(F.col("text")).alias(n) for n, f in columns.items()])
+
+
+@query
+def mask_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, pseudo_text=pipeline.mask_only)
+
+
+@query
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_data").filter("message is not null").select("row_id", X.clean_text("message").alias("cleaned"))
+
+
+@query
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, s=X.split_sentences).select("doc_id", F.posexplode("s").alias("sent_idx", "sentence"))
+
+
+@query
+def sentence_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return M.histogram(_texts(spark, d, s=X.split_sentences), F.size("s"), "n_sentences")
+
+
+@query
+def email_mask(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "email_records").select("record_id", X.mask_emails("content").alias("masked"))
+
+
+@query
+def email_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "email_records").select("record_id", F.posexplode(X.find_emails("content")).alias("idx", "email"))
+
+
+@query
+def sentences_after_email(spark: SparkSession, d: str) -> DataFrame:
+    sentences = F.transform(X.split_sentences(X.clean_text("content")), lambda s: X.mask_emails(s))
+    return table(spark, d, "email_records").select("record_id", F.posexplode(sentences).alias("sent_idx", "sentence"))
+
+
+@query
+def number_mask(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, masked=X.mask_numbers)
+
+
+@query
+def number_mask_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, masked=X.mask_numbers_except_numeric_dates)
+
+
+@query
+def number_mask_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The dates are found first and spared as phrases; the same rows as `number_mask_dates` where no date is glued to digits."""
+    return _texts(spark, d, masked=lambda t: X.mask_numbers_except(t, X.find_numeric_dates(t)))
+
+
+@query
+def date_find(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, x=X.find_numeric_dates).select("doc_id", F.posexplode("x").alias("idx", "found"))
+
+
+@query
+def dates_strict(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_data").select("row_id", F.posexplode(D.detect_dates("message")).alias("idx", "phrase"))
+
+
+@query
+def dates_any(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_data").select("row_id", F.posexplode(D.detect_dates("message", "non-strict")).alias("idx", "phrase"))
+
+
+@query
+def strip_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, stripped=X.strip_punctuation, only_punct=X.only_punctuation)
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_data").filter("message is not null").select("row_id", F.posexplode(F.split("message", "\n")).alias("line_no", "line"))
+
+
+@query
+def only_numbers_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("row_id", "line_no", X.only_numbers("line").alias("flag"))
+
+
+@query
+def only_emails_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("row_id", "line_no", X.only_emails("line").alias("flag"))
+
+
+@query
+def link_flags(spark: SparkSession, d: str) -> DataFrame:
+    words = F.explode(F.split("message", r"\s+"))
+    return table(spark, d, "sample_data").select("row_id", words.alias("word")).filter(F.contains("word", F.lit("://"))).select("row_id", "word", X.only_links("word").alias("flag")).groupBy("row_id", "word", "flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def lang_guard(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("row_id", "line_no", X.detectable("line").alias("flag"))
+
+
+@query
+def lang_stopword(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, x=L.stopword_language).select("doc_id", F.col("x.lang").alias("lang"), F.round("x.prob", 6).alias("prob"))
+
+
+@query
+def lang_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one label over each sender's messages in the order of their ids, the sender without a name apart."""
+    rows = table(spark, d, "sample_data").select(F.coalesce("sender", F.lit("")).alias("sender"), "row_id", "language")
+    return L.language_runs(rows, "sender", "row_id", "language").withColumnsRenamed({"begin": "begin_id", "end": "end_id"})
+
+
+@query
+def model_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", L.model_language("lang").alias("model_lang"))
+
+
+@query
+def field_skip(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sample_data")
+    return rows.select("row_id", X.is_usable("subject").alias("subject_used"), X.is_usable("message").alias("message_used"))
+
+
+@query
+def csv_mapping(spark: SparkSession, d: str) -> DataFrame:
+    mapped = map_columns(table(spark, d, "sample_data"), ["message", "sent_on", "subject", "row_id", "nothing"], ["content", "date", "title"], "unmatched")
+    return mapped.select("content", "date", "title", "row_id")
+
+
+@query
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "email_records").select("record_id", X.html_to_text("content").alias("bare"))
+
+
+@query
+def gazetteer_ner(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "email_records").select("record_id", F.explode(F.split("content", r"[^\p{L}'’\-]+")).alias("token")).filter("token <> ''")
+    found = E.gazetteer_matches(tokens, table(spark, d, "gazetteer"))
+    return found.groupBy("record_id", "token", "entity_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities without exact repeats, numbered in order within their record."""
+    return table(spark, d, "entity_list").distinct()
+
+
+@query
+def ne_by_sentence(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ent_idx", "start_char", "word", "entity_group"))), lambda e: F.concat(e["word"], F.lit("/"), e["entity_group"])), ";")
+    return _entities(spark, d).groupBy("record_id", "field_name", "sent_idx").agg(words.alias("entities"), F.count(F.lit(1)).alias("n"))
+
+
+def _pools(spark: SparkSession, d: str) -> dict[str, list[str]]:
+    pools: dict[str, list[str]] = {}
+    for r in table(spark, d, "pseudo_pool").orderBy("lang", "pool_pos").limit(10_000).collect():  # a fixed table of few rows
+        pools.setdefault(r.lang, []).append(r.given_name)
+    return pools
+
+
+@query
+def pseudonym_assign(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-ins of all entities of a record, in order, from the French pool."""
+    pool = _pools(spark, d)["fr"]
+    one = F.struct("sent_idx", "ent_idx", "start_char", "word", "entity_group")
+    records = _entities(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(one)).alias("ents"))
+    chosen = E.choose_pseudonyms("ents", F.array(*map(F.lit, pool)))
+    return records.select("record_id", F.posexplode(chosen).alias("idx", "c")).select("record_id", "idx", F.col("c.w").alias("word"), F.col("c.p").alias("pseudonym"))
+
+
+@query
+def pool_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    pools = _pools(spark, d)
+    people = _entities(spark, d).filter("entity_group = 'PER'").crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in pools], "pool_lang string")))  # one row a pool
+    seen = E.first_seen(people.select("pool_lang", "word", "record_id", "sent_idx"), pools, ["record_id", "sent_idx"])
+    return seen.select("pool_lang", "name", F.col("seen.record_id").alias("record_id"), F.col("seen.sent_idx").alias("sent_idx"))
+
+
+@query
+def highlight_html(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's first person that its content holds, highlighted."""
+    people = _entities(spark, d).filter("entity_group = 'PER'").groupBy("record_id").agg(F.min_by("word", F.struct("sent_idx", "ent_idx", "start_char", "word")).alias("word"))
+    rows = table(spark, d, "email_records").join(people, "record_id").withColumn("at", R.nth_occurrence(F.col("content"), F.col("word"), 1)).filter("at is not null")
+    one = F.array(F.struct("word", F.col("at").alias("start"), (F.col("at") + F.length("word")).alias("end"), F.lit("PER").alias("entity_group")))
+    return rows.select("record_id", R.highlight("content", one, {"PER": "lightblue"}).alias("html"))
+
+
+@query
+def correction_apply(spark: SparkSession, d: str) -> DataFrame:
+    """People's edits, made up by rule: entities without a score go, MISC become PER."""
+    keys = ["record_id", "field_name", "sent_idx", "ent_idx", "start_char"]
+    all_of = _entities(spark, d).dropDuplicates(keys)
+    unique = all_of.select(*keys, "entity_group", "word", "end_char", "score").groupBy(*keys).agg(F.min(F.struct("word", "entity_group", "end_char", "score")).alias("x")).select(*keys, "x.*")
+    remove = unique.filter("score is null").select(*keys, F.lit("remove").alias("action"), "entity_group", "word", "end_char")
+    regroup = unique.filter("score is not null and entity_group = 'MISC'").select(*keys, F.lit("regroup").alias("action"), F.lit("PER").alias("entity_group"), "word", "end_char")
+    fixed = R.apply_corrections(unique, remove.unionByName(regroup), keys)
+    return fixed.groupBy("record_id", "entity_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mask_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Placeholders for mail addresses in the masked text against those for everything with an @."""
+    rows = table(spark, d, "sample_data").filter("message is not null")
+    counts = rows.select(M.mask_counts(X.mask_emails("message"), F.regexp_replace("message", r"[^ \n\r<>()]*@[^ \n\r<>()]*", "[email]"), "[email]").alias("c")).select("c.*")
+    return _rounded(M.scores(counts))
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "exact")])
+
+
+@query
+def entity_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Persons that the gazetteer finds as words against those of the entity list."""
+    listed = _entities(spark, d).filter("entity_group = 'PER'").select("record_id", F.explode(F.split("word", r"[^\p{L}'’\-]+")).alias("token")).filter("token <> ''").groupBy("record_id").agg(F.collect_set("token").alias("gold"))
+    found = gazetteer_ner(spark, d).filter("entity_group = 'PER'").groupBy("record_id").agg(F.collect_set("token").alias("found"))
+    both = table(spark, d, "email_records").select("record_id").join(listed, "record_id", "left").join(found, "record_id", "left")
+    return _rounded(M.scores(both.select(M.set_counts("found", "gold").alias("c")).select("c.*")))
+
+
+@query
+def dedupe_join_union(spark: SparkSession, d: str) -> DataFrame:
+    """File names of both tables, once each, with the number of deliveries and the attachments that their record counts."""
+    samples, records = table(spark, d, "sample_data").select("file_name"), table(spark, d, "email_records").select("file_name", "attachment")
+    names = samples.unionByName(records.select("file_name")).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    return M.validated_join(names, records, ["file_name"])
+
+
+@query
+def bio_to_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of capitalised tokens as BIO tags, and the spans of them."""
+    tokens = F.filter(F.split("text", "[ \n]+"), lambda t: t != "")
+    capital = lambda t: t.rlike("^[A-Z]")
+    tags = F.transform(tokens, lambda t, k: F.when(~capital(t), "O").when((k > 0) & capital(F.get(tokens, k - 1)), "I-CAP").otherwise("B-CAP"))
+    spans = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(M.bio_spans(tags)).alias("s"))
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("s.last") - F.col("s.first") + 1).alias("n_tokens"))
+
+
+@query
+def token_offsets(spark: SparkSession, d: str) -> DataFrame:
+    tokens = F.filter(F.split("content", " "), lambda t: t != "")
+    rows = table(spark, d, "email_records").select("record_id", F.explode(M.token_offsets("content", tokens)).alias("t"))
+    return rows.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.sum("t.start").alias("starts"), F.max("t.end").alias("last_end"))
+
+
+@query
+def detokenized(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, joined=lambda t: X.detokenize(F.regexp_replace(t, r"([.,!?;:()])", " $1 ")))
+
+
+def _record_settings(spark: SparkSession, d: str, default_lang: str) -> Settings:
+    return Settings(default_lang=default_lang, pseudo_first_names=_pools(spark, d))
+
+
+@query
+def pseudonymize_records(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline over subjects and contents of the records, with languages told by stop words."""
+    settings = _record_settings(spark, d, "")
+    ner = E.gazetteer_backend(spark, table(spark, d, "gazetteer"))
+    rows = table(spark, d, "email_records").select("record_id", "subject", X.html_to_text("content").alias("content"))
+    # The French pool is long enough not to be used up; the others may shrink to nothing on real names.
+    pools = {"fr": settings.pseudo_first_names["fr"] + ["Inconnu"]}
+    out = pipeline.pseudonymize(rows, Settings(default_lang="", pseudo_first_names=pools), "record_id", ner)
+    return out.select("record_id", "pseudo_subject", "pseudo_content", F.to_json("lang").alias("lang"), F.to_json("ne_sent").alias("ne_sent"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.p1_found(spark, table(spark, d, "sample_data"), table(spark, d, "mailboxes"))
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.p1_found(spark, table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "mailboxes"))
+@query
+def p1_instants(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its instant as a timestamp, null where the text names none."""
+    rows = table(spark, d, "sample_data").select("row_id", "date")
+    found = p1_found(spark, d)
+    return rows.join(found, "row_id", "left").select("row_id", "date", F.timestamp_micros("utc_micros").alias("instant"))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
