@@ -26,7 +26,7 @@ def _emails(c: str) -> str:
     """RE2's word bounds know ASCII only, so they are spelled out; a second pass finds what shares a bound with the first."""
     w = r"[^\pL\pN_]"
     for _ in range(2):
-        c = rf"regexp_replace({c}, '(^|{w})[a-zA-Z0-9_][a-zA-Z0-9._%+-]*@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}($|{w})', '\1[email]\2', 'g')"
+        c = rf"regexp_replace({c}, '(?:(^|{w})[a-zA-Z0-9_]|([\pL\pN_])[.%+-])[a-zA-Z0-9._%+-]*@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}($|{w})', '\1\2[email]\3', 'g')"
     return c
 
 
@@ -53,7 +53,7 @@ def _scores(counts: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "mask_pipeline": rf"select doc_id, array_to_string(list_transform({_sentences(_clean('text'))}, lambda s: regexp_replace({_emails('s')}, '\p{{Nd}}+', '[number]', 'g')), ' ') as pseudo_text from documents where text is not null",
+    "mask_pipeline": rf"select doc_id, array_to_string(list_transform({_sentences(_clean('text'))}, lambda s: regexp_replace({_emails('s')}, '[\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨]+', '[number]', 'g')), ' ') as pseudo_text from documents where text is not null",
     "clean_text": f"select row_id, {_clean('message')} as cleaned from sample_data where message is not null",
     "sentence_split": f"select doc_id, (generate_subscripts(s, 1) - 1)::int as sent_idx, unnest(s) as sentence from (select doc_id, {_sentences('text')} as s from documents where text is not null)",
     "sentence_histogram": f"select len({_sentences('text')})::int as n_sentences, count(*) as n from documents where text is not null group by 1",
