@@ -84,6 +84,8 @@ SQL: dict[str, str] = {
         join (select *, string_split(word, ' ')[1] as token from {_ENTITIES} where entity_group = 'PER') on given_name in (token, lower(token), upper(token[1]) || lower(token[2:])) group by 1, 2""",
     "highlight_html": f"""select record_id, replace(replace(content[1:strpos(content, word) - 1], '<', '&lt;'), '>', '&gt;') || '<span style="background-color:lightblue">' || word || '</span>' ||
         replace(replace(content[strpos(content, word) + length(word):], '<', '&lt;'), '>', '&gt;') as html from email_records join (select record_id, arg_min(word, (sent_idx, ent_idx, start_char, word)) as word from {_ENTITIES} where entity_group = 'PER' group by 1) using (record_id) where contains(content, word)""",
+    "correction_apply": f"""select record_id, case when x.g = 'MISC' then 'PER' else x.g end as entity_group, count(*) as n from (
+        select record_id, min({{'w': word, 'g': entity_group, 'e': end_char, 's': coalesce(score, -1.0)}}) as x from {_ENTITIES} group by record_id, field_name, sent_idx, ent_idx, start_char) where x.s >= 0 group by all""",
     "mask_metrics": _scores(rf"select least(a, b) as tp, greatest(a - b, 0) as fp, greatest(b - a, 0) as fn from (select len(string_split({_emails('message')}, '[email]')) - 1 as a, len(string_split(regexp_replace(message, '[^ \n\r<>()]*@[^ \n\r<>()]*', '[email]', 'g'), '[email]')) - 1 as b from sample_data where message is not null)"),
     "entity_metrics": _scores(rf"""select len(list_intersect(f, g)) as tp, len(list_filter(f, lambda x: not list_contains(g, x))) as fp, len(list_filter(g, lambda x: not list_contains(f, x))) as fn from (
         select record_id, coalesce(f, []) as f, coalesce(g, []) as g from email_records left join (select record_id, list(distinct token) as f from {_FOUND} where entity_group = 'PER' group by 1) using (record_id)

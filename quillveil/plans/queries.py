@@ -222,10 +222,10 @@ def highlight_html(spark: SparkSession, d: str) -> DataFrame:
 def correction_apply(spark: SparkSession, d: str) -> DataFrame:
     """People's edits, made up by rule: entities without a score go, MISC become PER."""
     keys = ["record_id", "field_name", "sent_idx", "ent_idx", "start_char"]
-    all_of = _entities(spark, d).dropDuplicates(keys)
-    unique = all_of.select(*keys, "entity_group", "word", "end_char", "score").groupBy(*keys).agg(F.min(F.struct("word", "entity_group", "end_char", "score")).alias("x")).select(*keys, "x.*")
-    remove = unique.filter("score is null").select(*keys, F.lit("remove").alias("action"), "entity_group", "word", "end_char")
-    regroup = unique.filter("score is not null and entity_group = 'MISC'").select(*keys, F.lit("regroup").alias("action"), F.lit("PER").alias("entity_group"), "word", "end_char")
+    least = F.min(F.struct("word", "entity_group", "end_char", F.coalesce("score", F.lit(-1.0)).alias("score")))
+    unique = _entities(spark, d).groupBy(*keys).agg(least.alias("x")).select(*keys, "x.*")
+    remove = unique.filter("score < 0").select(*keys, F.lit("remove").alias("action"), "entity_group", "word", "end_char")
+    regroup = unique.filter("score >= 0 and entity_group = 'MISC'").select(*keys, F.lit("regroup").alias("action"), F.lit("PER").alias("entity_group"), "word", "end_char")
     fixed = R.apply_corrections(unique, remove.unionByName(regroup), keys)
     return fixed.groupBy("record_id", "entity_group").agg(F.count(F.lit(1)).alias("n"))
 
