@@ -7,6 +7,10 @@ maximum-scoring segments isolate improbable runs. Only fields with such a run ar
 the characters of the runs, and the one that removes most of the shortfall is applied, again and again for text that was
 garbled more than once.
 
+A large garbled source must not vouch for itself. Lines whose characters beyond ASCII are nearly all sequences of UTF-8 as
+one page shows them are left out of the counts. Where the pairs of one page come as pairs of another at one steady rate,
+the second ones are taken for its misread text, and their share is taken off their counts.
+
 Inverse mappings: UTF-8 read as one of several single-byte code pages (every sequence must decode strictly), one
 single-byte code page read as another, and East Asian double-byte text read as a single-byte code page. For the second
 kind each word is restored only if that makes it more probable, or if it stands between words that are restored.
@@ -40,6 +44,10 @@ STEP, LEAST = -0.05, 0.3
 #: Share of the shortfall that a mapping must remove, for pages mistaken for each other.
 GAIN = 0.55
 ROUNDS = 3
+#: Share of a line's characters beyond ASCII in sequences of UTF-8 from which it is left out of the counts.
+MISREAD = 0.75
+#: Least rate of misread to right pairs that is looked for, share of pairs that must keep it within a factor of 2, and least number of pairs to tell by.
+RATE, STEADY, TOLD_BY = 0.02, 0.55, 30
 
 SINGLE = ["cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_5", "iso8859_15", "cp1253", "cp1256", "cp874"]
 #: Pages in which mistaken single-byte text may have been written.
@@ -236,26 +244,25 @@ def restore(text: str, scores: PairScores, spans: list[tuple[int, int]]) -> str:
                         return _TOKEN.sub(decode, text)
                 except (UnicodeDecodeError, KeyError):
                     continue
-    if chosen:
-        done = text
-        for _ in range(depth):
-            done = from_utf8(done, chosen) or done
-        return done
-    if cost < 1.0:
-        return text
+    decoded = text
+    for _ in range(depth):
+        decoded = from_utf8(decoded, chosen) or decoded
+    if cost < 1.0 or (chosen and best <= (1 - GAIN) * cost):
+        return decoded
     # A letter by itself has too little context to tell a page by.
     words = sorted({w for w in words if len(w.strip(".,;:!?…()\"'«»")) > 1})
     if not words:
-        return text
+        return decoded
     own = np.array([scores.word_cost(w) for w in words])
     read = np.stack([scores.word_readings(w) for w in words])
     better = read < own[:, None] - 1.0
     gain = np.where(better, own[:, None] - read, 0).sum(0) - UNUSUAL
     left = np.where(better, read, 0).sum(0)
     k = int((gain - left).argmax())
-    if gain[k] >= 2.5 and left[k] <= (1 - GAIN) * (left[k] + gain[k]):
+    # A few sequences that are UTF-8 by accident don't stand against a page that explains more.
+    if gain[k] >= 2.5 and left[k] <= (1 - GAIN) * (left[k] + gain[k]) and (not chosen or (own.sum() - gain[k]) / own.sum() < best / cost):
         return by_words(text, table(*READINGS[k]), scores)
-    return text
+    return decoded
 
 
 def by_words(text: str, mapping: dict[int, str], scores: PairScores) -> str:
@@ -315,12 +322,75 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@lru_cache(maxsize=16)
+def _bytes_of(name: str) -> np.ndarray:
+    """Bytes beyond ASCII of a page by character, 0 for characters that it lacks."""
+    out = np.zeros(0x10000, np.uint8)
+    for c, b in page(name)[0].items():
+        out[ord(c)] = b
+    return out
+
+
+def misread(codes: np.ndarray) -> np.ndarray:
+    """Whether each character stands in a line that is UTF-8 as one page shows it."""
+    line = np.cumsum(codes == 10)
+    at = np.flatnonzero(codes > 127)
+    if not len(at):
+        return np.zeros(len(codes), bool)
+    chars, whose = np.minimum(codes[at], 0xFFFF), line[at]
+    near = np.diff(at, append=-1) == 1
+    wide = np.bincount(whose, minlength=line[-1] + 1)
+    out = np.zeros(len(wide), bool)
+    for name in SINGLE:
+        b = _bytes_of(name)[chars]
+        follow = (b >= 0x80) & (b <= 0xBF)
+        runs = [follow]  # whether 0, 1, 2, 3 following bytes come next
+        for _ in range(3):
+            runs.append(near & np.append((runs[-1] & follow if len(runs) > 1 else follow)[1:], False))
+        size = 2 * ((b >= 0xC2) & (b <= 0xDF) & runs[1]) + 3 * ((b >= 0xE0) & (b <= 0xEF) & runs[2]) + 4 * ((b >= 0xF0) & (b <= 0xF4) & runs[3])
+        out |= np.bincount(whose, size, len(wide)) >= MISREAD * np.maximum(wide, 1)
+    return out[line]
+
+
+def without_misread(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of pairs less those that another page's misread pairs explain."""
+    keys = (x.astype(np.int64) << 21) | y
+    order = np.argsort(keys)
+    keys, left = keys[order], n[order].astype(float)
+    given, x, y = left.copy(), x[order], y[order]
+    for shown, was in READINGS:
+        to = np.arange(0x10000)
+        to[0x80:] = -1
+        for c, b in page(was)[0].items():
+            to[ord(c)] = ord(page(shown)[1][b])
+        right = np.flatnonzero((x < 0x10000) & (y < 0x10000))
+        a, b = to[x[right]], to[y[right]]
+        whole = (a >= 0) & (b >= 0) & ((a != x[right]) | (b != y[right]))
+        right, key = right[whole], (a[whole].astype(np.int64) << 21) | b[whole]
+        if len(right) < TOLD_BY:
+            continue
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        rate = np.where(keys[place] == key, given[place], 0) / given[right]
+        by = np.argsort(rate)
+        weight = given[right][by].cumsum()
+        # The garbled pairs may be of the right page themselves, at no rate; so the middle may lie above the median.
+        found = [(given[right][(rate > m / 2) & (rate < m * 2)].sum(), m) for m in rate[by][np.searchsorted(weight, weight[-1] * np.array([0.5, 0.65, 0.8]))]]
+        share, middle = max(found)
+        if RATE <= middle < 1 and share >= STEADY * weight[-1]:
+            hit = keys[place] == key
+            np.subtract.at(left, place[hit], 1.5 * middle * given[right][hit])
+    out = np.empty(len(left))
+    out[order] = np.maximum(left, 0)
+    return out
+
+
 def count_pairs(fields: DataFrame, columns: list[str]) -> DataFrame:
-    """``x, y, n``: counts of adjacent characters of which one is beyond ASCII (y -1: of single characters, all of them)."""
+    """``x, y, n``: counts of adjacent characters of which one is beyond ASCII (y -1: of single characters, all of them), without lines of misread UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = _codes([t for c in columns for t in batch.column(c).to_pylist() if t])
+            codes = codes[~misread(codes)]
             x, y = codes[:-1], codes[1:]
             wide = (x > 127) | (y > 127)
             keys, n = np.unique((x[wide].astype(np.int64) << 21) | y[wide], return_counts=True)
@@ -344,6 +414,8 @@ def fit_pairs(counts: DataFrame, share: float = PAIR_SHARE) -> PairScores:
     if not len(pairs) or not chars:
         return PairScores(np.zeros(0, np.int64), np.zeros(0), FLOOR)
     x, y, n = (pairs[c].to_numpy() for c in ("x", "y", "n"))
+    n = without_misread(x, y, n)
+    x, y, n = x[n > 0], y[n > 0], n[n > 0]
     px, py, p = np.array([singles[k] for k in x]) / chars, np.array([singles[k] for k in y]) / chars, n / chars
     part = p * np.log(np.maximum(p / (px * py), 1.05))
     keys = (x.astype(np.int64) << 21) | y

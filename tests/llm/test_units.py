@@ -134,6 +134,21 @@ def test_garbled_text_comes_back(shown, was):
     assert G.examine("caf�", scores) == G.LOST and G.examine("plain", scores) is None
 
 
+@pytest.mark.parametrize(("shown", "was"), [("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "cp1252"), ("koi8_r", "cp1251")])
+def test_a_third_of_the_rows_garbled_alike(spark, shown, was):
+    rng, made = random.Random(3), []
+    words = [w for t in CLEAN[:5] for w in t.split()]
+    for _ in range(3000):
+        made.append(" ".join(rng.choices([w for w in words if (w > "\u0400") == (was == "cp1251")], k=12)))
+    chars = {c: b for b, c in enumerate(G.page(was)[1])} if was != "utf-8" else {}
+    read = lambda t: "".join(G.page(shown)[1][b] for b in (bytes(chars[c] for c in t) if chars else t.encode()))
+    rows = [(k, read(t) if k % 3 == 0 else t) for k, t in enumerate(made)]
+    wrong = {k for k, t in rows if t != made[k]}
+    assert len(wrong) > 900
+    found = {r.row_id: r.restored for r in G.restore_fields(spark.createDataFrame(rows, "row_id bigint, message string"), ["message"]).collect()}
+    assert found.keys() == wrong and all(found[k] == made[k] for k in wrong)
+
+
 def test_logical_lines_and_quotes():
     text = "a \nb\r\n> q \n> r\n\n-- \nx"
     assert [n for _, _, n in A.logical_lines(text)] == [[0, 1], [2, 3], [4], [5], [6]]
