@@ -7,6 +7,7 @@ equal pseudonyms without any shuffle; the shrinking pool is one small aggregatio
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,11 @@ def gazetteer_backend(spark: SparkSession, gazetteer: DataFrame, max_rows: int =
     return recognise
 
 
+def _in_word(c: str) -> bool:
+    """Whether a character continues a word; vowel signs do."""
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
 def _entities(sentences, automaton) -> list[dict] | None:  # noqa: ANN001
     if sentences is None:
         return None
@@ -58,7 +64,7 @@ def _entities(sentences, automaton) -> list[dict] | None:  # noqa: ANN001
         hits = sorted(((end - len(word) + 1, end + 1, word, group) for end, (word, group) in automaton.iter(s)), key=lambda h: (h[0], -h[1]))
         last = 0
         for a, b, word, group in hits:
-            if a < last or (a and s[a - 1].isalnum()) or (b < len(s) and s[b].isalnum()):
+            if a < last or (a and _in_word(s[a - 1])) or (b < len(s) and _in_word(s[b])):
                 continue
             out.append({"entity_group": group, "word": word, "start": a, "end": b, "score": 1.0, "sent_idx": k})
             last = b

@@ -173,6 +173,14 @@ def gazetteer_ner(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("record_id", "token", "entity_group").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def gazetteer_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All entries of the gazetteer in the contents, those of several words too, with their places; the longest entry wins."""
+    ner = E.gazetteer_backend(spark, table(spark, d, "gazetteer"))
+    found = table(spark, d, "email_records").select("record_id", F.explode(ner(F.array("content"))).alias("e"))
+    return found.select("record_id", F.col("e.start").alias("start_char"), F.col("e.end").alias("end_char"), F.col("e.word").alias("word"), F.col("e.entity_group").alias("entity_group"))
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities without exact repeats, numbered in order within their record."""
     return table(spark, d, "entity_list").distinct()

@@ -117,3 +117,12 @@ def test_one_partition_or_many(spark, ner):
     pools = {"es": ["Angel", "Ana", "Eva", "Lia", "Noa"]}
     texts = [sorted(map(tuple, pseudonymize(x, Settings(pseudo_first_names=pools, default_lang="es"), "row_id", ner).select("row_id", "pseudo_content").collect())) for x in (df.coalesce(1), df.repartition(4))]
     assert texts[0] == texts[1]
+
+
+def test_entries_of_several_words(spark, tmp_path):
+    from quillveil.plans.queries import gazetteer_spans
+
+    spark.createDataFrame([(1, "Anna von São João da Pesqueira, São João."), (2, "मीरा और मीराबाई"), (3, None)], "record_id bigint, content string").write.parquet(f"{tmp_path}/email_records.parquet")
+    spark.createDataFrame([("São João", "LOC"), ("São João da Pesqueira", "LOC"), ("Anna", "PER"), ("मीर", "PER"), ("मीरा", "PER")], "word string, entity_group string").write.parquet(f"{tmp_path}/gazetteer.parquet")
+    found = sorted(tuple(r) for r in gazetteer_spans(spark, str(tmp_path)).collect())
+    assert found == [(1, 0, 4, "Anna", "PER"), (1, 9, 30, "São João da Pesqueira", "LOC"), (1, 32, 40, "São João", "LOC"), (2, 0, 4, "मीरा", "PER")]
