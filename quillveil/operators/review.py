@@ -68,3 +68,40 @@ def highlight_record(sentences: Column | str, entities: Column | str, colors: di
     s = F.col(sentences) if isinstance(sentences, str) else sentences
     e = F.col(entities) if isinstance(entities, str) else entities
     return F.array_join(F.transform(s, lambda t, k: highlight(t, F.filter(e, lambda x: x["sent_idx"] == k), colors)), "<br>")
+
+
+def place_entities(sentences: Column | str, entities: Column | str) -> Column:
+    """``struct<sentences, entities, unplaced>``: entities numbered by other sentences than these, placed in these.
+
+    ``entities`` are ``struct<sent_idx, start, word, entity_group>``. Each of their sentences begins where one of the given
+    ones does, in order: at the first place, from that number on, where all its words stand. Given sentences are joined where
+    a word lies across their bound. ``unplaced`` counts the entities of sentences without such a place.
+    """
+    s = F.col(sentences) if isinstance(sentences, str) else sentences
+    e = F.col(entities) if isinstance(entities, str) else entities
+    text = F.array_join(s, " ")
+    starts = F.slice(F.aggregate(s, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t) + 1))), 1, F.size(s))
+    span = "array<struct<word:string,start:int,end:int,entity_group:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+
+    def step(acc: Column, k: Column) -> Column:
+        own = F.filter(e, lambda x: x["sent_idx"] == k)
+        fits = F.filter(F.slice(starts, k + 1, F.size(s)), lambda b: (b >= acc["at"]) & F.forall(own, lambda x: F.substring(text, b + x["start"] + 1, F.length(x["word"])) == x["word"]))
+        at = F.get(fits, F.lit(0))
+        made = F.transform(own, lambda x: F.struct(x["word"].alias("word"), (at + x["start"]).cast("int").alias("start"), (at + x["start"] + F.length(x["word"])).cast("int").alias("end"), x["entity_group"].alias("entity_group")))
+        return F.when(at.isNull(), acc).otherwise(F.struct((at + 1).cast("int").alias("at"), F.concat(acc["out"], F.array_sort(made, lambda a, b: a["start"] - b["start"])).cast(span).alias("out")))
+
+    numbers = F.array_sort(F.array_distinct(F.transform(e, lambda x: x["sent_idx"])))
+
+    def cut(found: Column) -> Column:
+        bounds = F.filter(starts, lambda b: ~F.exists(found, lambda x: (x["start"] < b) & (b < x["end"])))
+        parts = F.transform(bounds, lambda b, i: F.substring(text, b + 1, F.coalesce(F.get(bounds, i + 1) - 1, F.length(text)) - b))
+
+        def own(x: Column) -> Column:
+            k = F.size(F.filter(bounds, lambda b: b <= x["start"])) - 1
+            b = F.get(bounds, k)
+            return F.struct(x["word"].alias("word"), (x["start"] - b).alias("start"), (x["end"] - b).alias("end"), x["entity_group"].alias("entity_group"), k.alias("sent_idx"))
+
+        return F.struct(parts.alias("sentences"), F.transform(found, own).alias("entities"), (F.size(e) - F.size(found)).alias("unplaced"))
+
+    return F.aggregate(numbers, zero, step, lambda acc: cut(acc["out"]))

@@ -226,6 +226,18 @@ def highlight_html(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", R.highlight("content", one, {"PER": "lightblue"}).alias("html"))
 
 
+@query
+def highlight_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's sentences with all its listed entities highlighted, and the number of those whose place isn't there."""
+    one = F.struct("sent_idx", F.col("start_char").alias("start"), "word", "entity_group")
+    listed = _entities(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(one)).alias("ents"))
+    rows = table(spark, d, "email_records").select("record_id", F.transform(X.split_sentences(X.html_to_text("content")), lambda t: X.mask_emails(t)).alias("s")).join(listed, "record_id", "left")
+    none = F.array().cast("array<struct<sent_idx:int,start:int,word:string,entity_group:string>>")
+    placed = rows.select("record_id", R.place_entities("s", F.coalesce("ents", none)).alias("p"))
+    colors = {"PER": "lightblue", "LOC": "lightgreen", "ORG": "orange", "MISC": "plum"}
+    return placed.select("record_id", R.highlight_record("p.sentences", "p.entities", colors).alias("html"), F.col("p.unplaced").alias("unplaced"))
+
+
 @query
 def correction_apply(spark: SparkSession, d: str) -> DataFrame:
     """People's edits, made up by rule: entities without a score go, MISC become PER."""

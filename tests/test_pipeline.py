@@ -126,3 +126,14 @@ def test_entries_of_several_words(spark, tmp_path):
     spark.createDataFrame([("São João", "LOC"), ("São João da Pesqueira", "LOC"), ("Anna", "PER"), ("मीर", "PER"), ("मीरा", "PER")], "word string, entity_group string").write.parquet(f"{tmp_path}/gazetteer.parquet")
     found = sorted(tuple(r) for r in gazetteer_spans(spark, str(tmp_path)).collect())
     assert found == [(1, 0, 4, "Anna", "PER"), (1, 9, 30, "São João da Pesqueira", "LOC"), (1, 32, 40, "São João", "LOC"), (2, 0, 4, "मीरा", "PER")]
+
+
+def test_all_entities_of_all_records_highlighted(spark, tmp_path):
+    from quillveil.plans.queries import highlight_records
+
+    spark.createDataFrame([(1, "Mail a@b.de to F. H. Bo. Al of Rom, says Al."), (2, "<p>Nobody. Here</p>"), (3, "Bo")], "record_id bigint, content string").write.parquet(f"{tmp_path}/email_records.parquet")
+    ents = [(1, 0, 0, "PER", "F. H. Bo", 16), (1, 1, 0, "PER", "Al", 0), (1, 1, 1, "LOC", "Rom", 6), (1, 1, 2, "PER", "Al", 16), (3, 0, 0, "PER", "Al", 0)]
+    spark.createDataFrame(ents + ents[:1], "record_id bigint, sent_idx int, ent_idx int, entity_group string, word string, start_char int").write.parquet(f"{tmp_path}/entity_list.parquet")
+    mark = lambda w, c="lightblue": f'<span style="background-color:{c}">{w}</span>'
+    rows = {r.record_id: (r.html, r.unplaced) for r in highlight_records(spark, str(tmp_path)).collect()}
+    assert rows == {1: (f"Mail [email] to {mark('F. H. Bo')}.<br>{mark('Al')} of {mark('Rom', 'lightgreen')}, says {mark('Al')}.", 0), 2: ("Nobody.<br>Here", 0), 3: ("Bo", 1)}
