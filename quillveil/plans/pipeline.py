@@ -47,10 +47,10 @@ def _unnumbered(sentences: Column, dates: Column) -> Column:
     return F.transform(sentences, lambda s: X.mask_numbers_except(s, dates))
 
 
-def pseudonymize(df: DataFrame, settings: Settings, row_id: str = "row_id", ner: Backend | None = None, languages: str = "stopwords", patterns: DatePatterns | None = None) -> DataFrame:
+def pseudonymize(df: DataFrame, settings: Settings, row_id: str = "row_id", ner: Backend | None = None, languages: str = "stopwords", patterns: DatePatterns | None = None, used_up: str | None = None) -> DataFrame:
     """Records with ``cleaned_*``, ``lang``, ``detected_datetime``, ``sentences``, ``sentences_after_email``, ``ne_list``,
     ``ne_sent`` and ``pseudo_*``. ``row_id``, a whole number, orders the records. Null, empty and unmatched fields stay out of the maps.
-    An entity for which the pool has shrunk to nothing is an error."""
+    An entity for which the pool has shrunk to nothing is an error, or gets ``used_up`` if that is given."""
     fields, pools = list(settings.pseudo_fields), settings.pseudo_first_names
     df = prepared(df, settings, ner, languages, patterns)
     use_ne = ner is not None and settings.pseudo_ne
@@ -69,7 +69,7 @@ def pseudonymize(df: DataFrame, settings: Settings, row_id: str = "row_id", ner:
             order = F.struct(F.col(row_id).cast("bigint"), F.lit(k).cast("bigint"))
             pool = E.shrunken_pool(E.pool_for(f"_lang{k}", pools), E.pool_language(f"_lang{k}", pools), seen, order)
             empty = (F.size(f"_ents{k}") > 0) & (F.size(pool) == 0)
-            df = df.withColumn(f"_pool{k}", F.when(empty, F.raise_error(F.lit("the pool of pseudonyms is used up"))).otherwise(pool))
+            df = df.withColumn(f"_pool{k}", F.when(empty, F.raise_error(F.lit("the pool of pseudonyms is used up")) if used_up is None else F.array(F.lit(used_up))).otherwise(pool))
             df = df.withColumn(f"_chosen{k}", E.choose_pseudonyms(f"_ents{k}", f"_pool{k}", history))
             given = F.zip_with(f"_ents{k}", f"_chosen{k}", lambda e, c: F.struct(e["entity_group"].alias("entity_group"), e["word"].alias("word"), e["start"].alias("start"), e["end"].alias("end"), e["sent_idx"].alias("sent_idx"), c["p"].alias("pseudonym")))
             df = df.withColumn(f"_given{k}", given)

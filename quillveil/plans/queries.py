@@ -311,9 +311,8 @@ def pseudonymize_records(spark: SparkSession, d: str) -> DataFrame:
     settings = _record_settings(spark, d, "")
     ner = E.gazetteer_backend(spark, table(spark, d, "gazetteer"))
     rows = table(spark, d, "email_records").select("record_id", "subject", X.html_to_text("content").alias("content"))
-    # The French pool is long enough not to be used up; the others may shrink to nothing on real names.
-    pools = {"fr": settings.pseudo_first_names["fr"] + ["Inconnu"]}
-    out = pipeline.pseudonymize(rows, Settings(default_lang="", pseudo_first_names=pools), "record_id", ner)
+    # Small pools may shrink to nothing on real names; what is left then has one stand-in.
+    out = pipeline.pseudonymize(rows, settings, "record_id", ner, used_up="Inconnu")
     return out.select("record_id", "pseudo_subject", "pseudo_content", F.to_json("lang").alias("lang"), F.to_json("ne_sent").alias("ne_sent"))
 
 

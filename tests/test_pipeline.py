@@ -137,3 +137,10 @@ def test_all_entities_of_all_records_highlighted(spark, tmp_path):
     mark = lambda w, c="lightblue": f'<span style="background-color:{c}">{w}</span>'
     rows = {r.record_id: (r.html, r.unplaced) for r in highlight_records(spark, str(tmp_path)).collect()}
     assert rows == {1: (f"Mail [email] to {mark('F. H. Bo')}.<br>{mark('Al')} of {mark('Rom', 'lightgreen')}, says {mark('Al')}.", 0), 2: ("Nobody.<br>Here", 0), 3: ("Bo", 1)}
+
+
+def test_used_up_pools_have_a_stand_in(spark, ner):
+    df = spark.createDataFrame([(1, "", "the meeting with Alice and Tony is for you"), (2, "", "le livre de Alice est dans la maison pour vous")], "row_id bigint, subject string, content string")
+    settings = Settings(default_lang="", pseudo_first_names={"en": ["Alice"], "fr": ["Camille"]})
+    out = {r.row_id: r.pseudo_content for r in pseudonymize(df, settings, "row_id", ner, used_up="Inconnu").collect()}
+    assert out == {1: "the meeting with Inconnu and Inconnu is for you", 2: "le livre de Camille est dans la maison pour vous"}
