@@ -33,6 +33,8 @@ from quillveil.runtime import written
 KINDS = ["email", "identity", "address", "phone", "name"]
 NAME_SHARE = 2e-5
 KEY = b"quillveil"
+#: Entries of the given list of names that may be collected; its size is checked.
+LISTED = 200_000
 
 _S = r"[ \xa0]{1,6}"
 _UP = "A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ"
@@ -102,7 +104,9 @@ _INITIALS = re.compile(rf"(?<![\w.])(?:[{_UP}]\.(?:-[{_UP}]\.)?[ \xa0]{{0,4}}){{
 _TITLE = re.compile(
     rf"(?<![\w\-])(?:Mrs?\.|Ms\.|Miss|Dr\.|Prof\.(?:ª|ssa)?|prof\.(?:ª)?|Sr\.|Sra\.|Srta\.|Dra\.|Sig\.(?:ra)?|Dott\.(?:ssa)?|avv\.|Hr\.|Fr\.|Herrn?|Frau|M\.|Mme|Mlle|Monsieur|Madame|Exmo\.[ ]Sr\.|г-н|г-жа|д-р|проф\.){_S}(?=[{_UP}])"
 )
-_PERSON_MAIL = re.compile(r"(?:^|(?<=\W))((?:[^\W\d_][\w'’.\-]*[ \xa0]+){0,3}[^\W\d_][\w'’.\-]*)[ \xa0]{0,6}\(?$")
+#: Vowel signs and tone marks, which Python takes for no part of a word.
+_MARKS = "ऀ-ःऺ-ॏ॑-ॗॢॣัิ-ฺ็-๎"
+_PERSON_MAIL = re.compile(rf"(?:^|(?<=[^\w{_MARKS}]))((?:[^\W\d_][\w{_MARKS}'’.\-]*[ \xa0]+){{0,3}}[^\W\d_][\w{_MARKS}'’.\-]*)[ \xa0]{{0,6}}\(?$")
 _PERSON_TO = re.compile(r"(?m)^[>| ]*\*?(?:To|Para|À|Ã€|An|A|Pour|Кому|Cc)[ \xa0]?:\*?[ ]+([^\n<@:]{2,50}?)\r?$")
 _STOP = frozenset("mr mrs ms dr prof sr sra srta dra sig dott avv hr fr herr frau monsieur madame mme mlle on le la am el em a den the von an de um re fwd à um schrieb wrote hello hi dear lundi".split())
 _OTHER = re.compile("[぀-ヿ㐀-鿿฀-๿؀-ۿऀ-ॿ]")
@@ -253,9 +257,15 @@ def _names(text: str, lexicon: Lexicon, taken: list[tuple[int, int, str]]) -> li
                     a = before
             out.append([a, b])
     if lexicon.other is not None and _OTHER.search(text):
-        for m in lexicon.other.finditer(text):
-            if all(m.end() <= s or m.start() >= e for s, e in busy):
-                out.append([m.start(), m.end()])
+        out += [[m.start(), m.end()] for m in lexicon.other.finditer(text) if all(m.end() <= s or m.start() >= e for s, e in busy)]
+    if others := {w for n in persons(text) for w in name_words(n) if len(w) > 1 and _OTHER.match(w)}:
+        # The message's own names in scripts without capitals; one that touches a known name makes it longer.
+        for m in Lexicon(set(), others).other.finditer(text):
+            a, b = m.span()
+            if not all(b <= s or a >= e for s, e in busy):
+                continue
+            near = [x for x in out if (x[0] <= b and a <= x[1]) or text[x[1] : a] == " " or text[b : x[0]] == " "]
+            out = [x for x in out if x not in near] + [[min([a, *(x[0] for x in near)]), max([b, *(x[1] for x in near)])]]
     return [(a, b, "name") for a, b in out]
 
 
@@ -281,7 +291,9 @@ def corpus_names(samples: DataFrame, share: float = NAME_SHARE) -> Counter:
 def fit_lexicon(samples: DataFrame, gazetteer: DataFrame) -> Lexicon:
     words: set[str] = set()
     others: set[str] = set()
-    listed = [r.word for r in gazetteer.filter("entity_group = 'PER'").select("word").dropna().distinct().limit(200_000).collect()]
+    listed = [r.word for r in gazetteer.filter("entity_group = 'PER'").select("word").dropna().distinct().limit(LISTED + 1).collect()]
+    if len(listed) > LISTED:
+        raise ValueError(f"the list of names has more than {LISTED} entries")
     for w in listed:
         if _OTHER.match(w):
             others.update([w, *w.split()])
@@ -363,11 +375,11 @@ def pseudonym_date(day: date, key: bytes = KEY, back: bool = False) -> date:
 
 
 def placeholder(kind: str, text: str, key: bytes = KEY) -> str:
-    """``[phone 553-118-904]`` for numbers, ``[name 3f9c01]`` for the rest; equal values (but for case and spaces) alike."""
+    """``[phone 553-118-904]`` for numbers, ``[name 3f9c01d27a40be15]`` for the rest; equal values (but for case and spaces) alike."""
     if kind in ("phone", "identity"):
         return f"[{kind} {pseudonym_number(' '.join(text.split()), key)}]"
     plain = " ".join(text.casefold().split()).encode()
-    return f"[{kind} {hashlib.blake2b(plain, key=key, digest_size=3).hexdigest()}]"
+    return f"[{kind} {hashlib.blake2b(plain, key=key, digest_size=8).hexdigest()}]"
 
 
 def mask(message: str | None, lexicon: Lexicon, key: bytes = KEY) -> str | None:

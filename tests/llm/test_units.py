@@ -97,6 +97,20 @@ def test_masking():
     assert P.mask(None, LEX) is None and P.mask("", LEX) == ""
 
 
+@pytest.mark.parametrize(("name", "word"), [("यवनिका बेलगिरी", "बेलगिरी"), ("สมหญิง ภูผาทอง", "ภูผาทอง")])
+def test_own_names_with_vowel_signs(name, word):
+    text = f"{word}\n{name} <a@b.example>\n"
+    assert P.persons(text) == [name]
+    assert [text[a:b] for k, a, b in P.find_mentions(text, P.Lexicon(set(), set())) if k == "name"] == [word, name]
+
+
+def test_codes_and_limits(spark, monkeypatch):
+    assert len({P.placeholder("name", f"Name {k}") for k in range(40_000)}) == 40_000
+    monkeypatch.setattr(P, "LISTED", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        P.fit_lexicon(None, spark.createDataFrame([("A", "PER"), ("B", "PER")], "word string, entity_group string"))
+
+
 def test_segments_match_brute_force():
     rng = random.Random(5)
     for _ in range(50):
