@@ -49,6 +49,9 @@ WROTE_WORDS = r"""wrote|crit|escribi|escreve|schrieb|ha scritto|написал|
 _SENTENCE_END = re.compile(r"[.!?…。！？।؟]['\"»”’)\]]*\s*(?:[:;]-?[)(DP]|[\U0001F300-\U0001FAFF☀-➿]️?)?$")
 _DATE = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b(?:19|20)\d{2}\b")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+#: First two letters of what may greet or close: most lines are told apart by them.
+_GREETING_HEADS, _CLOSING_HEADS = (frozenset(w[:2] for w in x.split("|")) for x in (GREETING, CLOSING))
 
 
 def logical_lines(message: str) -> list[tuple[int, int, list[int]]]:
@@ -81,18 +84,17 @@ def logical_lines(message: str) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-_BASIC: dict[str, tuple[list[str], int]] = {}
+_FLAGS: dict[str, int] = {}
 
 
-def cues(t: str) -> tuple[list[str], int]:
-    """Features of a stripped line by itself, and its flags; kept for lines that come again."""
-    got = _BASIC.get(t)
+def flags_of(t: str) -> int:
+    """Flags of a stripped line by itself; kept for lines that come again."""
+    got = _FLAGS.get(t)
     if got is None:
-        got = _cues(t)
-        if len(_BASIC) > 200_000:
-            _BASIC.clear()
-        if len(t) <= 80:
-            _BASIC[t] = got
+        got = _cues(t)[1]
+        if len(_FLAGS) > 200_000:
+            _FLAGS.clear()
+        _FLAGS[t] = got
     return got
 
 
@@ -131,19 +133,19 @@ def _cues(t: str) -> tuple[list[str], int]:
         return _long_cues(t, n)
     low = t.lower()
     words = t.split()
-    digits = sum(map(str.isdigit, t)) if not t.isalpha() else 0
-    tail = t[-14:]
+    digits = len(_DIGIT.findall(t)) if _DIGIT.search(t) else 0
+    c = t[-1]
     colon = t.find(":") if ":" in t else t.find("：")
     if 0 < colon < 18:
         if _HEADER_FROM.match(t):
             flags |= FROM | KEYED
         elif _KEYED.match(t) and not (digits >= 6 and _PHONE_LABEL.match(t)):
             flags |= KEYED
-    if _SENTENCE_END.search(tail) and not _ABBREVIATED_END.search(tail):
+    if (not c.isalnum() or c in "DP") and _SENTENCE_END.search(t[-14:]) and not _ABBREVIATED_END.search(t[-14:]):
         flags |= SENT
-    if n <= 48 and _GREETING.match(t):
+    if n <= 48 and (low[:2] in _GREETING_HEADS or t[0] in "¡*" or not t.isascii()) and _GREETING.match(t):
         flags |= GREET
-    if n <= 40 and _CLOSING.match(t) and not (flags & SENT and not t.endswith(("。", "！")) and len(words) > 2):
+    if n <= 40 and (low[:2] in _CLOSING_HEADS or not t[0].isalnum()) and _CLOSING.match(t) and not (flags & SENT and not t.endswith(("。", "！")) and len(words) > 2):
         flags |= CLOSE
     if not t[0].isalpha() or t[1:2] == ")":
         if _LIST.match(t):
@@ -169,7 +171,6 @@ def _cues(t: str) -> tuple[list[str], int]:
     if t[-1] in ":：" and (found & WROTE or flags & MAIL or (n > 15 and _DATE.search(t))):
         flags |= ATTR
     out += [_LENGTHS[n], "words:" + str(min(len(words), 9))]
-    c = t[-1]
     out.append("end:" + (c if not c.isalnum() else "9" if c.isdigit() else "a"))
     c = t[0]
     out.append("start:" + ("A" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c))
@@ -195,8 +196,7 @@ def _long_cues(t: str, n: int) -> tuple[list[str], int]:
             flags |= FROM | KEYED
         elif _KEYED.match(t):
             flags |= KEYED
-    tail = t[-14:]
-    if _SENTENCE_END.search(tail) and not _ABBREVIATED_END.search(tail):
+    if (not t[-1].isalnum() or t[-1] in "DP") and _SENTENCE_END.search(t[-14:]) and not _ABBREVIATED_END.search(t[-14:]):
         flags |= SENT
     if not t[0].isalpha() and _LIST.match(t):
         flags |= LIST
@@ -329,28 +329,55 @@ def _own_lines(region: list[int], texts: list[str], flags: list[int], lab: list[
             lab[j] = "S"
 
 
-def contexts(texts: list[str], flags: list[int]) -> tuple[list[int], list[tuple]]:
-    """Numbers of the non-blank lines, and what surrounds each: neighbours' kinds, gap, place and history."""
-    full = [i for i, t in enumerate(texts) if t]
-    n = len(full)
-    kinds = [_kind(flags[i]) for i in full]
-    last_quote = n - 1 - kinds[::-1].index("q") if "q" in kinds else -1
-    header = dash = closed = ruled = False
+KINDS = "q-brfwpmgcldvksnho"
+_START, _END = len(KINDS), len(KINDS) + 1
+_RADIX = (len(KINDS) + 2, len(KINDS), len(KINDS) + 2, len(KINDS) + 2, 2, 3, 2, 2, 2, 2)
+
+
+def contexts(flags: np.ndarray, kinds: np.ndarray, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A code for what surrounds each non-blank line: neighbours' kinds, gap, place and history; see `context_of`.
+
+    ``flags``, ``kinds`` and ``numbers`` (of the line in its message) are those of the non-blank lines of all messages,
+    one after the other; ``first`` tells which are the first of their message.
+    """
+    n = len(flags)
+    at = np.arange(n)
+    begin = np.maximum.accumulate(np.where(first, at, 0))
+    last = np.append(first[1:], True)
+    ahead = np.append(first[2:], [True, True])[:n] | last
+    up, down, down2 = (np.roll(kinds, k) for k in (1, -1, -2))
+    near = np.append(numbers[1:] == numbers[:-1] + 1, False) & ~last
+    apart = ~first & (numbers != np.roll(numbers, 1) + 1)
+
+    def latest(hit: np.ndarray) -> np.ndarray:
+        """The last line up to each, in any message, where ``hit`` holds."""
+        return np.maximum.accumulate(np.where(hit, at, -1))
+
+    header = latest((flags & FROM != 0) & near & (np.roll(flags, -1) & KEYED != 0)) >= begin
+    dash = kinds == KINDS.index("-")
+    reset = ~dash & ((kinds == KINDS.index("q")) | (flags & ATTR != 0))
+    close = ~dash & ~reset & (flags & CLOSE != 0)
+    rule = ~dash & ~reset & ~close & (flags & RULE != 0)
+    since = np.maximum(np.append(-1, latest(reset)[:-1]), begin - 1)
+    after = [np.append(-1, latest(hit)[:-1]) > since for hit in (dash, close, rule)]
+    quote = np.where(kinds == KINDS.index("q"), at, -1)
+    starts = np.flatnonzero(first)
+    below = np.repeat(np.maximum.reduceat(quote, starts), np.diff(np.append(starts, n))) > at if n else quote > at
+    digits = (np.where(first, _START, up), kinds, np.where(last, _END, down), np.where(ahead, _END, down2), apart, header * np.where(flags & KEYED, 2, 1), *after, below)
+    code = np.zeros(n, np.int64)
+    for size, digit in zip(_RADIX, digits, strict=True):
+        code = code * size + digit
+    return code
+
+
+def context_of(code: int) -> tuple:
+    """What a code says: kinds of the line before, the line itself and the two after it; gap, header, dash, closed, ruled, quote below."""
     out = []
-    for p, i in enumerate(full):
-        f, k = flags[i], kinds[p]
-        if f & FROM and p + 1 < n and flags[full[p + 1]] & KEYED and full[p + 1] == i + 1:
-            header = True
-        out.append((kinds[p - 1] if p else "^", k, kinds[p + 1] if p + 1 < n else "$", kinds[p + 2] if p + 2 < n else "$", p > 0 and i - full[p - 1] > 1, header and (2 if f & KEYED else 1), dash, closed, ruled, p < last_quote))
-        if k == "-":
-            dash = True
-        elif k == "q" or f & ATTR:
-            dash = closed = ruled = False
-        elif f & CLOSE:
-            closed = True
-        elif f & RULE:
-            ruled = True
-    return full, out
+    for size in reversed(_RADIX):
+        code, digit = divmod(code, size)
+        out.append(digit)
+    out.reverse()
+    return (*((KINDS + "^$")[x] for x in out[:4]), *out[4:])
 
 
 def context_features(c: tuple) -> list[str]:
@@ -375,11 +402,21 @@ def context_features(c: tuple) -> list[str]:
     return x
 
 
-def _kind(f: int) -> str:
-    for bit, c in ((QUOTE, "q"), (DASH2, "-"), (BANNER, "b"), (RULE, "r"), (FROM, "f"), (ATTR, "w"), (PHONE, "p"), (SIGN, "m"), (GREET, "g"), (CLOSE, "c"), (LIST, "l"), (DISC, "d"), (DEV, "v"), (KEYED, "k"), (SENT, "s"), (NAME, "n"), (SHORT, "h")):
+def _kind(f: int) -> int:
+    for k, bit in enumerate((QUOTE, DASH2, BANNER, RULE, FROM, ATTR, PHONE, SIGN, GREET, CLOSE, LIST, DISC, DEV, KEYED, SENT, NAME, SHORT)):
         if f & bit:
-            return c
-    return "o"
+            return k
+    return len(KINDS) - 1
+
+
+def _line_arrays(views: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-blank lines of all messages: place among all lines, number in the message, whether it is the first there."""
+    lengths = np.array([len(v) for v in views], np.int64)
+    solid = np.flatnonzero(np.array([t != "" for v in views for t in v], bool))
+    begins = np.repeat(np.cumsum(lengths) - lengths, lengths)[solid]
+    first = np.ones(len(solid), bool)
+    first[1:] = begins[1:] != begins[:-1]
+    return solid, solid - begins, first
 
 
 class LineModel:
@@ -387,54 +424,91 @@ class LineModel:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray, seen: frozenset[str]):
         self.index, self.emit, self.move, self.start, self.seen = index, emit, move, start, seen
-        self.own: dict[str, tuple[list[int], int]] = {}
-        self.around: dict[tuple, list[int]] = {}
-
-    def features(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[int]]:
-        """Non-blank lines, numbers of the features of each, and the flags of all lines."""
-        own, around, get = self.own, self.around, self.index.get
-        flags, lines = [], []
+        self._forget()
+
+    def _forget(self) -> None:
+        k = len(LABELS)
+        self.own: dict[str, int] = {}
+        self.own_score, self.own_flags = np.zeros((4096, k)), np.zeros(4096, np.int64)
+        self.around: dict[int, int] = {}
+        self.around_score = np.zeros((256, k))
+
+    def __reduce__(self):  # noqa: ANN204 - what a worker has met is not sent along
+        return LineModel, (self.index, self.emit, self.move, self.start, self.seen)
+
+    def _sums(self, rows: list[list[int]]) -> np.ndarray:
+        """Summed weights of each row of features."""
+        sizes = np.array([len(r) for r in rows], np.int64)
+        return np.add.reduceat(self.emit[np.array([k for r in rows for k in r], np.int64)], np.cumsum(sizes) - sizes, axis=0)
+
+    def _lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by their own features, and flags, of non-blank lines; kept for lines that come again."""
+        own, get = self.own, self.index.get
+        if len(own) > 100_000:
+            self._forget()
+            own = self.own
+        ids, rows, flags = [], [], []
         for t in texts:
-            if not t:
-                flags.append(0), lines.append(None)
-                continue
-            got = own.get(t)
-            if got is None:
+            k = own.get(t)
+            if k is None:
                 names, f = _cues(t)
-                got = [k for k in map(get, names) if k is not None], f
+                row = [j for j in map(get, names) if j is not None]
                 if t in self.seen:
-                    got[0].append(0)
-                if len(t) <= 80:
-                    if len(own) > 200_000:
-                        own.clear()
-                    own[t] = got
-            lines.append(got[0]), flags.append(got[1])
-        full, places = contexts(texts, flags)
-        ids = []
-        for i, c in zip(full, places, strict=True):
-            near = around.get(c)
-            if near is None:
-                near = around[c] = [k for k in map(get, context_features(c)) if k is not None] or [1]
-            ids.append(lines[i] + near)
-        return full, ids, flags
-
-    def label_many(self, views: list[list[str]]) -> list[list[str]]:
-        """Labels of each message's logical lines, '' for blank ones; all messages are decoded together."""
-        parts = [self.features(v) for v in views]
-        lengths = np.array([len(p[0]) for p in parts])
-        flat = [k for p in parts for row in p[1] for k in row]
-        sizes = np.array([len(row) for p in parts for row in p[1]], np.int64)
-        out = [[""] * len(v) for v in views]
-        if not len(sizes):
-            return out
-        score = np.add.reduceat(self.emit[np.array(flat, np.int64)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                    row.append(0)
+                rows.append(row or [1]), flags.append(f)
+                k = own[t] = len(own)
+            ids.append(k)
+        if rows:
+            while len(self.own_flags) < len(own):
+                self.own_score, self.own_flags = np.concatenate([self.own_score, np.zeros_like(self.own_score)]), np.concatenate([self.own_flags, np.zeros_like(self.own_flags)])
+            self.own_score[len(own) - len(rows) : len(own)] = self._sums(rows)
+            self.own_flags[len(own) - len(rows) : len(own)] = flags
+        at = np.array(ids, np.int64)
+        return self.own_score[at], self.own_flags[at]
+
+    def _surroundings(self, codes: np.ndarray) -> np.ndarray:
+        """Scores by the contexts' features."""
+        kinds, which = np.unique(codes, return_inverse=True)
+        new = [c for c in kinds.tolist() if c not in self.around]
+        if new:
+            rows = [[k for k in map(self.index.get, context_features(context_of(c))) if k is not None] or [1] for c in new]
+            n = len(self.around)
+            self.around.update((c, n + k) for k, c in enumerate(new))
+            self.around_score = np.concatenate([self.around_score[:n], self._sums(rows)])
+        return self.around_score[np.array([self.around[c] for c in kinds.tolist()], np.int64)][which]
+
+    def label_many(self, views: list[list[str]], pinned: bool = True) -> tuple[list[str], list[list[int]]]:
+        """A letter for each logical line of each message ('-' for blank ones), and the lines' flags.
+
+        All messages are decoded together. With ``pinned``, a line whose sign admits one reading keeps it; see `pin`.
+        """
+        solid, numbers, first = _line_arrays(views)
+        total = sum(map(len, views))
+        letters, all_flags = np.full(total, ord("-"), np.uint8), np.zeros(total, np.int64)
+        if len(solid):
+            score, flags = self._lines([t for v in views for t in v if t])
+            kinds = _kinds(flags)
+            score += self._surroundings(contexts(flags, kinds, numbers, first))
+            tags = self._decode(score, np.flatnonzero(first))
+            if pinned:
+                pin(flags, numbers, first, tags)
+            letters[solid], all_flags[solid] = np.frombuffer(LABELS.encode(), np.uint8)[tags], flags
+        joined, every = letters.tobytes().decode(), all_flags.tolist()
+        out, of, at = [], [], 0
+        for v in views:
+            out.append(joined[at : at + len(v)]), of.append(every[at : at + len(v)])
+            at += len(v)
+        return out, of
+
+    def _decode(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best labels of each sequence (Viterbi); sequences begin at ``first``."""
+        lengths = np.diff(np.append(first, len(score)))
         order = np.argsort(-lengths, kind="stable")
-        long, k = int(lengths.max()), len(LABELS)
-        best = np.full((len(views), k), 0.0)
+        sizes = -lengths[order]
+        best = np.zeros((len(first), len(LABELS)))
         back = []
-        for step in range(long):
-            live = order[: int(np.searchsorted(-lengths[order], -step, side="left"))]
+        for step in range(int(lengths.max())):
+            live = order[: int(np.searchsorted(sizes, -step, side="left"))]
             now = score[first[live] + step]
             if step == 0:
                 best[live] = self.start + now
@@ -443,40 +517,42 @@ class LineModel:
             arg = paths.argmax(1)
             best[live] = np.take_along_axis(paths, arg[:, None, :], 1)[:, 0, :] + now
             back.append((live, arg))
-        tags = np.zeros(int(lengths.sum()), np.int64)
+        tags = np.zeros(len(score), np.int64)
         current = best.argmax(1)
-        for step in range(long - 1, -1, -1):
-            live = order[: int(np.searchsorted(-lengths[order], -step, side="left"))]
+        for step in range(int(lengths.max()) - 1, -1, -1):
+            live = order[: int(np.searchsorted(sizes, -step, side="left"))]
             tags[first[live] + step] = current[live]
             if step:
                 rows, arg = back[step - 1]
                 current[rows] = arg[np.arange(len(rows)), current[rows]]
-        for m, (full, _, flags) in enumerate(parts):
-            row, at = out[m], int(first[m])
-            for p, i in enumerate(full):
-                row[i] = LABELS[tags[at + p]]
-            pin(flags, full, row)
-        return out
+        return tags
+
+
+def _kinds(flags: np.ndarray) -> np.ndarray:
+    values, which = np.unique(flags, return_inverse=True)
+    return np.array([_kind(f) for f in values.tolist()], np.int64)[which]
 
 
-def pin(flags: list[int], full: list[int], row: list[str]) -> None:
+def pin(flags: np.ndarray, numbers: np.ndarray, first: np.ndarray, tags: np.ndarray) -> None:
     """Keep the labels of signs that admit one reading: quote prefixes, header blocks and all that follows them."""
-    for i in full:
-        f = flags[i]
-        if f & QUOTE:
-            row[i] = "Q"
-        elif row[i] == "Q" or (row[i] in "SMD" and f & SENT and not f & (SHORT | DISC)):
-            row[i] = "N"
-    for p, i in enumerate(full):
-        if flags[i] & FROM and p + 1 < len(full) and full[p + 1] == i + 1 and flags[i + 1] & KEYED:
-            k = p
-            while k < len(full) and full[k] - i == k - p and flags[full[k]] & KEYED:
-                row[full[k]] = "H"
-                k += 1
-            for j in full[k:]:
-                if row[j] != "Q":
-                    row[j] = "F"
-            break
+    quoted = flags & QUOTE != 0
+    long = np.isin(tags, [_ID[c] for c in "SMD"]) & (flags & SENT != 0) & (flags & (SHORT | DISC) == 0)
+    tags[(tags == _ID["Q"]) | long] = _ID["N"]
+    tags[quoted] = _ID["Q"]
+    follows = np.append(~first[1:] & (numbers[1:] == numbers[:-1] + 1), False)
+    heads = np.flatnonzero((flags & FROM != 0) & follows & (np.roll(flags, -1) & KEYED != 0))
+    if not len(heads):
+        return
+    starts = np.flatnonzero(first)
+    message = np.searchsorted(starts, heads, side="right") - 1
+    ends = np.append(starts[1:], len(tags))
+    for p, m in zip(*(x.tolist() for x in (heads[np.unique(message, return_index=True)[1]], np.unique(message))), strict=True):
+        end, k = int(ends[m]), p
+        while k < end and flags[k] & KEYED and (k == p or follows[k - 1]):
+            tags[k] = _ID["H"]
+            k += 1
+        rest = tags[k:end]
+        rest[rest != _ID["Q"]] = _ID["F"]
 
 
 def train_line_model(messages: list[str], epochs: int = 5) -> LineModel:
@@ -485,13 +561,14 @@ def train_line_model(messages: list[str], epochs: int = 5) -> LineModel:
     shared = Counter(t for v in views for t in set(v) if len(t) >= 25 and not any(c.isdigit() for c in t) and not _QUOTE.match(t))
     drafts, data, counts = [], [], Counter()
     for v in views:
-        basic = [cues(t) if t else ([], 0) for t in v]
+        basic = [_cues(t) if t else ([], 0) for t in v]
         lab = draft_labels(v, [f for _, f in basic])
-        full, near = contexts(v, [f for _, f in basic])
-        feats = [basic[i][0] + context_features(c) for i, c in zip(full, near, strict=True)]
-        if full:
-            drafts.append([_ID[lab[i]] for i in full])
-            data.append((feats, [v[i] for i in full]))
+        full, numbers, first = _line_arrays([v])
+        flags = np.array([f for _, f in basic], np.int64)[full]
+        feats = [basic[i][0] + context_features(context_of(c)) for i, c in zip(full.tolist(), contexts(flags, _kinds(flags), numbers, first).tolist(), strict=True)]
+        if len(full):
+            drafts.append([_ID[lab[i]] for i in full.tolist()])
+            data.append((feats, [v[i] for i in full.tolist()]))
             for x in feats:
                 counts.update(x)
     # A shared line is a cue only where drafts found it mostly outside new text.

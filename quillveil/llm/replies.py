@@ -18,40 +18,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillveil.llm.anatomy import LABELS, NEW, TRAIN_MESSAGES, LineModel, line_view, sample_messages, train_line_model
+from quillveil.llm.batches import uncollected
 
 #: Messages that a worker decodes together.
 CHUNK = 1500
+#: Labels of lines that are not the sender's new text.
+OTHER = frozenset(LABELS) - NEW
 
 
 def fitted(samples: DataFrame, train_messages: int = TRAIN_MESSAGES) -> LineModel:
-    messages = sample_messages(samples, train_messages)
+    return fitted_on(sample_messages(samples, train_messages))
+
+
+def fitted_on(messages: list[str]) -> LineModel:
+    """The line model of some messages; without any it has no weights."""
     if not messages:
         k = len(LABELS)
         return LineModel({}, np.zeros((2, k)), np.zeros((k, k)), np.zeros(k), frozenset())
     return train_line_model(messages)
 
 
-def labelled(messages: list[str], model: LineModel) -> Iterator[tuple[list[tuple[int, int, list[int]]], list[str], list[str]]]:
-    """Logical lines, their stripped texts and labels, for each message in order."""
+def labelled(messages: list[str], model: LineModel) -> Iterator[tuple[list[tuple[int, int, list[int]]], str, list[int]]]:
+    """Logical lines, a letter for each ('-' for blank ones) and their flags, for each message in order."""
     for at in range(0, len(messages), CHUNK):
         views = [line_view(m) for m in messages[at : at + CHUNK]]
-        for (lines, texts), labels in zip(views, model.label_many([t for _, t in views]), strict=True):
-            yield lines, texts, labels
+        letters, flags = model.label_many([t for _, t in views])
+        for (lines, _), row, f in zip(views, letters, flags, strict=True):
+            yield lines, row, f
 
 
 def other_lines(samples: DataFrame, model: LineModel) -> DataFrame:
     """``row_id, line_no`` of each non-blank physical line that isn't the sender's new text."""
     shared = samples.sparkSession.sparkContext.broadcast(model)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers = [], []
             rows = batch.column("row_id").to_pylist()
-            for row, (lines, _, labels) in zip(rows, labelled([m or "" for m in batch.column("message").to_pylist()], shared.value), strict=True):
-                for (_, _, physical), label in zip(lines, labels, strict=True):
-                    if label and label not in NEW:
-                        ids += [row] * len(physical)
-                        numbers += physical
+            for row, (lines, letters, _) in zip(rows, labelled([m or "" for m in batch.column("message").to_pylist()], shared.value), strict=True):
+                found = [k for (_, _, physical), c in zip(lines, letters, strict=True) if c in OTHER for k in physical]
+                ids += [row] * len(found)
+                numbers += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], names=["row_id", "line_no"])
 
     return samples.select("row_id", "message").mapInArrow(run, "row_id bigint, line_no bigint")
@@ -61,11 +69,12 @@ def new_texts(samples: DataFrame, model: LineModel) -> DataFrame:
     """``row_id, new_text``: the message without the lines of `other_lines` and without blank lines at its ends."""
     shared = samples.sparkSession.sparkContext.broadcast(model)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             messages, texts = batch.column("message").to_pylist(), []
-            for message, (lines, _, labels) in zip(messages, labelled([m or "" for m in messages], shared.value), strict=True):
-                gone = {k for (_, _, physical), label in zip(lines, labels, strict=True) if label and label not in NEW for k in physical}
+            for message, (lines, letters, _) in zip(messages, labelled([m or "" for m in messages], shared.value), strict=True):
+                gone = {k for (_, _, physical), c in zip(lines, letters, strict=True) if c in OTHER for k in physical}
                 kept = [x.rstrip("\r") for k, x in enumerate((message or "").split("\n")) if k not in gone]
                 texts.append(None if message is None else "\n".join(kept).strip("\n"))
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(texts, pa.string())], names=["row_id", "new_text"])

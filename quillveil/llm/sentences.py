@@ -23,12 +23,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, LIST, NAME, PHONE, SENT, LineModel, cues, logical_lines
+from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, LIST, NAME, PHONE, SENT, LineModel, flags_of
+from quillveil.llm.batches import uncollected
 from quillveil.llm.replies import fitted, labelled
 from quillveil.runtime import written
 
@@ -39,9 +41,15 @@ EM_STEPS = 6
 _EMOJI = "[\U0001F300-\U0001FAFF☀-➿]️?"
 _SMILEY = r"[:;]'?-?[)(DPp](?!\w)"
 _CLOSERS = "[\"'»”’)\\]」』》】›“*]"
-_PLACE = re.compile(rf"(?:[.!?…。！？।؟]++(?![a-z0-9@])(?:[\s\xa0]?[»]|{_CLOSERS})*(?:[\s\xa0]*(?:{_EMOJI}|{_SMILEY}))*|(?:{_EMOJI}|(?<=\s){_SMILEY})+(?:\s*(?:{_EMOJI}|{_SMILEY}))*)")
+_MARKS = ".!?…。！？।؟"
+_FACES = rf"(?:{_EMOJI}|{_SMILEY})"
+_AFTER_MARK = rf"(?:[\s\xa0]?»|{_CLOSERS})*(?:[\s\xa0]*{_FACES})*"
+_PLACE = re.compile(rf"[{_MARKS}][{_MARKS}]*+(?![a-z0-9@]){_AFTER_MARK}")
+#: The same, and emoji or smileys without a mark before them.
+_FACED_PLACE = re.compile(rf"(?:[{_MARKS}]++(?![a-z0-9@]){_AFTER_MARK}|(?:{_EMOJI}|(?<=\s){_SMILEY})+(?:\s*{_FACES})*)")
+_FACE = re.compile("[:;\U0001F300-\U0001FAFF☀-➿](?:(?<![:;])|'?-?[)(DPp])")
 _QUOTED = re.compile("«[^»]*»|„[^“”]*[“”]|“[^”]*”|「[^」]*」|『[^』]*』|‹[^›]*›|(?<!\\w)\"[^\"]*\"(?!\\w)|《[^》]*》")
-_QUOTES = frozenset("«„“「『‹\"《")
+_QUOTE_MARK = re.compile("[«„“「『‹\"《]")
 _THAI = re.compile("[฀-๿຀-໿ក-៿က-႟]")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _OPEN = "\"'«“„¿¡([「『‹《*"
@@ -49,6 +57,7 @@ _SOLID = re.compile(r"[^\W_]")
 _PREFIX = re.compile(r"[\s>|]*")
 _INNER_PREFIX = re.compile(r"\n[ \t]*[>|][>| \t]*")
 _GAP = re.compile(r"\s+")
+_NEXT = re.compile(r"\S+")
 _TAIL_MARKS = re.compile(rf"(?:[\s\xa0]*(?:{_EMOJI}|{_SMILEY}))+$")
 _DIGIT = re.compile(r"\d")
 _CJK_END = "。！？"
@@ -70,7 +79,7 @@ def left_form(raw: str) -> tuple[str, str]:
         elif _CJK.search(stem[-1:] or ""):
             form = stem[-2:] + end
         else:
-            form = _DIGIT.sub("9", stem[-14:].lower()) + end
+            form = _DIGIT.sub("9", stem.lower()) + end
         n = len(stem)
         kind = "9" if any(map(str.isdigit, stem)) else "t" if _THAI.search(stem) else "c" if _CJK.search(stem) else "U" if stem[:1].isupper() else "l" if stem[:1].isalpha() else "-"
         got = form, f"{end}|{min(n, 4)}|{kind}|{'.' if '.' in stem else ''}|{'q' if any(c in '»”’」』›“' for c in tail) else ''}"
@@ -91,7 +100,7 @@ def right_form(raw: str) -> tuple[str, str]:
         elif _CJK.search(core[:1]):
             form = core[:2]
         else:
-            form = _DIGIT.sub("9", core[:14].rstrip(".,;:!?…»”\"').").lower())
+            form = _DIGIT.sub("9", core.rstrip(".,;:!?…»”\"').").lower())
         opened = "q" if raw[:1] in _OPEN and raw else ""
         case = "9" if core[:1].isdigit() else "U" if core[:1].isupper() else "l" if core[:1].islower() else "o" if core[:1].isalpha() else "-"
         got = form, opened + case
@@ -105,7 +114,7 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
     out: list[tuple[int, int, str, str, bool]] = []
     n = len(text)
     hits = []
-    for m in _PLACE.finditer(text):
+    for m in (_PLACE if _FACE.search(text) is None else _FACED_PLACE).finditer(text):
         a, b = m.span()
         if b >= n:
             break
@@ -130,7 +139,7 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
         hits.sort()
     if not hits:
         return out
-    spans = [m.span() for m in _QUOTED.finditer(text)] if not _QUOTES.isdisjoint(text) else ()
+    spans = [m.span() for m in _QUOTED.finditer(text)] if _QUOTE_MARK.search(text) else ()
     broken, fixed = "\n" in text, "\xa0" in text
     last_start = 0
     for a, b, nxt in hits:
@@ -144,20 +153,33 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
             left = max(left, text.rfind("\n", last_start, stop) + 1)
         if fixed:
             left = max(left, text.rfind("\xa0", last_start, stop) + 1)
-        left = max(left, last_start, b - 24)
-        word = text[nxt : nxt + 16].split(None, 1)
-        out.append((b, nxt, text[left:b], word[0] if word else "", left <= last_start))
+        left = max(left, last_start)
+        out.append((b, nxt, _left_word(text[left:b]), _right_word(_NEXT.match(text, nxt)[0]), left <= last_start))
         last_start = nxt
     return out
 
 
-def running_parts(message: str, lines: list[tuple[int, int, list[int]]], labels: list[str]) -> Iterator[tuple[int, str, bool, str]]:
+def _left_word(word: str) -> str:
+    """In scripts without spaces the last characters stand for the word before a place."""
+    return word if len(word) <= 24 or word.isascii() or not (_CJK.search(word) or _THAI.search(word)) else word[-24:]
+
+
+def _right_word(word: str) -> str:
+    """In scripts without spaces the first characters stand for the word after a place."""
+    if len(word) <= 12 or word.isascii():
+        return word
+    core = word.lstrip(_OPEN)
+    return word[: len(word) - len(core) + 8] if _CJK.match(core) or _THAI.match(core) else word
+
+
+def running_parts(message: str, lines: list[tuple[int, int, list[int]]], labels: str, flags: list[int]) -> Iterator[tuple[int, str, bool, str]]:
     """Offset, text, whether it may be split, and label, of each line that has a letter or digit. Quote marks are cut off or blanked."""
-    for (a, b, physical), label in zip(lines, labels, strict=True):
-        if not label:
+    for (a, b, physical), label, own in zip(lines, labels, flags, strict=True):
+        if label == "-":
             continue
         text = message[a:b]
-        if label in "QF" or text[:1] in ">|":
+        quoted = label in "QF" or text[:1] in ">|"
+        if quoted:
             skip = _PREFIX.match(text).end()
             if len(physical) > 1:
                 text = _INNER_PREFIX.sub(lambda m: "\n" + " " * (len(m[0]) - 1), text)
@@ -170,66 +192,82 @@ def running_parts(message: str, lines: list[tuple[int, int, list[int]]], labels:
             single = False
             if len(text) > 48 and text[-1] in ".!?…。！？।" and text[0].isalpha():
                 pass  # of the lines that are one unit none looks so
-            elif len(text) <= 120:
-                flags = cues(text)[1]
-                single = bool(flags & (LIST | FROM | ATTR | PHONE)) or bool(flags & (GREET | CLOSE | NAME) and not flags & DISC) or (flags & KEYED and not flags & (SENT | DISC))
+            else:
+                f = flags_of(text) if quoted else own
+                single = bool(f & (LIST | FROM | ATTR | PHONE)) or bool(f & (GREET | CLOSE | NAME) and not f & DISC) or bool(f & KEYED and not f & (SENT | DISC))
                 if label in "ND":
-                    single = single and not flags & (FROM | ATTR)
-            elif label == "Q" and text[-1] == ":":
-                single = bool(cues(text)[1] & ATTR)
+                    single = single and not f & (FROM | ATTR)
         else:
-            single = not (label == "S" and len(text) > 45 and cues(text)[1] & DISC and cues(text)[1] & SENT)
+            single = not (label == "S" and len(text) > 45 and own & DISC and own & SENT)
         yield a + skip, text, not single, label
 
 
+def _coded(words: list[str] | pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Words as numbers of the distinct ones."""
+    found = (words if isinstance(words, pa.Array) else pa.array(words, pa.string())).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+
+
 class EventModel:
-    """Log odds of a boundary; see the module's docstring."""
-
-    def __init__(self, left: dict[str, float], left_class: dict[str, float], start: dict[str, float], follow: dict[str, float], pair: dict[tuple[str, str], tuple[float, float]], case: dict[tuple[str, str], float]):
-        self.left, self.left_class, self.start, self.follow, self.pair, self.case = left, left_class, start, follow, pair, case
-        self.memo: dict[tuple[str, str, bool], float] = {}
-
-    def log_odds(self, u: str, v: str, low: bool) -> float:
-        """Log odds of a boundary between two words; ``low``: the line begins with a small letter."""
-        key = (u, v, low)
-        got = self.memo.get(key)
-        if got is None:
-            (uf, uc), (vf, vc) = left_form(u), right_form(v)
-            prior = self.left.get(uf)
-            if prior is None:
-                prior = self.left_class.get(uc, 0.5)
-            begins, goes_on = self.start.get(vf, self.start[""]), self.follow.get(vf, self.follow[""])
-            mass, types = self.pair.get((uf, "\0"), (0.0, 2.0))
-            goes_on = (self.pair.get((uf, vf), (0.0, 0.0))[1] + types * goes_on) / (mass + types)
-            prior = min(max(prior, 1e-4), 1 - 1e-4)
-            got = float(np.log(prior / (1 - prior)) + np.log(begins / goes_on) + self.case.get((vc, "low" if low else "up"), 0.0))
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
-
-    def posteriors(self, found: list[list[tuple[int, int, str, str, bool]]], low: list[bool]) -> list[list[float]]:
-        """Posterior of a boundary at each place of each line, by forward-backward over all lines together.
-
-        A word that stands alone between two places depends on the first: right after a boundary it is rarely a whole
-        unit, so its own odds fall by the weight LONELY.
+    """Log odds of a boundary; see the module's docstring.
+
+    ``left`` has by form of the word before a place its prior, and how often and with how many kinds of words it goes on;
+    ``right`` by form of the word after it how often it begins and goes on; ``pairs`` the sorted keys
+    ``left number * len(right) + right number`` and how often the two follow each other without a boundary.
+    """
+
+    def __init__(self, left: dict[str, tuple[float, float, float]], left_class: dict[str, float], right: dict[str, tuple[float, float]], pairs: tuple[np.ndarray, np.ndarray], case: dict[tuple[str, str], float]):
+        self.left_class, self.case, self.pair_keys, self.pair_mass = left_class, case, *pairs
+        self.left = {w: k for k, w in enumerate(left)}
+        self.right = {w: k for k, w in enumerate(right)}
+        self.left_values = np.array([*left.values(), (0.5, 0.0, 2.0)])
+        self.right_values = np.array(list(right.values()))
+
+    def log_odds(self, lefts: list[str] | pa.Array, rights: list[str] | pa.Array, low: np.ndarray) -> np.ndarray:
+        """Log odds of a boundary between each two words; ``low``: the line begins with a small letter."""
+        u, u_words = _coded(lefts)
+        v, v_words = _coded(rights)
+        u_forms, v_forms = [left_form(w) for w in u_words], [right_form(w) for w in v_words]
+        ids = np.array([self.left.get(f, -1) for f, _ in u_forms], np.int64)
+        prior = np.where(ids >= 0, self.left_values[ids, 0], [self.left_class.get(c, 0.5) for _, c in u_forms])
+        prior = np.clip(prior, 1e-4, 1 - 1e-4)
+        other = np.array([self.right.get(f, -1) for f, _ in v_forms], np.int64)
+        values = self.right_values[np.where(other >= 0, other, self.right[""])]
+        case = np.array([[self.case.get((c, style), 0.0) for _, c in v_forms] for style in ("up", "low")])
+        uid, vid = ids[u], other[v]
+        key = np.where((uid >= 0) & (vid >= 0), uid * len(self.right) + vid, -1)
+        pair = np.zeros(len(key))
+        if len(self.pair_keys):
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            pair = np.where(self.pair_keys[at] == key, self.pair_mass[at], 0.0)
+        mass, types = self.left_values[uid, 1], self.left_values[uid, 2]
+        goes_on = (pair + types * values[v, 1]) / (mass + types)
+        return np.log(prior / (1 - prior))[u] + np.log(values[v, 0] / goes_on) + case[low.astype(np.int64), v]
+
+    def posteriors(self, per: np.ndarray, lefts: list[str] | pa.Array, rights: list[str] | pa.Array, tied: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Posterior of a boundary at each place, by forward-backward over all lines together.
+
+        ``per`` has the number of places of each line, ``low`` whether the line begins with a small letter, and ``tied``
+        for each place whether its left word comes right after the place before. Such a word stands alone if a boundary
+        lies at either place, and is rarely a whole unit, so its own odds fall by the weight LONELY.
         """
-        n = len(found)
-        lengths = np.array([len(x) for x in found])
-        if not n or not lengths.max(initial=0):
-            return [[] for _ in found]
-        order = np.argsort(-lengths, kind="stable")
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        odds = np.array([self.log_odds(p[2], p[3], lo) for x, lo in zip(found, low, strict=True) for p in x])
-        tied = np.array([p[4] and k > 0 for x in found for k, p in enumerate(x)])
+        if not per.sum():
+            return np.zeros(0)
+        odds = self.log_odds(lefts, rights, np.repeat(low, per))
+        lines = per[per > 0]
+        first = np.cumsum(lines) - lines
+        order = np.argsort(-lines, kind="stable")
+        sizes = -lines[order]
+        tied = tied.copy()
+        tied[first] = False
         yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
         hard = odds - LONELY
-        yes1, no1 = np.where(tied, -np.logaddexp(0, -hard), yes), np.where(tied, -np.logaddexp(0, hard), no)
         # move[i, s, t]: from state s at the place before to state t at place i.
-        move = np.stack([np.stack([no, yes], 1), np.stack([no1, yes1], 1)], 1)
+        move = np.empty((len(odds), 2, 2))
+        move[:, 0, 0], move[:, 0, 1], move[:, 1, 0], move[:, 1, 1] = no, yes, np.where(tied, -np.logaddexp(0, hard), no), np.where(tied, -np.logaddexp(0, -hard), yes)
         alpha, beta = np.zeros((len(odds), 2)), np.zeros((len(odds), 2))
-        alpha[first[lengths > 0]] = move[first[lengths > 0], 0]
-        steps = [order[: int(np.searchsorted(-lengths[order], -k, side="left"))] for k in range(int(lengths.max()))]
+        alpha[first] = move[first, 0]
+        steps = [order[: int(np.searchsorted(sizes, -k, side="left"))] for k in range(int(lines.max()))]
         for k, live in enumerate(steps):
             if k:
                 at = first[live] + k
@@ -238,170 +276,212 @@ class EventModel:
             at = first[steps[k]] + k
             beta[at - 1] = np.logaddexp(move[at, :, 0] + beta[at, None, 0], move[at, :, 1] + beta[at, None, 1])
         post = alpha + beta
-        p = 1 / (1 + np.exp(post[:, 0] - post[:, 1]))
-        return [p[a : a + k].tolist() for a, k in zip(first.tolist(), lengths.tolist(), strict=True)]
+        return 1 / (1 + np.exp(np.clip(post[:, 0] - post[:, 1], -700, 700)))
 
 
 #: Log weight against a unit of a single word between two places.
 LONELY = 1.5
 
 
-def units_of(parts: list[tuple[int, str, bool, str]], found: list[list[tuple[int, int, str, str, bool]]], posts: list[list[float]]) -> list[tuple[int, int, str, str]]:
-    """Start, end, text and label of each unit of a message."""
-    out = []
-    for (at, text, _, label), spots, post in zip(parts, found, posts, strict=True):
+class Lines:
+    """The lines of running text of some messages, laid out in columns.
+
+    ``rows`` has for each line the number of its message, ``labels`` its letter (small: not to be split), ``low`` whether it
+    begins with a small letter, ``at`` and ``size`` its place, ``per`` its number of places; for each place there are
+    ``ends`` and ``nexts`` (in the line), ``lefts`` and ``rights``, ``tied``; ``solid`` tells for each piece between places
+    whether it holds a letter or digit.
+    """
+
+    def __init__(self) -> None:
+        self.rows, self.labels, self.low, self.at, self.size, self.per = [], [], [], [], [], []
+        self.ends, self.nexts, self.lefts, self.rights, self.tied, self.solid = [], [], [], [], [], []
+        self.words: Counter = Counter()
+        self.firsts: list[str] = []
+        self.lasts: list[str] = []
+
+    def add(self, row: int, a: int, text: str, split: bool, label: str) -> None:
+        self.rows.append(row), self.at.append(a), self.size.append(len(text)), self.low.append(text[0].islower())
+        if not split:
+            self.labels.append(label.lower()), self.per.append(0), self.solid.append(True)
+            return
+        spots = places(text)
+        self.labels.append(label), self.per.append(len(spots))
         begin = 0
-        for (end, nxt, *_), p in zip(spots, post, strict=True):
-            if p > 0.5:
-                piece = text[begin:end]
-                if _SOLID.search(piece):
-                    out.append((at + begin, at + end, piece, label))
-                    begin = nxt
-        piece = text[begin:]
-        if _SOLID.search(piece):
-            out.append((at + begin, at + len(text), piece, label))
-        elif out and begin:  # marks alone belong to what they follow
-            s, _, t, lab = out[-1]
-            out[-1] = (s, at + len(text), t + text[begin:], lab)
+        for end, nxt, u, v, tied in spots:
+            self.ends.append(end), self.nexts.append(nxt), self.lefts.append(u), self.rights.append(v), self.tied.append(tied)
+            self.solid.append(_SOLID.search(text, begin, end) is not None)
+            begin = nxt
+        self.solid.append(begin == 0 or _SOLID.search(text, begin) is not None)
+        tokens = text.split()
+        self.words.update(tokens)
+        self.firsts.append(tokens[0])
+        last = tokens[-1]
+        if not _SOLID.search(last):
+            for before in tokens[-2:-5:-1]:
+                last = before + " " + last
+                if _SOLID.search(before):
+                    break
+        self.lasts.append(last)
+
+    def counts(self) -> dict[str, list]:
+        """Events of these lines, in columns: kind, forms and classes of both words, number.
+
+        ``g`` counts places, ``s`` first words, ``e`` last words, ``c`` words of the running text.
+        """
+        out: Counter = Counter()
+        for w, n in self.words.items():
+            out["c", "", "", right_form(w)[0], ""] += n
+        style = ["low" if x else "up" for x in self.low]
+        for (w, c), n in Counter(zip(self.firsts, [c for c, x in zip(style, self.labels, strict=True) if x.isupper()], strict=True)).items():
+            f, k = right_form(w)
+            out["s", "", "", f, k + c] += n
+        for w, n in Counter(self.lasts).items():
+            if w[-1] not in ",:;":
+                f, k = left_form(w[-4:] if _CJK.search(w) else w)
+                out["e", f, k, "", ""] += n
+        u, u_words = _coded(self.lefts)
+        v, v_words = _coded(self.rights)
+        low = np.repeat(np.array(self.low, np.int64), np.array(self.per, np.int64))
+        keys, numbers = np.unique((u * max(1, len(v_words)) + v) * 2 + low, return_counts=True)
+        u_forms, v_forms = [left_form(w) for w in u_words], [right_form(w) for w in v_words]
+        for key, n in zip(keys.tolist(), numbers.tolist(), strict=True):
+            pair, low_line = divmod(key, 2)
+            i, j = divmod(pair, len(v_words))
+            f, k = v_forms[j]
+            out["g", *u_forms[i], f, k + ("low" if low_line else "up")] += n
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return dict(zip(("kind", "u", "uc", "v", "vc"), map(list, cols), strict=True)) | {"n": list(out.values())}
+
+
+def lines_of(messages: list[str], model: LineModel) -> Lines:
+    """Label the lines of messages and find the places in their running text."""
+    out = Lines()
+    for row, (message, (lines, letters, flags)) in enumerate(zip(messages, labelled(messages, model), strict=True)):
+        for part in running_parts(message, lines, letters, flags):
+            out.add(row, *part)
     return out
 
 
-def message_units(messages: list[str], all_labels: list[str], model: EventModel) -> Iterator[list[tuple[int, int, str, str]]]:
-    """Units of each message, with their texts and labels; its logical lines' labels come as one string, '-' for blank lines."""
-    for k in range(0, len(messages), 1000):
-        rows = []
-        for message, labels in zip(messages[k : k + 1000], all_labels[k : k + 1000], strict=True):
-            lines = logical_lines(message) if message else []
-            rows.append(list(running_parts(message, lines, ["" if c == "-" else c for c in labels])))
-        found = [places(text) if split else [] for parts in rows for _, text, split, _ in parts]
-        posts = model.posteriors(found, [text[:1].islower() for parts in rows for _, text, _, _ in parts])
-        at = 0
-        for parts in rows:
-            yield units_of(parts, found[at : at + len(parts)], posts[at : at + len(parts)])
-            at += len(parts)
+def units_of(rows: np.ndarray, labels: np.ndarray, at: np.ndarray, size: np.ndarray, per: np.ndarray, ends: np.ndarray, nexts: np.ndarray, solid: np.ndarray, post: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Message number, start, end and label of each unit: lines cut at the places whose posterior passes one half.
+
+    Marks alone are no unit: before a unit they open it, after the last one of a line they belong to that.
+    """
+    line_of = np.repeat(np.arange(len(rows)), per + 1)  # of each piece
+    inner = np.ones(len(line_of), bool)  # pieces with a place after them
+    inner[np.cumsum(per + 1) - 1] = False
+    place_of = np.cumsum(inner) - 1
+    cut = np.zeros(len(line_of), bool)
+    cut[inner] = post > 0.5
+    # Pieces that no cut parts hold together as a group.
+    heads = np.flatnonzero(np.append(True, cut[:-1] | (line_of[1:] != line_of[:-1]))) if len(line_of) else np.zeros(0, np.int64)
+    full = np.flatnonzero(np.maximum.reduceat(solid.astype(np.int8), heads)) if len(heads) else heads
+    line = line_of[heads]
+    tails = np.append(heads[1:], len(line_of)) - 1
+    begin = np.zeros(len(heads), np.int64)
+    later = np.flatnonzero(line[1:] == line[:-1]) + 1
+    begin[later] = nexts[place_of[tails[later - 1]]]
+    # A unit begins where the group after the unit before begins, and the last of a line goes on to the line's end.
+    of = line[full]
+    same = of[1:] == of[:-1]
+    opening = np.searchsorted(line, of, side="left")
+    opening[1:][same] = full[:-1][same] + 1
+    stop = size[of]
+    stop[:-1][same] = ends[place_of[tails[full[:-1][same]]]]
+    return rows[of], at[of] + begin[opening], at[of] + stop, labels[of]
+
+
+def message_units(messages: list[str], lines: Lines, model: EventModel) -> list[list[tuple[int, int, str, str]]]:
+    """Start, end, text and label of the units of each message, in order; ``lines`` are theirs."""
+    per = np.array(lines.per, np.int64)
+    post = model.posteriors(per, lines.lefts, lines.rights, np.array(lines.tied, bool), np.array(lines.low, bool))
+    labels = np.array([ord(x.upper()) for x in lines.labels], np.uint8)
+    arrays = [np.array(x, np.int64) for x in (lines.rows, lines.at, lines.size, lines.ends, lines.nexts)]
+    found = units_of(arrays[0], labels, arrays[1], arrays[2], per, arrays[3], arrays[4], np.array(lines.solid, bool), post)
+    out: list[list[tuple[int, int, str, str]]] = [[] for _ in messages]
+    for row, a, b, label in zip(*(x.tolist() for x in found), strict=True):
+        out[row].append((a, b, messages[row][a:b], chr(label)))
+    return out
 
 
-# One row a message: a letter for each of its parts (small: not to be split), offsets and lengths; for each part the
-# number of places, and for each place its two sides. `solid` tells which pieces between places hold a letter or digit.
-_STAGED = [("is_count", T.BooleanType()), ("kinds", T.StringType()), ("low", T.StringType()), ("at", T.ArrayType(T.IntegerType())), ("size", T.ArrayType(T.IntegerType())), ("n_places", T.ArrayType(T.IntegerType())),
-           ("ends", T.ArrayType(T.IntegerType())), ("nexts", T.ArrayType(T.IntegerType())), ("lefts", T.ArrayType(T.StringType())), ("rights", T.ArrayType(T.StringType())), ("tied", T.StringType()), ("solid", T.StringType()), ("counts", T.ArrayType(T.StringType())), ("ns", T.ArrayType(T.LongType()))]
+# A message's row: a letter for each of its lines of running text (small: not to be split), their places and lengths; for
+# each line the number of places, and for each place its two sides. `solid` tells which pieces hold a letter or digit.
+_INTS, _TEXTS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+_STAGED = [("kinds", T.StringType()), ("low", T.StringType()), ("at", _INTS), ("size", _INTS), ("n_places", _INTS), ("ends", _INTS), ("nexts", _INTS), ("lefts", _TEXTS), ("rights", _TEXTS), ("tied", T.StringType()), ("solid", T.StringType())]
+_COUNTED = [("is_count", T.BooleanType()), ("kind", _TEXTS), ("u", _TEXTS), ("uc", _TEXTS), ("v", _TEXTS), ("vc", _TEXTS), ("n", T.ArrayType(T.LongType()))]
 
 
-def _list(values: list, ends: list[int], kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(values, kind))
+def _list(values: list | pa.Array, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
-def stage_messages(samples: DataFrame, model: LineModel, keep: list[str] | None = None) -> DataFrame:
+def _bits(values: list[bool], ends: np.ndarray) -> list[str]:
+    """Strings of 0 and 1, one for each stretch."""
+    text = (np.array(values, np.uint8) + 48).tobytes().decode()
+    return [text[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]  # noqa: B905 - one end more
+
+
+def staged_columns(lines: Lines, n: int) -> list[pa.Array]:
+    """The columns of ``_STAGED`` for ``n`` messages and a last row of nulls."""
+    per = np.array(lines.per, np.int64)
+    line_ends = np.searchsorted(np.array(lines.rows, np.int64), np.arange(n), side="right")
+    place_ends = np.concatenate([[0], np.cumsum(per)])[line_ends]
+    piece_ends = place_ends + line_ends
+    letters = "".join(lines.labels)
+    kinds = [letters[a:b] for a, b in zip([0, *line_ends.tolist()], line_ends.tolist())]  # noqa: B905
+    ints, texts = pa.int32(), pa.string()
+    more = lambda e: np.append(e, e[-1] if len(e) else 0)
+    by_line, by_place = more(line_ends), more(place_ends)
+    return [
+        pa.array([*kinds, None], texts), pa.array([*_bits(lines.low, line_ends), None], texts), *(_list(x, by_line, ints) for x in (lines.at, lines.size, lines.per)), *(_list(x, by_place, ints) for x in (lines.ends, lines.nexts)),
+        _list(lines.lefts, by_place, texts), _list(lines.rights, by_place, texts), pa.array([*_bits(lines.tied, place_ends), None], texts), pa.array([*_bits(lines.solid, piece_ends), None], texts),
+    ]
+
+
+def count_columns(counts: dict[str, list], n: int) -> list[pa.Array]:
+    """The columns of ``_COUNTED``: ``n`` rows without counts and one that has them."""
+    ends = np.array([0] * n + [len(counts["n"])], np.int64)
+    return [pa.array([False] * n + [True]), *(_list(counts[c], ends, pa.string()) for c in ("kind", "u", "uc", "v", "vc")), _list(counts["n"], ends, pa.int64())]
+
+
+def stage_messages(samples: DataFrame, model: LineModel) -> DataFrame:
     """Label lines, find the places of running text, and count them, in one pass whose result is written once.
 
-    Besides a row for each message (with the columns ``keep``) there is one for each batch that holds the counts of the
-    batch, with ``is_count``; `counted` adds these up.
+    Besides a row for each message there is one for each batch that holds the counts of the batch, with ``is_count``;
+    `count_events` adds these up.
     """
-    keep = ["row_id", *(keep or [])]
     shared = samples.sparkSession.sparkContext.broadcast(model)
-    rows = samples.select(*dict.fromkeys([*keep, "message"])).filter(F.length("message") > 0)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name in keep), *(T.StructField(n, k) for n, k in _STAGED)])
+    rows = samples.select("row_id", "message").filter(F.length("message") > 0)
+    schema = T.StructType([rows.schema["row_id"], *(T.StructField(n, k) for n, k in [*_STAGED, *_COUNTED])])
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            messages = batch.column("message").to_pylist()
-            kinds, lows, ties, solids = [], [], [], []
-            at, size, per, ends, nexts, lefts, rights = ([] for _ in range(7))
-            part_ends, place_ends = [], []
-            counts: Counter = Counter()
-            words: Counter = Counter()
-            for message, (lines, _, labels) in zip(messages, labelled(messages, shared.value), strict=True):
-                kind, low, tie, solid = "", "", "", ""
-                for a, text, split, label in running_parts(message, lines, labels):
-                    spots = places(text) if split else []
-                    kind += label if split else label.lower()
-                    small = text[:1].islower()
-                    low += "1" if small else "0"
-                    at.append(a), size.append(len(text)), per.append(len(spots))
-                    begin = 0
-                    for end, nxt, u, v, tied in spots:
-                        ends.append(end), nexts.append(nxt), lefts.append(u), rights.append(v)
-                        tie += "1" if tied else "0"
-                        solid += "1" if _SOLID.search(text, begin, end) else "0"
-                        begin = nxt
-                    solid += "1" if not spots or _SOLID.search(text, begin) else "0"
-                    if split:
-                        _count_line(text, spots, "low" if small else "up", counts, words)
-                kinds.append(kind), lows.append(low), ties.append(tie), solids.append(solid)
-                part_ends.append(len(at)), place_ends.append(len(ends))
-            for w, n in words.items():
-                counts["c", "", "", right_form(w)[0], ""] += n
-            # The batch's counts are one more row.
-            n, ints, texts = len(messages), pa.int32(), pa.string()
-            part_ends.append(len(at)), place_ends.append(len(ends))
-            flat = [x for key in counts for x in key]
-            extra = [pa.concat_arrays([batch.column(c), pa.nulls(1, batch.column(c).type)]) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*extra, pa.array([False] * n + [True]), pa.array([*kinds, None], texts), pa.array([*lows, None], texts), _list(at, part_ends, ints), _list(size, part_ends, ints), _list(per, part_ends, ints), _list(ends, place_ends, ints), _list(nexts, place_ends, ints), _list(lefts, place_ends, texts), _list(rights, place_ends, texts),
-                 pa.array([*ties, None], texts), pa.array([*solids, None], texts), _list(flat, [0] * n + [len(flat)], texts), _list(list(counts.values()), [0] * n + [len(counts)], pa.int64())],
-                names=[*keep, *(n for n, _ in _STAGED)],
-            )
+            lines, ids = lines_of(batch.column("message").to_pylist(), shared.value), batch.column("row_id")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(1, ids.type)]), *staged_columns(lines, len(ids)), *count_columns(lines.counts(), len(ids))], names=schema.names)
 
     return written(rows.mapInArrow(run, schema), "staged-messages")
 
 
-def _count_line(text: str, spots: list[tuple[int, int, str, str, bool]], style: str, counts: Counter, words: Counter) -> None:
-    """Count a line of running text: g places, s its first word, e its last word; its words are gathered for c."""
-    tokens = text.split()
-    words.update(tokens)
-    (vf, vc) = right_form(tokens[0])
-    counts["s", "", "", vf, vc + style] += 1
-    last = tokens[-1]
-    for before in tokens[-2:-5:-1]:
-        if _SOLID.search(last):
-            break
-        last = before + " " + last
-    if last[-1] not in ",:;":
-        counts["e", *left_form(last[-4:] if _CJK.search(last) else last[-24:]), "", ""] += 1
-    for _, _, u, v, _ in spots:
-        (vf, vc) = right_form(v)
-        counts["g", *left_form(u), vf, vc + style] += 1
-
-
 def count_events(staged: DataFrame) -> DataFrame:
     """``kind, u, uc, v, vc, n`` over all messages: the batches' own sums, added up."""
-    pieces = staged.filter("is_count").select(F.posexplode("ns").alias("k", "n"), "counts")
-    part = lambda i: F.element_at("counts", F.col("k") * 5 + i + 1)
-    rows = pieces.select(part(0).alias("kind"), part(1).alias("u"), part(2).alias("uc"), part(3).alias("v"), part(4).alias("vc"), "n")
+    rows = staged.filter("is_count").select(F.inline(F.arrays_zip("kind", "u", "uc", "v", "vc", "n")))
     return written(rows.groupBy("kind", "u", "uc", "v", "vc").agg(F.sum("n").alias("n")), "sentence-events")
 
 
-def staged_units(batch: pa.RecordBatch, model: EventModel) -> Iterator[list[tuple[int, int, str]]]:
-    """Start, end and label of the units of each message of a staged batch."""
-    cols = [batch.column(n).to_pylist() for n in ("kinds", "low", "at", "size", "n_places", "ends", "nexts", "lefts", "rights", "tied", "solid")]
-    for k in range(0, batch.num_rows, 2000):
-        rows = list(zip(*(c[k : k + 2000] for c in cols), strict=True))
-        found, low = [], []
-        for _, lows, _, _, per, ends, nexts, lefts, rights, tied, _ in rows:
-            q = 0
-            for n in per:
-                found.append([(ends[j], nexts[j], lefts[j], rights[j], tied[j] == "1") for j in range(q, q + n)] if n else [])
-                q += n
-            low += [c == "1" for c in lows]
-        posts = model.posteriors(found, low)
-        f = 0
-        for kinds, _, at, size, per, ends, nexts, _, _, _, solid in rows:
-            units: list[tuple[int, int, str]] = []
-            q = s = 0
-            for kind, a, length, n in zip(kinds, at, size, per, strict=True):
-                label = kind.upper()
-                begin, held = 0, False
-                for j, p in enumerate(posts[f]):
-                    held = held or solid[s + j] == "1"
-                    if p > 0.5 and held:
-                        units.append((a + begin, a + ends[q + j], label))
-                        begin, held = nexts[q + j], False
-                if held or solid[s + n] == "1":
-                    units.append((a + begin, a + length, label))
-                elif begin:  # marks alone belong to what they follow
-                    units[-1] = (units[-1][0], a + length, label)
-                q, s, f = q + n, s + n + 1, f + 1
-            yield units
+def staged_units(batch: pa.RecordBatch, model: EventModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the row, start, end and label of the units of a staged batch."""
+
+    def flat(name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def letters(name: str) -> np.ndarray:
+        return np.frombuffer("".join(batch.column(name).to_pylist()).encode(), np.uint8)
+
+    per = flat("n_places")
+    rows = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    post = model.posteriors(per, batch.column("lefts").flatten(), batch.column("rights").flatten(), letters("tied") == 49, letters("low") == 49)
+    return units_of(rows, letters("kinds") & 0xDF, flat("at"), flat("size"), per, flat("ends"), flat("nexts"), letters("solid") == 49, post)
 
 
 def fit_events(events: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, steps: int = EM_STEPS) -> EventModel:
@@ -422,13 +502,21 @@ def fit_events(events: DataFrame, word_share: float = WORD_SHARE, pair_share: fl
     summed = mapped.groupBy("u", "uc", "v", "vc").agg(F.sum("n").alias("n"))
     kept = summed.withColumn("v", F.when(F.col("n") >= least("g", pair_share), F.col("v")).otherwise("")).groupBy("u", "uc", "v", "vc").agg(F.sum("n").alias("n"))
     table = kept.toPandas()  # at most 1 / pair_share pairs, and a class row for each word
-    return _em(table, starts, follows, ends, end_class, {"s": totals.get("s", 0), "c": totals.get("c", 0), "e": totals.get("e", 0)}, steps)
+    return _em(table, starts, follows, ends, end_class, totals, steps)
 
 
-def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str, int], end_class: dict[str, int], totals: dict[str, int], steps: int) -> EventModel:  # noqa: ANN001
-    n_start, n_follow = max(1, totals["s"]), max(1, totals["c"])
+def events_of(lines: Lines, steps: int = EM_STEPS) -> EventModel:
+    """The model of a few messages by themselves: every word and pair is kept."""
+    table = pd.DataFrame(lines.counts())
+    by = lambda kind, col: table[table["kind"] == kind].groupby(col)["n"].sum().to_dict()
+    totals = table.groupby("kind")["n"].sum().to_dict()
+    return _em(table[table["kind"] == "g"].reset_index(drop=True), by("s", "v"), by("c", "v"), by("e", "u"), by("e", "uc"), totals, steps)
+
+
+def _em(table: pd.DataFrame, starts: dict[str, int], follows: dict[str, int], ends: dict[str, int], end_class: dict[str, int], totals: dict[str, int], steps: int) -> EventModel:
+    n_start, n_follow = max(1, totals.get("s", 0)), max(1, totals.get("c", 0))
     if not len(table):
-        return EventModel({}, {}, {"": 1e-3}, {"": 1e-3}, {}, {})
+        return EventModel({}, {}, {"": (1e-3, 1e-3)}, (np.zeros(0, np.int64), np.zeros(0)), {})
     n = table["n"].to_numpy(float)
     u_names, u = np.unique(table["u"].to_numpy(str), return_inverse=True)
     c_names, c = np.unique(table["uc"].to_numpy(str), return_inverse=True)
@@ -475,34 +563,37 @@ def _em(table, starts: dict[str, int], follows: dict[str, int], ends: dict[str,
         case_yes, case_no = (add(k, len(k_names), b) + 0.5) / (b.sum() + 0.5 * len(k_names)), (add(k, len(k_names), nb) + 0.5) / (nb.sum() + 0.5 * len(k_names))
     by_pair = add(pair_of, len(pairs), nb)
     mass = add(u, len(u_names), nb)
-    pair = {(str(u_names[x // len(v_names)]), str(v_names[x % len(v_names)])): (float(mass[x // len(v_names)]), float(w)) for x, w in zip(pairs, by_pair, strict=True) if u_names[x // len(v_names)] and v_names[x % len(v_names)]}
-    pair |= {(str(x), "\0"): (float(m), float(t)) for x, m, t in zip(u_names, mass, types, strict=True) if x}
-    left = {str(x): float(p) for x, p in zip(u_names, p_u, strict=True) if x}
     odds = {}
     for name, y, z in zip(k_names, np.log(case_yes), np.log(case_no), strict=True):
         style = "low" if name.endswith("low") else "up"
         odds[str(name[: -len(style)]), style] = float(y - z)
-    # Words of the running text that were never beside a place.
+    # Words of the running text that were never beside a place come in, too.
     start_all = {w: (x + 0.3) / (n_start + b.sum() + 0.3 * len(v_names)) for w, x in starts.items()} | {str(w): float(p) for w, p in zip(v_names, ps, strict=True)}
     follow_all = {w: (x + 0.3) / (n_follow + 0.3 * len(v_names)) for w, x in follows.items()}
     start_all[""], follow_all[""] = s_rest / n_start / 50, f_rest / n_follow / 50
-    return EventModel(left, {str(x): float(p) for x, p in zip(c_names, class_p, strict=True)}, start_all, follow_all, pair, odds)
+    right = {w: (start_all.get(w, start_all[""]), follow_all.get(w, follow_all[""])) for w in [*start_all, *(w for w in follow_all if w not in start_all)]}
+    left = {str(x): (float(p), float(m), float(t)) for x, p, m, t in zip(u_names, p_u, mass, types, strict=True) if x}
+    # The pairs by the numbers of their words in these tables.
+    left_no, right_no = {w: k for k, w in enumerate(left)}, {w: k for k, w in enumerate(right)}
+    uid = np.array([left_no.get(str(x), -1) for x in u_names], np.int64)[pairs // len(v_names)]
+    vid = np.array([right_no[str(x)] if x else -1 for x in v_names], np.int64)[pairs % len(v_names)]
+    known = (uid >= 0) & (vid >= 0)
+    keys, weights = (uid * len(right) + vid)[known], by_pair[known]
+    order = np.argsort(keys)
+    return EventModel(left, {str(x): float(p) for x, p in zip(c_names, class_p, strict=True)}, right, (keys[order], weights[order]), odds)
 
 
 def sentence_units(staged: DataFrame, model: EventModel) -> DataFrame:
     """``row_id, start_char, end_char`` of each unit; a map without shuffle."""
     shared = staged.sparkSession.sparkContext.broadcast(model)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, begins, ends = [], [], []
-            for row, units in zip(batch.column("row_id").to_pylist(), staged_units(batch, shared.value), strict=True):
-                for s, e, _ in units:
-                    ids.append(row), begins.append(s), ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, begins, ends)], names=["row_id", "start_char", "end_char"])
-
-    wanted = staged.filter("not is_count").select("row_id", "kinds", "low", "at", "size", "n_places", "ends", "nexts", "lefts", "rights", "tied", "solid")
-    return wanted.mapInArrow(run, "row_id bigint, start_char bigint, end_char bigint")
+            rows, begins, ends, _ = staged_units(batch, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(rows)), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["row_id", "start_char", "end_char"])
+
+    return staged.filter("not is_count").select("row_id", *(n for n, _ in _STAGED)).mapInArrow(run, "row_id bigint, start_char bigint, end_char bigint")
 
 
 def p3_found(samples: DataFrame) -> DataFrame:

@@ -178,9 +178,10 @@ MAILS = [
 def test_lines_are_labelled():
     model = A.train_line_model(MAILS)
     views = [A.line_view(m)[1] for m in MAILS[:2]]
-    labels = model.label_many([*views, [""], ["", "!!!"]])
-    assert "".join(labels[0][:6]) == "GNCM" and set(labels[0][7:11]) == {"S"} and labels[0][12:] == ["A", "Q", "Q"]
-    assert labels[1][0] == "G" and labels[1][1] == "N" and labels[1][4] == "S" and not set(labels[1][6:]) & A.NEW - {""} and labels[2] == [""]
+    labels, flags = model.label_many([*views, [""], ["", "!!!"]])
+    assert labels[0][:7] == "G-N-CM-" and set(labels[0][7:11]) == {"S"} and labels[0][12:] == "AQQ"
+    assert labels[1][0] == "G" and labels[1][1] == "N" and labels[1][4] == "S" and not set(labels[1][6:]) & A.NEW and labels[2] == "-"
+    assert flags[0][0] & A.GREET and flags[0][1] == 0 and len(flags[3]) == 2
 
 
 def test_places_and_units():
@@ -188,9 +189,43 @@ def test_places_and_units():
     assert [x[2] for x in found] == ["M.", "A.", "here.", "Yes.”", "left!"]
     assert [x[0] for x in S.places("行きます。そう？はい")] == [5, 8]
     assert [x[2] for x in S.places("ดีครับ ไปค่ะ")] == ["ดีครับ"]
-    parts = [(10, "One. Two :-)", True, "N")]
-    spots = [S.places("One. Two :-)")]
-    assert S.units_of(parts, spots, [[0.9]]) == [(10, 14, "One.", "N"), (15, 22, "Two :-)", "N")]
+    lines = S.Lines()
+    for row, (text, split) in enumerate([("One. Two :-)", True), ("Hi Gwen.", False), ("... A. B!", True), ("A. B! ...", True)]):
+        lines.add(row, 10, text, split, "N")
+    post = np.full(sum(lines.per), 0.9)
+    rows, begin, end, labels = S.units_of(*(np.array(x, np.int64) for x in (lines.rows, [ord("N")] * 4, lines.at, lines.size, lines.per, lines.ends, lines.nexts)), np.array(lines.solid), post)
+    texts = ["One. Two :-)", "Hi Gwen.", "... A. B!", "A. B! ..."]
+    assert [(r, texts[r][a - 10 : b - 10]) for r, a, b in zip(rows.tolist(), begin.tolist(), end.tolist(), strict=True)] == [(0, "One."), (0, "Two :-)"), (1, "Hi Gwen."), (2, "... A."), (2, "B!"), (3, "A."), (3, "B! ...")]
+
+
+def test_units_match_a_plain_walk():
+    rng = np.random.RandomState(4)
+    for _ in range(300):
+        per = rng.randint(0, 5, rng.randint(1, 6))
+        solid = rng.rand(int(per.sum()) + len(per)) < 0.7
+        post, found, q, s = rng.rand(int(per.sum())), [], 0, 0
+        for line, n in enumerate(per.tolist()):
+            begin, held, units = 0, False, []
+            for j in range(n):
+                held = held or solid[s + j]
+                if post[q + j] > 0.5 and held:
+                    units.append([line, begin, 10 * j + 9])
+                    begin, held = 10 * j + 10, False
+            if held or solid[s + n]:
+                units.append([line, begin, 10 * n + 9])
+            elif units:
+                units[-1][2] = 10 * n + 9
+            found += units
+            q, s = q + n, s + n + 1
+        place = np.concatenate([np.arange(n) for n in per]).astype(np.int64)
+        rows, a, b, _ = S.units_of(np.arange(len(per)), np.zeros(len(per), np.int64), np.zeros(len(per), np.int64), per * 10 + 9, per, place * 10 + 9, place * 10 + 10, solid, post)
+        assert np.stack([rows, a, b], 1).tolist() == found
+
+
+def test_long_words_differ():
+    long = "Donaudampfschifffahrtsgesellschaft"
+    assert S.left_form(long + "en.") != S.left_form(long + "er.") and S.right_form(long + "en") != S.right_form(long + "er")
+    assert [x[2:4] for x in S.places(f"Die {long}. {long}en fährt.")] == [(long + ".", long + "en")]
 
 
 def test_languages():
