@@ -1,13 +1,16 @@
 """Find personal information in free text and replace it with typed placeholders.
 
-Kinds: email (spelled-out forms too), phone, identity, address, name. Numbers are recognised by the formats of the
-countries at hand and validated (digit counts, labels where the form alone could be a telephone number). Names are
-recognised by a lexicon: the given list, names that header and attribution lines of the whole corpus give, those that
-the message's own header lines give, and what follows a title.
-
-Pseudonyms are format-preserving: a keyed Feistel network over the digits and letters of a validated number (or over the
-days of a calendar) permutes it within its format, so equal values get equal pseudonyms in every document and separators
-stay in place, and the key's holder can undo it. Names, mail and street addresses get a short keyed code.
+Kinds: email (spelled-out forms too), phone, identity, address, name. Numbers are looked for where digits stand only, by the
+formats of the countries at hand, and validated: a telephone number by its count of digits, a number of a record by the
+check digits of its format or by a label before it. Names are recognised by a lexicon: the given list, names that header
+and attribution lines of the whole corpus give, those that the message's own header lines give, and what follows a title.
+
+A mention is what validation gives a canonical form; pseudonyms are a format-preserving permutation of it. A keyed Feistel
+network runs over the subscriber's digits of a telephone number (without country code, trunk zero and separators), over
+the body of a number with check digits (which are computed anew), over all digits and letters of other numbers, over the
+days of a calendar for dates. So equal values get equal pseudonyms in every document, however they are written, and the
+key's holder can undo it. Values that would leave their format are permuted again. Names, mail and street addresses get a
+keyed code of 64 bits.
 
 Defined results: null stays null; empty and blank texts have no mention; mentions never overlap (the earlier kind of
 email, identity, address, phone, name wins); offsets count code points of the stored text; extra columns pass by. Names of
@@ -23,16 +26,17 @@ from collections import Counter
 from collections.abc import Iterator
 from datetime import date, timedelta
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillveil.llm.batches import uncollected
 from quillveil.runtime import written
 
 KINDS = ["email", "identity", "address", "phone", "name"]
 NAME_SHARE = 2e-5
-KEY = b"quillveil"
 #: Entries of the given list of names that may be collected; its size is checked.
 LISTED = 200_000
 
@@ -48,6 +52,30 @@ _EMAIL = re.compile(
     re.I,
 )
 
+_AT = re.compile(r"@|[\[(][ ]?(?:at|arroba|arobase)[ ]?[\])]|[ ](?:at|arroba|arobase)[ ](?=[A-Za-z0-9\-]+[ ](?:dot|punto|ponto|punkt)[ ])", re.I)
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+-")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Mail addresses, looked for around their signs."""
+    out: list[tuple[int, int]] = []
+    low = 0
+    for m in _AT.finditer(text):
+        at = m.start()
+        if at < low:
+            continue
+        while at > low and text[at - 1] == " " and m.start() - at < 3:
+            at -= 1
+        if at == low or text[at - 1] not in _LOCAL:
+            continue
+        while at > low and text[at - 1] in _LOCAL:
+            at -= 1
+        if found := _EMAIL.match(text, at):
+            out.append(found.span())
+            low = found.end()
+    return out
+
+
 # ---- telephone numbers
 _SEP = r"[ \xa0.\-/Â]{0,4}"
 _PHONE = re.compile(
@@ -56,7 +84,7 @@ _PHONE = re.compile(
     | 00\d{{2}}\d?{_SEP}\d{{1,3}}(?:{_SEP}\d{{2,9}}){{1,5}}
     | \(0?\d{{2,4}}\){_SEP}\d{{3,5}}[ \xa0\-]{{1,4}}\d{{3,4}}
     | \(0\d{{1,4}}\){_SEP}\d{{5,8}}(?:-\d{{2,4}})?
-    | \d{{3}}-\d{{3}}-\d{{4}}
+    | \d{{3}}-\d{{3}}-\d{{4}} | [2-9]\d{{2}}\.\d{{3}}\.\d{{4}}
     | 0\d{{4}}{_S}\d{{6}} | 0\d{{4}}{_S}\d{{3}}{_S}\d{{3}}
     | 0\d(?:(?:{_S}|\.)\d{{2}}){{4}}
     | 0\d{{2,4}}[ \xa0/\-]{{1,4}}\d{{3,8}}(?:[ \xa0\-]{{1,4}}\d{{2,5}})?
@@ -84,55 +112,77 @@ _ID_PLAIN = re.compile(
     rf"(?<![\w.\-/])(?:[12]{_S}\d\d{_S}\d\d{_S}\d\d{_S}\d{{3}}{_S}\d{{3}}{_S}\d\d|[12]\d{{14}}|\d{{3}}\.\d{{3}}\.\d{{3}}-\d\d|\d\d\.\d{{3}}\.\d{{3}}[- ]?[A-Z]|[XYZ]\d{{7}}-?[A-Z]|\d{{8}}-?[A-Z]|\d\d[A-Z]{{2}}\d{{5}}|[A-Z]\d\d[A-Z]\d{{5}}|\d{{3}}-\d\d-\d{{4}})(?![\w\-]|[.,]\d)"
 )
 
+#: A stretch of digits, capitals and separators: numbers are looked for within such only.
+_FIELD = re.compile(r"[0-9+(][0-9A-Z \xa0.\-/()+Â]{5,}")
+_DIGITS = re.compile(r"\d")
+
 # ---- street addresses
 _TOWN = rf"(?:(?:Groß|Bad|Klein|Alt|Neu)[ ]{{1,4}}[\w\-]+|[{_UP}][\w'’\-]*(?:[ \xa0]{{1,4}}(?:(?:de|del|da|do|das|dos|di|du|des|la|las|el|le|los|sur|am|an|der)[ ]{{1,4}}){{0,2}}[{_UP}][\w'’\-]+){{0,3}})"
 _ADDRESSES = [
-    re.compile(p)
-    for p in (
-        rf"(?:(?:Flat|Apt\.?|Unit){_S}\w{{1,4}},?{_S})?(?<![\w\-])\d{{1,4}}[a-z]?{_S}[A-Z][\w'’.]*(?:{_S}[A-Z][\w'’.]*){{0,3}},{_S}[A-Z][\w'’\-]*(?:{_S}[A-Z][\w'’\-]*){{0,3}},?{_S}[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_S}\d[A-Z]{{2}}(?!\w)",
-        rf"(?<![\w\-])\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|avenue|av\.|bd\.|boulevard|impasse|chemin|place|all\S{{1,6}}e|quai|route|cours|square){_S}[^,\n]{{3,45}},{_S}\d{{5}}{_S}{_TOWN}",
-        rf"(?:Calle|C/|Avda\.|Avenida|Av\.|Paseo|Plaza|Pza\.|Camino|Ronda|Glorieta|Via|Viale|Corso|Piazza){_S}[^\n]{{3,60}}?,{_S}\d{{5}}{_S}{_TOWN}",
-        rf"(?:Rua|R\.|Av\.|Avenida|Travessa|Tv\.|Largo|Pra\S{{1,4}}a|Estrada|Alameda|Beco|R\S{{1,4}}a|Praza|Calle|C/|Avda\.|Paseo|Plaza){_S}[^\n]{{3,60}}?,{_S}\d{{4,5}}-\d{{3}}{_S}{_TOWN}",
-        rf"(?:[{_UP}][\w]*(?:str\S{{1,6}}e|str\.|allee|weg|gasse|platz|ring|ufer|damm|anger|hof|steig)|(?:Am|An{_S}de[rn]|Im|Auf{_S}de[rm]|Zum|Zur){_S}[{_UP}]\w+(?:{_S}[{_UP}]\w+)?){_S}\d{{1,4}}{_S[:-1]}?[a-z]?,{_S}(?:[DA]-)?\d{{4,5}}{_S}{_TOWN}".replace(_S[:-1] + "?[a-z]", "[ ]?[a-z]"),
+    (re.compile(p), tuple(words.split("|")))
+    for words, p in (
+        ("", rf"(?:(?:Flat|Apt\.?|Unit){_S}\w{{1,4}},?{_S})?(?<![\w\-])\d{{1,4}}[a-z]?{_S}[A-Z][\w'’.]*(?:{_S}[A-Z][\w'’.]*){{0,3}},{_S}[A-Z][\w'’\-]*(?:{_S}[A-Z][\w'’\-]*){{0,3}},?{_S}[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_S}\d[A-Z]{{2}}(?!\w)"),
+        ("Street|St.|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way", rf"(?<![\w\-])\d{{1,5}}{_S}(?:[NSEW]\.?{_S})?[A-Z][\w'’]*(?:{_S}[A-Z][\w'’]*){{0,3}}{_S}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way)\.?,?{_S}(?:(?:Apt|Suite|Unit)\.?{_S}\w{{1,5}},?{_S})?[A-Z][\w'’\-]*(?:{_S}[A-Z][\w'’\-]*){{0,3}},?{_S}[A-Z]{{2}}{_S}\d{{5}}(?:-\d{{4}})?(?!\w)"),
+        ("rue|avenue|av.|bd.|boulevard|impasse|chemin|place|all|quai|route|cours|square", rf"(?<![\w\-])\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|avenue|av\.|bd\.|boulevard|impasse|chemin|place|all\S{{1,6}}e|quai|route|cours|square){_S}[^,\n]{{3,45}},{_S}\d{{5}}{_S}{_TOWN}"),
+        ("Calle|C/|Av|Paseo|Plaza|Pza.|Camino|Ronda|Glorieta|Via|Corso|Piazza", rf"(?:Calle|C/|Avda\.|Avenida|Av\.|Paseo|Plaza|Pza\.|Camino|Ronda|Glorieta|Via|Viale|Corso|Piazza){_S}[^\n]{{3,60}}?,{_S}\d{{5}}{_S}{_TOWN}"),
+        ("R|Av|Travessa|Tv.|Largo|Pra|Estrada|Alameda|Beco|Calle|C/|Paseo|Plaza", rf"(?:Rua|R\.|Av\.|Avenida|Travessa|Tv\.|Largo|Pra\S{{1,4}}a|Estrada|Alameda|Beco|R\S{{1,4}}a|Praza|Calle|C/|Avda\.|Paseo|Plaza){_S}[^\n]{{3,60}}?,{_S}\d{{4,5}}-\d{{3}}{_S}{_TOWN}"),
+        ("str|allee|weg|gasse|platz|ring|ufer|damm|anger|hof|steig|Am |An |Im |Auf |Zum |Zur ", rf"(?:[{_UP}][\w]*(?:str\S{{1,6}}e|str\.|allee|weg|gasse|platz|ring|ufer|damm|anger|hof|steig)|(?:Am|An{_S}de[rn]|Im|Auf{_S}de[rm]|Zum|Zur){_S}[{_UP}]\w+(?:{_S}[{_UP}]\w+)?){_S}\d{{1,4}}{_S[:-1]}?[a-z]?,{_S}(?:[DA]-)?\d{{4,5}}{_S}{_TOWN}".replace(_S[:-1] + "?[a-z]", "[ ]?[a-z]")),
     )
 ]
 _POSTCODE = re.compile(r"\d{4,5}(?:-\d{3})?[ \xa0]|[A-Z]{1,2}\d{1,2}[A-Z]?[ \xa0]+\d[A-Z]{2}")
 
+_UK_POSTCODE = re.compile(r"\d[A-Z]{2}(?!\w)")
+
 # ---- names
 _CAP = re.compile(rf"(?<![\w@./\-])[{_UP}][\w'’]*(?:-[{_UP}][\w'’]*)*")
 _INITIALS = re.compile(rf"(?<![\w.])(?:[{_UP}]\.(?:-[{_UP}]\.)?[ \xa0]{{0,4}}){{1,3}}$")
-_TITLE = re.compile(
-    rf"(?<![\w\-])(?:Mrs?\.|Ms\.|Miss|Dr\.|Prof\.(?:ª|ssa)?|prof\.(?:ª)?|Sr\.|Sra\.|Srta\.|Dra\.|Sig\.(?:ra)?|Dott\.(?:ssa)?|avv\.|Hr\.|Fr\.|Herrn?|Frau|M\.|Mme|Mlle|Monsieur|Madame|Exmo\.[ ]Sr\.|г-н|г-жа|д-р|проф\.){_S}(?=[{_UP}])"
-)
+_TITLES = frozenset("Mr. Mrs. Ms. Miss Dr. Prof. Prof.ª Prof.ssa prof. prof.ª Sr. Sra. Srta. Dra. Sig. Sig.ra Dott. Dott.ssa avv. Hr. Fr. Herr Herrn Frau M. Mme Mlle Monsieur Madame г-н г-жа д-р проф.".split())
 #: Vowel signs and tone marks, which Python takes for no part of a word.
 _MARKS = "ऀ-ःऺ-ॏ॑-ॗॢॣัิ-ฺ็-๎"
 _PERSON_MAIL = re.compile(rf"(?:^|(?<=[^\w{_MARKS}]))((?:[^\W\d_][\w{_MARKS}'’.\-]*[ \xa0]+){{0,3}}[^\W\d_][\w{_MARKS}'’.\-]*)[ \xa0]{{0,6}}\(?$")
-_PERSON_TO = re.compile(r"(?m)^[>| ]*\*?(?:To|Para|À|Ã€|An|A|Pour|Кому|Cc)[ \xa0]?:\*?[ ]+([^\n<@:]{2,50}?)\r?$")
+_PERSON_TO = re.compile(r"(?m)^[>| ]*\*?(?:To|Para|À|Ã€|An|A|Pour|Кому|Cc)[ \xa0]?:\*?[ ]+([^\n<@:]{2,}?)\r?$")
+#: Words of the name of one person at most.
+NAME_OF = 6
 _STOP = frozenset("mr mrs ms dr prof sr sra srta dra sig dott avv hr fr herr frau monsieur madame mme mlle on le la am el em a den the von an de um re fwd à um schrieb wrote hello hi dear lundi".split())
 _OTHER = re.compile("[぀-ヿ㐀-鿿฀-๿؀-ۿऀ-ॿ]")
 _MONTHLIKE = frozenset(["may", "mai", "august", "avril", "juin", "abril", "sol", "mark", "till"])
 
 
+_SPACED = re.compile("[؀-ۿऀ-ॿ]+")
 _FRENCH = re.compile(r"\b(?:et|est|chez|pour|vous|avec|des|les)\b")
+_ATTRIBUTED = re.compile(r"(?:schrieb|wrote|,|:)\s+")
 _HEADER_LINE = re.compile(r"[>| ]*\*?[^\W\d_]{1,8}[ \xa0]?:\*? ")
 
 
 class Lexicon:
-    """Name words in small letters, and a pattern of the names in scripts without capitals."""
+    """Name words in small letters, and the names in scripts without capitals: by word, or where no spaces are by automaton."""
 
     def __init__(self, words: set[str], others: set[str]):
-        self.words = words
+        self.words, self.others = words, others
+        self.spaced = {w for w in others if _SPACED.match(w)}
+        self.solid = ahocorasick.Automaton()
+        for w in others - self.spaced:
+            self.solid.add_word(w, len(w))
+        self.solid.make_automaton()
         self.memo: dict[str, tuple[int, int]] = {}
-        spaced = sorted((w for w in others if re.match("[؀-ۿऀ-ॿ]", w)), key=len, reverse=True)
-        solid = sorted((w for w in others if w not in set(spaced)), key=len, reverse=True)
-        alternatives = []
-        if solid:
-            one = "|".join(map(re.escape, solid))
-            alternatives.append(f"(?:{one})(?:[ ]?(?:{one}))*")
-        if spaced:
-            one = "|".join(map(re.escape, spaced))
-            alternatives.append(f"(?<![؀-ۿऀ-ॿ])(?:{one})(?:[ ](?:{one}))*(?![؀-ۿऀ-ॿ])")
-        self.other = re.compile("|".join(alternatives)) if alternatives else None
+
+    def __reduce__(self):  # noqa: ANN204
+        return Lexicon, (self.words, self.others)
+
+    def other_names(self, text: str) -> list[list[int]]:
+        """Names in scripts without capitals; neighbours are one name (with a space or hyphen between, in scripts without spaces with nothing or a space)."""
+        found = []
+        if self.spaced:
+            found += [(m.start(), m.end(), 1) for m in _SPACED.finditer(text) if m[0] in self.spaced]
+        if len(self.solid):
+            found += [(end + 1 - n, end + 1, 0) for end, n in self.solid.iter_long(text)]
+        out: list[list[int]] = []
+        for a, b, spaced in sorted(found):
+            if out and (text[out[-1][1] : a] in ((" ", "-") if spaced else ("", " "))):
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return out
 
     def look(self, token: str) -> tuple[int, int]:
         """Where in a capitalised token a name begins and how long it is; length 0: none. Kept for tokens that come again."""
@@ -183,57 +233,78 @@ def persons(text: str) -> list[str]:
     out = []
     at = text.find("<")
     while at >= 0:
-        if 3 < text.find(">", at, at + 84) - at and (m := _PERSON_MAIL.search(text[text.rfind("\n", 0, at) + 1 : at][-64:])):
-            out.append(m[1])
+        end = text.find(">", at)
+        if end < 0:
+            break
+        if end - at > 3 and text.find("\n", at, end) < 0:
+            head = text[text.rfind("\n", 0, at) + 1 : at].replace("\xa0", " ").rsplit(None, 4)
+            if m := _PERSON_MAIL.search(" ".join(head[-4:])):
+                out.append(m[1])
         at = text.find("<", at + 1)
-    out += [m[1] for m in _PERSON_TO.finditer(text)]
+    if ": " in text or ":*" in text:
+        out += [m[1] for m in _PERSON_TO.finditer(text) if m[1].count(" ") < NAME_OF]
     # What stands before the name in an attribution is no part of it.
-    return [re.split(r"(?:schrieb|wrote|,|:)\s+", n)[-1] for n in out]
+    return [_ATTRIBUTED.split(n)[-1] for n in out]
+
+
+def numbers(text: str, taken: list[tuple[int, int, str]]) -> None:
+    """Add the validated numbers: identity before address before phone."""
+    fields = []
+    for m in _FIELD.finditer(text):
+        if len(_DIGITS.findall(m[0])) >= 6:
+            fields.append((max(0, m.start() - 4), min(len(text), m.end() + 3)))
+    for a, b in fields:
+        for m in _ID_NUMBER.finditer(text, a, b):
+            if free(taken, *m.span()) and _ID_BEFORE.search(text[max(0, m.start() - 96) : m.start()]):
+                taken.append((*m.span(), "identity"))
+        for m in _ID_PLAIN.finditer(text, a, b):
+            if free(taken, *m.span()) and told_alone(m[0]):
+                taken.append((*m.span(), "identity"))
+    if _POSTCODE.search(text):
+        for p, words in _ADDRESSES:
+            if any(w in text for w in words) if words[0] else _UK_POSTCODE.search(text):
+                taken += [(m.start(), m.end(), "address") for m in p.finditer(text) if free(taken, *m.span())]
+    for a, b in fields:
+        for m in _PHONE.finditer(text, a, b):
+            if free(taken, *m.span()) and 8 <= len(_DIGITS.findall(m[0])) <= 15:
+                taken.append((*m.span(), "phone"))
+
+
+def free(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
+    return all(b <= s or a >= e for s, e, _ in taken)
 
 
 def find_mentions(message: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
     """Kind, start and end of each mention, in order."""
     text = _FLOW.sub(lambda m: " " * len(m[0]), message) if " \n" in message or " \r\n" in message else message
     taken: list[tuple[int, int, str]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= s or a >= e for s, e, _ in taken)
-
-    if "@" in text or "at]" in text or "at)" in text or " at " in text or "AT" in text:
-        taken += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    if any(map(str.isdigit, text)):
-        for m in _ID_NUMBER.finditer(text):
-            if free(*m.span()) and _ID_BEFORE.search(text[max(0, m.start() - 48) : m.start()]):
-                taken.append((*m.span(), "identity"))
-        taken += [(m.start(), m.end(), "identity") for m in _ID_PLAIN.finditer(text) if free(*m.span())]
-        if _POSTCODE.search(text):
-            for p in _ADDRESSES:
-                taken += [(m.start(), m.end(), "address") for m in p.finditer(text) if free(*m.span())]
-        for m in _PHONE.finditer(text):
-            if 8 <= sum(map(str.isdigit, m[0])) <= 15 and free(*m.span()):
-                taken.append((*m.span(), "phone"))
+    if "@" in text or "at]" in text or "at)" in text or " at " in text or "AT" in text or "rroba" in text or "robase" in text:
+        taken += [(a, b, "email") for a, b in emails(text)]
+    if _DIGITS.search(text):
+        numbers(text, taken)
     taken += _names(text, lexicon, taken)
     return sorted(((k, a, b) for a, b, k in taken), key=lambda x: x[1])
 
 
 def _names(text: str, lexicon: Lexicon, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    own = frozenset(w for n in persons(text) for w in name_words(n) if len(w) > 2)
+    given = [w for n in persons(text) for w in name_words(n)] if "<" in text or ": " in text or ":*" in text else []
+    own = frozenset(w for w in given if len(w) > 2)
     busy = sorted((a, b) for a, b, _ in taken)
-    titled = {m.end() for m in _TITLE.finditer(text)}
     out: list[list[int]] = []
     french: bool | None = None
     q = 0
+    known, look = lexicon.memo.get, lexicon.look
     for m in _CAP.finditer(text):
-        a, b = m.span()
-        skip, size = lexicon.look(m[0])
-        known = size > 0
-        if not known:
-            if own and lexicon.has(m[0], own):
-                size, known = b - a, True
-            elif a in titled and b - a > 2:
-                size = b - a - (2 if m[0].endswith(("'s", "’s")) else 0)
+        token = m[0]
+        skip, size = known(token) or look(token)
+        if not size:
+            if own and lexicon.has(token, own):
+                size = len(token)
+            elif len(token) > 2 and titled(text, m.start()):
+                size = len(token) - (2 if token.endswith(("'s", "’s")) else 0)
             else:
                 continue
+        a, b = m.span()
         while q < len(busy) and busy[q][1] <= a:
             q += 1
         if q < len(busy) and busy[q][0] < b:
@@ -247,7 +318,7 @@ def _names(text: str, lexicon: Lexicon, taken: list[tuple[int, int, str]]) -> li
         if joined:
             out[-1][1] = b
         else:
-            i = _INITIALS.search(text, max(0, a - 14), a)
+            i = _INITIALS.search(text, max(0, a - 14), a) if text[a - 1 : a] in ". \xa0" and "." in text[max(0, a - 5) : a] else None
             if i and i[0].strip() == "M." and french is None:
                 french = _FRENCH.search(text) is not None
             # In French a single M. is a title, but for header lines.
@@ -256,22 +327,31 @@ def _names(text: str, lexicon: Lexicon, taken: list[tuple[int, int, str]]) -> li
                 if not any(before < e and s < a for s, e in busy):
                     a = before
             out.append([a, b])
-    if lexicon.other is not None and _OTHER.search(text):
-        out += [[m.start(), m.end()] for m in lexicon.other.finditer(text) if all(m.end() <= s or m.start() >= e for s, e in busy)]
-    if others := {w for n in persons(text) for w in name_words(n) if len(w) > 1 and _OTHER.match(w)}:
-        # The message's own names in scripts without capitals; one that touches a known name makes it longer.
-        for m in Lexicon(set(), others).other.finditer(text):
-            a, b = m.span()
-            if not all(b <= s or a >= e for s, e in busy):
-                continue
-            near = [x for x in out if (x[0] <= b and a <= x[1]) or text[x[1] : a] == " " or text[b : x[0]] == " "]
-            out = [x for x in out if x not in near] + [[min([a, *(x[0] for x in near)]), max([b, *(x[1] for x in near)])]]
+    if _OTHER.search(text):
+        out += [x for x in lexicon.other_names(text) if all(x[1] <= s or x[0] >= e for s, e in busy)]
+        if others := {w for w in given if len(w) > 1 and _OTHER.match(w)}:
+            # The message's own names in scripts without capitals; one that touches a known name makes it longer.
+            for a, b in Lexicon(set(), others).other_names(text):
+                if not all(b <= s or a >= e for s, e in busy):
+                    continue
+                near = [x for x in out if (x[0] <= b and a <= x[1]) or text[x[1] : a] == " " or text[b : x[0]] == " "]
+                out = [x for x in out if x not in near] + [[min([a, *(x[0] for x in near)]), max([b, *(x[1] for x in near)])]]
     return [(a, b, "name") for a, b in out]
 
 
+def titled(text: str, at: int) -> bool:
+    """Whether a title stands right before a place."""
+    if text[at - 1 : at] not in (" ", "\xa0"):
+        return False
+    before = text[max(0, at - 16) : at].replace("\xa0", " ")
+    word = before.split()[-1:]
+    return bool(word) and word[0].lstrip("([\"'«“„>*") in _TITLES and before.endswith(word[0] + " " * (len(before) - len(before.rstrip(" "))))
+
+
 def corpus_names(samples: DataFrame, share: float = NAME_SHARE) -> Counter:
     """Words of the names in header and attribution lines, with their numbers, over all messages."""
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
@@ -330,37 +410,137 @@ def feistel(left: int, right: int, left_size: int, right_size: int, key: bytes,
     return left, right
 
 
-def pseudonym_number(text: str, key: bytes = KEY, back: bool = False) -> str:
-    """Permute a number within its format: digits stay digits, letters letters of their case, all else stays in place."""
-    kinds = [(10, "0") if c.isdigit() and c.isascii() else (26, "A") if "A" <= c <= "Z" else (26, "a") if "a" <= c <= "z" else None for c in text]
-    places = [k for k, kind in enumerate(kinds) if kind]
-    if len(places) < 2:
-        return text
-    half = len(places) // 2
-    salt = "".join("9" if k and k[0] == 10 else k[1] if k else "" for k in kinds)
+# Formats with check digits, by their compact form: body and check of a number, and the check that its body asks for.
+def _cpf(body: str) -> str:
+    for weight in (10, 11):
+        body += str(sum(int(c) * (weight - k) for k, c in enumerate(body)) * 10 % 11 % 10)
+    return body[-2:]
+
+
+def _nif(body: str) -> str:
+    rest = 11 - sum(int(c) * (9 - k) for k, c in enumerate(body)) % 11
+    return str(rest if rest < 10 else 0)
+
+
+def _tax_id(body: str) -> str:
+    product = 10
+    for c in body:
+        product = ((int(c) + product) % 10 or 10) * 2 % 11
+    return str((11 - product) % 10)
 
-    def number(part: list[int]) -> tuple[int, int]:
+
+def _letter(body: str) -> str:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(body.translate(str.maketrans("XYZ", "012"))) % 23]
+
+
+CHECKED = {
+    "national number": (re.compile(r"([12]\d{12})(\d\d)"), lambda body: f"{97 - int(body) % 97:02d}"),
+    "person's tax number": (re.compile(r"(\d{9})(\d\d)"), _cpf),
+    "tax id": (re.compile(r"([1-9]\d{9})(\d)"), _tax_id),
+    "identity letter": (re.compile(r"((?:\d|[XYZ])\d{7}|\d{8})([A-Z])"), _letter),
+    "contributor's number": (re.compile(r"([125689]\d{7})(\d)"), _nif),
+}
+_COMPACT = re.compile(r"[^0-9A-Za-z]")
+
+
+def checked(compact: str) -> tuple[str, str] | None:
+    """Name of the format whose check digits a compact number holds right, and its body; None if there is none."""
+    for name, (form, check) in CHECKED.items():
+        m = form.fullmatch(compact)
+        if m and check(m[1]) == m[2]:
+            return name, m[1]
+    return None
+
+
+#: Shapes that say by themselves what they are, although they have no check digits.
+_SAID = re.compile(r"\d\d[A-Z]{2}\d{5}|[A-Z]\d\d[A-Z]\d{5}|\d{3}-\d\d-\d{4}")
+
+
+def told_alone(text: str) -> bool:
+    """Whether a number without a label is one of a record: its check digits are right or its shape says so."""
+    return _SAID.fullmatch(text) is not None or checked(_COMPACT.sub("", text)) is not None
+
+
+#: Country calling codes by which the subscriber's digits are told from them: fixed values.
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 351 352 353 354 355 356 357 358 359 370 371 372 380 385 386 420 421 966 971 972".split())
+
+
+def subscriber(text: str) -> list[int]:
+    """Places of a telephone number's digits after country code and trunk zeros."""
+    places = [k for k, c in enumerate(text) if c.isascii() and c.isdigit()]
+    digits = "".join(text[k] for k in places)
+    skip = 0
+    if text.lstrip("( ").startswith("+") or digits.startswith("00"):
+        skip = 2 if digits.startswith("00") else 0
+        skip += next((n for n in (1, 2, 3) if digits[skip : skip + n] in CALLING), 0)
+    while skip < len(digits) - 4 and digits[skip] == "0":
+        skip += 1
+    return places[skip:]
+
+
+def permuted(text: str, key: bytes, salt: str, back: bool = False) -> str:
+    """A keyed permutation of the strings of one form: digits stay digits, letters letters of their case."""
+    zeros = ["0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" for c in text]
+    radix = [10 if z == "0" else 26 for z in zeros]
+    half = len(text) // 2
+
+    def number(a: int, b: int) -> tuple[int, int]:
         value, size = 0, 1
-        for k in part:
-            radix, zero = kinds[k]
-            value, size = value * radix + ord(text[k]) - ord(zero), size * radix
+        for k in range(a, b):
+            value, size = value * radix[k] + ord(text[k]) - ord(zeros[k]), size * radix[k]
         return value, size
 
-    (a, a_size), (b, b_size) = number(places[:half]), number(places[half:])
-    a, b = feistel(a, b, a_size, b_size, key, salt, back=back)
+    (left, left_size), (right, right_size) = number(0, half), number(half, len(text))
+    out = []
+    for value, a, b in zip(feistel(left, right, left_size, right_size, key, salt + "".join(zeros), back=back), (0, half), (half, len(text)), strict=True):
+        part = []
+        for k in reversed(range(a, b)):
+            value, digit = divmod(value, radix[k])
+            part.append(chr(ord(zeros[k]) + digit))
+        out += reversed(part)
+    return "".join(out)
+
+
+def pseudonym_number(text: str, key: bytes, back: bool = False, kind: str = "identity") -> str:
+    """Permute a number within its format; all that is no digit or letter stays in place.
+
+    Of a telephone number only the subscriber's digits change, and they stay told from the rest; a number whose check digits
+    are right gets a body of its form and the check digits for it, and one without right check digits gets none.
+    """
+    if kind == "phone":
+        places = subscriber(text)
+        good = lambda t: subscriber(filled(text, places, t)) == places
+        form, body = "phone", "".join(text[k] for k in places)
+    else:
+        places = [k for k, c in enumerate(text) if c.isascii() and c.isalnum()]
+        compact = "".join(text[k] for k in places)
+        form, body = checked(compact) or ("", compact)
+        if form:
+            shape, check = CHECKED[form]
+            good = lambda t: t[1:].isdigit() and (t[0] in "XYZ" or t[0].isdigit()) and checked(t + check(t)) == (form, t)
+        else:
+            good = lambda t: checked(t) is None
+    if len(body) < 2 or not good(body):
+        return text
+    made = permuted(body, key, form, back)
+    while not good(made):  # outside the format: permuted again, until it comes back into it
+        made = permuted(made, key, form, back)
+    if form and form != "phone":
+        made += CHECKED[form][1](made)
+    return filled(text, places, made)
+
+
+def filled(text: str, places: list[int], chars: str) -> str:
     out = list(text)
-    for part, value in ((places[:half], a), (places[half:], b)):
-        for k in reversed(part):
-            radix, zero = kinds[k]
-            value, digit = divmod(value, radix)
-            out[k] = chr(ord(zero) + digit)
+    for k, c in zip(places, chars, strict=True):
+        out[k] = c
     return "".join(out)
 
 
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
-def pseudonym_date(day: date, key: bytes = KEY, back: bool = False) -> date:
+def pseudonym_date(day: date, key: bytes, back: bool = False) -> date:
     """Permute the days from 1900 to 2099; a value that leaves the range is permuted again. Other days stay."""
     days = (LAST_DAY - FIRST_DAY).days + 1
     n = (day - FIRST_DAY).days
@@ -374,57 +554,70 @@ def pseudonym_date(day: date, key: bytes = KEY, back: bool = False) -> date:
             return FIRST_DAY + timedelta(days=n)
 
 
-def placeholder(kind: str, text: str, key: bytes = KEY) -> str:
+_DATES = re.compile(r"(?<![\w./\-])(?:(?P<y>(?:19|20)\d\d)-(?P<m>\d\d)-(?P<d>\d\d)|(?P<d2>\d\d)(?P<s>[./])(?P<m2>\d\d)(?P=s)(?P<y2>(?:19|20)\d\d))(?![\w/\-]|\.\d)")
+
+
+def mask_dates(text: str, key: bytes) -> str:
+    """Permute the dates of days written in numbers (year first, or day first with points or slashes), in their format."""
+
+    def change(m: re.Match) -> str:
+        first = m["y"] is not None
+        try:
+            day = date(*(int(m[k]) for k in (("y", "m", "d") if first else ("y2", "m2", "d2"))))
+        except ValueError:
+            return m[0]  # no day of the calendar
+        made = pseudonym_date(day, key)
+        return f"{made:%Y-%m-%d}" if first else f"{made:%d{m['s']}%m{m['s']}%Y}"
+
+    return _DATES.sub(change, text)
+
+
+def placeholder(kind: str, text: str, key: bytes) -> str:
     """``[phone 553-118-904]`` for numbers, ``[name 3f9c01d27a40be15]`` for the rest; equal values (but for case and spaces) alike."""
     if kind in ("phone", "identity"):
-        return f"[{kind} {pseudonym_number(' '.join(text.split()), key)}]"
+        return f"[{kind} {pseudonym_number(' '.join(text.split()), key, kind=kind)}]"
     plain = " ".join(text.casefold().split()).encode()
-    return f"[{kind} {hashlib.blake2b(plain, key=key, digest_size=8).hexdigest()}]"
+    return f"[{kind} {hashlib.blake2b(plain, key=key[:64], digest_size=8).hexdigest()}]"
 
 
-def mask(message: str | None, lexicon: Lexicon, key: bytes = KEY) -> str | None:
+def mask(message: str | None, lexicon: Lexicon, key: bytes, dates: bool = False) -> str | None:
+    """The message with a placeholder for each mention; with ``dates`` its dates are permuted, too."""
     if not message:
         return message
+    between = (lambda t: mask_dates(t, key)) if dates else str
     out, at = [], 0
     for kind, a, b in find_mentions(message, lexicon):
-        out += [message[at:a], placeholder(kind, message[a:b], key)]
+        out += [between(message[at:a]), placeholder(kind, message[a:b], key)]
         at = b
-    out.append(message[at:])
+    out.append(between(message[at:]))
     return "".join(out)
 
 
 def mentions(samples: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``row_id, kind, start_char, end_char`` of each mention; a map without shuffle."""
-    shared = samples.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.other.pattern if lexicon.other else None))
+    shared = samples.sparkSession.sparkContext.broadcast(lexicon)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _of(shared)
         for batch in batches:
             ids, kinds, starts, ends = [], [], [], []
             for row, m in zip(batch.column("row_id").to_pylist(), batch.column("message").to_pylist(), strict=True):
-                for kind, a, b in find_mentions(m, known):
+                for kind, a, b in find_mentions(m, shared.value):
                     ids.append(row), kinds.append(kind), starts.append(a), ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["row_id", "kind", "start_char", "end_char"])
 
     return samples.select("row_id", "message").filter(F.length("message") > 0).mapInArrow(run, "row_id bigint, kind string, start_char bigint, end_char bigint")
 
 
-def _of(shared) -> Lexicon:  # noqa: ANN001
-    words, pattern = shared.value
-    known = Lexicon(words, set())
-    known.other = re.compile(pattern) if pattern else None
-    return known
-
-
-def masked(samples: DataFrame, lexicon: Lexicon, out: str = "masked", key: bytes = KEY) -> DataFrame:
+def masked(samples: DataFrame, lexicon: Lexicon, key: bytes, out: str = "masked", dates: bool = False) -> DataFrame:
     """All columns and ``out``: the message with a typed placeholder for each mention. A column of that name is replaced."""
-    shared = samples.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.other.pattern if lexicon.other else None))
+    shared = samples.sparkSession.sparkContext.broadcast(lexicon)
     keep = [f for f in samples.schema.fields if f.name != out]
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _of(shared)
         for batch in batches:
-            made = pa.array([mask(m, known, key) for m in batch.column("message").to_pylist()], pa.string())
+            made = pa.array([mask(m, shared.value, key, dates) for m in batch.column("message").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), made], names=[*(f.name for f in keep), out])
 
     return samples.select(*[f.name for f in keep]).mapInArrow(run, T.StructType([*keep, T.StructField(out, T.StringType())]))
@@ -434,5 +627,5 @@ def p2_found(samples: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return mentions(samples, fit_lexicon(samples, gazetteer))
 
 
-def p2_masked(samples: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    return masked(samples.select("row_id", "message"), fit_lexicon(samples, gazetteer)).select("row_id", "masked")
+def p2_masked(samples: DataFrame, gazetteer: DataFrame, key: bytes) -> DataFrame:
+    return masked(samples.select("row_id", "message"), fit_lexicon(samples, gazetteer), key).select("row_id", "masked")

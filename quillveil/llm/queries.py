@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillveil.llm import encode, langid, mojibake, packing, pii, readability, replies, sentences
@@ -44,12 +46,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.p4_found(table(spark, sf_dir, "sample_data"))
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key of pseudonyms that the session gives in ``quillveil.pseudonym.key``; without one a new one that nobody keeps."""
+    given = spark.conf.get("quillveil.pseudonym.key", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.p2_found(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "gazetteer"))
 
 
 def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.p2_masked(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "gazetteer"))
+    return pii.p2_masked(table(spark, sf_dir, "sample_data"), table(spark, sf_dir, "gazetteer"), pseudonym_key(spark))
 
 
 QUERIES = {

@@ -292,7 +292,8 @@ class Lines:
     whether it holds a letter or digit.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, counted: bool = True) -> None:
+        self.counted = counted
         self.rows, self.labels, self.low, self.at, self.size, self.per = [], [], [], [], [], []
         self.ends, self.nexts, self.lefts, self.rights, self.tied, self.solid = [], [], [], [], [], []
         self.words: Counter = Counter()
@@ -312,6 +313,8 @@ class Lines:
             self.solid.append(_SOLID.search(text, begin, end) is not None)
             begin = nxt
         self.solid.append(begin == 0 or _SOLID.search(text, begin) is not None)
+        if not self.counted:
+            return
         tokens = text.split()
         self.words.update(tokens)
         self.firsts.append(tokens[0])
@@ -353,9 +356,9 @@ class Lines:
         return dict(zip(("kind", "u", "uc", "v", "vc"), map(list, cols), strict=True)) | {"n": list(out.values())}
 
 
-def lines_of(messages: list[str], model: LineModel) -> Lines:
-    """Label the lines of messages and find the places in their running text."""
-    out = Lines()
+def lines_of(messages: list[str], model: LineModel, counted: bool = True) -> Lines:
+    """Label the lines of messages, find the places in their running text and, if asked, gather what `Lines.counts` counts."""
+    out = Lines(counted)
     for row, (message, (lines, letters, flags)) in enumerate(zip(messages, labelled(messages, model), strict=True)):
         for part in running_parts(message, lines, letters, flags):
             out.add(row, *part)

@@ -54,22 +54,72 @@ def test_packing_is_valid_and_close_to_the_bound():
     assert sorted(i for b in child.bins for i in b) == list(range(400)) and max(child.fills) <= 512
 
 
+KEY = b"a key of the tests"
+
+
+@pytest.mark.parametrize("kind", ["identity", "phone"])
 @given(st.from_regex(r"[+(]?[0-9]{1,4}[ )\-][0-9]{3,6}[\-. ][0-9A-Za-z]{2,5}", fullmatch=True))
 @settings(max_examples=200, deadline=None)
-def test_pseudonyms_keep_the_format_and_go_back(text):
-    made = P.pseudonym_number(text)
+def test_pseudonyms_keep_the_format_and_go_back(kind, text):
+    made = P.pseudonym_number(text, KEY, kind=kind)
     assert [("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c) for c in made] == [("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c) for c in text]
-    assert P.pseudonym_number(made, back=True) == text and P.pseudonym_number(text) == made
+    assert P.pseudonym_number(made, KEY, back=True, kind=kind) == text and P.pseudonym_number(text, KEY, kind=kind) == made
 
 
 def test_pseudonyms_are_a_permutation():
-    assert len({P.pseudonym_number(f"{n:04d}") for n in range(10_000)}) == 10_000
+    assert len({P.pseudonym_number(f"{n:04d}", KEY) for n in range(10_000)}) == 10_000
     days = [date(2000, 1, 1), date(1900, 1, 1), date(2099, 12, 31), date(2024, 2, 29)]
-    assert [P.pseudonym_date(P.pseudonym_date(d), back=True) for d in days] == days
-    assert P.pseudonym_date(date(1850, 1, 1)) == date(1850, 1, 1)
+    assert [P.pseudonym_date(P.pseudonym_date(d, KEY), KEY, back=True) for d in days] == days
+    assert P.pseudonym_date(date(1850, 1, 1), KEY) == date(1850, 1, 1)
     assert P.pseudonym_number("553 292 287", b"a") != P.pseudonym_number("553 292 287", b"b")
 
 
+def digits(text):
+    return "".join(c for c in text if c.isdigit())
+
+
+def test_one_telephone_number_is_linked_however_it_is_written():
+    made = [P.pseudonym_number(t, KEY, kind="phone") for t in ("+33 6 12 34 56 78", "06 12 34 56 78", "0033 6.12.34.56.78", "+33 (0)6 12345678")]
+    assert {digits(m)[-9:] for m in made} == {digits(made[0])[-9:]} and digits(made[0])[-9:] != "612345678"
+    assert made[0].startswith("+33 ") and made[1].startswith("0") and made[2].startswith("0033 ") and made[3].startswith("+33 (0)")
+    other = P.pseudonym_number("06 12 34 56 79", KEY, kind="phone")
+    assert digits(other)[-9:] != digits(made[1])[-9:]
+
+
+@pytest.mark.parametrize("text", ["030.660.872-39", "41222553-K", "64400547 H", "1 80 04 92 180 628 95", "281 417 725", "X5170490V"])
+def test_check_digits_stay_right(text):
+    compact = "".join(c for c in text if c.isalnum())
+    assert (P.checked(compact) is None) == (text == "X5170490V") and P.told_alone(text) == (text != "X5170490V")
+    made = P.pseudonym_number(text, KEY)
+    assert made != text and (P.checked("".join(c for c in made if c.isalnum())) or "")[:1] == (P.checked(compact) or "")[:1]
+    assert P.pseudonym_number(made, KEY, back=True) == text
+    plain = P.pseudonym_number(compact, KEY)
+    assert plain == "".join(c for c in made if c.isalnum())  # separators don't part equal values
+
+
+def test_numbers_need_check_digits_or_a_label():
+    lexicon = P.Lexicon(set(), set())
+    found = lambda t: [(k, t[a:b]) for k, a, b in P.find_mentions(t, lexicon)]
+    assert found("ref. 030.660.872-39") == [("identity", "030.660.872-39")]
+    assert found("ref. 030.660.872-38") == [] and found("o meu CPF 030.660.872-38") == [("identity", "030.660.872-38")]
+    assert found("ring 555.123.4567 or 555-123-4567") == [("phone", "555.123.4567"), ("phone", "555-123-4567")]
+    assert found("at 12 Elm Grove Street, Upper Falls, NY 12345 today") == [("address", "12 Elm Grove Street, Upper Falls, NY 12345")]
+
+
+def test_dates_are_permuted_on_demand():
+    text = "on 2024-02-29, 05.03.2021, 31/12/1999, 99.99.2020, v1.02.2021 and 10.0.3.17"
+    made = P.mask(text, P.Lexicon(set(), set()), KEY, dates=True)
+    day = P.pseudonym_date(date(2024, 2, 29), KEY)
+    assert made.startswith(f"on {day:%Y-%m-%d}, {P.pseudonym_date(date(2021, 3, 5), KEY):%d.%m.%Y}, {P.pseudonym_date(date(1999, 12, 31), KEY):%d/%m/%Y}, 99.99.2020, v1.02.2021")
+    assert P.mask(text, P.Lexicon(set(), set()), KEY) == text
+
+
+def test_long_lines_keep_their_names():
+    line = "word " * 60 + "word, Anna Maria Perlander <" + "a" * 100 + "@x.example>"
+    assert P.persons(line) == ["Anna Maria Perlander"]
+    assert [line[a:b] for k, a, b in P.find_mentions(line, P.Lexicon(set(), set())) if k == "name"] == ["Anna Maria Perlander"]
+
+
 LEX = P.Lexicon({"nora", "coldwick", "agnès", "thorncombe", "may", "o'farrow"}, {"健太", "月島野"})
 
 
@@ -92,9 +142,9 @@ def test_mentions(text, found):
 
 
 def test_masking():
-    out = P.mask("Nora: +44 7700 900 101. NORA: +44 7700 900 101!", LEX)
+    out = P.mask("Nora: +44 7700 900 101. NORA: +44 7700 900 101!", LEX, KEY)
     assert "7700" not in out and out.count("[phone +") == 2 and len(set(__import__("re").findall(r"\[name \w+\]", out))) == 1
-    assert P.mask(None, LEX) is None and P.mask("", LEX) == ""
+    assert P.mask(None, LEX, KEY) is None and P.mask("", LEX, KEY) == ""
 
 
 @pytest.mark.parametrize(("name", "word"), [("यवनिका बेलगिरी", "बेलगिरी"), ("สมหญิง ภูผาทอง", "ภูผาทอง")])
@@ -105,7 +155,7 @@ def test_own_names_with_vowel_signs(name, word):
 
 
 def test_codes_and_limits(spark, monkeypatch):
-    assert len({P.placeholder("name", f"Name {k}") for k in range(40_000)}) == 40_000
+    assert len({P.placeholder("name", f"Name {k}", KEY) for k in range(40_000)}) == 40_000
     monkeypatch.setattr(P, "LISTED", 1)
     with pytest.raises(ValueError, match="more than 1"):
         P.fit_lexicon(None, spark.createDataFrame([("A", "PER"), ("B", "PER")], "word string, entity_group string"))
