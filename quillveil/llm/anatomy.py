@@ -217,8 +217,18 @@ def _long_cues(t: str, n: int) -> tuple[list[str], int]:
 
 
 def line_view(message: str) -> tuple[list[tuple[int, int, list[int]]], list[str]]:
-    lines = logical_lines(message)
-    return lines, [message[a:b].strip() if len(k) == 1 else message[a:b].replace("\r", "").replace("\n", "").strip() for a, b, k in lines]
+    """Logical lines and their stripped texts."""
+    if " \n" in message or " \r\n" in message:
+        lines = logical_lines(message)
+        return lines, [message[a:b].strip() if len(k) == 1 else message[a:b].replace("\r", "").replace("\n", "").strip() for a, b, k in lines]
+    # No line goes on in the next one.
+    rows = message.split("\n")
+    out, at = [], 0
+    for k, raw in enumerate(rows):
+        n = len(raw)
+        out.append((at, at + (n if raw[-1:] != "\r" else len(raw.rstrip("\r"))), [k]))
+        at += n + 1
+    return out, [raw.strip() for raw in rows]
 
 
 def draft_labels(texts: list[str], flags: list[int]) -> list[str]:

@@ -284,37 +284,49 @@ LONELY = 1.5
 
 
 class Lines:
-    """The lines of running text of some messages, laid out in columns.
+    """The lines of running text of some messages, labelled, with their places, laid out in columns.
 
     ``rows`` has for each line the number of its message, ``labels`` its letter (small: not to be split), ``low`` whether it
     begins with a small letter, ``at`` and ``size`` its place, ``per`` its number of places; for each place there are
     ``ends`` and ``nexts`` (in the line), ``lefts`` and ``rights``, ``tied``; ``solid`` tells for each piece between places
-    whether it holds a letter or digit.
+    whether it holds a letter or digit. What `counts` counts is gathered if ``counted``.
     """
 
-    def __init__(self, counted: bool = True) -> None:
-        self.counted = counted
-        self.rows, self.labels, self.low, self.at, self.size, self.per = [], [], [], [], [], []
-        self.ends, self.nexts, self.lefts, self.rights, self.tied, self.solid = [], [], [], [], [], []
+    def __init__(self, messages: list[str], model: LineModel, counted: bool = True):
+        lines: list[tuple[int, int, int, bool, str, int]] = []
+        spots: list[tuple[int, int, str, str, bool]] = []
+        self.solid: list[bool] = []
         self.words: Counter = Counter()
         self.firsts: list[str] = []
         self.lasts: list[str] = []
-
-    def add(self, row: int, a: int, text: str, split: bool, label: str) -> None:
-        self.rows.append(row), self.at.append(a), self.size.append(len(text)), self.low.append(text[0].islower())
-        if not split:
-            self.labels.append(label.lower()), self.per.append(0), self.solid.append(True)
+        row = 0
+        for message, (found, letters, flags) in zip(messages, labelled(messages, model), strict=True):
+            for a, text, split, label in running_parts(message, found, letters, flags):
+                if split:
+                    new = places(text)
+                    self._split(text, new)
+                    if counted:
+                        self._gather(text)
+                    spots += new
+                    lines.append((row, a, len(text), text[0].islower(), label, len(new)))
+                else:
+                    self.solid.append(True)
+                    lines.append((row, a, len(text), text[0].islower(), label.lower(), 0))
+            row += 1
+        self.rows, self.at, self.size, self.low, self.labels, self.per = map(list, zip(*lines, strict=True)) if lines else ([] for _ in range(6))
+        self.ends, self.nexts, self.lefts, self.rights, self.tied = map(list, zip(*spots, strict=True)) if spots else ([] for _ in range(5))
+
+    def _split(self, text: str, spots: list[tuple[int, int, str, str, bool]]) -> None:
+        if not spots:
+            self.solid.append(True)
             return
-        spots = places(text)
-        self.labels.append(label), self.per.append(len(spots))
         begin = 0
-        for end, nxt, u, v, tied in spots:
-            self.ends.append(end), self.nexts.append(nxt), self.lefts.append(u), self.rights.append(v), self.tied.append(tied)
+        for end, nxt, *_ in spots:
             self.solid.append(_SOLID.search(text, begin, end) is not None)
             begin = nxt
-        self.solid.append(begin == 0 or _SOLID.search(text, begin) is not None)
-        if not self.counted:
-            return
+        self.solid.append(_SOLID.search(text, begin) is not None)
+
+    def _gather(self, text: str) -> None:
         tokens = text.split()
         self.words.update(tokens)
         self.firsts.append(tokens[0])
@@ -356,15 +368,6 @@ class Lines:
         return dict(zip(("kind", "u", "uc", "v", "vc"), map(list, cols), strict=True)) | {"n": list(out.values())}
 
 
-def lines_of(messages: list[str], model: LineModel, counted: bool = True) -> Lines:
-    """Label the lines of messages, find the places in their running text and, if asked, gather what `Lines.counts` counts."""
-    out = Lines(counted)
-    for row, (message, (lines, letters, flags)) in enumerate(zip(messages, labelled(messages, model), strict=True)):
-        for part in running_parts(message, lines, letters, flags):
-            out.add(row, *part)
-    return out
-
-
 def units_of(rows: np.ndarray, labels: np.ndarray, at: np.ndarray, size: np.ndarray, per: np.ndarray, ends: np.ndarray, nexts: np.ndarray, solid: np.ndarray, post: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Message number, start, end and label of each unit: lines cut at the places whose posterior passes one half.
 
@@ -460,7 +463,7 @@ def stage_messages(samples: DataFrame, model: LineModel) -> DataFrame:
     @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, ids = lines_of(batch.column("message").to_pylist(), shared.value), batch.column("row_id")
+            lines, ids = Lines(batch.column("message").to_pylist(), shared.value), batch.column("row_id")
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(1, ids.type)]), *staged_columns(lines, len(ids)), *count_columns(lines.counts(), len(ids))], names=schema.names)
 
     return written(rows.mapInArrow(run, schema), "staged-messages")

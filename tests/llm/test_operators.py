@@ -63,7 +63,7 @@ def test_sentences(samples, none):
     lines = replies.fitted(samples)
     staged = sentences.stage_messages(samples, lines)
     events = sentences.fit_events(sentences.count_events(staged))
-    direct = [(a, b) for a, b, _, _ in sentences.message_units([MAIL], sentences.lines_of([MAIL], lines), events)[0]]
+    direct = [(a, b) for a, b, _, _ in sentences.message_units([MAIL], sentences.Lines([MAIL], lines), events)[0]]
     assert sorted(by_row(sentences.sentence_units(staged, events), "start_char", "end_char")[0]) == direct
 
 

@@ -216,7 +216,9 @@ def test_a_third_of_the_rows_garbled_alike(spark, shown, was):
 def test_logical_lines_and_quotes():
     text = "a \nb\r\n> q \n> r\n\n-- \nx"
     assert [n for _, _, n in A.logical_lines(text)] == [[0, 1], [2, 3], [4], [5], [6]]
-    assert A.logical_lines("") == [(0, 0, [0])]
+    assert A.logical_lines("") == [(0, 0, [0])] == A.line_view("")[0]
+    for plain in ("a\r\n\nb\r\r\n> c\n", "\n", "x"):
+        assert A.line_view(plain)[0] == A.logical_lines(plain) and A.line_view(plain)[1] == [plain[a:b].strip() for a, b, _ in A.logical_lines(plain)]
 
 
 MAILS = [
@@ -239,13 +241,12 @@ def test_places_and_units():
     assert [x[2] for x in found] == ["M.", "A.", "here.", "Yes.”", "left!"]
     assert [x[0] for x in S.places("行きます。そう？はい")] == [5, 8]
     assert [x[2] for x in S.places("ดีครับ ไปค่ะ")] == ["ดีครับ"]
-    lines = S.Lines()
-    for row, (text, split) in enumerate([("One. Two :-)", True), ("Hi Gwen.", False), ("... A. B!", True), ("A. B! ...", True)]):
-        lines.add(row, 10, text, split, "N")
+    texts = ["The one is here. The two is there :-)", "... So is A. There is B!", "So is A. There is B! ..."]
+    lines = S.Lines(texts, A.train_line_model([]))
+    assert lines.labels == ["N"] * 3 and lines.per == [1, 2, 2]
     post = np.full(sum(lines.per), 0.9)
-    rows, begin, end, labels = S.units_of(*(np.array(x, np.int64) for x in (lines.rows, [ord("N")] * 4, lines.at, lines.size, lines.per, lines.ends, lines.nexts)), np.array(lines.solid), post)
-    texts = ["One. Two :-)", "Hi Gwen.", "... A. B!", "A. B! ..."]
-    assert [(r, texts[r][a - 10 : b - 10]) for r, a, b in zip(rows.tolist(), begin.tolist(), end.tolist(), strict=True)] == [(0, "One."), (0, "Two :-)"), (1, "Hi Gwen."), (2, "... A."), (2, "B!"), (3, "A."), (3, "B! ...")]
+    rows, begin, end, labels = S.units_of(*(np.array(x, np.int64) for x in (lines.rows, [ord("N")] * 3, lines.at, lines.size, lines.per, lines.ends, lines.nexts)), np.array(lines.solid), post)
+    assert [(r, texts[r][a:b]) for r, a, b in zip(rows.tolist(), begin.tolist(), end.tolist(), strict=True)] == [(0, "The one is here."), (0, "The two is there :-)"), (1, "... So is A."), (1, "There is B!"), (2, "So is A."), (2, "There is B! ...")]
 
 
 def test_units_match_a_plain_walk():
