@@ -3,8 +3,8 @@
 Physical lines are joined to logical ones where a line ends in a space (flowed text). Each logical line gets the cues of
 its form, prefix, position, punctuation and neighbours; an averaged perceptron with Viterbi decoding labels the sequence.
 It is trained on a bounded sample of messages whose lines `draft_labels` marks from unmistakable signs (quote prefixes,
-header blocks, signature delimiters, known closings); all of the corpus is then labelled by the model, and a line whose
-sign admits no other reading (a quote prefix, what follows a header block) keeps the label of the sign.
+header blocks, signature delimiters, known closings); all of the corpus is then labelled by the model alone. On demand a
+line whose sign admits no other reading (a quote prefix, what follows a header block) keeps the label of the sign.
 
 Labels: N new text, G greeting, C closing, M name under a closing, L list item; Q quoted line, A attribution, H header
 line, X separator, F text forwarded below a header block; S signature, D disclaimer.
@@ -487,7 +487,7 @@ class LineModel:
             self.around_score = np.concatenate([self.around_score[:n], self._sums(rows)])
         return self.around_score[np.array([self.around[c] for c in kinds.tolist()], np.int64)][which]
 
-    def label_many(self, views: list[list[str]], pinned: bool = True) -> tuple[list[str], list[list[int]]]:
+    def label_many(self, views: list[list[str]], pinned: bool = False) -> tuple[list[str], list[list[int]]]:
         """A letter for each logical line of each message ('-' for blank ones), and the lines' flags.
 
         All messages are decoded together. With ``pinned``, a line whose sign admits one reading keeps it; see `pin`.

@@ -204,3 +204,18 @@ def pack_documents(documents: DataFrame, containers: DataFrame, tokenizer_dir: s
     for more in parts[1:]:
         items = items.unionByName(more)
     return fill_containers(items, **options)
+
+
+def bins_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """``container, n_documents, n_bins, least_bins, over_full, fill`` of a packing.
+
+    ``least_bins`` is the bound that no packing can beat, ``over_full`` the number of bins above the capacity, ``fill``
+    the share of the bins' space that is used.
+    """
+    capacities = containers.select("container", F.col("capacity_tokens").cast("bigint").alias("capacity")).dropna().dropDuplicates()
+    per_bin = packed.groupBy("container", "bin_id").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("used"), F.sum((F.col("part") == 0).cast("int")).alias("begun"))
+    rows = per_bin.join(F.broadcast(capacities), "container")  # the fixed list of containers
+    return rows.groupBy("container").agg(
+        F.sum("begun").cast("bigint").alias("n_documents"), F.count("*").alias("n_bins"), F.ceil(F.sum("used") / F.max("capacity")).cast("bigint").alias("least_bins"),
+        F.count_if(F.col("used") > F.col("capacity")).alias("over_full"), (F.sum("used") / F.sum("capacity")).alias("fill"),
+    )

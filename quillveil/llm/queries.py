@@ -18,6 +18,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
 
 
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.bins_report(p8_containers(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: all documents once, no bin above its capacity."""
+    return p8_bins(spark, sf_dir).select("container", "n_documents", "over_full")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.p9_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
@@ -71,6 +80,11 @@ QUERIES = {
     "p6_new_text": p6_new_text,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p8_bins": p8_bins,
+    "p8_whole": p8_whole,
     "p9_found": p9_found,
 }
-SQL: dict[str, str] = {}
+#: SQL of what can be said without the models.
+SQL: dict[str, str] = {
+    "p8_whole": "SELECT container, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS over_full FROM container_sizes",
+}

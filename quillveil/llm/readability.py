@@ -31,16 +31,17 @@ SAMPLE_LABELS = 20_000
 #: A word is frequent when it makes up at least this share of its language's words; so there are at most 1 / FREQUENT of them.
 FREQUENT = 5e-5
 
-# Connectives and clause-opening words by language.
+# Connectives and clause-opening words by language; those of several words are phrases by themselves.
 CONNECTIVES = {
-    "fr": "que qui dont lorsque puisque quoique afin cependant toutefois néanmoins car donc ainsi parce considérant mesure sorte bien où lequel laquelle lesquels lesquelles tandis si comme quand mais or selon",
-    "es": "que quien cuyo cuya cuando porque aunque sin embargo obstante puesto pues así mientras donde medida considerando cual cuales si como pero según ya dado salvo",
-    "pt": "que quem cujo cuja quando porque embora contudo todavia portanto assim enquanto onde medida considerando qual quais se como mas conforme dado uma vez salvo",
-    "en": "that which who whose when because although though however nevertheless notwithstanding whereas while given considering insofar unless since if as but thus therefore hence such so",
-    "de": "dass das welche welcher welches wenn weil obwohl obgleich jedoch dennoch daher somit während wobei sofern soweit indem damit ob als aber da insofern angesichts sodass wonach",
+    "fr": "que,qui,dont,lorsque,puisque,quoique,afin,cependant,toutefois,néanmoins,car,donc,ainsi,parce,considérant,à mesure,de sorte,bien que,où,lequel,laquelle,lesquels,lesquelles,tandis,si,comme,quand,mais,or,selon",
+    "es": "que,quien,cuyo,cuya,cuando,porque,aunque,sin embargo,no obstante,puesto,pues,así,mientras,donde,a medida,considerando,cual,cuales,si,como,pero,según,ya,dado que,salvo",
+    "pt": "que,quem,cujo,cuja,quando,porque,embora,contudo,todavia,portanto,assim,enquanto,onde,à medida,considerando,qual,quais,se,como,mas,conforme,dado que,uma vez,salvo",
+    "en": "that,which,who,whose,when,because,although,though,however,nevertheless,notwithstanding,whereas,while,given,considering,insofar,unless,since,if,as,but,thus,therefore,hence,such,so",
+    "de": "dass,das,welche,welcher,welches,wenn,weil,obwohl,obgleich,jedoch,dennoch,daher,somit,während,wobei,sofern,soweit,indem,damit,ob,als,aber,da,insofern,angesichts,sodass,wonach",
 }
 FEATURES = ["ttr", "rarity", "rare_share", "connectives", "commas", "word_len", "long_words", "sentence_len", "sentence_mass", "short_mass", "long_mass", "brief_mass", "short_share", "long_share", "log_words"]
-_CONNECTIVES = {k: frozenset(v.split()) for k, v in CONNECTIVES.items()}
+_CONNECTIVES = {k: frozenset(w for w in v.split(",") if " " not in w) for k, v in CONNECTIVES.items()}
+_PHRASES = {k: tuple(f" {w} " for w in v.split(",") if " " in w) for k, v in CONNECTIVES.items()}
 # A period after an initial or a short capitalised title ends no sentence, nor does one before a small letter.
 _SENTENCE = re.compile(r"(?:(?<!\b[^\W\d_])(?<!\b[A-ZÁÉ][a-z])(?<!\b[A-ZÁÉ][a-z]{2})\.|[!?…。])[.!?…]*[\"'»”)]*\s+(?![a-zà-ÿ])|\n+")
 _EDGE = "\"'«»“”„‘’()[].,;:!?…-–—*"
@@ -61,6 +62,9 @@ def text_features(text: str, lang: str, shares: dict[str, float]) -> list[float]
     steps = range(0, max(1, n - 39), 20)
     ttr = sum(len(set(words[a : a + 40])) / len(words[a : a + 40]) for a in steps) / len(steps)
     linked = sum(w in link for w in words)
+    if _PHRASES[lang]:
+        joined = f" {' '.join(words)} "
+        linked += sum(joined.count(p) for p in _PHRASES[lang])
     return [
         ttr, -sum(logs) / n, sum(x <= floor for x in logs) / n, linked / len(lengths), text.count(",") / len(lengths), sum(map(len, words)) / n, sum(len(w) >= 9 for w in words) / n,
         float(np.log(total / len(lengths))), float(np.log(sum(k * k for k in lengths) / total)), sum(k for k in lengths if k <= 7) / total, sum(k for k in lengths if k >= 22) / total, sum(k for k in lengths if k <= 4) / total,

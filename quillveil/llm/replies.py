@@ -6,7 +6,7 @@ name under a closing. The model is fitted on the driver on a bounded sample of m
 
 Defined results: null, empty and blank messages have no lines and an empty new text (null for null). LF and CRLF both
 end a line; numbers count LFs. A message that is quotation only has an empty new text. Very long messages are labelled
-whole. Repeated row ids keep a row each. With no message to train from, only the unmistakable signs decide.
+whole. Repeated row ids keep a row each. With no message to train from, every line counts as new text.
 """
 
 from __future__ import annotations
@@ -38,11 +38,14 @@ def fitted_on(messages: list[str]) -> LineModel:
     return train_line_model(messages)
 
 
-def labelled(messages: list[str], model: LineModel) -> Iterator[tuple[list[tuple[int, int, list[int]]], str, list[int]]]:
-    """Logical lines, a letter for each ('-' for blank ones) and their flags, for each message in order."""
+def labelled(messages: list[str], model: LineModel, pinned: bool = False) -> Iterator[tuple[list[tuple[int, int, list[int]]], str, list[int]]]:
+    """Logical lines, a letter for each ('-' for blank ones) and their flags, for each message in order.
+
+    With ``pinned``, lines whose sign admits one reading keep it whatever the model says.
+    """
     for at in range(0, len(messages), CHUNK):
         views = [line_view(m) for m in messages[at : at + CHUNK]]
-        letters, flags = model.label_many([t for _, t in views])
+        letters, flags = model.label_many([t for _, t in views], pinned)
         for (lines, _), row, f in zip(views, letters, flags, strict=True):
             yield lines, row, f
 

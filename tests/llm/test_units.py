@@ -54,6 +54,25 @@ def test_packing_is_valid_and_close_to_the_bound():
     assert sorted(i for b in child.bins for i in b) == list(range(400)) and max(child.fills) <= 512
 
 
+def test_crossover_beats_best_fit():
+    # Triples that fill a bin exactly; best fit in falling order pairs the wrong ones.
+    rng, capacity, better = random.Random(1), 1000, 0
+    for seed in range(6):
+        sizes = []
+        for _ in range(40):
+            a, b = rng.randrange(260, 480), rng.randrange(200, 330)
+            sizes += [a, b, capacity - a - b]
+        greedy = K.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity, [], [])
+        start = K.evolve(sizes, capacity, seed, [], generations=0, population=8)[0]
+        grown = K.evolve(sizes, capacity, seed, [], generations=150, population=8)[0]
+        assert len(grown.bins) <= len(start.bins) <= len(greedy.bins)
+        # Elites that migrate from another island are taken up.
+        moved = K.evolve(sizes, capacity, seed + 50, [grown.codes(len(sizes))], generations=2, population=8)[0]
+        assert moved.fitness(capacity) >= grown.fitness(capacity)
+        better += grown.fitness(capacity) > start.fitness(capacity) and len(grown.bins) < len(greedy.bins)
+    assert better >= 3
+
+
 KEY = b"a key of the tests"
 
 
@@ -297,3 +316,9 @@ def test_ordinal_regression_orders_bands():
     assert w[0] > 3 * abs(w[1]) and cut[0] < cut[1]
     assert (np.digitize(x @ w, cut) == y).mean() > 0.93
     assert R.text_features("...", "en", {}) is None
+
+
+def test_connectives_of_several_words():
+    at = R.FEATURES.index("connectives")
+    of = lambda t, lang: R.text_features(t, lang, {})[at]
+    assert of("Sin embargo, vino a casa.", "es") == 1 and of("Vino sin casa ni embargo.", "es") == 0 and of("Uma casa, outra vez.", "pt") == 0 and of("Uma vez em casa, dorme.", "pt") == 1
