@@ -6,7 +6,9 @@ follows another without one; rare words fall back to classes of their form. Cert
 of running text begins and ends a unit. Hidden ones are filled in by expectation maximisation over the counted pairs.
 Decoding is a forward-backward pass over the places of a line where a boundary may be, whose two states are "a boundary
 lies before this word" and "none does"; a place is a boundary if its posterior passes one half. In scripts that end
-sentences by no mark every space is such a place.
+sentences by no mark every space is such a place. In a line without any sentence mark every gap between words is one, in
+East Asian text every gap between characters; there the prior comes from the line's length: a line that is longer than
+sentences are is text written without marks, whose sentences are as long as others.
 
 Lines that are one unit each (header, attribution, greeting, list, name, signature) are told by the line model of
 `anatomy`. No boundary lies inside a quotation that is closed on its line.
@@ -37,6 +39,10 @@ from quillveil.runtime import written
 #: Least share of its kind that a word or a pair needs to be kept by itself.
 WORD_SHARE, PAIR_SHARE = 2e-5, 1e-6
 EM_STEPS = 6
+#: Share of lines taken to be written without sentence marks before their length is known.
+UNMARKED = 0.02
+#: Lengths of sentences, in words or East Asian characters, that are told apart.
+LONGEST = 400
 
 _EMOJI = "[\U0001F300-\U0001FAFF☀-➿]️?"
 _SMILEY = r"[:;]'?-?[)(DPp](?!\w)"
@@ -61,6 +67,9 @@ _NEXT = re.compile(r"\S+")
 _TAIL_MARKS = re.compile(rf"(?:[\s\xa0]*(?:{_EMOJI}|{_SMILEY}))+$")
 _DIGIT = re.compile(r"\d")
 _CJK_END = "。！？"
+_CJK_PAIR = re.compile("[぀-ヿ㐀-鿿](?=[぀-ヿ㐀-鿿])")
+_CJK_HEAD = re.compile("[぀-ヿ㐀-鿿]{1,2}")
+_ANY_MARK = re.compile(f"[{_MARKS}]")
 _WORDS: dict[str, tuple[str, str]] = {}
 
 
@@ -98,7 +107,7 @@ def right_form(raw: str) -> tuple[str, str]:
         if _THAI.search(core[:1]):
             form = core[:4]
         elif _CJK.search(core[:1]):
-            form = core[:2]
+            form = _CJK_HEAD.match(core)[0]
         else:
             form = _DIGIT.sub("9", core.rstrip(".,;:!?…»”\"').").lower())
         opened = "q" if raw[:1] in _OPEN and raw else ""
@@ -138,7 +147,7 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
         hits += [(g.start(), g.start(), g.end()) for g in _GAP.finditer(text) if g.start() > 0 and g.end() < n and g.start() not in taken]
         hits.sort()
     if not hits:
-        return out
+        return gaps(text) if _ANY_MARK.search(text) is None else out
     spans = [m.span() for m in _QUOTED.finditer(text)] if _QUOTE_MARK.search(text) else ()
     broken, fixed = "\n" in text, "\xa0" in text
     last_start = 0
@@ -159,6 +168,15 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
     return out
 
 
+def gaps(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """The places of a line without sentence marks: between any two words, or East Asian characters."""
+    if not text.isascii() and _CJK.search(text):
+        at = [m.start() + 1 for m in _CJK_PAIR.finditer(text)]
+        return [(i, i, text[max(0, i - 4) : i], text[i : i + 4], i - 1 in (0, before)) for i, before in zip(at, [0, *at], strict=False)]
+    words = [(m.start(), m.end(), m[0]) for m in _NEXT.finditer(text)]
+    return [(b, c, u, v, True) for (_, b, u), (c, _, v) in zip(words, words[1:], strict=False)]
+
+
 def _left_word(word: str) -> str:
     """In scripts without spaces the last characters stand for the word before a place."""
     return word if len(word) <= 24 or word.isascii() or not (_CJK.search(word) or _THAI.search(word)) else word[-24:]
@@ -212,19 +230,21 @@ class EventModel:
     """Log odds of a boundary; see the module's docstring.
 
     ``left`` has by form of the word before a place its prior, and how often and with how many kinds of words it goes on;
-    ``right`` by form of the word after it how often it begins and goes on; ``pairs`` the sorted keys
-    ``left number * len(right) + right number`` and how often the two follow each other without a boundary.
+    ``right`` by form of the word after it how often it begins, goes on and goes on for sure; ``pairs`` the sorted keys
+    ``left number * len(right) + right number`` and how often the two follow each other without a boundary; ``lengths``
+    the numbers of sentences by their length in words (``w``) and East Asian characters (``c``).
     """
 
-    def __init__(self, left: dict[str, tuple[float, float, float]], left_class: dict[str, float], right: dict[str, tuple[float, float]], pairs: tuple[np.ndarray, np.ndarray], case: dict[tuple[str, str], float]):
+    def __init__(self, left: dict[str, tuple[float, float, float]], left_class: dict[str, float], right: dict[str, tuple[float, float, float]], pairs: tuple[np.ndarray, np.ndarray], case: dict[tuple[str, str], float], lengths: dict[str, dict[int, int]]):
+        self.bare = np.stack([_bare_odds(lengths.get(kind, {})) for kind in ("w", "c")])
         self.left_class, self.case, self.pair_keys, self.pair_mass = left_class, case, *pairs
         self.left = {w: k for k, w in enumerate(left)}
         self.right = {w: k for k, w in enumerate(right)}
         self.left_values = np.array([*left.values(), (0.5, 0.0, 2.0)])
         self.right_values = np.array(list(right.values()))
 
-    def log_odds(self, lefts: list[str] | pa.Array, rights: list[str] | pa.Array, low: np.ndarray) -> np.ndarray:
-        """Log odds of a boundary between each two words; ``low``: the line begins with a small letter."""
+    def log_odds(self, lefts: list[str] | pa.Array, rights: list[str] | pa.Array, low: np.ndarray, per: np.ndarray) -> np.ndarray:
+        """Log odds of a boundary between each two words; ``low``: the line begins with a small letter, ``per``: it has so many places."""
         u, u_words = _coded(lefts)
         v, v_words = _coded(rights)
         u_forms, v_forms = [left_form(w) for w in u_words], [right_form(w) for w in v_words]
@@ -242,7 +262,12 @@ class EventModel:
             pair = np.where(self.pair_keys[at] == key, self.pair_mass[at], 0.0)
         mass, types = self.left_values[uid, 1], self.left_values[uid, 2]
         goes_on = (pair + types * values[v, 1]) / (mass + types)
-        return np.log(prior / (1 - prior))[u] + np.log(values[v, 0] / goes_on) + case[low.astype(np.int64), v]
+        before = np.log(prior / (1 - prior))[u]
+        # Words without a mark, in scripts that have some: the line's length tells.
+        kinds = np.array([-1 if c[0] != "|" else {"t": -1, "c": 1}.get(c.split("|")[2], 0) for _, c in u_forms], np.int64)[u]
+        before = np.where(kinds >= 0, self.bare[np.maximum(kinds, 0), np.minimum(per, LONGEST)], before)
+        goes_on = np.where(kinds >= 0, values[v, 2], goes_on)
+        return before + np.log(values[v, 0] / goes_on) + case[low.astype(np.int64), v]
 
     def posteriors(self, per: np.ndarray, lefts: list[str] | pa.Array, rights: list[str] | pa.Array, tied: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Posterior of a boundary at each place, by forward-backward over all lines together.
@@ -253,7 +278,7 @@ class EventModel:
         """
         if not per.sum():
             return np.zeros(0)
-        odds = self.log_odds(lefts, rights, np.repeat(low, per))
+        odds = self.log_odds(lefts, rights, np.repeat(low, per), np.repeat(per, per))
         lines = per[per > 0]
         first = np.cumsum(lines) - lines
         order = np.argsort(-lines, kind="stable")
@@ -283,6 +308,18 @@ class EventModel:
 LONELY = 1.5
 
 
+def _bare_odds(lengths: dict[int, int]) -> np.ndarray:
+    """Log odds of a boundary at a gap without mark, by the number of gaps in a line that has no marks at all."""
+    number = np.zeros(LONGEST + 2)
+    for n, k in lengths.items():
+        number[min(n, LONGEST + 1)] += k
+    number[1] += 1  # as a start
+    tail = number[::-1].cumsum()[::-1] / number.sum()
+    style = UNMARKED / (UNMARKED + (1 - UNMARKED) * tail[1:])  # a line with n gaps is as long as n + 1 words
+    p = np.clip(style / max(2.0, float((number * np.arange(LONGEST + 2)).sum() / number.sum())), 1e-5, 0.5)
+    return np.log(p / (1 - p))
+
+
 class Lines:
     """The lines of running text of some messages, labelled, with their places, laid out in columns.
 
@@ -297,6 +334,7 @@ class Lines:
         spots: list[tuple[int, int, str, str, bool]] = []
         self.solid: list[bool] = []
         self.words: Counter = Counter()
+        self.lengths: Counter = Counter()
         self.firsts: list[str] = []
         self.lasts: list[str] = []
         row = 0
@@ -306,7 +344,7 @@ class Lines:
                     new = places(text)
                     self._split(text, new)
                     if counted:
-                        self._gather(text)
+                        self._gather(text, not new)
                     spots += new
                     lines.append((row, a, len(text), text[0].islower(), label, len(new)))
                 else:
@@ -326,9 +364,12 @@ class Lines:
             begin = nxt
         self.solid.append(_SOLID.search(text, begin) is not None)
 
-    def _gather(self, text: str) -> None:
+    def _gather(self, text: str, alone: bool) -> None:
         tokens = text.split()
         self.words.update(tokens)
+        if alone and text[-1] in _MARKS:  # a sentence by itself
+            east = text.isascii() or len(_CJK.findall(text))
+            self.lengths[("w", len(tokens)) if east is True or not east else ("c", east)] += 1
         self.firsts.append(tokens[0])
         last = tokens[-1]
         if not _SOLID.search(last):
@@ -341,11 +382,18 @@ class Lines:
     def counts(self) -> dict[str, list]:
         """Events of these lines, in columns: kind, forms and classes of both words, number.
 
-        ``g`` counts places, ``s`` first words, ``e`` last words, ``c`` words of the running text.
+        ``g`` counts places with a mark or in scripts without marks, ``s`` first words, ``e`` last words, ``c`` words of the
+        running text (in East Asian text each two characters), ``l`` lengths of sentences.
         """
         out: Counter = Counter()
         for w, n in self.words.items():
-            out["c", "", "", right_form(w)[0], ""] += n
+            if not w.isascii() and _CJK.search(w):
+                for m in _CJK.finditer(w):
+                    out["c", "", "", right_form(w[m.start() : m.start() + 2])[0], ""] += n
+            else:
+                out["c", "", "", right_form(w)[0], ""] += n
+        for (kind, n), k in self.lengths.items():
+            out["l", "", kind, str(min(n, LONGEST + 1)), ""] += k
         style = ["low" if x else "up" for x in self.low]
         for (w, c), n in Counter(zip(self.firsts, [c for c, x in zip(style, self.labels, strict=True) if x.isupper()], strict=True)).items():
             f, k = right_form(w)
@@ -362,6 +410,8 @@ class Lines:
         for key, n in zip(keys.tolist(), numbers.tolist(), strict=True):
             pair, low_line = divmod(key, 2)
             i, j = divmod(pair, len(v_words))
+            if u_forms[i][1][0] == "|" and "|t|" not in u_forms[i][1]:
+                continue  # a gap of a line without marks
             f, k = v_forms[j]
             out["g", *u_forms[i], f, k + ("low" if low_line else "up")] += n
         cols = list(zip(*out, strict=True)) or [()] * 5
@@ -498,6 +548,7 @@ def fit_events(events: DataFrame, word_share: float = WORD_SHARE, pair_share: fl
     def words(kind: str, col: str) -> dict[str, int]:
         return {r[0]: r.n for r in events.filter(F.col("kind") == kind).groupBy(col).agg(F.sum("n").alias("n")).filter(F.col("n") >= least(kind, word_share)).collect()}  # at most 1 / word_share
 
+    lengths = {k: {int(r.v): r.n for r in events.filter((F.col("kind") == "l") & (F.col("uc") == k)).select("v", "n").collect()} for k in ("w", "c")}  # at most LONGEST rows each
     starts, follows, ends, lefts = words("s", "v"), words("c", "v"), words("e", "u"), words("g", "u")
     end_class = {r[0]: r.n for r in events.filter("kind = 'e'").groupBy("uc").agg(F.sum("n").alias("n")).collect()}  # classes are few
     spark = events.sparkSession
@@ -508,7 +559,7 @@ def fit_events(events: DataFrame, word_share: float = WORD_SHARE, pair_share: fl
     summed = mapped.groupBy("u", "uc", "v", "vc").agg(F.sum("n").alias("n"))
     kept = summed.withColumn("v", F.when(F.col("n") >= least("g", pair_share), F.col("v")).otherwise("")).groupBy("u", "uc", "v", "vc").agg(F.sum("n").alias("n"))
     table = kept.toPandas()  # at most 1 / pair_share pairs, and a class row for each word
-    return _em(table, starts, follows, ends, end_class, totals, steps)
+    return _em(table, starts, follows, ends, end_class, totals, lengths, steps)
 
 
 def events_of(lines: Lines, steps: int = EM_STEPS) -> EventModel:
@@ -516,13 +567,17 @@ def events_of(lines: Lines, steps: int = EM_STEPS) -> EventModel:
     table = pd.DataFrame(lines.counts())
     by = lambda kind, col: table[table["kind"] == kind].groupby(col)["n"].sum().to_dict()
     totals = table.groupby("kind")["n"].sum().to_dict()
-    return _em(table[table["kind"] == "g"].reset_index(drop=True), by("s", "v"), by("c", "v"), by("e", "u"), by("e", "uc"), totals, steps)
+    lengths = {k: {int(v): n for v, n in table[(table["kind"] == "l") & (table["uc"] == k)].groupby("v")["n"].sum().items()} for k in ("w", "c")}
+    return _em(table[table["kind"] == "g"].reset_index(drop=True), by("s", "v"), by("c", "v"), by("e", "u"), by("e", "uc"), totals, lengths, steps)
 
 
-def _em(table: pd.DataFrame, starts: dict[str, int], follows: dict[str, int], ends: dict[str, int], end_class: dict[str, int], totals: dict[str, int], steps: int) -> EventModel:
+def _em(table: pd.DataFrame, starts: dict[str, int], follows: dict[str, int], ends: dict[str, int], end_class: dict[str, int], totals: dict[str, int], lengths: dict[str, dict[int, int]], steps: int) -> EventModel:
     n_start, n_follow = max(1, totals.get("s", 0)), max(1, totals.get("c", 0))
-    if not len(table):
-        return EventModel({}, {}, {"": (1e-3, 1e-3)}, (np.zeros(0, np.int64), np.zeros(0)), {})
+    if not len(table):  # no place has a mark
+        begins = {w: (n + 0.3) / (n_start + 0.3) for w, n in starts.items()}
+        goes_on = {w: (n + 0.3) / (n_follow + 0.3) for w, n in follows.items()}
+        right = {w: (begins.get(w, 0.3 / n_start), goes_on.get(w, 0.3 / n_follow), (max(0, follows.get(w, 0) - starts.get(w, 0)) + 0.3) / (n_follow + 0.3)) for w in dict.fromkeys([*begins, *goes_on])}
+        return EventModel({}, {}, right | {"": (1e-3, 1e-3, 1e-3)}, (np.zeros(0, np.int64), np.zeros(0)), {}, lengths)
     n = table["n"].to_numpy(float)
     u_names, u = np.unique(table["u"].to_numpy(str), return_inverse=True)
     c_names, c = np.unique(table["uc"].to_numpy(str), return_inverse=True)
@@ -542,7 +597,8 @@ def _em(table: pd.DataFrame, starts: dict[str, int], follows: dict[str, int], en
     rare = u_names == ""
     start_v = np.array([starts.get(x, 0) for x in v_names], float)
     follow_v = np.array([follows.get(x, 0) for x in v_names], float)
-    s_rest, f_rest = max(1.0, n_start - sum(starts.values())), max(1.0, n_follow - sum(follows.values()))
+    # Where no rare word was seen, one is as likely to begin as to go on.
+    s_rest, f_rest = max(n_start / n_follow, n_start - sum(starts.values())), max(1.0, n_follow - sum(follows.values()))
     start_v[v_names == ""], follow_v[v_names == ""] = s_rest, f_rest
     case_yes, case_no = np.full(len(k_names), 0.5), np.full(len(k_names), 0.5)
     pairs, pair_of = np.unique(u * len(v_names) + v, return_inverse=True)
@@ -577,7 +633,10 @@ def _em(table: pd.DataFrame, starts: dict[str, int], follows: dict[str, int], en
     start_all = {w: (x + 0.3) / (n_start + b.sum() + 0.3 * len(v_names)) for w, x in starts.items()} | {str(w): float(p) for w, p in zip(v_names, ps, strict=True)}
     follow_all = {w: (x + 0.3) / (n_follow + 0.3 * len(v_names)) for w, x in follows.items()}
     start_all[""], follow_all[""] = s_rest / n_start / 50, f_rest / n_follow / 50
-    right = {w: (start_all.get(w, start_all[""]), follow_all.get(w, follow_all[""])) for w in [*start_all, *(w for w in follow_all if w not in start_all)]}
+    # Where no mark tells, a word goes on as often as it comes without being known to begin.
+    begun = dict(zip(map(str, v_names), add(v, len(v_names), b), strict=True))
+    inner = {w: (max(0.0, x - starts.get(w, 0) - begun.get(w, 0.0)) + 0.3) / (n_follow + 0.3 * len(v_names)) for w, x in follows.items()}
+    right = {w: (start_all.get(w, start_all[""]), follow_all.get(w, follow_all[""]), inner.get(w, follow_all[""])) for w in dict.fromkeys([*start_all, *follow_all])}
     left = {str(x): (float(p), float(m), float(t)) for x, p, m, t in zip(u_names, p_u, mass, types, strict=True) if x}
     # The pairs by the numbers of their words in these tables.
     left_no, right_no = {w: k for k, w in enumerate(left)}, {w: k for k, w in enumerate(right)}
@@ -586,7 +645,7 @@ def _em(table: pd.DataFrame, starts: dict[str, int], follows: dict[str, int], en
     known = (uid >= 0) & (vid >= 0)
     keys, weights = (uid * len(right) + vid)[known], by_pair[known]
     order = np.argsort(keys)
-    return EventModel(left, {str(x): float(p) for x, p in zip(c_names, class_p, strict=True)}, right, (keys[order], weights[order]), odds)
+    return EventModel(left, {str(x): float(p) for x, p in zip(c_names, class_p, strict=True)}, right, (keys[order], weights[order]), odds, lengths)
 
 
 def sentence_units(staged: DataFrame, model: EventModel) -> DataFrame:

@@ -298,6 +298,30 @@ def test_long_words_differ():
     assert [x[2:4] for x in S.places(f"Die {long}. {long}en fährt.")] == [(long + ".", long + "en")]
 
 
+def fitted_events(sentences_of, joined):
+    """A boundary model of lines of one to three sentences."""
+    rng = random.Random(5)
+    lines = S.Lines([joined.join(rng.choices(sentences_of, k=rng.choice([1, 1, 2, 3]))) for _ in range(400)], A.train_line_model([]))
+    return S.events_of(lines)
+
+
+def cut(text, model):
+    return [u[2] for u in S.message_units([text], S.Lines([text], A.train_line_model([])), model)[0]]
+
+
+def test_boundaries_without_marks():
+    latin = ["We meet at noon in the old hall.", "Bring cups and a few chairs.", "Our report is ready for you.", "Please call me after work.", "Thanks for the long letter."]
+    model = fitted_events(latin, " ")
+    run = [x.rstrip(".").lower() for x in latin]
+    assert cut(" ".join(run), model) == run
+    assert cut("bring a few cups", model) == ["bring a few cups"]  # no longer than a sentence is
+    assert cut(" ".join(latin), model) == latin
+    chinese = ["我们周末一起去爬山吧。", "孩子们的学校旅行怎么样？", "邻居把钥匙放在信箱里了。", "请把报告发给我看看。", "会议改到下午三点了。"]
+    model = fitted_events(chinese, "")
+    run = [x[:-1] for x in chinese]
+    assert cut("".join(run), model) == run and cut("".join(chinese), model) == chinese and cut(run[0], model) == [run[0]]
+
+
 def test_languages():
     texts = ["the cat and the dog", "le chat et le chien", "el gato y el perro", "der Hund und die Katze", "o gato e o cão não", "il gatto e il cane della", "o can e o gato xa unha"]
     langs = ["en", "fr", "es", "de", "pt", "it", "gl"]
