@@ -129,9 +129,11 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
             break
         c = text[b]
         if c.isspace():
-            g = _GAP.match(text, b)
-            if g.end() < n:
-                hits.append((a, b, g.end()))
+            nxt = b + 1
+            if nxt < n and not text[nxt].isspace():
+                hits.append((a, b, nxt))
+            elif (nxt := _GAP.match(text, b).end()) < n:
+                hits.append((a, b, nxt))
         elif any(x in _CJK_END for x in m[0]):
             if c not in "，、；：,":
                 hits.append((a, b, b))
@@ -142,7 +144,8 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
             token = text[left : right if right > 0 else n]
             if "@" not in token and "/" not in token and "." not in token[b - left :].rstrip("."):
                 hits.append((a, b, b))
-    if not text.isascii() and _THAI.search(text):
+    plain = text.isascii()
+    if not plain and _THAI.search(text):
         taken = {h[1] for h in hits}
         hits += [(g.start(), g.start(), g.end()) for g in _GAP.finditer(text) if g.start() > 0 and g.end() < n and g.start() not in taken]
         hits.sort()
@@ -150,6 +153,7 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
         return gaps(text) if _ANY_MARK.search(text) is None else out
     spans = [m.span() for m in _QUOTED.finditer(text)] if _QUOTE_MARK.search(text) else ()
     broken, fixed = "\n" in text, "\xa0" in text
+    odd = broken or fixed or "\t" in text or not plain
     last_start = 0
     for a, b, nxt in hits:
         if spans and any(s < b < e for s, e in spans):
@@ -162,8 +166,15 @@ def places(text: str) -> list[tuple[int, int, str, str, bool]]:
             left = max(left, text.rfind("\n", last_start, stop) + 1)
         if fixed:
             left = max(left, text.rfind("\xa0", last_start, stop) + 1)
-        left = max(left, last_start)
-        out.append((b, nxt, _left_word(text[left:b]), _right_word(_NEXT.match(text, nxt)[0]), left <= last_start))
+        if left < last_start:
+            left = last_start
+        u = text[left:b]
+        if odd:
+            v = _NEXT.match(text, nxt)[0]
+        else:
+            end = text.find(" ", nxt)
+            v = text[nxt:end] if end > 0 else text[nxt:]
+        out.append((b, nxt, u if len(u) <= 24 else _left_word(u), v if len(v) <= 12 else _right_word(v), left <= last_start))
         last_start = nxt
     return out
 
@@ -179,12 +190,12 @@ def gaps(text: str) -> list[tuple[int, int, str, str, bool]]:
 
 def _left_word(word: str) -> str:
     """In scripts without spaces the last characters stand for the word before a place."""
-    return word if len(word) <= 24 or word.isascii() or not (_CJK.search(word) or _THAI.search(word)) else word[-24:]
+    return word if word.isascii() or not (_CJK.search(word) or _THAI.search(word)) else word[-24:]
 
 
 def _right_word(word: str) -> str:
     """In scripts without spaces the first characters stand for the word after a place."""
-    if len(word) <= 12 or word.isascii():
+    if word.isascii():
         return word
     core = word.lstrip(_OPEN)
     return word[: len(word) - len(core) + 8] if _CJK.match(core) or _THAI.match(core) else word
@@ -196,15 +207,15 @@ def running_parts(message: str, lines: list[tuple[int, int, list[int]]], labels:
         if label == "-":
             continue
         text = message[a:b]
-        quoted = label in "QF" or text[:1] in ">|"
+        quoted = label in "QF" or text[0] in ">|"
         if quoted:
             skip = _PREFIX.match(text).end()
             if len(physical) > 1:
                 text = _INNER_PREFIX.sub(lambda m: "\n" + " " * (len(m[0]) - 1), text)
         else:
-            skip = len(text) - len(text.lstrip())
+            skip = 0 if not text[0].isspace() else len(text) - len(text.lstrip())
         text = text[skip:].rstrip()
-        if not _SOLID.search(text):
+        if not text[:1].isalnum() and not _SOLID.search(text):
             continue
         if label in "NDQF":
             single = False
@@ -447,15 +458,19 @@ def units_of(rows: np.ndarray, labels: np.ndarray, at: np.ndarray, size: np.ndar
     return rows[of], at[of] + begin[opening], at[of] + stop, labels[of]
 
 
-def message_units(messages: list[str], lines: Lines, model: EventModel) -> list[list[tuple[int, int, str, str]]]:
-    """Start, end, text and label of the units of each message, in order; ``lines`` are theirs."""
+def located_units(lines: Lines, model: EventModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Message number, start, end and label of each unit of some lines."""
     per = np.array(lines.per, np.int64)
     post = model.posteriors(per, lines.lefts, lines.rights, np.array(lines.tied, bool), np.array(lines.low, bool))
-    labels = np.array([ord(x.upper()) for x in lines.labels], np.uint8)
-    arrays = [np.array(x, np.int64) for x in (lines.rows, lines.at, lines.size, lines.ends, lines.nexts)]
-    found = units_of(arrays[0], labels, arrays[1], arrays[2], per, arrays[3], arrays[4], np.array(lines.solid, bool), post)
+    labels = np.frombuffer("".join(lines.labels).upper().encode(), np.uint8)
+    rows, at, size, ends, nexts = (np.array(x, np.int64) for x in (lines.rows, lines.at, lines.size, lines.ends, lines.nexts))
+    return units_of(rows, labels, at, size, per, ends, nexts, np.array(lines.solid, bool), post)
+
+
+def message_units(messages: list[str], lines: Lines, model: EventModel) -> list[list[tuple[int, int, str, str]]]:
+    """Start, end, text and label of the units of each message, in order; ``lines`` are theirs."""
     out: list[list[tuple[int, int, str, str]]] = [[] for _ in messages]
-    for row, a, b, label in zip(*(x.tolist() for x in found), strict=True):
+    for row, a, b, label in zip(*(x.tolist() for x in located_units(lines, model)), strict=True):
         out[row].append((a, b, messages[row][a:b], chr(label)))
     return out
 
