@@ -111,7 +111,7 @@ def save_settings(settings: Settings, directory: str) -> str:
     return path
 
 
-def get_workflow_settings(path: str = "default", new_settings: dict[str, Any] | None = None, updated_setting_dir: str | None = None, save_updated_settings: bool = False) -> Settings:
+def get_workflow_settings(path: str = "default", new_settings: dict[str, Any] | None = None, updated_setting_dir: str | None = None, save_updated_settings: bool = True) -> Settings:
     """Defaults or the file's settings, overlaid by ``new_settings``. What can't be read or is invalid gives the defaults, with a warning."""
     settings = Settings()
     if path != "default":

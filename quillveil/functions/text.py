@@ -6,7 +6,9 @@ out, unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,19 +134,39 @@ def title_case(text: Column | str) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 2**30)))), "")
 
 
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescape_html(text: Column | str) -> Column:
+    """Character references as their characters: all names of HTML, decimal and hexadecimal numbers; unknown ones stay."""
+    t = _c(text)
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def one(ref: Column) -> Column:
+        body = F.substring(ref, 2, F.length(ref) - 2)
+        hexa = F.lower(F.substring(body, 2, 1)) == "x"
+        code = F.when(hexa, F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 8)).cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+        return F.when(F.substring(body, 1, 1) == "#", F.when(valid, char).otherwise(ref)).otherwise(F.coalesce(F.element_at(names, body), ref))
+
+    refs, parts = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)), F.split(t, _ENTITY)
+    joined = F.array_join(F.zip_with(parts, F.transform(refs, one), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(t.rlike(_ENTITY), joined).otherwise(t)
+
+
 def html_to_text(text: Column | str) -> Column:
-    """Text of a string that holds a tag: comments, scripts, styles and tags are cut, common entities decoded. Others stay."""
+    """Text of a string that holds a tag: comments, scripts, styles and tags are cut, character references decoded. Others stay."""
     t = _c(text)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"(?si)<(script|style)[^>]*>.*?</(script|style)>", ""), r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.when(t.rlike(r"<[A-Za-z!/][^>]*>"), bare).otherwise(t)
+    return F.when(t.rlike(r"<[A-Za-z!/][^>]*>"), unescape_html(bare)).otherwise(t)
 
 
 def detokenize(text: Column | str) -> Column:
-    """Join tokens that were set apart by blanks: brackets, quotes and punctuation lose the blank beside them."""
-    t = _c(text)
-    for pattern, by in ((r"\s+([.,!?;:%)\]}»”’])", "$1"), (r"([(\[{«“‘])\s+", "$1"), (r"\s+('(?:s|t|re|ve|m|ll|d)\b)", "$1"), (r"\s+(n't\b)", "$1"), (r"\"\s*([^\"]*?)\s*\"", "\"$1\""), (r"\s{2,}", " ")):
+    """Join tokens that were set apart by blanks, in this order: blanks are made one, then punctuation, opening and closing
+    brackets, apostrophes between words, and what stands in quotes lose the blank beside them."""
+    t = F.regexp_replace(F.regexp_replace(_c(text), r"(?U)\s+", " "), r"^ | $", "")
+    for pattern, by in ((r" ([?.!,;:%])", "$1"), (r"([(\[{]) ", "$1"), (r" ([)\]}])", "$1"), (r"(?U)(\w) ' (\w)", "$1'$2"), (r"(?U)(\w) ’ (\w)", "$1’$2"), (r'(["“‘]) (.*?) (["”’])', "$1$2$3")):
         t = F.regexp_replace(t, pattern, by)
     return t
 

@@ -1,12 +1,14 @@
 """Date and time phrases in running text, found by a grammar of patterns.
 
-Strict: a date must be followed by a time, at most two tokens later. Non-strict: dates, times, weekdays and small numbers
-count, neighbours are merged over the usual separators, and phrases without a digit are dropped. Both are one native
-expression, `detect_dates`; the steps (sort, unite, merge, filter) are there as expressions of their own as well.
+Strict: a date must be followed by a time, at most two separators later. Non-strict: dates, times, weekdays and small
+numbers count, neighbours are merged over the usual separators, and phrases without a digit are dropped. Only what can be
+a day of the calendar or a time of the day counts. `detect_dates` is one native expression; `detect_by_steps` does the
+same step by step: find parts of several and of single words, unite those that overlap, sort, merge, filter.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -28,11 +30,20 @@ WEEKDAYS = (
 ).split()
 _MONTH = "(?:" + "|".join(sorted(set(MONTHS), key=lambda w: (-len(w), w))) + r")\b\.?"
 _WEEKDAY = r"\b(?:" + "|".join(sorted(set(WEEKDAYS), key=lambda w: (-len(w), w))) + r")\b"
-# Words and marks that may stand between two parts of one phrase.
-SEPARATORS = ["at", "um", "à", ",", ".", "-", ".,", "a las"]
-_GAP = r"(?:\s*(?:\.,|[,.\-])\s*|\s+(?:at|um|à|a las)\s+|\s+)"
-TIME = r"\d{1,2}:\d{2}(?::\d{2})?"
+# Words and marks that may stand between two parts of one phrase.
+SEPARATORS = ("at", "um", "à", ",", ".", "-", ".,", "a las")
+_MARKS = "|".join(re.escape(x) for x in sorted((x for x in SEPARATORS if not x[0].isalpha()), key=len, reverse=True))
+_WORDS = "|".join(sorted((x for x in SEPARATORS if x[0].isalpha()), key=len, reverse=True))
+_GAP = rf"(?:\s*(?:{_MARKS})\s*|\s+(?:{_WORDS})\s+|\s+)"
+_DAY, _MONTH_NO = r"(?:3[01]|[12]\d|0?[1-9])", r"(?:1[0-2]|0?[1-9])"
+TIME = r"(?:2[0-3]|[01]?\d):[0-5]\d(?::[0-5]\d)?"
 _OFFSET = r"[+\-]\d{4}\b"
+_WORDED = [rf"\b{_DAY}\.?\s+{_MONTH}\s+\d{{4}}\b", rf"\b{_MONTH}\s+{_DAY}(?:st|nd|rd|th)?,?\s+\d{{4}}\b"]
+_YEAR_FIRST = rf"\b\d{{4}}[-/]{_MONTH_NO}[-/]{_DAY}(?!\d)"
+_YEAR_LAST = rf"(?<![\d./])(?:{_DAY}(?P<A>[./]){_MONTH_NO}|{_MONTH_NO}(?P<B>[./]){_DAY})[./](?:\d{{4}}|\d{{2}})(?!\d)".replace("(?P<A>[./])", "[./]").replace("(?P<B>[./])", "[./]")
+#: A time after a date, where a point will do, too; and a bare hour right behind the date.
+_STRICT_TIME = rf"(?:(?<![\d:]){TIME}(?![\d:])|(?<![\d.])(?:2[0-3]|[01]?\d)\.[0-5]\d(?![\d.]))"
+_BARE_HOUR = r"[ \t]+(?:2[0-3]|[01]?\d)(?![\w:$%€£]|[.,\-/]\d|\s\d)"
 
 
 @dataclass
@@ -40,15 +51,16 @@ class DatePatterns:
     """The registry of date patterns by mode; times are added to the strict ones by the grammar."""
 
     patterns: dict[str, list[str]] = field(
-        default_factory=lambda: {
-            "strict": [rf"\b\d{{1,2}}\.?\s+{_MONTH}\s+\d{{4}}", rf"\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}", r"\b\d{4}-\d{1,2}-\d{1,2}", r"\b\d{1,2}[./]\d{1,2}[./]\d{4}"],
-            "non-strict": [rf"\b\d{{1,2}}\.?\s+{_MONTH}\s+\d{{4}}", rf"\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}", r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}"],
-        }
+        default_factory=lambda: {mode: [*_WORDED, _YEAR_FIRST, _YEAR_LAST] for mode in ("strict", "non-strict")}
     )
 
     def add(self, pattern: str, mode: str) -> None:
         if not isinstance(pattern, str) or not pattern:
             raise ValueError("a pattern must be a non-empty regular expression")
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"a pattern must be a regular expression: {e}") from e
         if pattern in self.patterns[mode]:
             raise ValueError("the pattern is there already")
         self.patterns[mode].append(pattern)
@@ -58,12 +70,22 @@ class DatePatterns:
             raise ValueError("there is no such pattern")
         self.patterns[mode].remove(pattern)
 
-    def regex(self, mode: str) -> str:
+    def dates(self, mode: str) -> str:
+        """Dates, which are of several words or of one; in strict mode with their time."""
         date = "(?:" + "|".join(self.patterns[mode]) + ")"
         if mode == "strict":
-            return rf"(?iu){date}(?:\s*(?:[,.\-]|\b(?:a las|at|um|à|le|the|el)\b)?\s*){{0,2}}(?<![\d:]){TIME}(?:\s+{_OFFSET})?"
+            return rf"{date}(?:(?:\s*(?:[,.\-]|\b(?:{_WORDS}|le|the|el)\b)?\s*){{0,2}}{_STRICT_TIME}(?:\s+{_OFFSET})?|{_BARE_HOUR})"
+        return date
+
+    def words(self) -> str:
+        """What is no date by itself: times, offsets, weekdays, small numbers."""
         number = r"(?<![\w.,/:+\-])\d{1,2}(?![\w/:$%€£]|[.,\-]\d)"
-        part = rf"(?:{date}|(?<![\d:.]){TIME}(?![\d:])|{_OFFSET}|{_WEEKDAY}|{number})"
+        return rf"(?:(?<![\d:.]){TIME}(?![\d:])|{_OFFSET}|{_WEEKDAY}|{number})"
+
+    def regex(self, mode: str) -> str:
+        if mode == "strict":
+            return "(?iu)" + self.dates(mode)
+        part = rf"(?:{self.dates(mode)}|{self.words()})"
         return rf"(?iu){part}(?:{_GAP}{part})*"
 
 
@@ -74,6 +96,30 @@ def detect_dates(text: Column | str, mode: str = "strict", patterns: DatePattern
     return only_with_digit(found) if mode != "strict" else found
 
 
+def find_spans(text: Column, pattern: str) -> Column:
+    """``array<struct<start, end>>`` of all matches of a pattern, in order."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        return F.struct(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"), end.alias("at"))
+
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+
+def detect_by_steps(text: Column | str, patterns: DatePatterns | None = None) -> Column:
+    """The phrases of `detect_dates` in non-strict mode, by its steps one after the other."""
+    t = F.col(text) if isinstance(text, str) else text
+    p = patterns or DatePatterns()
+    dates = unite_overlapping(sort_spans(find_spans(t, "(?iu)" + p.dates("non-strict"))))
+    words = F.filter(find_spans(t, "(?iu)" + p.words()), lambda w: ~F.exists(dates, lambda d: (w["start"] < d["end"]) & (d["start"] < w["end"])))
+    merged = merge_spans(t, sort_spans(F.concat(dates, words)))
+    return only_with_digit(F.transform(merged, lambda x: F.substring(t, x["start"] + 1, x["end"] - x["start"])))
+
+
 def only_with_digit(phrases: Column | str) -> Column:
     """Drop phrases without any digit (weekdays alone and the like)."""
     p = F.col(phrases) if isinstance(phrases, str) else phrases
@@ -126,7 +172,8 @@ def mergeable(gap: Column) -> Column:
 
 
 def merge_spans(text: Column | str, spans: Column | str) -> Column:
-    """Merge sorted spans from left to right over the usual separators; ``array<struct<start, end>>``."""
+    """Merge sorted spans from left to right over the usual separators; ``array<struct<start, end>>``. What comes in is a
+    part of a date or time each, so what is merged is one, too."""
     t = F.col(text) if isinstance(text, str) else text
     s = F.col(spans) if isinstance(spans, str) else spans
 

@@ -143,7 +143,7 @@ def replace_entities(sentence: Column | str, entities: Column | str) -> Column:
 def first_seen(mentions: DataFrame, pools: dict[str, list[str]], order: list[str]) -> DataFrame:
     """``pool_lang, name, seen``: the first place, by ``order``, where a pool's name is a person of the texts.
 
-    ``mentions`` holds persons as ``pool_lang, word`` and the order columns. A pool's name is met when it equals the
+    ``mentions`` holds persons as ``word``, the order columns and, if only names of a text's own pool count, ``pool_lang``. A pool's name is met when it equals the
     word's first token, as it is, in small letters or in title case. The result has at most a row for each pool entry,
     so the aggregation's map side does nearly all of the work.
     """
@@ -151,7 +151,7 @@ def first_seen(mentions: DataFrame, pools: dict[str, list[str]], order: list[str
     entries = spark.createDataFrame([(k, n) for k, names in pools.items() for n in dict.fromkeys(names)], "pool_lang string, name string")
     token = F.split(F.col("word"), " ")[0]
     variants = mentions.withColumn("name", F.explode(F.array_distinct(F.array(token, F.lower(token), title_case(token)))))
-    return variants.join(F.broadcast(entries), ["pool_lang", "name"]).groupBy("pool_lang", "name").agg(F.min(F.struct(*order)).alias("seen"))
+    return variants.join(F.broadcast(entries), [c for c in ("pool_lang", "name") if c in variants.columns]).groupBy("pool_lang", "name").agg(F.min(F.struct(*order)).alias("seen"))
 
 
 def shrunken_pool(pool: Column, pool_lang: Column, seen: list, order: Column) -> Column:  # noqa: ANN001

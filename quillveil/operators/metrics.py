@@ -9,11 +9,19 @@ from quillveil.functions.text import placeholder_count
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of tables that are both unique by the keys; a repeated key is an error."""
-    for side, name in ((left, "left"), (right, "right")):
-        if side.groupBy(*on).count().filter("count > 1").limit(1).count():
-            raise ValueError(f"the {name} table isn't unique by {on}")
-    return left.join(right, on)
+    """Inner join of tables that are both unique by the keys; a repeated key is an error when the plan runs.
+
+    Each side is grouped by the keys, which checks it, and the groups are joined as they lie: one shuffle a side.
+    """
+
+    def unique(side: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in side.columns if c not in on]
+        once = side.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest, F.lit(0).alias("_"))).alias("_row"))
+        fail = F.raise_error(F.lit(f"the {name} table isn't unique by {on}"))
+        checked = F.when(F.col("_n") > 1, fail.cast("struct<_ok:int>")).otherwise(F.struct(F.lit(1).alias("_ok")))
+        return once.withColumn("_ok", checked["_ok"]).filter("_ok = 1").select(*on, *[F.col("_row")[c].alias(c) for c in rest])
+
+    return unique(left, "left").join(unique(right, "right"), on)
 
 
 def mask_counts(found: Column | str, gold: Column | str, placeholder: str) -> Column:

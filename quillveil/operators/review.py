@@ -11,16 +11,25 @@ EDITS = "record_id, field_name, sent_idx, ent_idx, action (remove, regroup, rewo
 
 
 def apply_corrections(entities: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Entities after the edits: ``remove`` drops one, ``regroup`` changes its group, ``reword`` its word and the end of
-    its span, ``insert`` adds one. ``keys`` name an entity (with its number); one edit at most for each. One shuffle on
-    the keys; edits without an entity do nothing unless they insert."""
-    change = edits.filter("action <> 'insert'").select(*keys, "action", F.col("entity_group").alias("_group"), F.col("word").alias("_word"))
+    """Entities after the edits: ``remove`` drops one, ``regroup`` changes its group (and its pseudonym, if both tables have
+    one), ``reword`` its word and span, ``insert`` adds one. ``keys`` name an entity (with its number); one edit at most for
+    each. One shuffle on the keys; edits without an entity do nothing unless they insert.
+
+    The span of a reworded entity begins where the new word begins in the old one, or as far before it as the old word
+    begins in the new one; where neither holds the other the start stays."""
+    named = "pseudonym" in entities.columns and "pseudonym" in edits.columns
+    change = edits.filter("action <> 'insert'").select(*keys, "action", F.col("entity_group").alias("_group"), F.col("word").alias("_word"), *([F.col("pseudonym").alias("_pseudonym")] if named else []))
     kept = entities.join(change, keys, "left").filter("action is null or action <> 'remove'")
-    word = F.when(F.col("action") == "reword", F.col("_word")).otherwise(F.col("word"))
-    edited = kept.select(
-        *[F.when(F.col("action") == "regroup", F.col("_group")).otherwise(F.col(c)).alias(c) if c == "entity_group" else word.alias(c) if c == "word"
-          else F.when(F.col("action") == "reword", F.col("start_char") + F.length("_word")).otherwise(F.col(c)).alias(c) if c == "end_char" else F.col(c) for c in entities.columns]
-    )
+    regroup, reword = F.col("action") == "regroup", F.col("action") == "reword"
+    inside, around = F.call_function("locate", F.col("_word"), F.col("word")), F.call_function("locate", F.col("word"), F.col("_word"))
+    start = F.col("start_char") + F.when(inside > 0, inside - 1).when(around > 0, 1 - around).otherwise(F.lit(0))
+    changed = {
+        "entity_group": F.when(regroup, F.col("_group")),
+        "word": F.when(reword, F.col("_word")),
+        "start_char": F.when(reword, start),
+        "end_char": F.when(reword, start + F.length("_word")),
+    } | ({"pseudonym": F.when(regroup, F.col("_pseudonym"))} if named else {})
+    edited = kept.select(*[(changed[c].otherwise(F.col(c)) if c in changed else F.col(c)).cast(entities.schema[c].dataType).alias(c) for c in entities.columns])
     added = edits.filter("action = 'insert'").select(*[F.col(c) if c in edits.columns else F.lit(None).alias(c) for c in entities.columns])
     return edited.unionByName(added)
 

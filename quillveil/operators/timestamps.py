@@ -208,23 +208,30 @@ def timestamp_keys(rows: DataFrame, text: Column, zone: Column, order: Column) -
     return rows.withColumns({"raw": text, "zone": F.coalesce(zone, F.lit("")), "date_order": F.coalesce(order, F.lit(""))})
 
 
+#: To be raised with every change of what `parse_instant` gives, so that texts are parsed anew.
+PARSER_VERSION = 1
+
+
 class TimestampDictionary:
     """The persisted dictionary of parsed timestamp texts: a Parquet table that grows by appends.
 
     ``path`` None: a new, empty one in the shared work folder. Texts already in it, also those without an instant, are
-    never parsed again.
+    never parsed again by the same version of the parser; each version has its own table below the path. An append that
+    was repeated, or two at once, may write an entry twice: entries are unique by their key when they are read, as equal
+    keys have equal instants.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "timestamps")
+        self.spark, self.path = spark, f"{path or fresh_path(spark, 'timestamps')}/parser-{PARSER_VERSION}"
 
     def entries(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.max("utc_micros").alias("utc_micros"))
 
     def update(self, counted: DataFrame) -> DataFrame:
         """Parse the triples of ``counted`` that are new, append them, and return all entries."""

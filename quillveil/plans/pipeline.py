@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillveil import backends
 from quillveil.config import Settings
 from quillveil.functions import text as X
 from quillveil.functions.lang import detect_language
@@ -24,14 +25,14 @@ from quillveil.runtime import written
 Backend = Callable[[Column], Column]
 
 
-def prepared(df: DataFrame, settings: Settings, ner: Backend | None, languages: str, patterns: DatePatterns | None) -> DataFrame:
+def prepared(df: DataFrame, settings: Settings, ner: Backend | None, languages: str, patterns: DatePatterns | None, splitter: Backend | None = None) -> DataFrame:
     """Fields cleaned, told apart by language, split and searched: everything before a pseudonym is chosen."""
     for k, f in enumerate(settings.pseudo_fields):
         usable = X.is_usable(F.col(f"`{f}`"), settings.csv_col_unmatched_keyword)
         df = df.withColumn(f"cleaned_{f}", F.when(usable, X.clean_text(F.col(f"`{f}`"))))
-        lang = F.lit(settings.default_lang) if settings.default_lang else detect_language(f"cleaned_{f}", languages)["lang"]
+        lang = F.lit(settings.default_lang) if settings.default_lang else detect_language(f"cleaned_{f}", languages, options=settings.lang_pipeline if languages == "trans" else None)["lang"]
         dates = detect_dates(f"cleaned_{f}", settings.time_parsing, patterns) if settings.datetime_detection else F.array().cast("array<string>")
-        df = df.withColumns({f"_lang{k}": lang, f"_dates{k}": F.coalesce(dates, F.array().cast("array<string>")), f"_sents{k}": X.split_sentences(f"cleaned_{f}")})
+        df = df.withColumns({f"_lang{k}": lang, f"_dates{k}": F.coalesce(dates, F.array().cast("array<string>")), f"_sents{k}": (splitter or X.split_sentences)(F.col(f"cleaned_{f}"))})
         masked = F.transform(f"_sents{k}", lambda s: X.mask_emails(s)) if settings.pseudo_emailaddresses else F.col(f"_sents{k}")
         df = df.withColumn(f"_masked{k}", masked)
         found = ner(F.col(f"_masked{k}")) if ner is not None and settings.pseudo_ne else F.lit(None).cast(E.T.ArrayType(E.ENTITY))
@@ -47,12 +48,21 @@ def _unnumbered(sentences: Column, dates: Column) -> Column:
     return F.transform(sentences, lambda s: X.mask_numbers_except(s, dates))
 
 
-def pseudonymize(df: DataFrame, settings: Settings, row_id: str = "row_id", ner: Backend | None = None, languages: str = "stopwords", patterns: DatePatterns | None = None, used_up: str | None = None) -> DataFrame:
+def pseudonymize(df: DataFrame, settings: Settings, row_id: str = "row_id", ner: Backend | None = None, languages: str | None = None, patterns: DatePatterns | None = None, used_up: str | None = None, splitter: Backend | None = None) -> DataFrame:
     """Records with ``cleaned_*``, ``lang``, ``detected_datetime``, ``sentences``, ``sentences_after_email``, ``ne_list``,
     ``ne_sent`` and ``pseudo_*``. ``row_id``, a whole number, orders the records. Null, empty and unmatched fields stay out of the maps.
-    An entity for which the pool has shrunk to nothing is an error, or gets ``used_up`` if that is given."""
+    An entity for which the pool has shrunk to nothing is an error, or gets ``used_up`` if that is given.
+
+    What is not given comes from the settings: ``languages`` from `lang_detection_lib` (needed without a default language
+    only), ``ner`` from `ner_pipeline`, ``splitter`` from `spacy_model`; where these are unset, there is no recogniser and
+    sentences are split by rule."""
     fields, pools = list(settings.pseudo_fields), settings.pseudo_first_names
-    df = prepared(df, settings, ner, languages, patterns)
+    languages = languages or settings.lang_detection_lib
+    if ner is None and settings.pseudo_ne and settings.ner_pipeline is not None:
+        ner = backends.recogniser("transformers", settings.ner_pipeline)
+    if splitter is None and settings.spacy_model != "default":
+        splitter = backends.sentence_splitter("spacy", model=settings.spacy_model)
+    df = prepared(df, settings, ner, languages, patterns, splitter)
     use_ne = ner is not None and settings.pseudo_ne
     seen: list = []
     if use_ne:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillveil.config import Settings
@@ -20,9 +20,13 @@ from quillveil.operators import review as R
 from quillveil.operators import timestamps
 from quillveil.plans import pipeline
 from quillveil.plans.oracles import SQL  # noqa: F401 - part of the contract
-from quillveil.runtime import table
-from quillveil.sources.tabular import map_columns
+from quillveil.runtime import fresh_path, table, work_dir
+from quillveil.sinks import files
+from quillveil.sources import mail
+from quillveil.sources.tabular import map_columns, read_csv
 
+#: Names that all pools together may have; they are collected and become literals.
+POOL_ROWS = 10_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -181,6 +185,13 @@ def gazetteer_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record_id", F.col("e.start").alias("start_char"), F.col("e.end").alias("end_char"), F.col("e.word").alias("word"), F.col("e.entity_group").alias("entity_group"))
 
 
+@query
+def gazetteer_words(spark: SparkSession, d: str) -> DataFrame:
+    """The entries that `gazetteer_spans` finds, numbered in order."""
+    w = Window.partitionBy("record_id").orderBy("start_char")
+    return gazetteer_spans(spark, d).select("record_id", (F.row_number().over(w) - 1).alias("k"), "word", "entity_group")
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities without exact repeats, numbered in order within their record."""
     return table(spark, d, "entity_list").distinct()
@@ -194,7 +205,10 @@ def ne_by_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 def _pools(spark: SparkSession, d: str) -> dict[str, list[str]]:
     pools: dict[str, list[str]] = {}
-    for r in table(spark, d, "pseudo_pool").orderBy("lang", "pool_pos").limit(10_000).collect():  # a fixed table of few rows
+    rows = table(spark, d, "pseudo_pool").orderBy("lang", "pool_pos").limit(POOL_ROWS + 1).collect()
+    if len(rows) > POOL_ROWS:
+        raise ValueError(f"the pools have more than {POOL_ROWS} names")
+    for r in rows:
         pools.setdefault(r.lang, []).append(r.given_name)
     return pools
 
@@ -212,8 +226,8 @@ def pseudonym_assign(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pool_exclusion(spark: SparkSession, d: str) -> DataFrame:
     pools = _pools(spark, d)
-    people = _entities(spark, d).filter("entity_group = 'PER'").crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in pools], "pool_lang string")))  # one row a pool
-    seen = E.first_seen(people.select("pool_lang", "word", "record_id", "sent_idx"), pools, ["record_id", "sent_idx"])
+    people = _entities(spark, d).filter("entity_group = 'PER'").select("word", "record_id", "sent_idx")
+    seen = E.first_seen(people, pools, ["record_id", "sent_idx"])
     return seen.select("pool_lang", "name", F.col("seen.record_id").alias("record_id"), F.col("seen.sent_idx").alias("sent_idx"))
 
 
@@ -240,14 +254,16 @@ def highlight_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def correction_apply(spark: SparkSession, d: str) -> DataFrame:
-    """People's edits, made up by rule: entities without a score go, MISC become PER."""
+    """People's edits, made up by rule: entities without a score go, MISC become PER, persons of several words lose the first."""
     keys = ["record_id", "field_name", "sent_idx", "ent_idx", "start_char"]
     least = F.min(F.struct("word", "entity_group", "end_char", F.coalesce("score", F.lit(-1.0)).alias("score")))
     unique = _entities(spark, d).groupBy(*keys).agg(least.alias("x")).select(*keys, "x.*")
     remove = unique.filter("score < 0").select(*keys, F.lit("remove").alias("action"), "entity_group", "word", "end_char")
     regroup = unique.filter("score >= 0 and entity_group = 'MISC'").select(*keys, F.lit("regroup").alias("action"), F.lit("PER").alias("entity_group"), "word", "end_char")
-    fixed = R.apply_corrections(unique, remove.unionByName(regroup), keys)
-    return fixed.groupBy("record_id", "entity_group").agg(F.count(F.lit(1)).alias("n"))
+    shorter = F.regexp_replace("word", "^[^ ]* ", "")
+    reword = unique.filter("score >= 0 and entity_group = 'PER' and contains(word, ' ')").select(*keys, F.lit("reword").alias("action"), "entity_group", shorter.alias("word"), "end_char")
+    fixed = R.apply_corrections(unique, remove.unionByName(regroup).unionByName(reword), keys)
+    return fixed.select(*keys, "entity_group", "word", "end_char")
 
 
 @query
@@ -286,14 +302,14 @@ def bio_to_spans(spark: SparkSession, d: str) -> DataFrame:
     capital = lambda t: t.rlike("^[A-Z]")
     tags = F.transform(tokens, lambda t, k: F.when(~capital(t), "O").when((k > 0) & capital(F.get(tokens, k - 1)), "I-CAP").otherwise("B-CAP"))
     spans = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(M.bio_spans(tags)).alias("s"))
-    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("s.last") - F.col("s.first") + 1).alias("n_tokens"))
+    return spans.select("doc_id", F.col("s.type").alias("type"), F.col("s.first").alias("first"), F.col("s.last").alias("last"))
 
 
 @query
 def token_offsets(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.filter(F.split("content", " "), lambda t: t != "")
-    rows = table(spark, d, "email_records").select("record_id", F.explode(M.token_offsets("content", tokens)).alias("t"))
-    return rows.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.sum("t.start").alias("starts"), F.max("t.end").alias("last_end"))
+    rows = table(spark, d, "email_records").select("record_id", F.posexplode(M.token_offsets("content", tokens)).alias("k", "t"))
+    return rows.select("record_id", "k", F.col("t.token").alias("token"), F.col("t.start").alias("start_char"), F.col("t.end").alias("end_char"))
 
 
 @query
@@ -301,6 +317,123 @@ def detokenized(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d, joined=lambda t: X.detokenize(F.regexp_replace(t, r"([.,!?;:()])", " $1 ")))
 
 
+@query
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Messages written as CSV and read again with mapped columns; CSV tells null from empty no more."""
+    path = fresh_path(spark, "csv")
+    files.write_csv(table(spark, d, "sample_data").select("row_id", "message", "subject", "sender"), path)
+    back = read_csv(spark, path, ["message", "subject", "row_id", "lost"], ["content", "title", "row_id", "none"])
+    return back.select(F.col("row_id").cast("bigint").alias("row_id"), "content", "title", "none")
+
+
+@query
+def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as XML with the kinds of their values and read again."""
+    path = fresh_path(spark, "xml")
+    files.write_xml(table(spark, d, "email_records").select("record_id", "file_name", "attachment", "attachment_type"), path)
+    value = "struct<_VALUE:string,_type:string>"
+    schema = f"record_id {value}, file_name {value}, attachment {value}, attachment_type struct<_type:string,item:array<{value}>>"
+    back = spark.read.format("xml").option("rowTag", "email").schema(schema).load(path)
+    return back.select(F.col("record_id._VALUE").cast("bigint").alias("record_id"), F.col("record_id._type").alias("kind"), F.col("file_name._VALUE").alias("file_name"), F.col("attachment._VALUE").cast("int").alias("attachment"),
+                       F.coalesce(F.array_join(F.transform("attachment_type.item", lambda x: x["_VALUE"]), ","), F.lit("")).alias("kinds"))
+
+
+@query
+def mail_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Records made to mails (base64 text, an attachment for each listed kind) and decoded again; texts with tags are left to `html_text`."""
+    encoded = lambda c: F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(c, "utf-8")), F.lit("?="))
+    rows = table(spark, d, "email_records").filter("not contains(content, '<')")
+    body = F.concat(F.lit("--b\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.encode("content", "utf-8")))
+    part = lambda k: F.concat(F.lit("\r\n--b\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename=\"a."), k, F.lit("\"\r\n\r\nx"))
+    parts = F.array_join(F.transform(F.coalesce("attachment_type", F.array().cast("array<string>")), part), "")
+    subject = F.coalesce(F.concat(F.lit("Subject: "), encoded(F.col("subject")), F.lit("\r\n")), F.lit(""))
+    date = F.coalesce(F.concat(F.lit("Date: "), F.date_format("date", "d MMM yyyy HH:mm:ss"), F.lit(" +0000\r\n")), F.lit(""))
+    raw = F.concat(F.lit("MIME-Version: 1.0\r\n"), subject, date, F.lit("Content-Type: multipart/mixed; boundary=b\r\n\r\n"), body, parts, F.lit("\r\n--b--\r\n"))
+    mails = rows.select(F.concat(F.lit("/"), F.col("record_id").cast("string")).alias("path"), F.encode(raw, "utf-8").alias("content"))
+    found = mails.mapInPandas(mail._decode, mail.SCHEMA)
+    return found.select(F.col("file_name").cast("bigint").alias("record_id"), "content", "subject", F.unix_seconds("date").alias("sent"), "attachment", F.array_join("attachment_type", ",").alias("kinds"))
+
+
+@query
+def field_completion(spark: SparkSession, d: str) -> DataFrame:
+    return mail.complete_fields(table(spark, d, "email_records").select("record_id", "subject"), ["subject", "sender", "lang"])
+
+
+@query
+def pool_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The pool that serves each document's language: its size and the name at each place of the first three."""
+    pools = _pools(spark, d)
+    pool = E.pool_for("lang", pools)
+    return table(spark, d, "documents").select("doc_id", E.pool_language("lang", pools).alias("pool_lang"), F.size(pool).alias("n"), F.array_join(F.slice(pool, 1, 3), ",").alias("names"))
+
+
+@query
+def entities_by_sentence(spark: SparkSession, d: str) -> DataFrame:
+    """Records' entities by the number of their sentence, as the pipeline gives them out."""
+    one = F.struct("sent_idx", "start_char", "word", "entity_group")
+    records = _entities(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
+    by = E.entities_by_sentence("e", F.array_max(F.transform("e", lambda x: x["sent_idx"])) + 1)
+    pairs = records.select("record_id", F.explode(by).alias("sent", "found"))
+    return pairs.select("record_id", F.col("sent").cast("int").alias("sent_idx"), F.size("found").alias("n"), F.array_join(F.transform("found", lambda x: x["word"]), ";").alias("words"))
+
+
+@query
+def replaced_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Mail addresses of the contents as entities with pseudonyms of other lengths, replaced by their places."""
+    text = X.html_to_text("content")
+    spans = D.find_spans(F.col("t"), X.EMAIL)
+    given = F.transform(spans, lambda s, k: F.struct(F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]).alias("word"), s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), k.cast("string"), F.lit(">")).alias("pseudonym")))
+    rows = table(spark, d, "email_records").select("record_id", F.when(~F.contains("content", F.lit("<")), text).alias("t"))
+    return rows.filter("t is not null").select("record_id", E.replace_entities("t", given).alias("replaced"))
+
+
+@query
+def names_across_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Persons of a record's first sentence as its first field, all others as its second: names stay linked across both."""
+    pool = F.array(*map(F.lit, _pools(spark, d)["fr"]))
+    one = F.struct("sent_idx", "ent_idx", "start_char", "word", "entity_group")
+    records = _entities(spark, d).filter("entity_group = 'PER'").groupBy("record_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
+    split = records.select("record_id", F.filter("e", lambda x: x["sent_idx"] == 0).alias("a"), F.filter("e", lambda x: x["sent_idx"] > 0).alias("b")).withColumn("first", E.choose_pseudonyms("a", pool))
+    both = split.withColumn("second", E.choose_pseudonyms("b", pool, F.col("first")))
+    linked = F.size(F.filter("second", lambda y: F.exists("first", lambda x: x["w"] == y["w"])))
+    kept = F.size(F.filter("second", lambda y: F.exists("first", lambda x: (x["w"] == y["w"]) & (x["p"] == y["p"]))))
+    return both.select("record_id", F.size("first").alias("n_first"), F.size("second").alias("n_second"), linked.alias("n_met_before"), kept.alias("n_kept"))
+
+
+@query
+def gold_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Contents with the addresses that were found in them masked as literal strings."""
+    return table(spark, d, "email_records").select("record_id", X.literal_mask("content", F.array_distinct(X.find_emails("content")), "[email]").alias("masked"))
+
+
+@query
+def iob_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as lines of words and tags (capitalised words are tagged), parsed again."""
+    words = F.filter(F.split(F.regexp_replace("text", r"(?U)\s+", " "), " "), lambda w: w != "")
+    tags = F.transform(words, lambda w: F.when(w.rlike("^[A-Z]"), "B-cap").otherwise("O"))
+    line = F.concat(F.lit("BOS "), F.array_join(words, " "), F.lit(" EOS\tO "), F.array_join(tags, " "), F.lit(" intent"))
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(words).alias("n"), M.parse_iob_line(line).alias("p")).filter("n > 0")
+    return rows.select("doc_id", F.posexplode(F.arrays_zip("p.tokens", "p.tags")).alias("k", "x")).select("doc_id", "k", F.col("x.tokens").alias("token"), F.col("x.tags").alias("tag"))
+
+
+@query
+def entities_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's entities in falling order of score, those without one last, ties by place and word."""
+    w = Window.partitionBy("record_id").orderBy(F.desc_nulls_last("score"), "sent_idx", "start_char", "word", "entity_group", "end_char", "ent_idx", "field_name")
+    return _entities(spark, d).select("record_id", "word", "entity_group", "score", F.row_number().over(w).alias("place"))
+
+
+@query
+def repseudonymized(spark: SparkSession, d: str) -> DataFrame:
+    """Contents as one sentence whose found addresses were corrected to persons: replaced anew from the French pool."""
+    pool = F.array(*map(F.lit, _pools(spark, d)["fr"]))
+    rows = table(spark, d, "email_records").filter("not contains(content, '<')").select("record_id", F.col("content").alias("t"))
+    spans = D.find_spans(F.col("t"), X.EMAIL)
+    found = F.transform(spans, lambda s: F.struct(F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]).alias("word"), F.lit("PER").alias("entity_group"), s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("sent_idx")))
+    only = F.filter(found, lambda e: e["start"] == found[0]["start"])  # the first address; it gets the pool's first name
+    return rows.select("record_id", R.repseudonymize(F.array("t"), only, pool)[0].alias("replaced"))
+
+
 def _record_settings(spark: SparkSession, d: str, default_lang: str) -> Settings:
     return Settings(default_lang=default_lang, pseudo_first_names=_pools(spark, d))
 
@@ -312,13 +445,14 @@ def pseudonymize_records(spark: SparkSession, d: str) -> DataFrame:
     ner = E.gazetteer_backend(spark, table(spark, d, "gazetteer"))
     rows = table(spark, d, "email_records").select("record_id", "subject", X.html_to_text("content").alias("content"))
     # Small pools may shrink to nothing on real names; what is left then has one stand-in.
-    out = pipeline.pseudonymize(rows, settings, "record_id", ner, used_up="Inconnu")
+    out = pipeline.pseudonymize(rows, settings, "record_id", ner, languages="stopwords", used_up="Inconnu")
     return out.select("record_id", "pseudo_subject", "pseudo_content", F.to_json("lang").alias("lang"), F.to_json("ne_sent").alias("ne_sent"))
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return timestamps.p1_found(spark, table(spark, d, "sample_data"), table(spark, d, "mailboxes"))
+    """The dictionary of parsed texts stays in the shared work folder, so that a later run parses only what is new."""
+    return timestamps.p1_found(spark, table(spark, d, "sample_data"), table(spark, d, "mailboxes"), f"{work_dir(spark)}/quillveil/timestamp-dictionary")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ def work_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables.
 
     It is the one that the session names in ``spark.checkpoint.dir``, which all executors share. Only where the
-    setting is missing (local tests) a folder of this machine is used.
+    setting is missing and the session is local a folder of this machine is used; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quillveil-work")
     return root.rstrip("/")
 
@@ -38,10 +41,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/quillveil/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of a session; nothing that was made of them may be computed afterwards."""
+    jvm = spark.sparkContext._jvm
+    for owner, path in [x for x in _WRITTEN if x[0] is spark]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _WRITTEN.remove((owner, path))
+
+
+def _remove_written() -> None:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+        try:
+            remove_written(spark)
+        except Exception:  # noqa: BLE001, S112 - the session is gone already
+            continue
+
+
 def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write a table to the shared work folder and read it again: this cuts its lineage and survives lost executors."""
+    """Write a table to the shared work folder and read it again: this cuts its lineage and survives lost executors.
+
+    What is made of it may be computed at any time later, so the table stays until the program or its session ends.
+    """
     spark = spark or df.sparkSession
     path = fresh_path(spark, name)
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

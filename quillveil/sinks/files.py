@@ -32,21 +32,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; an empty table is an error."""
     if df.limit(1).count() == 0:
         raise ValueError("there is nothing to write")
-    flat(df).write.mode(mode).csv(path, header=True, escape='"', emptyValue="")
+    flat(df).write.mode(mode).csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 _KINDS = {"string": "str", "int": "int", "bigint": "int", "double": "float", "float": "float", "boolean": "bool", "timestamp": "str", "date": "str"}
 
 
 def _typed(c: Column, kind: T.DataType) -> Column:
-    """A value with its kind as an attribute, nested as the data are."""
+    """A value with its kind as an attribute, nested as the data are; a map has an element ``key`` with its name for each entry."""
     if isinstance(kind, T.ArrayType):
         items = F.transform(c, lambda x: _typed(x, kind.elementType))
         return F.struct(F.lit("list").alias("_type"), items.alias("item"))
     if isinstance(kind, T.StructType):
         return F.struct(F.lit("dict").alias("_type"), *[_typed(c[f.name], f.dataType).alias(f.name.replace(" ", "_")) for f in kind.fields])
     if isinstance(kind, T.MapType):
-        return F.struct(F.lit("str").alias("_type"), F.to_json(c).alias("_VALUE"))
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("_name"), _typed(e["value"], kind.valueType).alias("value")))
+        return F.struct(F.lit("dict").alias("_type"), entries.alias("key"))
     return F.struct(F.lit(_KINDS.get(kind.simpleString(), "str")).alias("_type"), c.cast("string").alias("_VALUE"))
 
 

@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, col_names: Sequence[str], fields: S
             raise OSError(f"the file {path} doesn't exist")
         if os.path.isfile(local) and os.path.getsize(local) == 0:
             return spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields))
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return map_columns(raw, col_names, fields, unmatched)
 
 

@@ -93,6 +93,12 @@ def test_corrections(spark):
     edits = spark.createDataFrame([(1, "c", 0, 0, "remove", None, None, None, None), (1, "c", 0, 1, "regroup", "PER", None, None, None), (1, "c", 0, 2, "reword", None, "Xy", None, None), (1, "c", 1, 0, "insert", "LOC", "Rom", 3, 6)],
                                   "record_id int, field_name string, sent_idx int, ent_idx int, action string, entity_group string, word string, start_char int, end_char int")
     keys = ["record_id", "field_name", "sent_idx", "ent_idx"]
+    words = spark.createDataFrame([(1, "c", 0, k, "PER", w, 5, 5 + len(w)) for k, w in enumerate(["Mr Smith", "Smith", "Bob", "Ann B", "Lee"])], schema)
+    new = spark.createDataFrame([(1, "c", 0, k, "reword", None, w, None, None) for k, w in enumerate(["Smith", "Mr Smith", "Al", "Ann"])], edits.schema)
+    assert sorted(tuple(r)[5:] for r in R.apply_corrections(words, new, keys).select(words.columns).collect()) == [("Al", 5, 7), ("Ann", 5, 8), ("Lee", 5, 8), ("Mr Smith", 2, 10), ("Smith", 8, 13)]
+    given = found.withColumn("pseudonym", F.lit("[location]"))
+    regroup = edits.filter("action = 'regroup'").withColumn("pseudonym", F.lit("Zoé"))
+    assert {(r.word, r.entity_group, r.pseudonym) for r in R.apply_corrections(given, regroup, keys).collect()} == {("Al", "PER", "Zoé"), ("Bo", "PER", "[location]"), ("X", "ORG", "[location]")}
     assert sorted(tuple(r)[2:] for r in R.apply_corrections(found, edits, keys).select(found.columns).collect()) == [(0, 1, "PER", "Al", 7, 9), (0, 2, "ORG", "Xy", 9, 11), (1, 0, "LOC", "Rom", 3, 6)]
 
 
@@ -107,8 +113,9 @@ def test_metrics(spark):
     parsed = value(spark, M.parse_iob_line(F.lit("BOS fly to rome EOS\tO O O B-city flight")))
     assert parsed.tokens == ["fly", "to", "rome"] and parsed.tags == ["O", "O", "B-city"]
     two = spark.createDataFrame([(1,), (1,)], "k int")
-    with pytest.raises(ValueError):
-        M.validated_join(two, two.distinct(), ["k"])
+    assert M.validated_join(two.distinct(), two.distinct().withColumn("v", F.lit("x")), ["k"]).collect() == [(1, "x")]
+    with pytest.raises(Exception, match="isn't unique"):
+        M.validated_join(two, two.distinct(), ["k"]).collect()
 
 
 def test_one_partition_or_many(spark, ner):
@@ -142,5 +149,75 @@ def test_all_entities_of_all_records_highlighted(spark, tmp_path):
 def test_used_up_pools_have_a_stand_in(spark, ner):
     df = spark.createDataFrame([(1, "", "the meeting with Alice and Tony is for you"), (2, "", "le livre de Alice est dans la maison pour vous")], "row_id bigint, subject string, content string")
     settings = Settings(default_lang="", pseudo_first_names={"en": ["Alice"], "fr": ["Camille"]})
-    out = {r.row_id: r.pseudo_content for r in pseudonymize(df, settings, "row_id", ner, used_up="Inconnu").collect()}
+    out = {r.row_id: r.pseudo_content for r in pseudonymize(df, settings, "row_id", ner, languages="stopwords", used_up="Inconnu").collect()}
     assert out == {1: "the meeting with Inconnu and Inconnu is for you", 2: "le livre de Camille est dans la maison pour vous"}
+
+
+def test_models_named_by_the_settings(spark):
+    from quillveil import backends
+    from quillveil.functions import lang as L
+
+    def fake_detector(languages=(), **_):
+        ranked = [("xx", 0.6), ("yy", 0.3), ("zz", 0.1)]
+        return lambda text: [r for r in reversed(ranked) if not languages or r[0] in languages]
+
+    def fake_recogniser(task, model):
+        return lambda text: [{"entity_group": "PER", "word": model, "start": text.index(model), "end": text.index(model) + len(model), "score": 0.5}] if model in text else []
+
+    def fake_splitter(model="default", lang="de"):
+        return lambda text: text.split(model)
+
+    df = spark.createDataFrame([(1, "", "Tony a bc|Tony d"), (2, "12", "7")], "row_id bigint, subject string, content string")
+    kept = dict(backends._FACTORIES)
+    try:
+        backends.register("langid", fake_detector), backends.register("transformers", fake_recogniser), backends.register("spacy", fake_splitter)
+        ranked = df.select(L.ranked_languages("content", "langid").alias("x"), L.ranked_languages("content", "langid", ["zz", "yy"]).alias("y")).collect()
+        assert [r.lang for r in ranked[0].x] == ["xx", "yy", "zz"] and [r.lang for r in ranked[0].y] == ["yy", "zz"] and ranked[1].x == []
+        settings = Settings(default_lang="", pseudo_first_names=POOLS, lang_detection_lib="langid", spacy_model="|", ner_pipeline={"task": "token-classification", "model": "Tony"})
+        out = {r.row_id: r for r in pseudonymize(df, settings, "row_id").collect()}
+        assert out[1].lang == {"content": "xx"} and out[1].sentences == {"content": ["Tony a bc", "Tony d"]} and out[1].pseudo_content == "José a bc José d" and out[2].lang == {"subject": None, "content": None}
+    finally:
+        backends._FACTORIES.clear(), backends._FACTORIES.update(kept)
+    with pytest.raises(ValueError):
+        L.detect_language("content", "nothing")
+    with pytest.raises(Exception, match="isn't installed"):
+        df.select(L.detect_language("content", "langdetect")).collect()
+
+
+@pytest.mark.parametrize("range_rows", [3, 7, 1000])
+def test_runs_over_ranges(spark, range_rows):
+    import random
+
+    from quillveil.functions.lang import language_runs
+
+    rng, rows, expected = random.Random(range_rows), [], []
+    for key in ("a", "b", None):
+        at, last = 0, object()
+        for _ in range(40 if key == "a" else 9):
+            at += rng.choice([1, 1, 5])
+            lang = rng.choice(["x", "x", "x", None, "y"])
+            rows.append((key, at, lang))
+            if lang == last and expected:
+                expected[-1] = (*expected[-1][:2], at + 1, lang)
+            else:
+                expected.append((key, at, at + 1, lang))
+            last = lang
+    df = spark.createDataFrame(rows, "k string, i bigint, l string").repartition(3)
+    found = [tuple(r) for r in language_runs(df, "k", "i", "l", range_rows).select("k", "begin", "end", "lang").collect()]
+    order = lambda r: (str(r[0]), r[1])
+    assert sorted(found, key=order) == sorted(expected, key=order)
+    assert language_runs(df.limit(0), "k", "i", "l", range_rows).count() == 0
+
+
+def test_references_and_tokens(spark):
+    import html
+
+    from quillveil.functions import text as X
+
+    texts = ["<b>&eacute;&#233;&#xE9;&hellip;&amp;lt;</b>", "<i>a &b; &unknown; &#0; &#xD800; &amp</i>", "no tag &amp;", "<p>&notin;&CounterClockwiseContourIntegral;&#128512;</p>", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    found = [r.x for r in df.select(X.html_to_text("t").alias("x")).collect()]
+    assert found == [html.unescape("&eacute;&#233;&#xE9;&hellip;&amp;lt;"), "a &b; &unknown; &#0; &#xD800; &amp", "no tag &amp;", html.unescape("&notin;&CounterClockwiseContourIntegral;&#128512;"), None, ""]
+    joined = ["l ' eau est ( ici ) , oui !", "“ on y va ”  dit 5 %", " a ’ b "]
+    df = spark.createDataFrame([(t,) for t in joined], "t string").coalesce(1)
+    assert [r.x for r in df.select(X.detokenize("t").alias("x")).collect()] == ["l'eau est (ici), oui!", "“on y va” dit 5%", "a’b"]

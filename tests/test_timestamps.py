@@ -61,3 +61,43 @@ def test_empty(spark):
     boxes = spark.createDataFrame([], "mailbox string, home_zone string, date_order string")
     samples = spark.createDataFrame([], "row_id bigint, date string, sender string")
     assert p1_found(spark, samples, boxes).count() == 0
+
+
+def test_repeated_appends_change_nothing(spark, tmp_path):
+    from quillveil.operators import timestamps
+
+    boxes = spark.createDataFrame([("a", "UTC", "dmy")], "mailbox string, home_zone string, date_order string")
+    samples = spark.createDataFrame([(1, "2024-01-01", "a"), (2, "x", "a")], "row_id bigint, date string, sender string")
+    path = f"file://{tmp_path}/twice"
+    first = p1_found(spark, samples, boxes, path).collect()
+    dictionary = TimestampDictionary(spark, path)
+    dictionary.entries().write.mode("append").parquet(dictionary.path)  # as a repeated or concurrent append would
+    assert spark.read.parquet(dictionary.path).count() == 4 and dictionary.entries().count() == 2
+    assert p1_found(spark, samples, boxes, path).collect() == first and len(first) == 1
+    timestamps.PARSER_VERSION += 1
+    try:
+        assert TimestampDictionary(spark, path).entries().count() == 0  # another parser reads everything anew
+    finally:
+        timestamps.PARSER_VERSION -= 1
+
+
+def test_work_folder(spark):
+    from quillveil import runtime
+
+    made = runtime.written(spark.range(3).toDF("x"), "for-a-test")
+    path = runtime._WRITTEN[-1][1].removeprefix("file://")
+    import os
+
+    assert made.count() == 3 and os.path.isdir(path)
+    runtime.remove_written(spark)
+    assert not os.path.exists(path) and not runtime._WRITTEN
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "yarn"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.work_dir(Session())
