@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +53,27 @@ def histogram(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
     return df.groupBy(value.alias(name)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used inside of lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bio_spans(tags: Column | str) -> Column:
-    """``array<struct<type, first, last>>`` of entity spans from BIO tags; an I without its B opens a span."""
-    t = F.col(tags) if isinstance(tags, str) else tags
-    spans = "array<struct<type:string,first:int,last:int>>"
+    """``array<struct<type, first, last>>`` of entity spans from BIO tags; an I without its B opens a span.
 
-    def step(acc: Column, x: Column) -> Column:
-        kind, tag, k = F.substring(x["tag"], 3, 1000), F.substring(x["tag"], 1, 1), x["k"]
-        size = F.size(acc)
-        last = F.element_at(acc, -1)
-        goes_on = (tag == "I") & (size > 0) & (last["type"] == kind) & (last["last"] == k - 1)
-        longer = F.concat(F.slice(acc, 1, F.greatest(size - 1, F.lit(0))), F.array(F.struct(last["type"].alias("type"), last["first"].alias("first"), k.alias("last"))))
-        new = F.concat(acc, F.array(F.struct(kind.alias("type"), k.alias("first"), k.alias("last"))))
-        return F.when(tag == "O", acc).when(goes_on, longer).otherwise(new)
-
-    numbered = F.transform(t, lambda x, k: F.struct(x.alias("tag"), k.alias("k")))
-    return F.aggregate(numbered, F.array().cast(spans), step)
+    Firsts and lasts are picked by their neighbours alone, so a text costs its length once.
+    """
+
+    def spans(t: Column) -> Column:
+        at = lambda k: F.get(t, k)
+        inside = lambda k: F.coalesce(F.substring(at(k), 1, 1) != "O", F.lit(False))
+        goes_on = lambda k: F.coalesce((F.substring(at(k), 1, 1) == "I") & (k > 0) & inside(k - 1) & (F.substring(at(k), 3, 1000) == F.substring(at(k - 1), 3, 1000)), F.lit(False))
+        numbers = F.transform(t, lambda x, k: k)
+        firsts = F.filter(numbers, lambda k: inside(k) & ~goes_on(k))
+        lasts = F.filter(numbers, lambda k: inside(k) & ~goes_on(k + 1))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(F.substring(at(a), 3, 1000).alias("type"), a.alias("first"), b.alias("last")))
+
+    return bound(F.col(tags) if isinstance(tags, str) else tags, spans)
 
 
 def token_offsets(sentence: Column | str, tokens: Column | str) -> Column:

@@ -36,6 +36,9 @@ def _words(c: str) -> str:
     return rf"list_filter(string_split(regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g'), ' '), lambda w: regexp_replace(w, '{_WS}', '', 'g') <> '')"
 
 
+_DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
+_HTML = r"""case when regexp_matches(content, '<[A-Za-z!/][^>]*>') then replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'),
+        '(?si)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') else content end"""
 _LINES = "(select row_id, generate_subscripts(string_split(message, chr(10)), 1) - 1 as line_no, unnest(string_split(message, chr(10))) as line from sample_data where message is not null)"
 _STRIPPED = rf"regexp_replace(line, '[^\pL\pN\t-\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', '', 'g')"
 _ONLY_NUMBERS = rf"regexp_full_match(regexp_replace({_STRIPPED}, '{_WS}', '', 'g'), '[\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨]+')"
@@ -96,8 +99,12 @@ SQL: dict[str, str] = {
     "model_resolution": "select doc_id, case when lang = 'gl' then 'pt' when lang in ('en','fr','es','pt','de','it','ru','zh','ja') then lang else 'de' end as model_lang from documents",
     "field_skip": "select row_id, coalesce(subject not in ('', 'unmatched'), false) as subject_used, coalesce(message not in ('', 'unmatched'), false) as message_used from sample_data",
     "csv_mapping": "select message as content, 'unmatched' as date, subject as title, row_id from sample_data",
-    "html_text": r"""select record_id, case when regexp_matches(content, '<[A-Za-z!/][^>]*>') then replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'),
-        '(?si)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') else content end as bare from email_records""",
+    "html_text": f"select record_id, {_HTML} as bare from email_records",
+    "pipeline_masks": rf"""with c as (select record_id, {_clean(_HTML)} as t from email_records where content is not null and content not in ('', 'unmatched')), x as (select record_id, t, {_strict_dates('t')} as dates, {_sentences('t')} as s from c),
+        p as (select *, case when len(dates) = 0 then '(\x{{03}})' else '(' || array_to_string(list_transform(list_reverse_sort(list_transform(dates, lambda d: {{'n': length(d), 'd': d}})), lambda y: regexp_escape(y.d)), '|') || ')' end || '|{_DIGITS}+' as pattern from x),
+        m as (select record_id, dates, s, list_transform(s, lambda y: regexp_replace({_emails('y')}, pattern, chr(1) || '\1' || chr(2), 'g')) as marked from p)
+        select record_id, array_to_string(list_transform(marked, lambda y: replace(replace(replace(regexp_replace(y, '({_DIGITS})' || chr(2) || chr(1) || chr(2), '\1' || chr(2), 'g'), chr(1) || chr(2), '[number]'), chr(1), ''), chr(2), '')), ' ') as pseudo_content,
+        len(dates)::int as n_dates, len(s)::int as n_sentences, 'fr' as lang from m""",
     "gazetteer_ner": f"select * from {_FOUND}",
     "ne_by_sentence": f"select record_id, field_name, sent_idx, string_agg(word || '/' || entity_group, ';' order by ent_idx, start_char, word, entity_group) as entities, count(*) as n from {_ENTITIES} group by all",
     "pool_exclusion": f"""select lang as pool_lang, given_name as name, min((record_id, sent_idx))[1] as record_id, min((record_id, sent_idx))[2]::int as sent_idx from (select distinct lang, given_name from pseudo_pool)

@@ -300,7 +300,8 @@ def bio_to_spans(spark: SparkSession, d: str) -> DataFrame:
     """Runs of capitalised tokens as BIO tags, and the spans of them."""
     tokens = F.filter(F.split("text", "[ \n]+"), lambda t: t != "")
     capital = lambda t: t.rlike("^[A-Z]")
-    tags = F.transform(tokens, lambda t, k: F.when(~capital(t), "O").when((k > 0) & capital(F.get(tokens, k - 1)), "I-CAP").otherwise("B-CAP"))
+    tag = lambda words: F.transform(words, lambda t, k: F.when(~capital(t), "O").when((k > 0) & capital(F.get(words, k - 1)), "I-CAP").otherwise("B-CAP"))
+    tags = M.bound(tokens, tag)
     spans = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(M.bio_spans(tags)).alias("s"))
     return spans.select("doc_id", F.col("s.type").alias("type"), F.col("s.first").alias("first"), F.col("s.last").alias("last"))
 
@@ -438,6 +439,16 @@ def _record_settings(spark: SparkSession, d: str, default_lang: str) -> Settings
     return Settings(default_lang=default_lang, pseudo_first_names=_pools(spark, d))
 
 
+@query
+def pipeline_masks(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline without a recogniser: sentences, mail addresses and numbers masked, dates with their times spared."""
+    settings = Settings(pseudo_fields=("content",), pseudo_ne=False)
+    rows = table(spark, d, "email_records").select("record_id", X.html_to_text("content").alias("content"))
+    out = pipeline.pseudonymize(rows, settings, "record_id")
+    n = lambda c: F.coalesce(F.size(F.element_at(c, "content")), F.lit(0))
+    return out.select("record_id", "pseudo_content", n("detected_datetime").alias("n_dates"), n("sentences").alias("n_sentences"), F.element_at("lang", "content").alias("lang"))
+
+
 @query
 def pseudonymize_records(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline over subjects and contents of the records, with languages told by stop words."""

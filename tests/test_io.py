@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillveil.backends import check_pipeline, instance
+from quillveil.sinks import files
 from quillveil.sinks.files import write_output, write_text
 from quillveil.sources.mail import decode_mail, html_text, list_files, read_mail_dir
 from quillveil.sources.tabular import get_input, read_csv
@@ -96,3 +97,17 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "mask_pipeline" in entry.queries()
+
+
+def test_maps_in_xml(spark, tmp_path):
+    df = spark.sql("select 1 as k, map('content', array('a', 'b'), 'subject', cast(null as array<string>)) as found, map('content', 'fr') as lang")
+    files.write_xml(df, f"{tmp_path}/x.xml")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "x.xml").glob("part-*")))
+    assert '<lang type="dict">' in text and '<key name="content">' in text and '<value type="str">fr</value>' in text and text.count('<item type="str">') == 2
+
+
+def test_white_space_and_line_ends_survive_csv(spark, tmp_path):
+    texts = ["  two \r\nlines \n", 'a "quote", comma', "\ttab", "back\\slash\\", "x"]
+    files.write_csv(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string"), f"{tmp_path}/c.csv")
+    back = read_csv(spark, f"{tmp_path}/c.csv", ["t", "k"], ["content"])
+    assert [r.content for r in sorted(back.collect(), key=lambda r: int(r.k))] == texts
