@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillveil.llm.batches import uncollected
+
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Split of a text into pieces before the merges, as the rank files are published with.
@@ -148,6 +150,7 @@ def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", tokeni
     keep = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.IntegerType() if lengths_only else T.ArrayType(T.IntegerType()))])
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Worker.of(path, ranks)
         for batch in batches:

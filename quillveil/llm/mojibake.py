@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillveil.llm.batches import uncollected
 from quillveil.runtime import written
 
 FIELDS = ["message", "subject"]
@@ -387,6 +388,7 @@ def without_misread(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 def count_pairs(fields: DataFrame, columns: list[str]) -> DataFrame:
     """``x, y, n``: counts of adjacent characters of which one is beyond ASCII (y -1: of single characters, all of them), without lines of misread UTF-8."""
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = _codes([t for c in columns for t in batch.column(c).to_pylist() if t])
@@ -428,6 +430,7 @@ def garbled_fields(samples: DataFrame, scores: PairScores, columns: list[str]) -
     """``row_id, field_name, restored``: each garbled field with its original text, null where it is lost."""
     shared = samples.sparkSession.sparkContext.broadcast(scores)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shared.value
         for batch in batches:

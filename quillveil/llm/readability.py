@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillveil.llm.batches import uncollected
 from quillveil.runtime import written
 
 BANDS = ["basic", "middle", "advanced"]
@@ -89,6 +90,7 @@ def document_features(documents: DataFrame, shares: dict[str, dict[str, float]])
     known = documents.sparkSession.sparkContext.broadcast(shares)
     schema = "doc_id bigint, lang string, n_words int, " + ", ".join(f"{f} double" for f in FEATURES)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs, counts, rows = [], [], [], []
