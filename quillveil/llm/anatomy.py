@@ -25,6 +25,8 @@ _ID = {c: i for i, c in enumerate(LABELS)}
 NEW = frozenset("NGCML")
 #: Messages from which the model is trained.
 TRAIN_MESSAGES = 2500
+#: Distinct lines whose scores a worker keeps; beyond that it starts afresh, which costs time but changes nothing.
+KEPT_LINES = 250_000
 
 # Words that open a greeting, close a letter, mark device lines and disclaimers, and begin header lines.
 GREETING = r"""coucou|bonjour|salut|cher|chère|chers|chères|bonsoir|hello|hi|hey|dear|good (?:morning|afternoon|evening)|hola|querid[oa]s?|estimad[oa]s?|buen[oa]s|olá|ola|oi|boa|exm[oa]|car[oa]s?|prezad[oa]s?|bom dia|boas|hallo|guten|moin|lieber?|sehr geehrte|ciao|gentile|egregio|buongiorno|buonasera|salve|здравствуй|привет|добр|уважаем|дорог|प्रिय|नमस्ते|आदरणीय|お世話|皆様|皆さん|各位|您好|你好|大家好|亲爱的|尊敬的|مرحبا|السلام|عزيز|أهلا|تحية طيبة|สวัสดี|เรียน"""
@@ -454,7 +456,7 @@ class LineModel:
     def _lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by their own features, and flags, of non-blank lines; kept for lines that come again."""
         own, get = self.own, self.index.get
-        if len(own) > 100_000:
+        if len(own) > KEPT_LINES:
             self._forget()
             own = self.own
         ids, rows, flags = [], [], []

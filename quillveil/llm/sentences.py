@@ -371,9 +371,9 @@ class Lines:
             return
         begin = 0
         for end, nxt, *_ in spots:
-            self.solid.append(_SOLID.search(text, begin, end) is not None)
+            self.solid.append(text[begin].isalnum() or _SOLID.search(text, begin, end) is not None)
             begin = nxt
-        self.solid.append(_SOLID.search(text, begin) is not None)
+        self.solid.append(text[begin].isalnum() or _SOLID.search(text, begin) is not None)
 
     def _gather(self, text: str, alone: bool) -> None:
         tokens = text.split()
