@@ -73,6 +73,9 @@ def test_languages(spark, samples, none):
     assert 0 not in found and ("message", 0, "fr") in found[1] and [x for x in found[2] if x[0] == "segment"][0] == ("segment", 0, "fr")
     assert {x[2] for x in found[2]} == {"fr", "en"} and not {900, 901, 902, 903} & found.keys()
     assert langid.p5_found(none, seeds).count() == 0
+    nothing = samples.filter("row_id in (900, 901, 902, 903)")
+    assert langid.p5_found(nothing, seeds).count() == langid.p5_languages(nothing, seeds).count() == sentences.p3_found(nothing).count() == 0
+    assert langid.p5_found(samples, seeds.limit(0)).count() >= 0
     sure = langid.p5_languages(samples, seeds).agg(F.min("confidence"), F.max("confidence")).first()
     assert 0 < sure[0] <= sure[1] <= 1
 
