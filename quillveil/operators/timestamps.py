@@ -12,7 +12,9 @@ takes the home zone; if that is null or unknown, there is no instant. A date alo
 occurs twice means its first occurrence; one that is skipped is read with the offset before the change. Dates with
 slashes follow the date order (``mdy`` or ``dmy``, null: the only possible reading, else day first) unless the year
 leads; dates with dots or dashes are day first unless the year leads. Two-digit years are 20xx. Bare counts of seconds,
-milli-, micro- or nanoseconds since 1970 are UTC. Fractions below the microsecond are cut.
+milli-, micro- or nanoseconds since 1970 are UTC. Fractions below the microsecond are cut. An hour without minutes ("5pm",
+"17h") and a second of 60 are no instant. Zone abbreviations of several meanings are read in one: CST as US Central, IST
+as Indian, BST as British Summer Time, EST, MST and PST as North American.
 """
 
 from __future__ import annotations
@@ -224,18 +226,21 @@ class TimestampDictionary:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, f"{path or fresh_path(spark, 'timestamps')}/parser-{PARSER_VERSION}"
 
-    def entries(self) -> DataFrame:
+    def _stored(self) -> DataFrame:
+        """The appended rows as they are."""
         try:
-            rows = self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(SCHEMA).parquet(self.path)
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(F.max("utc_micros").alias("utc_micros"))
+
+    def entries(self) -> DataFrame:
+        return self._stored().groupBy(*KEYS).agg(F.max("utc_micros").alias("utc_micros"))
 
     def update(self, counted: DataFrame) -> DataFrame:
         """Parse the triples of ``counted`` that are new, append them, and return all entries."""
-        known = self.entries()
+        known = self._stored()
         new = counted.select(*KEYS) if known.isEmpty() else counted.select(*KEYS).join(known.select(*KEYS), KEYS, "left_anti")
         new.mapInArrow(_parse_batches, SCHEMA).write.mode("append").parquet(self.path)
         return self.entries()

@@ -8,6 +8,7 @@ from quillveil.operators import metrics as M
 from quillveil.operators import review as R
 from quillveil.plans.pipeline import pseudonymize
 
+# Pools, names and whole records with their pseudonymized texts.
 POOLS = {"es": ["José", "Angel", "Alex"], "fr": ["Claude", "Dominique", "Camille"], "de": ["Mika"]}
 NAMES = [("Alice", "PER"), ("Angel", "PER"), ("Tony", "PER"), ("MeetingPoint", "LOC"), ("Tour de France", "MISC"), ("Microsoft", "ORG"), ("Claude", "PER")]
 
