@@ -76,6 +76,8 @@ def test_languages(spark, samples, none):
     nothing = samples.filter("row_id in (900, 901, 902, 903)")
     assert langid.p5_found(nothing, seeds).count() == langid.p5_languages(nothing, seeds).count() == sentences.p3_found(nothing).count() == 0
     assert langid.p5_found(samples, seeds.limit(0)).count() >= 0
+    bare = spark.createDataFrame([(1, "64510", None, "de", "a", None), (2, "https://x.example/1", None, "xx", "a", None), (3, "+1 212 555 0179\na@b.example", None, None, "a", None)], SCHEMA)
+    assert not {1, 2, 3} & by_row(langid.p5_found(samples.unionByName(bare.withColumn("row_id", F.col("row_id") + 5000)).withColumn("row_id", F.when(F.col("row_id") > 5000, F.col("row_id") - 5000).otherwise(F.col("row_id") + 10_000)), seeds), "scope").keys()
     sure = langid.p5_languages(samples, seeds).agg(F.min("confidence"), F.max("confidence")).first()
     assert 0 < sure[0] <= sure[1] <= 1
 
