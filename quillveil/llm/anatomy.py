@@ -2,8 +2,8 @@
 
 Physical lines are joined to logical ones where a line ends in a space (flowed text). Each logical line gets the cues of
 its form, prefix, position, punctuation and neighbours; an averaged perceptron with Viterbi decoding labels the sequence.
-It is trained on a bounded sample of messages whose lines `draft_labels` marks from unmistakable signs (quote prefixes,
-header blocks, signature delimiters, known closings); all of the corpus is then labelled by the model alone. On demand a
+It is trained on messages whose lines `draft_labels` marks from unmistakable signs (quote prefixes, header blocks,
+signature delimiters, known closings): a bounded sample or, by `fit_line_model`, all; all of the corpus is then labelled by the model alone. On demand a
 line whose sign admits no other reading (a quote prefix, what follows a header block) keeps the label of the sign.
 
 Labels: N new text, G greeting, C closing, M name under a closing, L list item; Q quoted line, A attribution, H header
@@ -13,13 +13,18 @@ line, X separator, F text forwarded below a header block; S signature, D disclai
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillveil.llm.batches import uncollected
+
 LABELS = "NGCMLQAHXFSD"
 _ID = {c: i for i, c in enumerate(LABELS)}
 NEW = frozenset("NGCML")
@@ -27,6 +32,10 @@ NEW = frozenset("NGCML")
 TRAIN_MESSAGES = 2500
 #: Distinct lines whose scores a worker keeps; beyond that it starts afresh, which costs time but changes nothing.
 KEPT_LINES = 250_000
+#: Least share of all messages that hold a line which counts as shared, where all of them train the model.
+SHARED_LINES = 1e-4
+#: Messages that a worker should have learned from; where all are fewer it reads them several times.
+LEARNED = 12_500
 
 # Words that open a greeting, close a letter, mark device lines and disclaimers, and begin header lines.
 GREETING = r"""coucou|bonjour|salut|cher|chère|chers|chères|bonsoir|hello|hi|hey|dear|good (?:morning|afternoon|evening)|hola|querid[oa]s?|estimad[oa]s?|buen[oa]s|olá|ola|oi|boa|exm[oa]|car[oa]s?|prezad[oa]s?|bom dia|boas|hallo|guten|moin|lieber?|sehr geehrte|ciao|gentile|egregio|buongiorno|buonasera|salve|здравствуй|привет|добр|уважаем|дорог|प्रिय|नमस्ते|आदरणीय|お世話|皆様|皆さん|各位|您好|你好|大家好|亲爱的|尊敬的|مرحبا|السلام|عزيز|أهلا|تحية طيبة|สวัสดี|เรียน"""
@@ -625,6 +634,167 @@ def train_line_model(messages: list[str], epochs: int = 5) -> LineModel:
     return LineModel(index, *(a - s / t for a, s in zip((emit, move, start), sums, strict=True)), seen)
 
 
+def may_be_shared(text: str) -> bool:
+    """Whether a line can be a cue because several messages hold it."""
+    return len(text) >= 25 and not any(c.isdigit() for c in text) and not _QUOTE.match(text)
+
+
+class LineLearner:
+    """The perceptron of `train_line_model` on the messages of one worker, as many as there are.
+
+    A chunk of messages is labelled at once; of those labelled wrong each is labelled again and learned from by itself.
+    Chunks grow as errors get rare. ``shared`` has the checksums of the lines that several messages hold.
+    """
+
+    def __init__(self, shared: frozenset[int]):
+        self.shared, self.number, self.messages, self.size = shared, Counter(), 0, 32
+        self.drafted: dict[str, list[int]] = {}
+        self.index: dict[str, int] = {"": 0, "-": 1}  # the cue of shared lines, and nothing known
+        k = len(LABELS)
+        self.weights = [np.zeros((4096, k)), np.zeros((k, k)), np.zeros(k)]
+        self.sums = [np.zeros_like(a) for a in self.weights]
+        self.own: dict[str, tuple[list[int], int]] = {}
+        self.around: dict[int, list[int]] = {}
+        self.rng = np.random.RandomState(0)
+
+    def _ids(self, names: list[str]) -> list[int]:
+        index = self.index
+        ids = [index.setdefault(f, len(index)) for f in names]
+        if len(index) > len(self.weights[0]):
+            for group in (self.weights, self.sums):
+                group[0] = np.concatenate([group[0], np.zeros_like(group[0])])
+        return ids
+
+    def _cues(self, t: str) -> tuple[list[int], int]:
+        got = self.own.get(t)
+        if got is None:
+            if len(self.own) > KEPT_LINES:
+                self.own.clear()
+            names, flags = _cues(t)
+            got = self.own[t] = self._ids(names), flags
+        return got
+
+    def _context(self, code: int) -> list[int]:
+        got = self.around.get(code)
+        if got is None:
+            got = self.around[code] = self._ids(context_features(context_of(code)))
+        return got
+
+    def learn(self, messages: list[str], epochs: int = 1) -> None:
+        views = [line_view(m)[1] for m in messages]
+        for epoch in range(epochs):
+            order, at = self.rng.permutation(len(views)).tolist(), 0
+            while at < len(order):
+                self._chunk([views[i] for i in order[at : at + self.size]], epoch == 0)
+                at += self.size
+                self.size = self.grown
+
+    def _chunk(self, views: list[list[str]], new: bool) -> None:
+        basic = [[self._cues(t) if t else ([], 0) for t in v] for v in views]
+        drafts = [draft_labels(v, [f for _, f in b]) for v, b in zip(views, basic, strict=True)]
+        solid, numbers, first = _line_arrays(views)
+        self.messages += len(views)
+        self.grown = self.size
+        if not len(solid):
+            return
+        texts = [t for v in views for t in v if t]
+        own = [x for v, b in zip(views, basic, strict=True) for t, x in zip(v, b, strict=True) if t]
+        gold = np.array([_ID[c] for d in drafts for c in d if c], np.int64)
+        flags = np.array([f for _, f in own], np.int64)
+        codes = contexts(flags, _kinds(flags), numbers, first).tolist()
+        rows = [ids + self._context(c) for (ids, _), c in zip(own, codes, strict=True)]
+        for k, t in enumerate(texts):
+            if len(t) >= 25 and zlib.crc32(t.encode("utf-8", "replace")) in self.shared:
+                seen = self.drafted.setdefault(t, [0, 0])
+                if new:
+                    seen[0] += int(gold[k] in (_ID["D"], _ID["S"]))
+                    seen[1] += 1
+                if seen[0] * 2 > seen[1]:
+                    rows[k] = [*rows[k], 0]
+        heads = np.flatnonzero(first)
+        ends = np.append(heads[1:], len(gold))
+        tags = self._tags(rows, heads)
+        wrong = np.flatnonzero(np.add.reduceat(tags != gold, heads))
+        for m in wrong.tolist():
+            a, b = int(heads[m]), int(ends[m])
+            tags = self._tags(rows[a:b], np.zeros(1, np.int64)).tolist()
+            right = gold[a:b].tolist()
+            if tags == right:
+                continue
+            t = self.messages - len(views) + m
+            for ids, y, z in zip(rows[a:b], right, tags, strict=True):
+                if y != z:
+                    for group, by in ((self.weights, 1), (self.sums, t)):
+                        np.add.at(group[0], (ids, y), by), np.add.at(group[0], (ids, z), -by)
+            for seq, sign in ((right, 1), (tags, -1)):
+                for group, by in ((self.weights, sign), (self.sums, sign * t)):
+                    group[2][seq[0]] += by
+                    if len(seq) > 1:
+                        np.add.at(group[1], (seq[:-1], seq[1:]), by)
+        if len(wrong) * 10 < len(heads):
+            self.grown = min(2 * self.size, 1024)
+
+    def _tags(self, rows: list[list[int]], heads: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(r) for r in rows], np.int64)
+        score = np.add.reduceat(self.weights[0][np.array([k for r in rows for k in r], np.int64)], np.cumsum(sizes) - sizes, axis=0)
+        return LineModel({}, *self.weights, frozenset())._decode(score, heads)
+
+    def rows(self) -> Iterator[tuple]:
+        """Kind, name, number of messages and a number for each label: averaged weights by that number, and counts of shared lines."""
+        n, k = self.messages, len(LABELS)
+        emit, move, start = (w * n - s for w, s in zip(self.weights, self.sums, strict=True))
+        names = list(self.index)
+        for i in np.flatnonzero(emit[: len(names)].any(1)).tolist():
+            yield ("emit", names[i], n, *emit[i].tolist())
+        for i in range(k):
+            yield ("move", LABELS[i], n, *move[i].tolist())
+        yield ("start", "", n, *start.tolist())
+        for t, (out, every) in self.drafted.items():
+            yield ("line", t, n, float(out), float(every), *[0.0] * (k - 2))
+
+
+def fit_line_model(samples: DataFrame, total: int) -> LineModel:
+    """The model of all ``total`` messages that are not empty: each worker learns from all of its own; a weight is the
+    mean, by the number of messages, over the workers that found cause to change it, so that what only some workers meet counts in full.
+
+    Features are those that any error ever touched, so what comes to the driver grows with errors, not with messages.
+    """
+    rows = samples.select("message").filter(F.length("message") > 0)
+    lines = F.array_distinct(F.transform(F.split(F.regexp_replace("message", r"(?<!--) \r?\n(?=[ \t]*[^\s>|])", " "), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    least = max(3, int(total * SHARED_LINES))
+    counted = rows.select(F.explode(lines).alias("line")).filter((F.length("line") >= 25) & ~F.col("line").rlike(r"\d|^[>|]")).groupBy(F.crc32(F.encode("line", "UTF-8")).alias("line")).count()
+    shared = samples.sparkSession.sparkContext.broadcast(frozenset(r.line for r in counted.filter(F.col("count") >= least).collect()))  # at most lines a message / SHARED_LINES
+    epochs = max(1, min(5, -(-LEARNED // max(1, total))))
+    names = [f"w{i}" for i in range(len(LABELS))]
+
+    @uncollected
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = LineLearner(shared.value)
+        for batch in batches:
+            learner.learn(batch.column("message").to_pylist(), epochs)
+        if learner.messages:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*learner.rows(), strict=True)], names=["kind", "name", "n", *names])
+
+    found = rows.mapInArrow(run, ", ".join(["kind string", "name string", "n bigint", *(f"{w} double" for w in names)]))
+    summed = found.groupBy("kind", "name").agg(*(F.sum(w).alias(w) for w in ["n", *names])).filter((F.col("kind") != "line") | ((F.col("w1") >= least) & (F.col("w0") * 2 > F.col("w1"))))
+    return _mixed([(r[0], r[1], r[2], r[3:]) for r in summed.orderBy("kind", "name").collect()])
+
+
+def _mixed(rows: list[tuple[str, str, int, tuple]]) -> LineModel:
+    """The model that summed rows of `LineLearner.rows` give."""
+    k = len(LABELS)
+    emit = {name: np.array(x) / n for kind, name, n, x in rows if kind == "emit"}
+    cue, none = emit.pop("", np.zeros(k)), emit.pop("-", np.zeros(k))
+    move, start = np.zeros((k, k)), np.zeros(k)
+    for kind, name, n, x in rows:
+        if kind == "move":
+            move[_ID[name]] = np.array(x) / n
+        elif kind == "start":
+            start[:] = np.array(x) / n
+    seen = frozenset(name for kind, name, _, _ in rows if kind == "line" and may_be_shared(name))
+    return LineModel({f: i + 2 for i, f in enumerate(emit)}, np.array([cue, none, *emit.values()]), move, start, seen)
+
+
 def sampled(rows: DataFrame, n: int = TRAIN_MESSAGES) -> list:
     """At most ``n`` rows, those with the lowest hash of ``row_id``; the same ones at every run.
 

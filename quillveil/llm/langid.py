@@ -5,10 +5,10 @@ vector machine tells Romance from Germanic in Latin script. Within a family one-
 over character n-grams and words separate the languages; their margins become scores. Units are then labelled in
 sequence, as a change of language needs evidence (Viterbi with a price for a change).
 
-The machines are trained on the labelled short texts and, once, on units of a bounded sample of messages on which the
-machines and the message's own label agree. The same sample trains the line model and a boundary model whose labels are
-its line ends; they cut messages into units. Labelling covers every message in one pass without shuffle or intermediate
-table: lines, units and scores of a batch are computed together, and equal units of a batch are scored once.
+The machines are trained on the labelled short texts and then, in rounds, on the units of all messages on which the machines
+so far and the message's own label agree. The line model and the boundary model that cut messages into units come from all
+messages, too. Each worker learns from all of its messages; each weight of a machine is the mean over the workers that changed
+it, by how much these saw of both its sides. The units are written once; rounds and labelling read them.
 
 Defined results: null, empty and blank messages and those without running text (numbers, addresses and links only) have no row. Labels are read without
 regard to case, blanks and region suffixes, as two- or three-letter codes or English names; all else names no language.
@@ -18,18 +18,20 @@ A tie between languages goes to the one that the label names, else to the one me
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, NAME, NEW, PHONE, SENT, SIGN, LineModel, flags_of
+from quillveil.llm.anatomy import ATTR, CLOSE, DISC, FROM, GREET, KEYED, NAME, NEW, PHONE, SENT, SIGN, fit_line_model, flags_of
 from quillveil.llm.batches import uncollected
-from quillveil.llm.replies import fitted_on
-from quillveil.llm.sentences import EventModel, Lines, events_of, located_units, message_units
+from quillveil.llm.sentences import STAGED, EventModel, count_events, fit_events, stage_messages, staged_units
+from quillveil.runtime import written
 
 LANGS = ["fr", "es", "pt", "en", "de", "gl", "it", "ru", "zh", "ja", "hi", "ar", "th"]
 _AT = {x: i for i, x in enumerate(LANGS)}
@@ -44,12 +46,16 @@ PAIRS = [(a, b) for group in (ROMANCE, GERMANIC, EAST) for i, a in enumerate(gro
 MACHINES = [("romance", "germanic"), *PAIRS]
 #: Price of a change of language between neighbouring units, in units of score.
 CHANGE = 1.2
-#: Units of the message sample that the second training may use, a language.
-TRAIN_UNITS = 1000
 #: Score of its message's language below which a unit speaks against it.
 AGAINST = -1.5
-#: Messages of each language, by their labels, that are drawn for training.
-TRAIN_OF_EACH = 250
+#: Buckets of features; all features have one, some share theirs.
+BUCKETS = 1 << 19
+#: Messages that a worker should have learned from in a round; where all are fewer it reads them several times.
+LEARNED = 30_000
+#: Messages in each part of the units, from which one worker learns.
+PART = 25_000
+#: Sharpnesses of confidences that are tried.
+SHARPNESSES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
 #: Most labelled texts that may be collected.
 SEEDS = 5000
 _SCRIPTS = [(0x0400, 0x052F, "ru"), (0x0900, 0x097F, "hi"), (0x0600, 0x06FF, "ar"), (0x0750, 0x077F, "ar"), (0x0E00, 0x0E7F, "th"), (0x3040, 0x30FF, "east"), (0x3400, 0x9FFF, "east")]
@@ -87,16 +93,26 @@ def script_of(word: str) -> str:
     return "latin"
 
 
+def bucket_of(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "replace")) % BUCKETS
+
+
 class LanguageModel:
-    """Weights of all machines by feature."""
+    """Weights of all machines by bucket of features: ``buckets`` that have some, in order, and theirs."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray):
-        self.index, self.weights, self.bias = index, weights, bias
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.buckets, self.bias = buckets, bias
+        self.weights = np.concatenate([np.zeros((1, len(MACHINES)), np.float32), weights.astype(np.float32)])
+        self.row = np.zeros(BUCKETS, np.int32)
+        self.row[buckets] = np.arange(1, len(buckets) + 1)
         self.kinds = ["latin", "ru", "hi", "ar", "th", "east"]
         #: What scores are multiplied by to be the logarithms of confidences.
         self.sharpness = 1.0
         self.forget()
 
+    def __reduce__(self):  # noqa: ANN204 - what a worker has met is not sent along
+        return _language_model, (self.buckets, self.weights[1:], self.bias, self.sharpness)
+
     def forget(self) -> None:
         self.words: dict[str, int] = {}
         self.table = np.zeros((4096, len(MACHINES) + 7), np.float32)
@@ -107,7 +123,7 @@ class LanguageModel:
 
     def add_words(self, tokens: list[str]) -> None:
         """Cache a row for each new token: sums of weights, number of features, letters by script."""
-        m, get = len(MACHINES), self.index.get
+        m = len(MACHINES)
         rows = np.zeros((len(tokens), self.table.shape[1]), np.float32)
         ids: list[int] = []
         owners, sizes = [], []
@@ -118,14 +134,13 @@ class LanguageModel:
                 kind = script_of(w)
                 rows[k, m + 1 + self.kinds.index(kind)] += len(w)
                 if kind in ("latin", "east"):
-                    own = [j for j in map(get, word_features(w)) if j is not None]
-                    if own:
-                        ids += own
-                        owners.append(k), sizes.append(len(own))
+                    own = list(map(bucket_of, word_features(w)))
+                    ids += own
+                    owners.append(k), sizes.append(len(own))
         if ids:
             n = np.array(sizes, np.int64)
             of = np.array(owners, np.int64)
-            np.add.at(rows[:, :m], of, np.add.reduceat(self.weights[np.array(ids, np.int64)], np.cumsum(n) - n, axis=0))
+            np.add.at(rows[:, :m], of, np.add.reduceat(self.weights[self.row[np.array(ids, np.int64)]], np.cumsum(n) - n, axis=0))
             np.add.at(rows[:, m], of, n)
         first = len(self.words)
         while len(self.table) < first + len(tokens):
@@ -175,49 +190,93 @@ class LanguageModel:
         return np.maximum(out - out.max(1, keepdims=True), -8)
 
 
+def _language_model(buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray, sharpness: float) -> LanguageModel:
+    model = LanguageModel(buckets, weights, bias)
+    model.sharpness = sharpness
+    return model
+
+
+#: What each machine is to say of each language: 1, -1, or nothing.
+GOALS = np.zeros((len(LANGS), len(MACHINES)), np.float32)
+GOALS[[_AT[x] for x in ROMANCE], 0], GOALS[[_AT[x] for x in GERMANIC], 0] = 1, -1
+for _k, (_a, _b) in enumerate(PAIRS):
+    GOALS[_AT[_a], _k + 1], GOALS[_AT[_b], _k + 1] = 1, -1
+
+
+class LanguageLearner:
+    """All machines at once by averaged stochastic subgradient steps on the hinge loss, some units a step.
+
+    ``weight`` has the weight of a unit of each language in each machine, so that both sides of a machine count alike.
+    """
+
+    def __init__(self, start: LanguageModel | None = None, weight: np.ndarray | None = None, penalty: float = 1e-4, together: int = 32):
+        m = len(MACHINES)
+        self.w, self.bias = np.zeros((BUCKETS, m), np.float32), np.zeros(m)
+        if start is not None:
+            self.w[start.buckets], self.bias = start.weights[1:], start.bias.copy()
+        self.sums, self.bias_sums, self.t = np.zeros((BUCKETS, m), np.float32), np.zeros(m), 0
+        self.goals, self.weight = GOALS.astype(np.float32), np.ones(GOALS.shape, np.float32) if weight is None else weight.astype(np.float32)
+        self.penalty, self.together = penalty, together
+        self.words: dict[str, list[int]] = {}
+        self.rng = np.random.RandomState(7)
+        self.seen = np.zeros(len(LANGS))
+
+    def _buckets(self, text: str) -> list[int]:
+        out: list[int] = []
+        if "@" in text or "://" in text or "t]" in text or "t)" in text:
+            text = _ADDRESS.sub(" ", text)
+        for token in text.split():
+            got = self.words.get(token)
+            if got is None:
+                if len(self.words) > 250_000:
+                    self.words.clear()
+                got = self.words[token] = [bucket_of(f) for w in _WORD.findall(token) if script_of(w) in ("latin", "east") for f in word_features(w)]
+            out += got
+        return out
+
+    def learn(self, texts: list[str], langs: list[int], epochs: int = 1) -> None:
+        rows = [self._buckets(t) for t in texts]
+        speaks = np.flatnonzero([len(r) > 0 and GOALS[x].any() for r, x in zip(rows, langs, strict=True)])
+        self.seen += np.bincount([langs[i] for i in speaks.tolist()], minlength=len(LANGS))
+        for _ in range(epochs):
+            order = self.rng.permutation(speaks)
+            for at in range(0, len(order), self.together):
+                part = order[at : at + self.together].tolist()
+                self._step([rows[i] for i in part], np.array([langs[i] for i in part]))
+
+    def _step(self, rows: list[list[int]], langs: np.ndarray) -> None:
+        sizes = np.array([len(r) for r in rows], np.int64)
+        flat = np.array([k for r in rows for k in r], np.int64)
+        z = np.add.reduceat(self.w[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None] + self.bias
+        y = self.goals[langs]
+        hit = y * (y * z < 1) * self.weight[langs]
+        self.t += len(rows)
+        rate = 0.5 / (1 + self.penalty * self.t * 10)
+        self.bias += 0.05 * rate * hit.sum(0)
+        self.bias_sums += 0.05 * rate * hit.sum(0) * self.t
+        some = hit.any(1)
+        if some.any():
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            chosen = some[owner]
+            ids, back = np.unique(flat[chosen], return_inverse=True)
+            steps = (rate * hit / np.sqrt(sizes)[:, None]).astype(np.float32)[owner[chosen]]
+            order = np.argsort(back, kind="stable")
+            step = np.add.reduceat(steps[order], np.searchsorted(back[order], np.arange(len(ids))), axis=0)
+            self.w[ids] += step
+            self.sums[ids] += step * self.t
+
+    def averaged(self) -> tuple[np.ndarray, np.ndarray]:
+        t = max(1, self.t)
+        return self.w - self.sums / t, self.bias - self.bias_sums / t
+
+
 def train_languages(texts: list[str], langs: list[str], epochs: int = 12, penalty: float = 1e-4) -> LanguageModel:
-    """All machines at once by averaged stochastic subgradient steps on the hinge loss."""
-    counts: Counter = Counter()
-    docs = []
-    for t in texts:
-        t = _ADDRESS.sub(" ", t)
-        feats = Counter(f for w in _WORD.findall(t) if script_of(w) in ("latin", "east") for f in word_features(w))
-        docs.append(feats)
-        counts.update(feats.keys())
-    index = {f: k for k, f in enumerate(sorted(f for f, c in counts.items() if c >= 2 or len(texts) < 400))}
-    rows = []
-    for feats in docs:
-        ids = np.array([index[f] for f in feats if f in index], np.int64)
-        vals = np.array([feats[f] for f in feats if f in index], np.float64)
-        rows.append((ids, vals / np.sqrt(max(1.0, vals.sum()))))
-    goals = np.zeros((len(rows), len(MACHINES)))
-    for i, lang in enumerate(langs):
-        if lang in ROMANCE or lang in GERMANIC:
-            goals[i, 0] = 1 if lang in ROMANCE else -1
-        for k, (a, b) in enumerate(PAIRS):
-            goals[i, k + 1] = 1 if lang == a else -1 if lang == b else 0
-    w, bias = np.zeros((len(index), len(MACHINES))), np.zeros(len(MACHINES))
-    total, total_bias, t, used = np.zeros_like(w), np.zeros_like(bias), 0, np.zeros(len(index), np.int64)
-    rng = np.random.RandomState(7)
-    active = [i for i in range(len(rows)) if len(rows[i][0]) and goals[i].any()]
-    sums = np.zeros_like(w)  # lazily: sum of step-weighted changes, for the average
-    for _ in range(epochs):
-        for i in rng.permutation(active):
-            t += 1
-            ids, vals = rows[i]
-            y = goals[i]
-            z = vals @ w[ids] + bias
-            hit = y * (y * z < 1) * (y != 0)
-            if hit.any():
-                rate = 0.5 / (1 + penalty * t * 10)
-                step = rate * vals[:, None] * hit[None]
-                w[ids] += step
-                sums[ids] += step * t
-                bias += 0.05 * rate * hit
-                total_bias += 0.05 * rate * hit * t
-    del total, used
-    t = max(1, t)
-    return LanguageModel(index, (w - sums / t).astype(np.float32), bias - total_bias / t)
+    """The machines of some texts."""
+    learner = LanguageLearner(penalty=penalty, together=1)
+    learner.learn(texts, [_AT[x] for x in langs], epochs)
+    weights, bias = learner.averaged()
+    buckets = np.flatnonzero(weights.any(1))
+    return LanguageModel(buckets, weights[buckets], bias)
 
 
 def runs_on(text: str, label: str) -> bool:
@@ -255,67 +314,158 @@ def best_path(score: np.ndarray, change: float = CHANGE) -> list[int]:
     return path[::-1]
 
 
-def fit_languages(rows: list[tuple[str, str | None]], seeds: list[tuple[str, str]], lines: LineModel, events: EventModel, rounds: int = 2) -> LanguageModel:
-    """Rounds of training: on the labelled texts, then on units of the sampled messages that the machines so far confirm.
+def named_numbers(labels: list[str | None], kept: dict[str | None, int]) -> np.ndarray:
+    """The number of the language that each label names, or -1; ``kept`` are those of labels met before."""
+    for x in set(labels) - kept.keys():
+        kept[x] = _AT.get(named_language(x), -1)
+    return np.array([kept[x] for x in labels], np.int64)
+
 
-    A message confirms its label if all its own units together score best for it. Then each of its units counts that does
-    not speak clearly against the label, so that the machines learn from the units they were unsure of.
+def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Number of the row, start, label and text of each unit of a batch of `running_units`."""
+    rows = np.repeat(np.arange(batch.num_rows), batch.column("texts").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    labels = np.frombuffer("".join(batch.column("labels").to_pylist()).encode(), np.uint8)
+    return rows, batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64), labels, batch.column("texts").flatten().to_pylist()
+
+
+def running_units(staged: DataFrame, events: EventModel, total: int) -> DataFrame:
+    """``row_id, language, at, labels, texts``: the units of running text of each message that has some, written once.
+
+    The ``total`` messages are dealt to parts by the hash of ``row_id``, so that every worker learns from messages of all
+    kinds whatever order the table has.
     """
+    shared = staged.sparkSession.sparkContext.broadcast(events)
+    schema = T.StructType([staged.schema["row_id"], staged.schema["language"], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("labels", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType()))])
+
+    @uncollected
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            messages = batch.column("message").to_pylist()
+            rows, at, end, labels = staged_units(batch, shared.value)
+            texts = [messages[r][a:b] for r, a, b in zip(rows.tolist(), at.tolist(), end.tolist(), strict=True)]
+            letters = labels.tobytes().decode()
+            runs = np.array([runs_on(t, c) for t, c in zip(texts, letters, strict=True)], bool)
+            rows, letters = rows[runs], labels[runs].tobytes().decode()
+            own, first = np.unique(rows, return_index=True)
+            ends = np.append(first[1:], len(rows)).tolist() if len(own) else []
+            offsets = pa.array([0, *ends], pa.int32())
+            took = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id").take(took), batch.column("language").take(took), pa.ListArray.from_arrays(offsets, pa.array(at[runs], pa.int32())), pa.array([letters[a:b] for a, b in zip(first.tolist(), ends, strict=True)], pa.string()), pa.ListArray.from_arrays(offsets, pa.array([t for t, ok in zip(texts, runs.tolist(), strict=True) if ok], pa.string()))],
+                names=schema.names,
+            )
+
+    units = staged.filter("not is_count").select("row_id", "language", "message", *(n for n, _ in STAGED)).mapInArrow(run, schema)
+    return written(units.repartition(max(1, -(-total // PART)), "row_id").sortWithinPartitions(F.xxhash64("row_id"), "row_id"), "running-units")
+
+
+def confirmed(batch: pa.RecordBatch, model: LanguageModel, names: dict[str | None, int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sender's own units in messages whose label names a language: text, the label's language, scores, and whether
+    the unit confirms the label: all units of the message together score best for it, and the unit does not speak clearly
+    against it, so that the machines learn from the units they were unsure of."""
+    rows, _, labels, texts = columns_of(batch)
+    told = named_numbers(batch.column("language").to_pylist(), names)[rows]
+    own = (told >= 0) & _IS_NEW[labels]
+    rows, labels, told, texts = rows[own], labels[own], told[own], [t for t, ok in zip(texts, own.tolist(), strict=True) if ok]
+    if not texts:
+        return [], told, np.zeros((0, len(LANGS))), np.zeros(0, bool)
+    distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    score = model.scores(list(distinct))[np.array([distinct[t] for t in texts], np.int64)]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    sizes = np.diff(np.append(first, len(rows)))
+    agrees = np.repeat(np.add.reduceat(score, first, axis=0).argmax(1), sizes) == told
+    long = np.isin(labels, [ord("G"), ord("C")]) | (np.array(list(map(len, texts))) >= 12)
+    return texts, told, score, agrees & long & (score[np.arange(len(told)), told] > AGAINST)
+
+
+def trained_round(units: DataFrame, model: LanguageModel, seeds: list[tuple[str, str]], totals: np.ndarray) -> LanguageModel:
+    """A round of training on all units that ``model`` confirms; ``totals`` has the messages of each language by their labels."""
+    m = len(MACHINES)
+    epochs = int(max(1, min(8, -(-LEARNED // max(1, totals.sum())))))
+    sides = [((GOALS == s) * totals[:, None]).sum(0) for s in (1, -1)]
+    weight = sum((GOALS == s) * np.clip((sides[0] + sides[1]) / np.maximum(2 * own, 1), 0.3, 3) for s, own in zip((1, -1), sides, strict=True))
+    shared = units.sparkSession.sparkContext.broadcast((model, seeds, weight))
+    names = [f"{x}{i}" for x in "wn" for i in range(m)]
+
+    @uncollected
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seeds, weight = shared.value
+        learner, known = LanguageLearner(before, weight), {}
+        for batch in batches:
+            texts, told, _, chosen = confirmed(batch, before, known)
+            if not learner.t:
+                learner.learn([t for t, _ in seeds], [_AT[x] for _, x in seeds])
+            learner.learn([t for t, ok in zip(texts, chosen.tolist(), strict=True) if ok], told[chosen].tolist(), epochs)
+        if learner.t:
+            seen = [((GOALS == s) * learner.seen[:, None]).sum(0) for s in (1, -1)]
+            mix = np.maximum(np.minimum(*seen), 1e-3)
+            weights, bias = learner.averaged()
+            weights[before.buckets] -= before.weights[1:]
+            moved = np.flatnonzero(weights.any(1))
+            change = np.concatenate([weights[moved], [bias - before.bias]]).astype(np.float64)
+            table = np.concatenate([change * mix, (change != 0) * mix], axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([*moved.tolist(), BUCKETS], pa.int64()), *(pa.array(x) for x in table.T)], names=["bucket", *names])
+
+    found = units.mapInArrow(run, ", ".join(["bucket bigint", *(f"{w} float" for w in names)]))
+    table = found.groupBy("bucket").agg(*(F.sum(w).cast("float").alias(w) for w in names)).toArrow()  # at most BUCKETS rows
+    if not table.num_rows:
+        return model
+    at = table.column("bucket").to_numpy()
+    change, mix = np.split(np.stack([table.column(x).to_numpy() for x in names], axis=1), 2, axis=1)
+    change = change / np.maximum(mix, 1e-9)
+    weights = np.zeros((BUCKETS + 1, m), np.float32)
+    weights[model.buckets], weights[BUCKETS] = model.weights[1:], model.bias
+    weights[at] += change
+    buckets = np.flatnonzero(weights[:BUCKETS].any(1))
+    return LanguageModel(buckets, weights[buckets], weights[BUCKETS].astype(float))
+
+
+def fit_languages(units: DataFrame, seeds: list[tuple[str, str]], rounds: int = 2) -> LanguageModel:
+    """Rounds of training: on the labelled texts, then on the units of all messages that the machines so far confirm."""
     seeds = [(t, x) for t, x in seeds if t and x in _AT]
     if not seeds:
-        return LanguageModel({}, np.zeros((0, len(MACHINES)), np.float32), np.zeros(len(MACHINES)))
+        return LanguageModel(np.zeros(0, np.int64), np.zeros((0, len(MACHINES)), np.float32), np.zeros(len(MACHINES)))
     model = train_languages(*map(list, zip(*seeds, strict=True)))
-    messages = [m for m, told in rows if told in _AT]
-    labels = [told for _, told in rows if told in _AT]
-    found = [[(u[2], u[3]) for u in units if u[3] in NEW and runs_on(u[2], u[3])] for units in message_units(messages, Lines(messages, lines, counted=False), events)]
-    texts = [t for units in found for t, _ in units]
+    totals = np.zeros(len(LANGS))
+    for r in units.groupBy(label_language(F.col("language")).alias("told")).count().collect():  # the languages and null
+        if r.told in _AT:
+            totals[_AT[r.told]] = r["count"]
     for _ in range(rounds):
-        score = model.scores(texts)
-        chosen, langs, kept, at = [t for t, _ in seeds], [x for _, x in seeds], Counter(), 0
-        for told, units in zip(labels, found, strict=True):
-            own = score[at : at + len(units)]
-            at += len(units)
-            if not units or own.sum(0).argmax() != _AT[told]:
-                continue
-            for (text, label), s in zip(units, own, strict=True):
-                phrase = label in "GC"
-                if s[_AT[told]] > AGAINST and (phrase or len(text) >= 12) and kept[told, phrase] < TRAIN_UNITS:
-                    kept[told, phrase] += 1
-                    chosen.append(text), langs.append(told)
-        model = train_languages(chosen, langs, epochs=8)
-    calibrate(model, texts, [told for told, units in zip(labels, found, strict=True) for _ in units])
-    model.forget()
+        model = trained_round(units, model, seeds, totals)
     return model
 
 
-def calibrate(model: LanguageModel, texts: list[str], langs: list[str]) -> None:
-    """Choose the sharpness under which the labels of some units are likeliest; one label in twenty may be wrong."""
-    if not texts:
-        return
-    score, at = model.scores(texts), np.array([_AT[x] for x in langs])
-    least = -np.inf
-    for sharpness in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0):
-        p = np.exp(sharpness * score)
-        p = p[np.arange(len(at)), at] / p.sum(1)
-        if (gain := float(np.log(0.95 * p + 0.05 / len(LANGS)).mean())) > least:
-            least, model.sharpness = gain, sharpness
+def calibrate(units: DataFrame, model: LanguageModel) -> None:
+    """Choose the sharpness under which the labels of all units are likeliest; one label in twenty may be wrong."""
+    shared = units.sparkSession.sparkContext.broadcast(model)
+
+    @uncollected
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, int] = {}
+        for batch in batches:
+            _, told, score, _ = confirmed(batch, shared.value, known)
+            gains = []
+            for sharpness in SHARPNESSES:
+                p = np.exp(sharpness * score)
+                gains.append(float(np.log(0.95 * p[np.arange(len(told)), told] / p.sum(1) + 0.05 / len(LANGS)).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(SHARPNESSES, pa.float64()), pa.array(gains, pa.float64())], names=["sharpness", "gain"])
+
+    found = units.mapInArrow(run, "sharpness double, gain double").groupBy("sharpness").agg(F.sum("gain").alias("gain")).collect()
+    if found and any(r.gain for r in found):
+        model.sharpness = max(found, key=lambda r: (round(r.gain, 6), -r.sharpness)).sharpness
 
 
 class Told:
-    """The running units of some messages with their languages, in columns.
+    """The running units of a batch of `running_units` with their languages, in columns.
 
     ``rows`` has for each unit the number of its message, ``at`` its start, ``new`` whether the sender wrote it anew,
     ``langs`` the number of its language after smoothing over the message, ``sure`` its confidence. ``first`` has the
     first unit of each message with running text, ``mixed`` whether that message has several languages.
     """
 
-    def __init__(self, messages: list[str], lines: LineModel, events: EventModel, model: LanguageModel):
-        rows, at, end, labels = located_units(Lines(messages, lines, counted=False), events)
-        texts = [messages[r][a:b] for r, a, b in zip(rows.tolist(), at.tolist(), end.tolist(), strict=True)]
-        letters = labels.tobytes().decode()
-        runs = np.array([runs_on(t, c) for t, c in zip(texts, letters, strict=True)], bool)
-        texts = [t for t, ok in zip(texts, runs.tolist(), strict=True) if ok]
-        self.rows, self.at, self.new = rows[runs], at[runs], _IS_NEW[labels[runs]]
+    def __init__(self, batch: pa.RecordBatch, model: LanguageModel):
+        self.rows, self.at, labels, texts = columns_of(batch)
+        self.new = _IS_NEW[labels]
         distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
         score = model.scores(list(distinct))
         which = np.array([distinct[t] for t in texts], np.int64)
@@ -353,20 +503,17 @@ def most(langs: list[int], told: int) -> int:
 SCHEMA = "row_id bigint, scope string, start_char bigint, lang string, confidence double"
 
 
-def languages(samples: DataFrame, lines: LineModel, events: EventModel, model: LanguageModel, faults_only: bool = False) -> DataFrame:
+def languages(units: DataFrame, model: LanguageModel, faults_only: bool = False) -> DataFrame:
     """A row of scope ``message`` for each message with running text, and of scope ``segment`` for each of its longest runs
     in one language. ``faults_only``: messages whose label names no or another language, and runs of messages in several."""
-    shared = samples.sparkSession.sparkContext.broadcast((lines, events, model))
+    shared = units.sparkSession.sparkContext.broadcast(model)
 
     @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str | None, int] = {}
         for batch in batches:
-            labels = batch.column("language").to_pylist()
-            for x in set(labels) - names.keys():
-                names[x] = _AT.get(named_language(x), -1)
-            found = Told(batch.column("message").to_pylist(), *shared.value)
-            told = np.array([names[x] for x in labels], np.int64)[found.rows[found.first]] if len(found.first) else np.zeros(0, np.int64)
+            found = Told(batch, shared.value)
+            told = named_numbers(batch.column("language").to_pylist(), names)[found.rows[found.first]] if len(found.first) else np.zeros(0, np.int64)
             # Of messages in one language there is no more to say than that and, on demand, that all is one run.
             one = ~found.mixed & ((told != found.langs[found.first]) if faults_only else True) if len(told) else told.astype(bool)
             own = np.maximum(found.new, np.repeat(np.maximum.reduceat(found.new, found.first) == 0, found.ends - found.first)) if len(told) else found.new
@@ -398,7 +545,7 @@ def languages(samples: DataFrame, lines: LineModel, events: EventModel, model: L
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
-    return samples.select("row_id", "message", "language").filter(F.length("message") > 0).mapInArrow(run, SCHEMA)
+    return units.mapInArrow(run, SCHEMA)
 
 
 def label_language(label: Column) -> Column:
@@ -408,32 +555,18 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.element_at(names, low), F.element_at(names, F.split(low, "[-_ (]")[0]))
 
 
-def training_messages(samples: DataFrame, n: int = TRAIN_OF_EACH) -> list[tuple[str, str | None]]:
-    """At most ``n`` messages of each language that labels name, and of those without a language, by hash of ``row_id``.
-
-    Only the lowest part of the hash's range is sorted, about twice as many as wanted of each language.
-    """
-    told = samples.select("row_id", "message", label_language(F.col("language")).alias("told")).filter(F.length("message") > 0)
-    part = F.shiftrightunsigned(F.xxhash64("row_id"), 2)
-    totals = {r.told or "": r.n for r in told.groupBy("told").agg(F.count("*").alias("n")).collect()}  # the languages and null
-    if not totals:
-        return []
-    most = F.create_map(*(F.lit(x) for k, v in totals.items() for x in (k, int(2**62 * min(1.0, 2.0 * n / v)) if v > 4 * n else 2**62)))
-    drawn = told.filter(part <= F.element_at(most, F.coalesce("told", F.lit(""))))
-    rank = F.row_number().over(Window.partitionBy("told").orderBy(part, "row_id"))
-    return [(r.message, r.told) for r in drawn.withColumn("rank", rank).filter(F.col("rank") <= n).orderBy("rank", "told").collect()]
-
-
-def detect(samples: DataFrame, lang_samples: DataFrame, n: int = TRAIN_OF_EACH, faults_only: bool = False) -> DataFrame:
-    """All operators together: lines, sentence units, languages. ``n`` messages of each language train the models."""
-    rows = training_messages(samples, n)
-    messages = [m for m, _ in rows]
-    lines = fitted_on(messages)
-    events = events_of(Lines(messages, lines))
+def detect(samples: DataFrame, lang_samples: DataFrame, faults_only: bool = False) -> DataFrame:
+    """All operators together: lines, sentence units, languages; every model comes from all messages."""
     found = lang_samples.select("text", "lang").orderBy("sample_id").limit(SEEDS + 1).collect()
     if len(found) > SEEDS:
         raise ValueError(f"there are more than {SEEDS} labelled texts")
-    return languages(samples, lines, events, fit_languages(rows, [(r.text, named_language(r.lang)) for r in found], lines, events), faults_only)
+    total = samples.filter(F.length("message") > 0).count()
+    staged = stage_messages(samples, fit_line_model(samples, total), keep=("message", "language"))
+    units = running_units(staged, fit_events(count_events(staged)), total)
+    model = fit_languages(units, [(r.text, named_language(r.lang)) for r in found])
+    if not faults_only:  # the faults come without confidence
+        calibrate(units, model)
+    return languages(units, model, faults_only)
 
 
 def p5_found(samples: DataFrame, lang_samples: DataFrame) -> DataFrame:

@@ -478,7 +478,7 @@ def message_units(messages: list[str], lines: Lines, model: EventModel) -> list[
 # A message's row: a letter for each of its lines of running text (small: not to be split), their places and lengths; for
 # each line the number of places, and for each place its two sides. `solid` tells which pieces hold a letter or digit.
 _INTS, _TEXTS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
-_STAGED = [("kinds", T.StringType()), ("low", T.StringType()), ("at", _INTS), ("size", _INTS), ("n_places", _INTS), ("ends", _INTS), ("nexts", _INTS), ("lefts", _TEXTS), ("rights", _TEXTS), ("tied", T.StringType()), ("solid", T.StringType())]
+STAGED = [("kinds", T.StringType()), ("low", T.StringType()), ("at", _INTS), ("size", _INTS), ("n_places", _INTS), ("ends", _INTS), ("nexts", _INTS), ("lefts", _TEXTS), ("rights", _TEXTS), ("tied", T.StringType()), ("solid", T.StringType())]
 _COUNTED = [("is_count", T.BooleanType()), ("kind", _TEXTS), ("u", _TEXTS), ("uc", _TEXTS), ("v", _TEXTS), ("vc", _TEXTS), ("n", T.ArrayType(T.LongType()))]
 
 
@@ -493,7 +493,7 @@ def _bits(values: list[bool], ends: np.ndarray) -> list[str]:
 
 
 def staged_columns(lines: Lines, n: int) -> list[pa.Array]:
-    """The columns of ``_STAGED`` for ``n`` messages and a last row of nulls."""
+    """The columns of ``STAGED`` for ``n`` messages and a last row of nulls."""
     per = np.array(lines.per, np.int64)
     line_ends = np.searchsorted(np.array(lines.rows, np.int64), np.arange(n), side="right")
     place_ends = np.concatenate([[0], np.cumsum(per)])[line_ends]
@@ -515,21 +515,21 @@ def count_columns(counts: dict[str, list], n: int) -> list[pa.Array]:
     return [pa.array([False] * n + [True]), *(_list(counts[c], ends, pa.string()) for c in ("kind", "u", "uc", "v", "vc")), _list(counts["n"], ends, pa.int64())]
 
 
-def stage_messages(samples: DataFrame, model: LineModel) -> DataFrame:
+def stage_messages(samples: DataFrame, model: LineModel, keep: tuple[str, ...] = ()) -> DataFrame:
     """Label lines, find the places of running text, and count them, in one pass whose result is written once.
 
     Besides a row for each message there is one for each batch that holds the counts of the batch, with ``is_count``;
-    `count_events` adds these up.
+    `count_events` adds these up. The columns ``keep`` go along.
     """
     shared = samples.sparkSession.sparkContext.broadcast(model)
-    rows = samples.select("row_id", "message").filter(F.length("message") > 0)
-    schema = T.StructType([rows.schema["row_id"], *(T.StructField(n, k) for n, k in [*_STAGED, *_COUNTED])])
+    rows = samples.select("row_id", "message", *(c for c in keep if c != "message")).filter(F.length("message") > 0)
+    schema = T.StructType([rows.schema["row_id"], *(T.StructField(n, k) for n, k in [*STAGED, *_COUNTED]), *(rows.schema[c] for c in keep)])
 
     @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, ids = Lines(batch.column("message").to_pylist(), shared.value), batch.column("row_id")
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(1, ids.type)]), *staged_columns(lines, len(ids)), *count_columns(lines.counts(), len(ids))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(1, ids.type)]), *staged_columns(lines, len(ids)), *count_columns(lines.counts(), len(ids)), *(pa.concat_arrays([batch.column(c), pa.nulls(1, batch.column(c).type)]) for c in keep)], names=schema.names)
 
     return written(rows.mapInArrow(run, schema), "staged-messages")
 
@@ -673,7 +673,7 @@ def sentence_units(staged: DataFrame, model: EventModel) -> DataFrame:
             rows, begins, ends, _ = staged_units(batch, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(rows)), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["row_id", "start_char", "end_char"])
 
-    return staged.filter("not is_count").select("row_id", *(n for n, _ in _STAGED)).mapInArrow(run, "row_id bigint, start_char bigint, end_char bigint")
+    return staged.filter("not is_count").select("row_id", *(n for n, _ in STAGED)).mapInArrow(run, "row_id bigint, start_char bigint, end_char bigint")
 
 
 def p3_found(samples: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillveil.llm import encode, langid, mojibake, packing, pii, readability, replies, sentences
+from quillveil.llm import anatomy, encode, langid, mojibake, packing, pii, readability, replies, sentences
 
 MAIL = "Hi Gwen,\n\nThe total is fine. Thanks for the report. We meet at 8:05 sharp.\n\nBest wishes,\nNora\n\n-- \nNora Coldwick\nAccounts\nTel. 07700 900151\n\nOn 12 May 2021, Owen Fell <o@x.example> wrote:\n> We meet at noon. Bring cups.\n"
 FRENCH = "Bonjour Léa,\n\nLe total est prêt. Merci pour le rapport. Venez à midi s'il vous plaît.\n\nBises,\nZoé\n"
@@ -82,6 +82,19 @@ def test_languages(spark, samples, none):
     assert 0 < sure[0] <= sure[1] <= 1
 
 
+def test_languages_learn_from_every_message(spark):
+    """Words that only three of 900 messages hold are learned, whichever these are."""
+    seeds = spark.createDataFrame([(1, "O total está pronto e não temos mais copos para a reunião.", "pt"), (2, "O total está listo e non temos máis vasos para a xuntanza.", "gl"), (3, "The total is fine and we have no more cups for the meeting.", "en")], "sample_id int, text string, lang string")
+    last = [r.id for r in spark.range(900).orderBy(F.shiftrightunsigned(F.xxhash64("id"), 2).desc()).limit(3).collect()]
+    common = {"pt": "Não temos mais copos para a reunião.", "gl": "Non temos máis vasos para a xuntanza."}
+    rows = [(k, common[x] + ("\nZumbrel brestig wolnit kastrup." if k in last else ""), x, "m") for k in range(900) for x in ["gl" if k % 2 or k in last else "pt"]]
+    rows += [(1000, "Zumbrel kastrup brestig wolnit.", None, "m")]
+    samples = spark.createDataFrame(rows, "row_id bigint, message string, language string, sender string").repartition(3)
+    assert by_row(langid.p5_found(samples, seeds), "scope", "lang")[1000] == [("message", "gl")]
+    model = anatomy.fit_line_model(samples, 901)
+    assert model.label_many([["Non temos máis vasos."]])[0] == ["N"]
+
+
 def test_garbled(samples, none):
     found = by_row(mojibake.p4_found(samples), "field_name", "restored_md5")
     assert ("message", hashlib.md5("Café prêt".encode()).hexdigest()) in found[905] and found[906] == [("message", "lost")] and set(found) == {905, 906}
