@@ -36,6 +36,10 @@ KEPT_LINES = 250_000
 SHARED_LINES = 1e-4
 #: Messages that a worker should have learned from; where all are fewer it reads them several times.
 LEARNED = 12_500
+#: Messages labelled wrong that are labelled again together.
+AGAIN = 8
+#: White space that lines are stripped of.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Words that open a greeting, close a letter, mark device lines and disclaimers, and begin header lines.
 GREETING = r"""coucou|bonjour|salut|cher|chère|chers|chères|bonsoir|hello|hi|hey|dear|good (?:morning|afternoon|evening)|hola|querid[oa]s?|estimad[oa]s?|buen[oa]s|olá|ola|oi|boa|exm[oa]|car[oa]s?|prezad[oa]s?|bom dia|boas|hallo|guten|moin|lieber?|sehr geehrte|ciao|gentile|egregio|buongiorno|buonasera|salve|здравствуй|привет|добр|уважаем|дорог|प्रिय|नमस्ते|आदरणीय|お世話|皆様|皆さん|各位|您好|你好|大家好|亲爱的|尊敬的|مرحبا|السلام|عزيز|أهلا|تحية طيبة|สวัสดี|เรียน"""
@@ -536,7 +540,7 @@ class LineModel:
                 continue
             paths = best[live][:, :, None] + self.move[None]
             arg = paths.argmax(1)
-            best[live] = np.take_along_axis(paths, arg[:, None, :], 1)[:, 0, :] + now
+            best[live] = paths.max(1) + now
             back.append((live, arg))
         tags = np.zeros(len(score), np.int64)
         current = best.argmax(1)
@@ -642,7 +646,7 @@ def may_be_shared(text: str) -> bool:
 class LineLearner:
     """The perceptron of `train_line_model` on the messages of one worker, as many as there are.
 
-    A chunk of messages is labelled at once; of those labelled wrong each is labelled again and learned from by itself.
+    A chunk of messages is labelled at once; those labelled wrong are labelled again and learned from, a few at a time.
     Chunks grow as errors get rare. ``shared`` has the checksums of the lines that several messages hold.
     """
 
@@ -715,24 +719,30 @@ class LineLearner:
         ends = np.append(heads[1:], len(gold))
         tags = self._tags(rows, heads)
         wrong = np.flatnonzero(np.add.reduceat(tags != gold, heads))
-        for m in wrong.tolist():
-            a, b = int(heads[m]), int(ends[m])
-            tags = self._tags(rows[a:b], np.zeros(1, np.int64)).tolist()
-            right = gold[a:b].tolist()
-            if tags == right:
-                continue
-            t = self.messages - len(views) + m
-            for ids, y, z in zip(rows[a:b], right, tags, strict=True):
-                if y != z:
-                    for group, by in ((self.weights, 1), (self.sums, t)):
-                        np.add.at(group[0], (ids, y), by), np.add.at(group[0], (ids, z), -by)
+        for at in range(0, len(wrong), AGAIN):
+            some = wrong[at : at + AGAIN].tolist()
+            parts = [(int(heads[m]), int(ends[m])) for m in some]
+            tags = self._tags([r for a, b in parts for r in rows[a:b]], np.cumsum([0, *(b - a for a, b in parts[:-1])]))
+            done = 0
+            for m, (a, b) in zip(some, parts, strict=True):
+                self._correct(rows[a:b], gold[a:b], tags[done : done + b - a], self.messages - len(views) + m)
+                done += b - a
+        if len(wrong) * 10 < len(heads):
+            self.grown = min(2 * self.size, 1024)
+
+    def _correct(self, rows: list[list[int]], gold: np.ndarray, found: np.ndarray, t: int) -> None:
+        bad = np.flatnonzero(gold != found).tolist()
+        if bad:
+            right, tags = gold.tolist(), found.tolist()
+            sizes = [len(rows[i]) for i in bad]
+            ids, y, z = np.array([k for i in bad for k in rows[i]], np.int64), np.repeat(gold[bad], sizes), np.repeat(found[bad], sizes)
+            for group, by in ((self.weights, 1), (self.sums, t)):
+                np.add.at(group[0], (ids, y), by), np.add.at(group[0], (ids, z), -by)
             for seq, sign in ((right, 1), (tags, -1)):
                 for group, by in ((self.weights, sign), (self.sums, sign * t)):
                     group[2][seq[0]] += by
                     if len(seq) > 1:
                         np.add.at(group[1], (seq[:-1], seq[1:]), by)
-        if len(wrong) * 10 < len(heads):
-            self.grown = min(2 * self.size, 1024)
 
     def _tags(self, rows: list[list[int]], heads: np.ndarray) -> np.ndarray:
         sizes = np.array([len(r) for r in rows], np.int64)
@@ -760,9 +770,10 @@ def fit_line_model(samples: DataFrame, total: int) -> LineModel:
     Features are those that any error ever touched, so what comes to the driver grows with errors, not with messages.
     """
     rows = samples.select("message").filter(F.length("message") > 0)
-    lines = F.array_distinct(F.transform(F.split(F.regexp_replace("message", r"(?<!--) \r?\n(?=[ \t]*[^\s>|])", " "), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    flowed = F.when(F.col("message").contains(" \n") | F.col("message").contains(" \r\n"), F.regexp_replace("message", r"(?<!--) \r?\n(?=[ \t]*[^\s>|])", " ")).otherwise(F.col("message"))
+    lines = F.array_distinct(F.transform(F.filter(F.split(flowed, "\n"), lambda x: (F.length(x) >= 25) & ~x.rlike(r"\d")), lambda x: F.btrim(x, F.lit(_BLANKS))))
     least = max(3, int(total * SHARED_LINES))
-    counted = rows.select(F.explode(lines).alias("line")).filter((F.length("line") >= 25) & ~F.col("line").rlike(r"\d|^[>|]")).groupBy(F.crc32(F.encode("line", "UTF-8")).alias("line")).count()
+    counted = rows.select(F.explode(lines).alias("line")).filter((F.length("line") >= 25) & ~F.col("line").startswith(">") & ~F.col("line").startswith("|")).groupBy(F.crc32(F.encode("line", "UTF-8")).alias("line")).count()
     shared = samples.sparkSession.sparkContext.broadcast(frozenset(r.line for r in counted.filter(F.col("count") >= least).collect()))  # at most lines a message / SHARED_LINES
     epochs = max(1, min(5, -(-LEARNED // max(1, total))))
     names = [f"w{i}" for i in range(len(LABELS))]

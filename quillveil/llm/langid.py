@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,10 @@ BUCKETS = 1 << 19
 LEARNED = 30_000
 #: Messages in each part of the units, from which one worker learns.
 PART = 25_000
+#: Distinct tokens that a worker keeps; beyond that it starts afresh, which costs time but changes nothing.
+KEPT_TOKENS = 250_000
+#: Tokens of units that a worker trains on at once; those of a part's further units train machines of their own.
+BLOCK_TOKENS = 8_000_000
 #: Sharpnesses of confidences that are tried.
 SHARPNESSES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
 #: Most labelled texts that may be collected.
@@ -71,18 +76,6 @@ def named_language(label: str | None) -> str | None:
     return _NAMED.get(low) or _NAMED.get(re.split(r"[-_ (]", low, maxsplit=1)[0])
 
 
-def word_features(word: str) -> list[str]:
-    """N-grams of one word, or of a stretch of East Asian text."""
-    c = word[0]
-    if "぀" <= c <= "鿿":
-        return [*word, *(word[i : i + 2] for i in range(len(word) - 1)), *("kana" for x in word if "぀" <= x <= "ヿ")]
-    low = f"<{word.lower()}>"
-    out = ["w" + low]
-    for n in (2, 3, 4):
-        out += [low[i : i + n] for i in range(len(low) - n + 1)]
-    return out
-
-
 def script_of(word: str) -> str:
     c = ord(word[0])
     if c < 0x250:
@@ -93,92 +86,173 @@ def script_of(word: str) -> str:
     return "latin"
 
 
-def bucket_of(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "replace")) % BUCKETS
+def _gram_buckets(codes: np.ndarray) -> np.ndarray:
+    """Buckets of n-grams, one a row of character codes."""
+    h = np.full(len(codes), codes.shape[1], np.uint64)
+    for c in codes.T:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+
+
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of all words, one word after the other, and their number for each word.
+
+    Of a word these are it itself and its n-grams with its edges; of a stretch of East Asian text its characters, pairs of
+    characters, and each kana as such.
+    """
+    east = np.array(["぀" <= w[0] <= "鿿" for w in words], bool)
+    texts = [w if x else f"<{w.lower()}>" for w, x in zip(words, east.tolist(), strict=True)]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array(list(map(len, texts)), np.int64)
+    begin = np.cumsum(size) - size
+    left = np.repeat(begin + size, size) - np.arange(len(codes))  # characters up to the word's end
+    of = np.repeat(np.arange(len(words)), size)
+    kana = east[of] & (codes >= 0x3040) & (codes <= 0x30FF)
+    whole = np.array([zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in texts], np.int32)
+    owners, buckets = [np.flatnonzero(~east), of[kana]], [whole[~east], np.zeros(int(kana.sum()), np.int32)]
+    for n in (1, 2, 3, 4):
+        at = np.flatnonzero((left >= n) & (east[of] if n == 1 else ~east[of] if n > 2 else True))
+        owners.append(of[at])
+        buckets.append(_gram_buckets(codes[at[:, None] + np.arange(n)]))
+    owner = np.concatenate(owners)
+    return np.concatenate(buckets)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+
+_KINDS = ["latin", "ru", "hi", "ar", "th", "east"]
+
+
+def stretches(sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The numbers of all items of some stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Vocabulary:
+    """Tokens by number: the buckets of their features, ``sizes`` of these, and their ``letters`` by script."""
+
+    #: Stands between texts that are cut into tokens together.
+    BETWEEN = "\0\1\0"
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {self.BETWEEN: 0}
+        self.buckets, self.begins, self.sizes, self.letters = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, len(_KINDS)), np.float32)
+
+    def tokens_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of all texts, one text after the other, and how many each text has, at least one."""
+        texts = [_ADDRESS.sub(" - ", t) if " @" in t or "@ " in t or "t]" in t or "t)" in t else t for t in texts]  # `_add` passes by addresses of one word
+        every = f" {self.BETWEEN} ".join(texts).split()
+        if every.count(self.BETWEEN) != len(texts) - 1 or not all(texts):
+            return self._one_by_one(texts)
+        flat = self._numbered(every)
+        cuts = np.flatnonzero(flat == 0)
+        sizes = np.diff(np.concatenate([[-1], cuts, [len(flat)]])) - 1
+        return (np.delete(flat, cuts), sizes) if sizes.all() else self._one_by_one(texts)
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = [t.replace(self.BETWEEN, " ").split() or ["-"] for t in texts]
+        return self._numbered([w for t in own for w in t]), np.array(list(map(len, own)), np.int64)
+
+    def _numbered(self, tokens: list[str]) -> np.ndarray:
+        flat = np.fromiter(map(self.numbers.get, tokens, repeat(-1)), np.int64, len(tokens))
+        new = np.flatnonzero(flat < 0)
+        if len(new):
+            words = [tokens[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(words)))
+            flat[new] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return flat
+
+    def _add(self, tokens: list[str]) -> None:
+        words, owners, of, kinds, counts = [], [], [], [], []
+        for k, token in enumerate(tokens):
+            if "@" in token or "://" in token:
+                continue
+            for w in (token,) if token.isalpha() or "\u0e00" <= token[:1] <= "\u0e7f" else _WORD.findall(token):
+                kind = script_of(w)
+                of.append(k), kinds.append(_KINDS.index(kind)), counts.append(len(w))
+                if kind in ("latin", "east"):
+                    words.append(w), owners.append(k)
+        letters, sizes = np.zeros((len(tokens), len(_KINDS)), np.float32), np.zeros(len(tokens), np.int64)
+        np.add.at(letters, (np.array(of, np.int64), np.array(kinds, np.int64)), counts)
+        if words:
+            buckets, n = word_buckets(words)
+            np.add.at(sizes, owners, n)
+            self.buckets = np.concatenate([self.buckets, buckets])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + self.sizes[-1] + np.cumsum(sizes) - sizes])
+        self.sizes, self.letters = np.concatenate([self.sizes, sizes]), np.concatenate([self.letters, letters])
+        first = len(self.numbers)
+        self.numbers.update((w, first + k) for k, w in enumerate(tokens))
+
+    def features(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of some tokens, one after the other, and their number for each."""
+        sizes = self.sizes[tokens]
+        return self.buckets[stretches(sizes, self.begins[tokens])], sizes
+
+
+def summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over stretches of rows; none of them is empty."""
+    return np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0) if len(sizes) else np.zeros((0, rows.shape[1]), rows.dtype)
 
 
 class LanguageModel:
     """Weights of all machines by bucket of features: ``buckets`` that have some, in order, and theirs."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray, vocabulary: Vocabulary | None = None):
         self.buckets, self.bias = buckets, bias
         self.weights = np.concatenate([np.zeros((1, len(MACHINES)), np.float32), weights.astype(np.float32)])
         self.row = np.zeros(BUCKETS, np.int32)
         self.row[buckets] = np.arange(1, len(buckets) + 1)
-        self.kinds = ["latin", "ru", "hi", "ar", "th", "east"]
         #: What scores are multiplied by to be the logarithms of confidences.
         self.sharpness = 1.0
-        self.forget()
+        self.forget(vocabulary)
 
     def __reduce__(self):  # noqa: ANN204 - what a worker has met is not sent along
         return _language_model, (self.buckets, self.weights[1:], self.bias, self.sharpness)
 
-    def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.table = np.zeros((4096, len(MACHINES) + 7), np.float32)
+    def forget(self, vocabulary: Vocabulary | None = None) -> None:
+        self.vocabulary = vocabulary or Vocabulary()
+        #: A row for each token: sums of weights, number of features, letters by script.
+        self.table = np.zeros((0, len(MACHINES) + 1 + len(_KINDS)), np.float32)
 
     def confidences(self, score: np.ndarray) -> np.ndarray:
         weight = np.exp(self.sharpness * score)
         return weight / weight.sum(1, keepdims=True)
 
-    def add_words(self, tokens: list[str]) -> None:
-        """Cache a row for each new token: sums of weights, number of features, letters by script."""
-        m = len(MACHINES)
-        rows = np.zeros((len(tokens), self.table.shape[1]), np.float32)
-        ids: list[int] = []
-        owners, sizes = [], []
-        for k, token in enumerate(tokens):
-            if "@" in token or "://" in token:
-                continue
-            for w in (token,) if token.isalpha() or "฀" <= token[:1] <= "๿" else _WORD.findall(token):
-                kind = script_of(w)
-                rows[k, m + 1 + self.kinds.index(kind)] += len(w)
-                if kind in ("latin", "east"):
-                    own = list(map(bucket_of, word_features(w)))
-                    ids += own
-                    owners.append(k), sizes.append(len(own))
-        if ids:
-            n = np.array(sizes, np.int64)
-            of = np.array(owners, np.int64)
-            np.add.at(rows[:, :m], of, np.add.reduceat(self.weights[self.row[np.array(ids, np.int64)]], np.cumsum(n) - n, axis=0))
-            np.add.at(rows[:, m], of, n)
-        first = len(self.words)
-        while len(self.table) < first + len(tokens):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[first : first + len(tokens)] = rows
-        self.words.update((w, first + k) for k, w in enumerate(tokens))
+    def _know(self) -> None:
+        """A row for each token that the vocabulary has by now."""
+        known, vocabulary, m = len(self.table), self.vocabulary, len(MACHINES)
+        if known < len(vocabulary.sizes):
+            rows = np.zeros((len(vocabulary.sizes) - known, self.table.shape[1]), np.float32)
+            rows[:, m], rows[:, m + 1 :] = vocabulary.sizes[known:], vocabulary.letters[known:]
+            speak = known + np.flatnonzero(vocabulary.sizes[known:])
+            buckets, sizes = vocabulary.features(speak)
+            rows[speak - known, :m] = summed(self.weights[self.row[buckets]], sizes)
+            self.table = np.concatenate([self.table, rows])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Scores of the languages for each unit, one row a unit; the best is 0 and all others are below."""
-        if len(self.words) > 250_000:
-            self.forget()
-        tokens: list[str] = []
-        sizes = []
-        for t in texts:
-            if " @" in t or "@ " in t or "t]" in t or "t)" in t:  # an address of several words; `add_words` passes by the others
-                t = _ADDRESS.sub(" ", t)
-            own = t.split() or ["-"]
-            sizes.append(len(own))
-            tokens += own
-        flat = list(map(self.words.get, tokens))
-        if None in flat:
-            self.add_words(list(dict.fromkeys(w for w, k in zip(tokens, flat, strict=True) if k is None)))
-            flat = list(map(self.words.get, tokens))
         if not texts:
             return np.zeros((0, len(LANGS)))
-        sums = np.add.reduceat(self.table[np.array(flat)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0).astype(np.float64)
+        if len(self.vocabulary.numbers) > KEPT_TOKENS:
+            self.forget()
+        return self.scores_of(*self.vocabulary.tokens_of(texts))
+
+    def scores_of(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same of units whose tokens are numbered, one unit after the other."""
+        self._know()
+        sums = summed(self.table[tokens], sizes).astype(np.float64)
         m = len(MACHINES)
         margin = sums[:, :m] / np.sqrt(np.maximum(sums[:, m : m + 1], 1)) + self.bias
         letters = sums[:, m + 1 :]
         total = np.maximum(letters.sum(1, keepdims=True), 1)
-        out = np.full((len(texts), len(LANGS)), -8.0)
+        out = np.full((len(sizes), len(LANGS)), -8.0)
         share = letters / total
         for name, lang in (("ru", "ru"), ("hi", "hi"), ("ar", "ar"), ("th", "th")):
-            out[:, _AT[lang]] = np.minimum(0, 20 * (share[:, self.kinds.index(name)] - 0.3))
+            out[:, _AT[lang]] = np.minimum(0, 20 * (share[:, _KINDS.index(name)] - 0.3))
         latin = np.minimum(0, 20 * (share[:, 0] - 0.7)) * (letters.sum(1) > 0)
-        east = np.minimum(0, 20 * (share[:, self.kinds.index("east")] - 0.3))
+        east = np.minimum(0, 20 * (share[:, _KINDS.index("east")] - 0.3))
         # A few letters are little evidence; then the neighbouring units decide.
-        weight = np.minimum(1, letters[:, 0] / 30 + letters[:, self.kinds.index("east")] / 8)
+        weight = np.minimum(1, letters[:, 0] / 30 + letters[:, _KINDS.index("east")] / 8)
         half = lambda z: weight * np.minimum(0, 2 * z)  # noqa: E731 - hinge-like: no loss on the right side of the margin
         family = margin[:, 0]
         at = {pair: k + 1 for k, pair in enumerate(PAIRS)}
@@ -206,77 +280,90 @@ for _k, (_a, _b) in enumerate(PAIRS):
 class LanguageLearner:
     """All machines at once by averaged stochastic subgradient steps on the hinge loss, some units a step.
 
-    ``weight`` has the weight of a unit of each language in each machine, so that both sides of a machine count alike.
+    Margins are taken of ``screened`` units at once, more as errors get rare; those that no machine has within its margin
+    change nothing, the others are stepped over. ``weight`` has the weight of a unit of each language in each machine, so that both sides of a
+    machine count alike.
     """
 
-    def __init__(self, start: LanguageModel | None = None, weight: np.ndarray | None = None, penalty: float = 1e-4, together: int = 32):
+    def __init__(self, vocabulary: Vocabulary, start: LanguageModel | None = None, weight: np.ndarray | None = None, penalty: float = 1e-4, together: int = 32, screened: int = 128):
         m = len(MACHINES)
+        self.vocabulary = vocabulary
         self.w, self.bias = np.zeros((BUCKETS, m), np.float32), np.zeros(m)
         if start is not None:
             self.w[start.buckets], self.bias = start.weights[1:], start.bias.copy()
         self.sums, self.bias_sums, self.t = np.zeros((BUCKETS, m), np.float32), np.zeros(m), 0
         self.goals, self.weight = GOALS.astype(np.float32), np.ones(GOALS.shape, np.float32) if weight is None else weight.astype(np.float32)
-        self.penalty, self.together = penalty, together
-        self.words: dict[str, list[int]] = {}
+        self.penalty, self.together, self.screened = penalty, together, screened
         self.rng = np.random.RandomState(7)
         self.seen = np.zeros(len(LANGS))
 
-    def _buckets(self, text: str) -> list[int]:
-        out: list[int] = []
-        if "@" in text or "://" in text or "t]" in text or "t)" in text:
-            text = _ADDRESS.sub(" ", text)
-        for token in text.split():
-            got = self.words.get(token)
-            if got is None:
-                if len(self.words) > 250_000:
-                    self.words.clear()
-                got = self.words[token] = [bucket_of(f) for w in _WORD.findall(token) if script_of(w) in ("latin", "east") for f in word_features(w)]
-            out += got
-        return out
-
-    def learn(self, texts: list[str], langs: list[int], epochs: int = 1) -> None:
-        rows = [self._buckets(t) for t in texts]
-        speaks = np.flatnonzero([len(r) > 0 and GOALS[x].any() for r, x in zip(rows, langs, strict=True)])
-        self.seen += np.bincount([langs[i] for i in speaks.tolist()], minlength=len(LANGS))
+    def learn(self, tokens: np.ndarray, sizes: np.ndarray, langs: np.ndarray, epochs: int = 1) -> None:
+        """Learn from units: their tokens by number, one unit after the other, how many each has, and their languages."""
+        speak = self.vocabulary.sizes[tokens] > 0
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[speak], minlength=len(sizes))
+        tokens, begins = tokens[speak], np.cumsum(sizes) - sizes
+        able = np.flatnonzero((sizes > 0) & GOALS[langs].any(1))
+        self.seen += np.bincount(langs[able], minlength=len(LANGS))
         for _ in range(epochs):
-            order = self.rng.permutation(speaks)
-            for at in range(0, len(order), self.together):
-                part = order[at : at + self.together].tolist()
-                self._step([rows[i] for i in part], np.array([langs[i] for i in part]))
-
-    def _step(self, rows: list[list[int]], langs: np.ndarray) -> None:
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.array([k for r in rows for k in r], np.int64)
-        z = np.add.reduceat(self.w[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None] + self.bias
+            order = self.rng.permutation(able)
+            while len(order):
+                part, order = order[: self.screened], order[self.screened :]
+                near = np.arange(len(part))
+                if self.screened > self.together:
+                    z = self._margins(tokens[stretches(sizes[part], begins[part])], sizes[part])[0]
+                    near = np.flatnonzero((self._hits(z, langs[part]) != 0).any(1))
+                for k in range(0, len(near), self.together):
+                    some = near[k : k + self.together]
+                    units = part[some]
+                    self._step(tokens[stretches(sizes[units], begins[units])], sizes[units], langs[units], self.t + int(some[-1]) + 1)
+                self.t += len(part)
+                if self.screened > self.together and len(near) * 10 < len(part):
+                    self.screened = min(2 * self.screened, 4096)
+
+    def _margins(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Margins of units, and their tokens' distinct ones, which of them each is, and the distinct ones' features."""
+        words, which = np.unique(tokens, return_inverse=True)
+        buckets, n = self.vocabulary.features(words)
+        z = summed(summed(self.w[buckets], n)[which], sizes) / np.sqrt(summed(n[which][:, None], sizes)) + self.bias
+        return z, (words, which, buckets, n)
+
+    def _hits(self, z: np.ndarray, langs: np.ndarray) -> np.ndarray:
         y = self.goals[langs]
-        hit = y * (y * z < 1) * self.weight[langs]
-        self.t += len(rows)
-        rate = 0.5 / (1 + self.penalty * self.t * 10)
+        return y * (y * z < 1) * self.weight[langs]
+
+    def _step(self, tokens: np.ndarray, sizes: np.ndarray, langs: np.ndarray, t: int) -> None:
+        z, (words, which, buckets, n) = self._margins(tokens, sizes)
+        hit = self._hits(z, langs)
+        rate = 0.5 / (1 + self.penalty * t * 10)
         self.bias += 0.05 * rate * hit.sum(0)
-        self.bias_sums += 0.05 * rate * hit.sum(0) * self.t
-        some = hit.any(1)
-        if some.any():
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            chosen = some[owner]
-            ids, back = np.unique(flat[chosen], return_inverse=True)
-            steps = (rate * hit / np.sqrt(sizes)[:, None]).astype(np.float32)[owner[chosen]]
-            order = np.argsort(back, kind="stable")
-            step = np.add.reduceat(steps[order], np.searchsorted(back[order], np.arange(len(ids))), axis=0)
-            self.w[ids] += step
-            self.sums[ids] += step * self.t
+        self.bias_sums += 0.05 * rate * hit.sum(0) * t
+        if hit.any():
+            own = (rate * hit / np.sqrt(summed(n[which][:, None], sizes))).astype(np.float32)
+            by_word = np.argsort(which, kind="stable")
+            steps = np.repeat(summed(own[np.repeat(np.arange(len(sizes)), sizes)[by_word]], np.bincount(which)), n, axis=0)
+            order = np.argsort(buckets, kind="stable")
+            ids = buckets[order]
+            heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            step = np.add.reduceat(steps[order], heads, axis=0)
+            self.w[ids[heads]] += step
+            self.sums[ids[heads]] += step * t
 
     def averaged(self) -> tuple[np.ndarray, np.ndarray]:
         t = max(1, self.t)
         return self.w - self.sums / t, self.bias - self.bias_sums / t
 
+    def model(self) -> LanguageModel:
+        weights, bias = self.averaged()
+        buckets = np.flatnonzero(weights.any(1))
+        return LanguageModel(buckets, weights[buckets], bias, self.vocabulary)
+
 
 def train_languages(texts: list[str], langs: list[str], epochs: int = 12, penalty: float = 1e-4) -> LanguageModel:
     """The machines of some texts."""
-    learner = LanguageLearner(penalty=penalty, together=1)
-    learner.learn(texts, [_AT[x] for x in langs], epochs)
-    weights, bias = learner.averaged()
-    buckets = np.flatnonzero(weights.any(1))
-    return LanguageModel(buckets, weights[buckets], bias)
+    vocabulary = Vocabulary()
+    learner = LanguageLearner(vocabulary, penalty=penalty, together=1, screened=1)
+    learner.learn(*vocabulary.tokens_of(texts), np.array([_AT[x] for x in langs]), epochs)
+    return learner.model()
 
 
 def runs_on(text: str, label: str) -> bool:
@@ -325,7 +412,7 @@ def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Number of the row, start, label and text of each unit of a batch of `running_units`."""
     rows = np.repeat(np.arange(batch.num_rows), batch.column("texts").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     labels = np.frombuffer("".join(batch.column("labels").to_pylist()).encode(), np.uint8)
-    return rows, batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64), labels, batch.column("texts").flatten().to_pylist()
+    return rows, batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64), labels, batch.column("texts").flatten().to_numpy(zero_copy_only=False).tolist()
 
 
 def running_units(staged: DataFrame, events: EventModel, total: int) -> DataFrame:
@@ -359,27 +446,65 @@ def running_units(staged: DataFrame, events: EventModel, total: int) -> DataFram
     return written(units.repartition(max(1, -(-total // PART)), "row_id").sortWithinPartitions(F.xxhash64("row_id"), "row_id"), "running-units")
 
 
-def confirmed(batch: pa.RecordBatch, model: LanguageModel, names: dict[str | None, int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sender's own units in messages whose label names a language: text, the label's language, scores, and whether
-    the unit confirms the label: all units of the message together score best for it, and the unit does not speak clearly
-    against it, so that the machines learn from the units they were unsure of."""
-    rows, _, labels, texts = columns_of(batch)
-    told = named_numbers(batch.column("language").to_pylist(), names)[rows]
-    own = (told >= 0) & _IS_NEW[labels]
-    rows, labels, told, texts = rows[own], labels[own], told[own], [t for t, ok in zip(texts, own.tolist(), strict=True) if ok]
-    if not texts:
-        return [], told, np.zeros((0, len(LANGS))), np.zeros(0, bool)
-    distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-    score = model.scores(list(distinct))[np.array([distinct[t] for t in texts], np.int64)]
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    sizes = np.diff(np.append(first, len(rows)))
-    agrees = np.repeat(np.add.reduceat(score, first, axis=0).argmax(1), sizes) == told
-    long = np.isin(labels, [ord("G"), ord("C")]) | (np.array(list(map(len, texts))) >= 12)
-    return texts, told, score, agrees & long & (score[np.arange(len(told)), told] > AGAINST)
-
-
-def trained_round(units: DataFrame, model: LanguageModel, seeds: list[tuple[str, str]], totals: np.ndarray) -> LanguageModel:
-    """A round of training on all units that ``model`` confirms; ``totals`` has the messages of each language by their labels."""
+class OwnUnits:
+    """Of a batch of `running_units` the sender's own units in messages whose label names a language: their tokens by
+    number, one unit after the other, ``sizes`` of these, and the label's language ``told``."""
+
+    def __init__(self, batch: pa.RecordBatch, vocabulary: Vocabulary, names: dict[str | None, int]):
+        rows, _, labels, texts = columns_of(batch)
+        told = named_numbers(batch.column("language").to_pylist(), names)[rows]
+        own = (told >= 0) & _IS_NEW[labels]
+        rows, labels, self.told, texts = rows[own], labels[own], told[own], list(compress(texts, own.tolist()))
+        self.tokens, self.sizes = vocabulary.tokens_of(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if texts else np.zeros(0, np.int64)
+        self.long = np.isin(labels, [ord("G"), ord("C")]) | (np.array(list(map(len, texts)), np.int64) >= 12)
+
+    def scores(self, model: LanguageModel) -> np.ndarray:
+        return model.scores_of(self.tokens, self.sizes) if len(self.told) else np.zeros((0, len(LANGS)))
+
+    def confirmed(self, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, their numbers and languages of the units that confirm the label: all units of the message together score
+        best for it, and the unit does not speak clearly against it, so that the machines learn from the units they were unsure of."""
+        if not len(self.told):
+            return self.tokens, self.sizes, self.told
+        score = self.scores(model)
+        agrees = np.repeat(np.add.reduceat(score, self.first, axis=0).argmax(1), np.diff(np.append(self.first, len(score)))) == self.told
+        chosen = agrees & self.long & (score[np.arange(len(score)), self.told] > AGAINST)
+        return self.tokens[np.repeat(chosen, self.sizes)], self.sizes[chosen], self.told[chosen]
+
+
+def trained_rounds(blocks: Iterator[tuple[Vocabulary, list[OwnUnits]]], before: LanguageModel, seeds: list[tuple[str, str]], weight: np.ndarray, epochs: int, rounds: int) -> Iterator[tuple[LanguageLearner, np.ndarray]]:
+    """The machines that rounds over each block of units give, and how often the units of each language trained them."""
+    for vocabulary, units in blocks:
+        tokens, sizes = vocabulary.tokens_of([t for t, _ in seeds])
+        langs = np.array([_AT[x] for _, x in seeds])
+        model = LanguageModel(before.buckets, before.weights[1:], before.bias, vocabulary)
+        for _ in range(rounds):
+            learner = LanguageLearner(vocabulary, model, weight)
+            learner.learn(tokens, sizes, langs)
+            chosen = [u.confirmed(model) for u in units]
+            learner.learn(*(np.concatenate(x) for x in zip(*chosen, strict=True)), epochs)
+            model = learner.model()
+        yield learner, learner.seen
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Vocabulary, list[OwnUnits]]]:
+    """Units of some batches together, as many as a worker may hold."""
+    names: dict[str | None, int] = {}
+    vocabulary, units, size = Vocabulary(), [], 0
+    for batch in batches:
+        units.append(OwnUnits(batch, vocabulary, names))
+        size += len(units[-1].tokens)
+        if size > BLOCK_TOKENS:
+            yield vocabulary, units
+            vocabulary, units, size = Vocabulary(), [], 0
+    if size:
+        yield vocabulary, units
+
+
+def mixed_rounds(units: DataFrame, model: LanguageModel, seeds: list[tuple[str, str]], totals: np.ndarray, rounds: int) -> LanguageModel:
+    """The machines of rounds of training on all units that the machines so far confirm; ``totals`` has the messages of each
+    language by their labels."""
     m = len(MACHINES)
     epochs = int(max(1, min(8, -(-LEARNED // max(1, totals.sum())))))
     sides = [((GOALS == s) * totals[:, None]).sum(0) for s in (1, -1)]
@@ -390,21 +515,15 @@ def trained_round(units: DataFrame, model: LanguageModel, seeds: list[tuple[str,
     @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, seeds, weight = shared.value
-        learner, known = LanguageLearner(before, weight), {}
-        for batch in batches:
-            texts, told, _, chosen = confirmed(batch, before, known)
-            if not learner.t:
-                learner.learn([t for t, _ in seeds], [_AT[x] for _, x in seeds])
-            learner.learn([t for t, ok in zip(texts, chosen.tolist(), strict=True) if ok], told[chosen].tolist(), epochs)
-        if learner.t:
-            seen = [((GOALS == s) * learner.seen[:, None]).sum(0) for s in (1, -1)]
+        for learner, each in trained_rounds(blocks_of(batches), before, seeds, weight, epochs, rounds):
+            seen = [((GOALS == s) * each[:, None]).sum(0) for s in (1, -1)]
             mix = np.maximum(np.minimum(*seen), 1e-3)
             weights, bias = learner.averaged()
             weights[before.buckets] -= before.weights[1:]
             moved = np.flatnonzero(weights.any(1))
             change = np.concatenate([weights[moved], [bias - before.bias]]).astype(np.float64)
             table = np.concatenate([change * mix, (change != 0) * mix], axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([*moved.tolist(), BUCKETS], pa.int64()), *(pa.array(x) for x in table.T)], names=["bucket", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(moved, BUCKETS), pa.int64()), *(pa.array(x) for x in table.T)], names=["bucket", *names])
 
     found = units.mapInArrow(run, ", ".join(["bucket bigint", *(f"{w} float" for w in names)]))
     table = found.groupBy("bucket").agg(*(F.sum(w).cast("float").alias(w) for w in names)).toArrow()  # at most BUCKETS rows
@@ -430,9 +549,7 @@ def fit_languages(units: DataFrame, seeds: list[tuple[str, str]], rounds: int =
     for r in units.groupBy(label_language(F.col("language")).alias("told")).count().collect():  # the languages and null
         if r.told in _AT:
             totals[_AT[r.told]] = r["count"]
-    for _ in range(rounds):
-        model = trained_round(units, model, seeds, totals)
-    return model
+    return mixed_rounds(units, model, seeds, totals, rounds)
 
 
 def calibrate(units: DataFrame, model: LanguageModel) -> None:
@@ -443,7 +560,10 @@ def calibrate(units: DataFrame, model: LanguageModel) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, int] = {}
         for batch in batches:
-            _, told, score, _ = confirmed(batch, shared.value, known)
+            if len(shared.value.vocabulary.numbers) > KEPT_TOKENS:
+                shared.value.forget()
+            own = OwnUnits(batch, shared.value.vocabulary, known)
+            told, score = own.told, own.scores(shared.value)
             gains = []
             for sharpness in SHARPNESSES:
                 p = np.exp(sharpness * score)
@@ -466,9 +586,7 @@ class Told:
     def __init__(self, batch: pa.RecordBatch, model: LanguageModel):
         self.rows, self.at, labels, texts = columns_of(batch)
         self.new = _IS_NEW[labels]
-        distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-        score = model.scores(list(distinct))
-        which = np.array([distinct[t] for t in texts], np.int64)
+        score, which = model.scores(texts), np.arange(len(texts))
         if texts:  # a message of numbers or addresses only, which speak for no language, has no running text
             speaks = np.isin(self.rows, self.rows[np.ptp(score, axis=1)[which] > 0])
             self.rows, self.at, self.new, which = (x[speaks] for x in (self.rows, self.at, self.new, which))

@@ -331,6 +331,18 @@ def _bare_odds(lengths: dict[int, int]) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _solid_pieces(text: str, spots: list[tuple[int, int, str, str, bool]]) -> list[bool]:
+    """Whether each piece between places holds a letter or digit."""
+    if not spots:
+        return [True]
+    out, begin = [], 0
+    for end, nxt, *_ in spots:
+        out.append(text[begin].isalnum() or _SOLID.search(text, begin, end) is not None)
+        begin = nxt
+    out.append(text[begin].isalnum() or _SOLID.search(text, begin) is not None)
+    return out
+
+
 class Lines:
     """The lines of running text of some messages, labelled, with their places, laid out in columns.
 
@@ -346,49 +358,55 @@ class Lines:
         self.solid: list[bool] = []
         self.words: Counter = Counter()
         self.lengths: Counter = Counter()
-        self.firsts: list[str] = []
-        self.lasts: list[str] = []
+        self.firsts: Counter = Counter()
+        self.lasts: Counter = Counter()
+        met: dict[str, tuple[list[tuple[int, int, str, str, bool]], list[bool], bool]] = {}
+        times: Counter = Counter()
         row = 0
         for message, (found, letters, flags) in zip(messages, labelled(messages, model), strict=True):
             for a, text, split, label in running_parts(message, found, letters, flags):
                 if split:
-                    new = places(text)
-                    self._split(text, new)
-                    if counted:
-                        self._gather(text, not new)
+                    got = met.get(text)
+                    if got is None:
+                        new = places(text)
+                        got = met[text] = new, _solid_pieces(text, new), text[0].islower()
+                    times[text] += 1
+                    new, solid, low = got
+                    self.solid += solid
                     spots += new
-                    lines.append((row, a, len(text), text[0].islower(), label, len(new)))
+                    lines.append((row, a, len(text), low, label, len(new)))
                 else:
                     self.solid.append(True)
                     lines.append((row, a, len(text), text[0].islower(), label.lower(), 0))
             row += 1
+        if counted:
+            self._gather({t: (n, not met[t][0], met[t][2]) for t, n in times.items()})
         self.rows, self.at, self.size, self.low, self.labels, self.per = map(list, zip(*lines, strict=True)) if lines else ([] for _ in range(6))
         self.ends, self.nexts, self.lefts, self.rights, self.tied = map(list, zip(*spots, strict=True)) if spots else ([] for _ in range(5))
 
-    def _split(self, text: str, spots: list[tuple[int, int, str, str, bool]]) -> None:
-        if not spots:
-            self.solid.append(True)
-            return
-        begin = 0
-        for end, nxt, *_ in spots:
-            self.solid.append(text[begin].isalnum() or _SOLID.search(text, begin, end) is not None)
-            begin = nxt
-        self.solid.append(text[begin].isalnum() or _SOLID.search(text, begin) is not None)
-
-    def _gather(self, text: str, alone: bool) -> None:
-        tokens = text.split()
-        self.words.update(tokens)
-        if alone and text[-1] in _MARKS:  # a sentence by itself
-            east = text.isascii() or len(_CJK.findall(text))
-            self.lengths[("w", len(tokens)) if east is True or not east else ("c", east)] += 1
-        self.firsts.append(tokens[0])
-        last = tokens[-1]
-        if not _SOLID.search(last):
-            for before in tokens[-2:-5:-1]:
-                last = before + " " + last
-                if _SOLID.search(before):
-                    break
-        self.lasts.append(last)
+    def _gather(self, texts: dict[str, tuple[int, bool, bool]]) -> None:
+        """What distinct lines hold; of each how often it comes, whether it has no place, whether it begins small."""
+        by_times: dict[int, list[str]] = {}
+        for text, (n, alone, low) in texts.items():
+            tokens = text.split()
+            words = by_times.get(n)
+            if words is None:
+                words = by_times[n] = []
+            words += tokens
+            if alone and text[-1] in _MARKS:  # a sentence by itself
+                east = text.isascii() or len(_CJK.findall(text))
+                self.lengths[("w", len(tokens)) if east is True or not east else ("c", east)] += n
+            self.firsts[tokens[0], "low" if low else "up"] += n
+            last = tokens[-1]
+            if not last[0].isalnum() and not _SOLID.search(last):
+                for before in tokens[-2:-5:-1]:
+                    last = before + " " + last
+                    if _SOLID.search(before):
+                        break
+            self.lasts[last] += n
+        for n, words in by_times.items():
+            for w, k in Counter(words).items():
+                self.words[w] += n * k
 
     def counts(self) -> dict[str, list]:
         """Events of these lines, in columns: kind, forms and classes of both words, number.
@@ -405,11 +423,10 @@ class Lines:
                 out["c", "", "", right_form(w)[0], ""] += n
         for (kind, n), k in self.lengths.items():
             out["l", "", kind, str(min(n, LONGEST + 1)), ""] += k
-        style = ["low" if x else "up" for x in self.low]
-        for (w, c), n in Counter(zip(self.firsts, [c for c, x in zip(style, self.labels, strict=True) if x.isupper()], strict=True)).items():
+        for (w, c), n in self.firsts.items():
             f, k = right_form(w)
             out["s", "", "", f, k + c] += n
-        for w, n in Counter(self.lasts).items():
+        for w, n in self.lasts.items():
             if w[-1] not in ",:;":
                 f, k = left_form(w[-4:] if _CJK.search(w) else w)
                 out["e", f, k, "", ""] += n

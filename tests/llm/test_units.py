@@ -16,6 +16,7 @@ from quillveil.llm import mojibake as G
 from quillveil.llm import packing as K
 from quillveil.llm import pii as P
 from quillveil.llm import readability as R
+from quillveil.llm import replies as T
 from quillveil.llm import sentences as S
 
 
@@ -346,3 +347,32 @@ def test_connectives_of_several_words():
     at = R.FEATURES.index("connectives")
     of = lambda t, lang: R.text_features(t, lang, {})[at]
     assert of("Sin embargo, vino a casa.", "es") == 1 and of("Vino sin casa ni embargo.", "es") == 0 and of("Uma casa, outra vez.", "pt") == 0 and of("Uma vez em casa, dorme.", "pt") == 1
+
+
+def test_lines_that_come_again_are_split_once(monkeypatch):
+    calls, places = [], S.places
+    monkeypatch.setattr(S, "places", lambda text: calls.append(text) or places(text))
+    mail, model = "We meet at noon by the old bridge. Bring cups and plates, please.", T.fitted_on([])
+    one, many = S.Lines([mail], model).counts(), S.Lines([mail] * 40, model).counts()
+    assert calls == [mail, mail]
+    key = lambda c, n: sorted(zip(*(c[x] for x in ("kind", "u", "uc", "v", "vc")), (k * n for k in c["n"]), strict=True))
+    assert key(one, 40) == key(many, 1)
+
+
+def test_machines_pass_by_units_beyond_their_margins(monkeypatch):
+    stepped, step = [], L.LanguageLearner._step
+    monkeypatch.setattr(L.LanguageLearner, "_step", lambda self, *x: stepped.append(len(x[1])) or step(self, *x))
+    texts, langs = ["Não temos mais copos para a reunião.", "The total is fine and we have no more cups."] * 2000, ["pt", "en"] * 2000
+    vocabulary = L.Vocabulary()
+    learner = L.LanguageLearner(vocabulary)
+    learner.learn(*vocabulary.tokens_of(texts), np.array([L.LANGS.index(x) for x in langs]))
+    assert 0 < sum(stepped) < 1000 and learner.seen.sum() == 4000
+    assert learner.model().scores(texts[:2]).argmax(1).tolist() == [L.LANGS.index("pt"), L.LANGS.index("en")]
+
+
+def test_tokens_of_texts():
+    vocabulary = L.Vocabulary()
+    texts = ["a b", "x @ y", "", "c", " \t ", f"d {vocabulary.BETWEEN} e", "b a"]
+    tokens, sizes = vocabulary.tokens_of(texts)
+    assert sizes.tolist() == [2, 3, 1, 1, 1, 2, 2] and tokens[:2].tolist() == tokens[-2:].tolist()[::-1]
+    assert vocabulary.tokens_of(["a b", "c"])[0].tolist() == [*tokens[:2].tolist(), tokens[6]]
