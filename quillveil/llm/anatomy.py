@@ -16,6 +16,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -106,7 +108,7 @@ def flags_of(t: str) -> int:
     """Flags of a stripped line by itself; kept for lines that come again."""
     got = _FLAGS.get(t)
     if got is None:
-        got = _cues(t)[1]
+        got = _cues(t, named=False)[1]
         if len(_FLAGS) > 200_000:
             _FLAGS.clear()
         _FLAGS[t] = got
@@ -119,6 +121,24 @@ _NAMED = [(FROM, "from"), (KEYED, "keyed"), (GREET, "greet"), (CLOSE, "close"),
 _LENGTHS = ["len:" + str(0 if n <= 3 else 1 if n <= 15 else 2 if n <= 30 else 3 if n <= 60 else 4 if n <= 120 else 5) for n in range(122)]
 
 
+_N_WORDS = [f"words:{n}" for n in range(10)]
+
+
+@lru_cache(4096)
+def _end_of(c: str) -> str:
+    return "end:" + (c if not c.isalnum() else "9" if c.isdigit() else "a")
+
+
+@lru_cache(4096)
+def _start_of(c: str) -> str:
+    return "start:" + ("A" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c)
+
+
+@lru_cache(65536)
+def _names_of(flags: int) -> tuple[str, ...]:
+    return tuple(name for bit, name in _NAMED if flags & bit)
+
+
 def _cue_words() -> ahocorasick.Automaton:
     """The cue words of device lines, disclaimers and attributions in one automaton; a value is their flag."""
     out = ahocorasick.Automaton()
@@ -133,8 +153,9 @@ def _cue_words() -> ahocorasick.Automaton:
 _CUE_WORDS = _cue_words()
 
 
-def _cues(t: str) -> tuple[list[str], int]:
-    n, flags, out = len(t), 0, []
+def _cues(t: str, named: bool = True) -> tuple[list[str], int]:
+    """Features of a stripped line by itself, if they are to be ``named``, and its flags."""
+    n, flags = len(t), 0
     if t[0] in ">|":
         return ["quote"], QUOTE
     if t == "--":
@@ -185,21 +206,18 @@ def _cues(t: str) -> tuple[list[str], int]:
             flags |= NAME
     if t[-1] in ":：" and (found & WROTE or flags & MAIL or (n > 15 and _DATE.search(t))):
         flags |= ATTR
-    out += [_LENGTHS[n], "words:" + str(min(len(words), 9))]
-    out.append("end:" + (c if not c.isalnum() else "9" if c.isdigit() else "a"))
-    c = t[0]
-    out.append("start:" + ("A" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c))
+    if not named:
+        return [], flags
+    out = [_LENGTHS[n], _N_WORDS[min(len(words), 9)], _end_of(c), _start_of(t[0])]
     if digits:
         out.append("digit")
         if digits >= 7 and _PHONE.search(t):
             out.append("phone")
         if digits >= 3 and "," in t:
             out.append("address")
-    for bit, name in _NAMED:
-        if flags & bit:
-            out.append(name)
+    out += _names_of(flags)
     if letters:
-        out += ["first:" + low.split()[0].strip(".,:!¡*")[:12], "last:" + letters[-1].lower()[:12]]
+        out += ["first:" + low.split(None, 1)[0].strip(".,:!¡*")[:12], "last:" + letters[-1].lower()[:12]]
     return out, flags
 
 
@@ -224,11 +242,7 @@ def _long_cues(t: str, n: int) -> tuple[list[str], int]:
         flags |= DISC
     if t[-1] in ":：" and (found & WROTE or flags & MAIL or _DATE.search(t)):
         flags |= ATTR
-    c, first = t[-1], t[0]
-    return [
-        _LENGTHS[min(n, 121)], "end:" + (c if not c.isalnum() else "9" if c.isdigit() else "a"), "start:" + ("A" if first.isupper() else "9" if first.isdigit() else "a" if first.isalpha() else first),
-        f"long:{flags & (SENT | DISC | ATTR | MAIL | KEYED)}",
-    ], flags
+    return [_LENGTHS[min(n, 121)], _end_of(t[-1]), _start_of(t[0]), f"long:{flags & (SENT | DISC | ATTR | MAIL | KEYED)}"], flags
 
 
 def line_view(message: str) -> tuple[list[tuple[int, int, list[int]]], list[str]]:
@@ -246,6 +260,13 @@ def line_view(message: str) -> tuple[list[tuple[int, int, list[int]]], list[str]
     return out, [raw.strip() for raw in rows]
 
 
+def line_texts(message: str) -> list[str]:
+    """The stripped texts of the logical lines alone."""
+    if " \n" in message or " \r\n" in message:
+        return line_view(message)[1]
+    return list(map(str.strip, message.split("\n")))
+
+
 def draft_labels(texts: list[str], flags: list[int]) -> list[str]:
     """Labels from unmistakable signs; blank lines get ''. Used to train, and to pin what admits one reading only."""
     n = len(texts)
@@ -464,7 +485,7 @@ class LineModel:
     def _sums(self, rows: list[list[int]]) -> np.ndarray:
         """Summed weights of each row of features."""
         sizes = np.array([len(r) for r in rows], np.int64)
-        return np.add.reduceat(self.emit[np.array([k for r in rows for k in r], np.int64)], np.cumsum(sizes) - sizes, axis=0)
+        return np.add.reduceat(self.emit[np.fromiter(chain.from_iterable(rows), np.int64)], np.cumsum(sizes) - sizes, axis=0)
 
     def _lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by their own features, and flags, of non-blank lines; kept for lines that come again."""
@@ -663,6 +684,9 @@ class LineLearner:
 
     def _ids(self, names: list[str]) -> list[int]:
         index = self.index
+        ids = list(map(index.get, names))
+        if None not in ids:
+            return ids
         ids = [index.setdefault(f, len(index)) for f in names]
         if len(index) > len(self.weights[0]):
             for group in (self.weights, self.sums):
@@ -685,7 +709,7 @@ class LineLearner:
         return got
 
     def learn(self, messages: list[str], epochs: int = 1) -> None:
-        views = [line_view(m)[1] for m in messages]
+        views = [line_texts(m) for m in messages]
         for epoch in range(epochs):
             order, at = self.rng.permutation(len(views)).tolist(), 0
             while at < len(order):
@@ -735,7 +759,7 @@ class LineLearner:
         if bad:
             right, tags = gold.tolist(), found.tolist()
             sizes = [len(rows[i]) for i in bad]
-            ids, y, z = np.array([k for i in bad for k in rows[i]], np.int64), np.repeat(gold[bad], sizes), np.repeat(found[bad], sizes)
+            ids, y, z = np.fromiter(chain.from_iterable(rows[i] for i in bad), np.int64), np.repeat(gold[bad], sizes), np.repeat(found[bad], sizes)
             for group, by in ((self.weights, 1), (self.sums, t)):
                 np.add.at(group[0], (ids, y), by), np.add.at(group[0], (ids, z), -by)
             for seq, sign in ((right, 1), (tags, -1)):
@@ -746,7 +770,7 @@ class LineLearner:
 
     def _tags(self, rows: list[list[int]], heads: np.ndarray) -> np.ndarray:
         sizes = np.array([len(r) for r in rows], np.int64)
-        score = np.add.reduceat(self.weights[0][np.array([k for r in rows for k in r], np.int64)], np.cumsum(sizes) - sizes, axis=0)
+        score = np.add.reduceat(self.weights[0][np.fromiter(chain.from_iterable(rows), np.int64)], np.cumsum(sizes) - sizes, axis=0)
         return LineModel({}, *self.weights, frozenset())._decode(score, heads)
 
     def rows(self) -> Iterator[tuple]:

@@ -8,7 +8,8 @@ sequence, as a change of language needs evidence (Viterbi with a price for a cha
 The machines are trained on the labelled short texts and then, in rounds, on the units of all messages on which the machines
 so far and the message's own label agree. The line model and the boundary model that cut messages into units come from all
 messages, too. Each worker learns from all of its messages; each weight of a machine is the mean over the workers that changed
-it, by how much these saw of both its sides. The units are written once; rounds and labelling read them.
+it, by how much these saw of both its sides. A worker runs its rounds on the units of its part together, so the later ones start from
+its own machines. The units are written once; training and labelling read them.
 
 Defined results: null, empty and blank messages and those without running text (numbers, addresses and links only) have no row. Labels are read without
 regard to case, blanks and region suffixes, as two- or three-letter codes or English names; all else names no language.

@@ -376,3 +376,9 @@ def test_tokens_of_texts():
     tokens, sizes = vocabulary.tokens_of(texts)
     assert sizes.tolist() == [2, 3, 1, 1, 1, 2, 2] and tokens[:2].tolist() == tokens[-2:].tolist()[::-1]
     assert vocabulary.tokens_of(["a b", "c"])[0].tolist() == [*tokens[:2].tolist(), tokens[6]]
+
+
+def test_texts_of_lines_alone():
+    for mail in ("Hi \nthere\r\n\n> a \n> b\n-- \nNora ", "one\n two\t\r\n\xa0three", ""):
+        assert A.line_texts(mail) == A.line_view(mail)[1]
+    assert A._cues("Best wishes, Nora", named=False) == ([], A._cues("Best wishes, Nora")[1])
